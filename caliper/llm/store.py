@@ -1,0 +1,49 @@
+"""Written tables that cut lineage, kept where every executor can read them."""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own_dirs: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; a temporary folder only where that is unset (tests, local mode)."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="caliper-")
+    return _own_dirs[app]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet under the shared folder and read it back: the rest of the plan starts from the files,
+    so a lost executor costs a re-read, not a recomputation. The files go when the driver process ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/caliper-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table made by written() that no later result reads."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _drop(df.sparkSession, path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    if jvm is None or jsc is None:  # the session has ended
+        return
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the gateway is down at exit; the folder's owner cleans it
+        return
