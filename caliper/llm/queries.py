@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caliper.llm.mixing import mix
+from caliper.llm.near_dedup import near_duplicates
 from caliper.llm.sharding import assign_shards, uniform_tree, with_slots
 from caliper.llm.words import word_count
 
@@ -27,9 +28,14 @@ def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2, percent=80)
+
+
 QUERIES = {
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op4_hash_tree_shards": op4_hash_tree_shards,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 
 ORACLES: dict[str, str] = {}
