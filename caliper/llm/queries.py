@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caliper.llm import langid, quality
 from caliper.llm.mixing import mix
 from caliper.llm.near_dedup import near_duplicates
 from caliper.llm.sharding import assign_shards, uniform_tree, with_slots
@@ -28,6 +29,21 @@ def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ratings = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scores = quality.scored(docs, quality.fit(docs, ratings, n_grades=3))
+    good, clean = F.col("tails")[0], F.col("tails")[1]
+    return scores.select("doc_id", "expected_grade", good.alias("p_good"), clean.alias("p_clean"), (good >= quality.KEEP_AT).alias("kept"))
+
+
+def op8_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = langid.predicted(docs, langid.fit_on_folds(docs))
+    held_out = (langid.fold(F.col("doc_id")) == 1).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2, percent=80)
 
@@ -35,6 +51,8 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_pivotal_mixing": op2_pivotal_mixing,
     "op4_hash_tree_shards": op4_hash_tree_shards,
+    "op6_ordinal_quality": op6_ordinal_quality,
+    "op8_kneser_ney_langid": op8_kneser_ney_langid,
     "op9_minhash_dedup": op9_minhash_dedup,
 }
 
