@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caliper.llm import langid, quality
+from caliper.llm import audio, html_text, langid, quality, token_spans
+from caliper.llm.ann import nearest
 from caliper.llm.mixing import mix
 from caliper.llm.near_dedup import near_duplicates
+from caliper.llm.packing import pack
 from caliper.llm.sharding import assign_shards, uniform_tree, with_slots
 from caliper.llm.words import word_count
 
 
+def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clips = audio.with_features(audio.to_clips(docs))
+    spoken = F.aggregate("segments", F.lit(0.0), lambda acc, s: acc + s["end_s"] - s["start_s"])
+    feature = F.concat_ws(":", F.sha2("features", 256), F.size("segments").cast("string"), F.round(spoken, 3).cast("string"))
+    return clips.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
 def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     mixed = mix(docs, word_count(F.col("text")), cut=True)
@@ -19,6 +38,10 @@ def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "copies")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), word_count(F.col("text")))
+
+
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
@@ -29,6 +52,11 @@ def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack")
 
 
+def op5_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ratings = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -37,6 +65,11 @@ def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "expected_grade", good.alias("p_good"), clean.alias("p_clean"), (good >= quality.KEEP_AT).alias("kept"))
 
 
+def op7_line_block_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_kneser_ney_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = langid.predicted(docs, langid.fit_on_folds(docs))
@@ -48,12 +81,21 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2, percent=80)
 
 
+def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_spans.section_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), rule="most")
+
+
 QUERIES = {
+    "op1_audio_features": op1_audio_features,
     "op2_pivotal_mixing": op2_pivotal_mixing,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_hash_tree_shards": op4_hash_tree_shards,
+    "op5_stable_projection_ann": op5_stable_projection_ann,
     "op6_ordinal_quality": op6_ordinal_quality,
+    "op7_line_block_html": op7_line_block_html,
     "op8_kneser_ney_langid": op8_kneser_ney_langid,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_section_tokens": op10_section_tokens,
 }
 
 ORACLES: dict[str, str] = {}
