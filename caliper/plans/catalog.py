@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules whose @query functions make up the catalog.
-MODULES: tuple[str, ...] = ("caliper.plans.basics", "caliper.plans.aggregates", "caliper.plans.windows")
+MODULES: tuple[str, ...] = ("caliper.plans.basics", "caliper.plans.aggregates", "caliper.plans.windows", "caliper.plans.values", "caliper.plans.files")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}

@@ -14,7 +14,9 @@ from caliper.operators import summaries as sm
 from caliper.plans.basics import r6
 from caliper.plans.catalog import query
 
-RUN = Window.partitionBy("user_id").orderBy("event_id")
+
+def run_order():
+    return Window.partitionBy("user_id").orderBy("event_id")
 
 
 @query("W1_any_over", "SELECT event_id, bool_or(value > 300) OVER (PARTITION BY user_id) AS has_large FROM events")
@@ -24,7 +26,7 @@ def w1(t):
 
 @query("W2_lag_delta", "SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS delta FROM events")
 def w2(t):
-    return t.events.select("event_id", r6(F.col("value") - F.lag("value").over(RUN)).alias("delta"))
+    return t.events.select("event_id", r6(F.col("value") - F.lag("value").over(run_order())).alias("delta"))
 
 
 @query("W3_percentile_rank", "SELECT event_id, round((rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY event_type), 6) AS pr FROM events")
@@ -63,7 +65,7 @@ def w7(t):
 
 @query("W8_running_total", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS covered FROM events")
 def w8(t):
-    return t.events.select("event_id", r6(st.running(F.sum("value"), RUN)).alias("covered"))
+    return t.events.select("event_id", r6(st.running(F.sum("value"), run_order())).alias("covered"))
 
 
 @query("W9_selection_rank", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS selection_rank FROM events")
@@ -80,7 +82,7 @@ def w10(t):
 
 @query("W11_positive_differences", "SELECT event_id, d FROM (SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS d FROM events) WHERE d > 0")
 def w11(t):
-    return t.events.select("event_id", r6(F.col("value") - F.lag("value").over(RUN)).alias("d")).where("d > 0")
+    return t.events.select("event_id", r6(F.col("value") - F.lag("value").over(run_order())).alias("d")).where("d > 0")
 
 
 @query("W12_pair_at_quantile", "SELECT event_type, n - least(CAST(round_even(0.9 * (c - 1), 0) AS BIGINT), c - 2) - 1 AS side, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS n, count(*) OVER (PARTITION BY event_type) AS c FROM events) WHERE n - 1 - least(CAST(round_even(0.9 * (c - 1), 0) AS BIGINT), c - 2) IN (0, 1)")
