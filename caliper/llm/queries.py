@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caliper.llm import audio, html_text, langid, quality, token_spans
+from caliper.llm import audio, html_text, langid, oracles, quality, token_spans
 from caliper.llm.ann import nearest
 from caliper.llm.mixing import mix
 from caliper.llm.near_dedup import near_duplicates
@@ -98,4 +98,8 @@ QUERIES = {
     "op10_section_tokens": op10_section_tokens,
 }
 
-ORACLES: dict[str, str] = {}
+#: The other operators train models, draw or pack: they are tested against brute force, round trips and held-out rows.
+ORACLES: dict[str, str] = {
+    "op4_hash_tree_shards": oracles.hash_tree_shards(),
+    "op9_minhash_dedup": oracles.MINHASH_DEDUP,
+}
