@@ -3,9 +3,9 @@ components by alternating large-star and small-star.
 
 Shape of the work. Documents with the same shingle set are one node, the smallest id (an aggregate with map-side
 combine, so a group of copies of any size costs one row a task). Nodes meet in band buckets. Round one links each member
-of a bucket with the bucket's smallest id, one row a member. Later rounds look only at buckets that still hold several
-components, compare their members' signatures block against block inside tasks, and hand on only pairs of different
-components whose signatures agree well enough; links are always confirmed on the full sets of both texts.
+of a bucket with the bucket's smallest id, one row a member. Round two looks only at buckets that still hold several
+components: tasks compare their members' signatures block against block, confirm what may be a link on the full sets of
+both texts, and hand on no more links than join the components.
 """
 
 from __future__ import annotations
@@ -99,53 +99,60 @@ def _agreeing(floor: int):
     return run
 
 
-def _propose(floor: int, percent: int, most: int):
-    """From rows (bucket, i, j, chunk, id, component, n, sig), those of one (bucket, i, j) adjacent: pairs of different
-    components with at least `floor` equal minima and fitting sizes. Of the partners that an id has in one other
-    component the `most` best are proposed and `more` says that there were others; another round sees them."""
+def _signed_sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                s = [shingle_set(t.as_py(), k) for t in b.column(1).slice(at, 500)]
+                sig = [minima(x).tobytes() if len(x) else None for x in s]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), pa.array([x.tobytes() for x in s], pa.binary()), pa.array(sig, pa.binary())], names=["id", "members", "sig"])
+
+    return run
+
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple]:
+def _join_components(floor: int, percent: int):
+    """From rows (hub, i, j, chunk, id, component, members, sig), those of one (hub, i, j) adjacent: links (a, b) between
+    different components. Pairs whose minima and sizes allow a link are confirmed on their full sets, best first; a link
+    joins its components there and then, so that a block of n rows gives n - 1 links at most."""
+
+    def links(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         i, j = rows[0][1], rows[0][2]
-        ids, comp, n = (np.array([r[c] for r in rows], dtype=np.int64) for c in (4, 5, 6))
+        ids = np.array([r[4] for r in rows], dtype=np.int64)
+        _, root = np.unique(np.array([r[5] for r in rows], dtype=np.int64), return_inverse=True)
         chunk = np.array([r[3] for r in rows])
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        n = np.array([len(s) for s in sets])
         sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint32).reshape(-1, N_HASH)
         right = np.flatnonzero(chunk == j)
         for x in np.flatnonzero(chunk == i):
-            y = right[(ids[right] > ids[x]) | (i != j)]
-            y = y[comp[y] != comp[x]]
+            y = right[(root[right] != root[x]) & ((ids[right] > ids[x]) | (i != j))]
             y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
             if not len(y):
                 continue
             agree = (sig[y] == sig[x]).sum(axis=1)
-            y, agree = y[agree >= floor], agree[agree >= floor]
-            order = np.lexsort((ids[y], -agree, comp[y]))
-            y = y[order]
-            first = np.r_[True, comp[y][1:] != comp[y][:-1]] if len(y) else np.empty(0, bool)
-            rank = np.arange(len(y)) - np.maximum.accumulate(np.where(first, np.arange(len(y)), 0))
-            more = bool((rank >= most).any())
-            for z in y[rank < most]:
-                yield min(int(ids[x]), int(ids[z])), max(int(ids[x]), int(ids[z])), more
+            for z in y[np.argsort(-agree, kind="stable")][: int((agree >= floor).sum())]:
+                if root[z] != root[x]:
+                    both = intersection(sets[x], sets[z])
+                    if 100 * both >= percent * (n[x] + n[z] - both):
+                        root[root == root[z]] = root[x]
+                        yield min(int(ids[x]), int(ids[z])), max(int(ids[x]), int(ids[z]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        held: list[tuple] = []
+        out: list[tuple[int, int]] = []
 
-        def flush() -> pa.RecordBatch:
-            a, b, m = zip(*out, strict=True) if out else ((), (), ())
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.bool_())], names=["a", "b", "more"])
+        def close() -> None:
+            if len({r[5] for r in held}) > 1:
+                out.extend(links(held))
+            held.clear()
 
-        held: list[tuple] = []
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[-1][:3] != r[:3]:
-                    out.extend(pairs(held))
-                    held = []
-                    if len(out) > 10_000:
-                        yield flush()
+                    close()
                 held.append(r)
-        if held:
-            out.extend(pairs(held))
-        yield flush()
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -184,20 +191,26 @@ class _Linker:
         fit = 100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")
         return met.where((F.col("id") != F.col("a")) & fit).select("a", F.col("id").alias("b")).distinct()
 
-    def mixed_pairs(self, components: DataFrame, most: int) -> DataFrame:
-        """Pairs of different components from the buckets that hold several."""
+    def joining_links(self, components: DataFrame) -> DataFrame:
+        """Links between the components that share a bucket. Buckets with the same smallest id are one group, so that what
+        meets in many buckets is compared once or a few times; a large group is compared chunk by chunk."""
         labels = self.nodes.select("id").join(components, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
         labelled = self.bands.select("id", "bucket").join(labels, "id")
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
-        chunks = F.ceil(F.col("c") / F.lit(float(BLOCK))).cast("int")
-        rows = labelled.join(mixed.select("bucket", chunks.alias("chunks")), "bucket")
-        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-        rows = rows.withColumn("other", other).join(self.nodes, "id")
-        keyed = rows.select("bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "component", "n", "sig")
-        sorted_ = keyed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        found = sorted_.mapInArrow(_propose(self.floor, self.percent, most), "a long, b long, more boolean")
-        return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("hub")).where("lo <> hi")
+        rows = written(labelled.join(mixed.select("bucket", "hub"), "bucket").select("hub", "id", "component").distinct(), "dedup-mixed")
+        chunks = rows.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("chunks"))
+        rows_ = rows.join(chunks, "hub").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+        met = rows_.select("hub", "chunk", other, "id", "component")
+        texts = self.docs.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+        sets = texts.mapInArrow(_signed_sets(self.k), "id long, members binary, sig binary").where("sig is not null")
+        keyed = met.join(sets, "id").select("hub", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "component", "members", "sig")
+        near = keyed.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id")
+        return written(near.mapInArrow(_join_components(self.floor, self.percent), "a long, b long").distinct(), "dedup-joining")
+
+
+def _components_of(links: DataFrame) -> DataFrame:
+    return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -213,20 +226,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     feats = written(docs.mapInArrow(_features(k), "doc_id long, n_shingles long, key1 long, key2 long, sig binary"), "dedup-feats")
     link = _Linker(docs, feats, k, percent)
     links = link.confirmed(link.star_pairs())
-    components = written(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "dedup-components")
-    most = 32
-    while True:
-        proposed = written(link.mixed_pairs(components, most), "dedup-mixed")
-        state = proposed.agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more")).first()
-        if not state["n"]:
-            break
-        found = link.confirmed(proposed.select("a", "b"))
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            components = written(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "dedup-components")
-        if not state["more"]:
-            break
-        most *= 8
+    components = written(_components_of(links), "dedup-components")
+    joining = link.joining_links(components)
+    if not joining.isEmpty():
+        components = written(_components_of(links.unionByName(joining)), "dedup-components")
     rep = link.members.join(components, "id", "left").select("key1", "key2", F.coalesce("component", "id").alias("rep"))
     own = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))
     out = feats.select("doc_id", "n_shingles", "key1", "key2").join(rep, ["key1", "key2"], "left")
