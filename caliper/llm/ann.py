@@ -194,12 +194,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, confidence: float
     rng = np.random.default_rng(seed)
     directions = rng.standard_normal((max(dims, 1), M))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    v = np.array(sample["embedding"].tolist(), dtype=np.float64).reshape(len(sample), -1)
-    if len(v):
+    v = np.zeros((0, M))
+    if len(sample):
+        v = np.array(sample["embedding"].tolist(), dtype=np.float64)
         v = v / np.abs(v).max(axis=1, keepdims=True)
         v = (v / np.sqrt((v * v).sum(axis=1, keepdims=True))) @ directions
-    else:
-        v = np.zeros((0, M))
     tree = Tree(v, max(1, min(MAX_CELLS, total // CELL_ROWS)))
     index = written(_indexed(rows, tree, directions), "ann-index")
     blocks = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
