@@ -27,6 +27,8 @@ BANDS, ROWS = 32, 4
 N_HASH = BANDS * ROWS
 #: Members of a bucket that are compared with one another in one task.
 BLOCK = 1024
+#: Document ids (8 bytes each) that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 2**63, N_HASH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 2**63, N_HASH, dtype=np.uint64)
@@ -168,7 +170,10 @@ class _Linker:
         nodes = feats.join(self.members.withColumnRenamed("id", "doc_id"), ["key1", "key2", "doc_id"], "left_semi")
         self.nodes = written(nodes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig"), "dedup-nodes")
         band = F.explode(F.array(*[F.xxhash64(F.lit(j), F.expr(f"substring(sig, {4 * ROWS * j + 1}, {4 * ROWS})")) for j in range(BANDS)]))
-        self.bands = self.nodes.select("id", "n", band.alias("bucket"))
+        bands = self.nodes.select("id", "n", band.alias("bucket"))
+        hubs = bands.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        #: (bucket, id, n, hub, hub_n) of the buckets with several members.
+        self.met = written(bands.join(hubs.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "bucket"), "dedup-met")
 
     def _pairs_with(self, pairs: DataFrame, side: DataFrame) -> DataFrame:
         """pairs (a, b) with column x of side (id, x) for either end."""
@@ -176,34 +181,36 @@ class _Linker:
         b = side.select(F.col("id").alias("b"), F.col("x").alias("x_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "x_a", "x_b")
 
+    def _texts(self, ids: DataFrame) -> DataFrame:
+        """Texts of distinct doc_ids. Up to BROADCAST_IDS ids go to the texts, beyond that the texts are shuffled to the ids."""
+        ids = written(ids, "dedup-ids")
+        few = ids.count() <= BROADCAST_IDS
+        return self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text")
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b) those that are links."""
         near = written(self._pairs_with(pairs, self.nodes.select("id", F.col("sig").alias("x"))).mapInArrow(_agreeing(self.floor), "a long, b long"), "dedup-near")
         ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-        texts = self.docs.join(ends, "doc_id", "left_semi").select("doc_id", "text")
-        sets = texts.mapInArrow(_sets(self.k), "id long, members binary").where("length(members) > 0")
+        sets = self._texts(ends).mapInArrow(_sets(self.k), "id long, members binary").where("length(members) > 0")
         return written(self._pairs_with(near, sets.select("id", F.col("members").alias("x"))).mapInArrow(_confirm(self.percent), "a long, b long").distinct(), "dedup-links")
 
     def star_pairs(self) -> DataFrame:
         """Each member of a bucket with the bucket's smallest id, where the set sizes allow a link."""
-        hubs = self.bands.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        met = self.bands.join(hubs.select("bucket", F.col("hub.id").alias("a"), F.col("hub.n").alias("m")), "bucket")
-        fit = 100 * F.least("n", "m") >= self.percent * F.greatest("n", "m")
-        return met.where((F.col("id") != F.col("a")) & fit).select("a", F.col("id").alias("b")).distinct()
+        fit = 100 * F.least("n", "hub_n") >= self.percent * F.greatest("n", "hub_n")
+        return self.met.where((F.col("id") != F.col("hub")) & fit).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
     def joining_links(self, components: DataFrame) -> DataFrame:
         """Links between the components that share a bucket. Buckets with the same smallest id are one group, so that what
         meets in many buckets is compared once or a few times; a large group is compared chunk by chunk."""
-        labels = self.nodes.select("id").join(components, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-        labelled = self.bands.select("id", "bucket").join(labels, "id")
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("hub")).where("lo <> hi")
-        rows = written(labelled.join(mixed.select("bucket", "hub"), "bucket").select("hub", "id", "component").distinct(), "dedup-mixed")
+        labels = components.withColumnRenamed("component", "known")
+        labelled = self.met.select("id", "bucket", "hub").join(labels, "id", "left").withColumn("component", F.coalesce("known", "id"))
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        rows = written(labelled.join(mixed.select("bucket"), "bucket", "left_semi").select("hub", "id", "component").distinct(), "dedup-mixed")
         chunks = rows.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("chunks"))
         rows_ = rows.join(chunks, "hub").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
         met = rows_.select("hub", "chunk", other, "id", "component")
-        texts = self.docs.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-        sets = texts.mapInArrow(_signed_sets(self.k), "id long, members binary, sig binary").where("sig is not null")
+        sets = self._texts(rows.select(F.col("id").alias("doc_id")).distinct()).mapInArrow(_signed_sets(self.k), "id long, members binary, sig binary").where("sig is not null")
         keyed = met.join(sets, "id").select("hub", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "component", "members", "sig")
         near = keyed.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id")
         return written(near.mapInArrow(_join_components(self.floor, self.percent), "a long, b long").distinct(), "dedup-joining")
