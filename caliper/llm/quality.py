@@ -1,7 +1,7 @@
 """Quality classifier: ordinal cumulative-link regression on hashed text.
 
 P(grade <= g) = sigmoid(threshold[g] - w . x) with one weight vector w for all grades and increasing thresholds. x holds
-hashed words and hashed word shapes of the whole text, the square root of their share each, so that x has the same length
+hashed words, hashed word shapes and the repeated words of the whole text, the square root of their share each, so that x has the same length
 for texts of any length. The fit uses a bounded sample of rated rows; every document is scored.
 """
 
@@ -42,7 +42,8 @@ def _shares(hashes: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values; the lower half of the space is words, the upper half shapes. Null is the empty text."""
+    """Indices and values; the lower half of the space is words, the upper half shapes, its last place the words that
+    repeat the one before. Null is the empty text."""
     data = (text or "").encode("utf-8", "surrogatepass")
     words = [_hash_block(b) for b in _blocks(data.translate(_WORD))]
     shapes = []
@@ -50,7 +51,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         a = np.frombuffer(b, np.uint8)
         shapes.append(mix(_hash_block(a[np.r_[True, a[1:] != a[:-1]]].tobytes())))
     none = [np.empty(0, np.uint64)]
-    parts = [_shares(np.concatenate(words or none), 0), _shares(np.concatenate(shapes or none), 1)]
+    word, shape = np.concatenate(words or none), np.concatenate(shapes or none)
+    repeats = np.sqrt((word[1:] == word[:-1]).sum() / max(1, len(word)))
+    parts = [_shares(word, 0), _shares(shape, 1), (np.array([2**BITS - 1], np.int32), np.array([repeats], np.float32))]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
