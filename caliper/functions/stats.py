@@ -6,20 +6,6 @@ from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def nearest_quantile(x: Column, q: float) -> Column:
-    """Aggregate: the value at position round(q * (n - 1)), half to even, of the sorted non-null values."""
-    values = F.sort_array(F.collect_list(x))
-    return F.get(values, F.rint(F.lit(q) * (F.size(values) - 1)).cast("int"))
-
-
-def percentile_rank(x: str, partition: list[str]) -> Column:
-    """Average-method rank over the partition's size, in (0, 1]."""
-    order = Window.partitionBy(*partition).orderBy(x)
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*partition, x))
-    size = F.count(F.lit(1)).over(Window.partitionBy(*partition))
-    return (F.rank().over(order) + (ties - 1) / 2.0) / size
-
-
 def quota(size: Column, total: Column, budget: float) -> Column:
     """A group's share of a budget by size, rounded half to even, at least 1."""
     return F.greatest(F.lit(1), F.rint(size / total * budget).cast("long"))

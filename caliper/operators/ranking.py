@@ -6,24 +6,31 @@ of one aggregate, and its running totals are a window over the chosen groups.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caliper.functions.stats import percentile_rank, quota, running
+from caliper.functions.stats import quota, running
+from caliper.operators.ordered import with_percentile_rank
 
 
 def normalized(runs: DataFrame, score: str = "mean_entropy") -> DataFrame:
     """runs (run_id, ...) with norm_entropy, the score's percentile rank within its run."""
-    return runs.withColumn("norm_entropy", percentile_rank(score, ["run_id"]))
+    return with_percentile_rank(runs, ["run_id"], score, "norm_entropy")
 
 
 def priority(rows: DataFrame, key: str, budget: float) -> DataFrame:
-    """(key) of the highest norm_entropy of each (run_id, cluster), as many as the cluster's quota, all runs together."""
-    in_cluster = Window.partitionBy("run_id", "cluster")
-    n = F.count(F.lit(1)).over(in_cluster)
-    total = F.count(F.lit(1)).over(Window.partitionBy("run_id"))
-    at = F.row_number().over(in_cluster.orderBy(F.desc("norm_entropy"), key))
-    return rows.withColumn("__keep", at <= quota(n, total, budget)).where("__keep").select(key).distinct()
+    """(key) of the highest norm_entropy of each (run_id, cluster), as many as the cluster's quota, all runs together.
+
+    No quota exceeds the budget, so each task keeps only that many rows of a cluster before the shuffle.
+    """
+    in_cluster = Window.partitionBy("run_id", "cluster").orderBy(F.desc("norm_entropy"), key)
+    top = rows.withColumn("__at", F.row_number().over(in_cluster)).where(F.col("__at") <= max(1, math.ceil(budget)))
+    sizes = rows.groupBy("run_id", "cluster").agg(F.count(F.lit(1)).alias("__n"))
+    totals = sizes.groupBy("run_id").agg(F.sum("__n").alias("__total"))
+    quotas = sizes.join(totals, "run_id").select("run_id", "cluster", quota(F.col("__n"), F.col("__total"), budget).alias("__quota"))
+    return top.join(quotas, ["run_id", "cluster"]).where("__at <= __quota").select(key).distinct()
 
 
 def group_scores(items: DataFrame, key: str, group: str, prior: DataFrame, alpha: float) -> DataFrame:

@@ -83,10 +83,12 @@ def error_summary(df: DataFrame, group: str, error: str) -> DataFrame:
     return df.where(is_finite(F.col(error))).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.median(error).alias("median"), F.avg(error).alias("mean"))
 
 
-def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each group, all columns."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The first row of each group in ascending order, all columns; an aggregate, so that a large group is combined before
+    it is shuffled."""
+    rest = [c for c in df.columns if c not in group]
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("__first")
+    return df.groupBy(*group).agg(first).select(*[F.col(c) if c in group else F.col(f"__first.{c}").alias(c) for c in df.columns])
 
 
 def number_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
@@ -107,7 +109,7 @@ def union_runs(runs: dict[str, DataFrame]) -> DataFrame:
 def last_source_wins(sources: Sequence[DataFrame], key: str) -> DataFrame:
     """Union in which a key is taken from the last source that has it."""
     tagged = reduce(DataFrame.unionByName, [df.withColumn("__src", F.lit(i)) for i, df in enumerate(sources)])
-    return first_per_group(tagged, [key], [F.desc("__src")]).drop("__src")
+    return first_per_group(tagged, [key], [(-F.col("__src")).alias("o")]).drop("__src")
 
 
 def proportional_mix(sources: Sequence[DataFrame], order: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from caliper.functions.stats import nearest_quantile, seeded_order
+from caliper.functions.stats import seeded_order
+from caliper.operators.ordered import nearest_quantiles
 from caliper.sources.readers import nan_to_null
 
 
@@ -63,8 +64,7 @@ def histogram(df: DataFrame, x: str, low: float, high: float, bins: int) -> Data
 
 def box_summary(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """(keys, lo, q1, q2, q3, hi) with nearest-position quartiles."""
-    q = lambda p: nearest_quantile(F.col(x), p)
-    return df.groupBy(*keys).agg(F.min(x).alias("lo"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max(x).alias("hi"))
+    return nearest_quantiles(df, keys, x, {"lo": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "hi": 1.0})
 
 
 def cluster_coverage(df: DataFrame, cluster: str) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caliper.functions.stats import masked_mean, nearest_quantile, rmse
+from caliper.functions.stats import masked_mean, rmse
 from caliper.operators import relational as rel
 from caliper.operators import summaries as sm
+from caliper.operators.ordered import nearest_quantiles
 from caliper.plans.basics import r6
 from caliper.plans.catalog import query
 
@@ -46,8 +47,7 @@ def a5(t):
     v[1 + CAST(round_even(0.75 * (len(v) - 1), 0) AS INT)] AS q3, max(o_totalprice) AS hi
     FROM orders JOIN (SELECT o_orderpriority AS p, list_sort(list(o_totalprice)) AS v FROM orders GROUP BY 1) ON p = o_orderpriority GROUP BY o_orderpriority, v""")
 def a6(t):
-    q = lambda p: nearest_quantile(F.col("o_totalprice"), p)
-    return t.orders.groupBy("o_orderpriority").agg(F.min("o_totalprice").alias("lo"), q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3"), F.max("o_totalprice").alias("hi"))
+    return nearest_quantiles(t.orders, ["o_orderpriority"], "o_totalprice", {"lo": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.75, "hi": 1.0})
 
 
 @query("A7_global_percentiles", "SELECT round(quantile_cont(o_totalprice, 0.75), 6) AS p75, round(quantile_cont(o_totalprice, 0.9), 6) AS p90, round(quantile_cont(o_totalprice, 0.95), 6) AS p95 FROM orders")
@@ -119,7 +119,7 @@ def a18(t):
 
 @query("A19_first_row_per_group", "SELECT o_custkey, o_orderkey, o_totalprice, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
 def a19(t):
-    return rel.first_per_group(t.orders, ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus")
+    return rel.first_per_group(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus")
 
 
 @query("A20_struct_key", "SELECT l_returnflag AS flag, l_linestatus AS status, round(sum(l_quantity), 6) AS quantity FROM lineitem GROUP BY ALL")

@@ -11,6 +11,7 @@ from caliper.operators import ranking as rk
 from caliper.operators import relational as rel
 from caliper.operators import splits as sp
 from caliper.operators import summaries as sm
+from caliper.operators.ordered import with_percentile_rank
 from caliper.plans.basics import r6
 from caliper.plans.catalog import query
 
@@ -31,7 +32,7 @@ def w2(t):
 
 @query("W3_percentile_rank", "SELECT event_id, round((rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY event_type), 6) AS pr FROM events")
 def w3(t):
-    return t.events.select("event_id", r6(st.percentile_rank("value", ["event_type"])).alias("pr"))
+    return with_percentile_rank(t.events, ["event_type"], "value", "pr").select("event_id", r6("pr").alias("pr"))
 
 
 @query("W4_top_quota", "SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 25")

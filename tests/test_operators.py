@@ -17,6 +17,7 @@ from caliper.operators import ranking as rk
 from caliper.operators import relational as rel
 from caliper.operators import splits as sp
 from caliper.operators import summaries as sm
+from caliper.operators.ordered import counts_before, nearest_quantiles, with_percentile_rank
 from caliper.sources import readers as rd
 from caliper.sources.scratch import scratch_path
 
@@ -48,14 +49,25 @@ def test_is_finite(spark):
 
 def test_percentile_rank_averages_ties(spark):
     df = spark.createDataFrame([("r", 1.0), ("r", 2.0), ("r", 2.0), ("r", 3.0)], "run string, x double")
-    assert sorted(r[0] for r in df.select(stats.percentile_rank("x", ["run"])).collect()) == [0.25, 0.625, 0.625, 1.0]
+    assert sorted(r["p"] for r in with_percentile_rank(df, ["run"], "x", "p").collect()) == [0.25, 0.625, 0.625, 1.0]
 
 
 def test_nearest_quantile_half_even(spark):
     df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4)] + [(None,)], "x double")
-    q = df.agg(*[stats.nearest_quantile(F.col("x"), p).alias(f"q{i}") for i, p in enumerate((0.0, 0.25, 0.5, 1.0))]).first()
-    assert tuple(q) == (1.0, 2.0, 3.0, 4.0)
-    assert df.where("x > 9").agg(stats.nearest_quantile(F.col("x"), 0.5)).first()[0] is None
+    df = df.withColumn("k", F.lit("a"))
+    q = nearest_quantiles(df, ["k"], "x", {"a": 0.0, "b": 0.25, "c": 0.5, "d": 1.0}).first()
+    assert tuple(q)[1:] == (1.0, 2.0, 3.0, 4.0)
+    assert nearest_quantiles(df.where("x > 9"), ["k"], "x", {"a": 0.5}).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [2, 5, 64])
+def test_counts_before_are_exact(spark, ranges):
+    rng = random.Random(ranges)
+    rows = [(rng.choice("ab"), rng.choice([0.0, 1.0, rng.random()])) for _ in range(500)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    for r in counts_before(df, ["k"], "x", ranges).collect():
+        assert r["n"] == sum(k == r["k"] and x == r["x"] for k, x in rows)
+        assert r["before"] == sum(k == r["k"] and x < r["x"] for k, x in rows)
 
 
 def test_quota_rounds_half_to_even_and_is_one_at_least(spark):
