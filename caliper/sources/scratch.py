@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,5 +16,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; under a temporary folder only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="caliper-"))
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            folder = tempfile.mkdtemp(prefix="caliper-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own[app] = f"file://{folder}"
+        base = _own[app]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
