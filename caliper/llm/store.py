@@ -3,30 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset (tests, local mode)."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="caliper-")
-    return _own_dirs[app]
+from caliper.sources.scratch import scratch_path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: the rest of the plan starts from the files,
     so a lost executor costs a re-read, not a recomputation. The files go when the driver process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/caliper-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, f"caliper-{name}")
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
