@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caliper.functions.arrays import let, total
+
 LEAST_SCALE = 1e-6
 
 
@@ -20,11 +22,12 @@ def array_of(*xs) -> Column:
 
 
 def apply_affine(m: Column, points: Column) -> Column:
-    moved = lambda i: F.array(
-        m[0] * points[2 * i] + m[1] * points[2 * i + 1] + m[2],
-        m[3] * points[2 * i] + m[4] * points[2 * i + 1] + m[5],
-    )
-    return F.flatten(F.transform(_pairs(points), moved))
+    def moved(s: Column) -> Column:
+        a, p = s["m"], s["p"]
+        point = lambda i: F.array(a[0] * p[2 * i] + a[1] * p[2 * i + 1] + a[2], a[3] * p[2 * i] + a[4] * p[2 * i + 1] + a[5])
+        return F.flatten(F.transform(_pairs(p), point))
+
+    return let(F.struct(m.alias("m"), points.alias("p")), moved)
 
 
 def crop_resize(x0: Column, y0: Column, w: Column, h: Column, size: float) -> Column:
@@ -48,18 +51,24 @@ def rotation(degrees: float, cx: float, cy: float) -> Column:
 
 def compose(second: Column, first: Column) -> Column:
     """The map that applies first, then second."""
-    a, b = second, first
-    return F.array(
-        a[0] * b[0] + a[1] * b[3], a[0] * b[1] + a[1] * b[4], a[0] * b[2] + a[1] * b[5] + a[2],
-        a[3] * b[0] + a[4] * b[3], a[3] * b[1] + a[4] * b[4], a[3] * b[2] + a[4] * b[5] + a[5],
-    )
+
+    def product(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        row = lambda i: [a[i] * b[0] + a[i + 1] * b[3], a[i] * b[1] + a[i + 1] * b[4], a[i] * b[2] + a[i + 1] * b[5] + a[i + 2]]
+        return F.array(*row(0), *row(3))
+
+    return let(F.struct(second.alias("a"), first.alias("b")), product)
 
 
 def invert(m: Column) -> Column:
     """NULL elements if the map has no inverse."""
-    det = m[0] * m[4] - m[1] * m[3]
-    q = lambda x: F.try_divide(x, det)
-    return F.array(q(m[4]), q(-m[1]), q(m[1] * m[5] - m[4] * m[2]), q(-m[3]), q(m[0]), q(m[3] * m[2] - m[0] * m[5]))
+
+    def inverse(a: Column) -> Column:
+        det = a[0] * a[4] - a[1] * a[3]
+        q = lambda x: F.try_divide(x, det)
+        return F.array(q(a[4]), q(-a[1]), q(a[1] * a[5] - a[4] * a[2]), q(-a[3]), q(a[0]), q(a[3] * a[2] - a[0] * a[5]))
+
+    return let(m, inverse)
 
 
 def distance(a: Column, i: int, b: Column, j: int) -> Column:
@@ -125,15 +134,21 @@ def from_heatmap(p: Column, stride: float) -> Column:
 
 def gaussian_map(cx: Column, cy: Column, size: int, sigma: float) -> Column:
     """size*size values, row by row, of a Gaussian with peak 1 at (cx, cy)."""
-    cell = lambda i: F.exp(-(F.pow(F.pmod(i, F.lit(size)) - cx, 2) + F.pow(F.floor(i / size) - cy, 2)) / (2 * sigma * sigma))
-    return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), cell)
+
+    def cells(c: Column) -> Column:
+        value = lambda i: F.exp(-(F.pow(F.pmod(i, F.lit(size)) - c["x"], 2) + F.pow(F.floor(i / size) - c["y"], 2)) / (2 * sigma * sigma))
+        return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), value)
+
+    return let(F.struct(cx.alias("x"), cy.alias("y")), cells)
+
+
+def _scaled(xs: Column) -> Column:
+    """xs over their sum."""
+    return let(F.struct(xs.alias("xs"), total(xs).alias("sum")), lambda s: F.transform(s["xs"], lambda x: x / s["sum"]))
 
 
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    return let(let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top))), _scaled)
 
 
 def entropy(p: Column) -> Column:
@@ -146,21 +161,23 @@ def near_uniform(h: Column, cells: int, share: float = 0.98) -> Column:
 
 def expected_cell(p: Column, size: int) -> Column:
     """[x, y]: the mean cell under probabilities p, row by row."""
-    fold = lambda f: F.aggregate(F.zip_with(p, F.sequence(F.lit(0), F.lit(size * size - 1)), lambda w, i: w * f(i)), F.lit(0.0), lambda a, x: a + x)
-    return F.array(fold(lambda i: F.pmod(i, F.lit(size))), fold(lambda i: F.floor(i / size)))
+
+    def mean(q: Column) -> Column:
+        fold = lambda f: F.aggregate(F.transform(q, lambda w, i: w * f(i)), F.lit(0.0), lambda a, x: a + x)
+        return F.array(fold(lambda i: F.pmod(i, F.lit(size))), fold(lambda i: F.floor(i / size)))
+
+    return let(p, mean)
 
 
 def hard_argmax(logits: Column, size: int) -> Column:
     """[x, y] of the first largest cell."""
-    at = F.array_position(logits, F.array_max(logits)) - 1
-    return F.array(F.pmod(at, F.lit(size)), F.floor(at / size))
+    return let(F.array_position(logits, F.array_max(logits)) - 1, lambda at: F.array(F.pmod(at, F.lit(size)), F.floor(at / size)))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
     """Of softmax(logits) against a target map scaled to sum 1."""
-    total = F.aggregate(target, F.lit(0.0), lambda a, x: a + x)
     logp = F.transform(softmax(logits), lambda x: F.ln(F.greatest(x, F.lit(1e-300))))
-    return F.aggregate(F.zip_with(logp, target, lambda a, t: -a * t / total), F.lit(0.0), lambda a, x: a + x)
+    return F.aggregate(F.zip_with(logp, let(target, _scaled), lambda a, t: -a * t), F.lit(0.0), lambda a, x: a + x)
 
 
 def crop_to_image(p: Column, crop: float, box0: Column, box_side: Column) -> Column:
