@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from caliper.sources.readers import list_files
+
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     if df.isEmpty():
@@ -70,3 +72,16 @@ def accuracy(valid: Column) -> list[Column]:
     """Aggregates: checked, valid, accuracy in percent."""
     n = F.count(valid)
     return [n.alias("checked"), F.count_if(valid).alias("valid"), (F.try_divide(F.count_if(valid).cast("double"), n) * 100).alias("accuracy")]
+
+
+def listed_parts(spark: SparkSession, path: str, part: str) -> DataFrame:
+    """(part, length) of the folders part=N under path: the bytes of their data files."""
+    number = F.regexp_extract("path", rf"/{part}=(\d+)/", 1).cast("bigint")
+    return list_files(spark, path, "part-*").groupBy(number.alias(part)).agg(F.sum("length").alias("length"))
+
+
+def file_problems(expected: DataFrame, found: DataFrame, key: str, least_bytes: int = 1) -> DataFrame:
+    """(key, problem): expected files that are missing, or too short to hold anything."""
+    both = expected.join(found, key, "left")
+    problem = F.when(F.col("length").isNull(), "missing").when(F.col("length") < least_bytes, "empty")
+    return both.select(key, problem.alias("problem")).where("problem is not null")

@@ -230,6 +230,37 @@ def u10(t):
     return t.region.unionByName(t.region.where("r_regionkey < 0"))
 
 
+@query("Q2_duplicate_keys", "SELECT md5(text) AS text_key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def q2(t):
+    return sm.duplicate_keys(t.documents.select(F.md5(F.encode("text", "utf-8")).alias("text_key")), ["text_key"])
+
+
+@query("Q3_orphans", "SELECT 'events' AS side, user_id AS k FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT user_id FROM events)")
+def q3(t):
+    return rel.orphans(t.events.select(F.col("user_id").alias("k")), t.supplier.select(F.col("s_suppkey").alias("k")), "k", "events", "supplier")
+
+
+@query("Q4_missing_or_empty_files", "SELECT n::BIGINT AS part, CASE WHEN n < 3 THEN 'empty' ELSE 'missing' END AS problem FROM (SELECT unnest([1, 2, 3, 4]) AS n)")
+def q4(t):
+    from caliper.sources.scratch import scratch_path
+
+    path = scratch_path(t.spark, "files")
+    rows = t.spark.range(3).select(F.when(F.col("id") == 0, "x").otherwise("").alias("value"))
+    for i in range(3):
+        rows.where(F.col("id") == i).coalesce(1).write.option("lineSep", " ").text(f"{path}/part={i}")
+    expected = t.spark.range(5).select(F.col("id").alias("part"))
+    found = qa.listed_parts(t.spark, path, "part")
+    return qa.file_problems(expected, found, "part", least_bytes=2)
+
+
+@query("Q7_bounds", "SELECT vec_id, embedding[1]::DOUBLE BETWEEN -0.1::DOUBLE AND 0.3::DOUBLE + 0.1::DOUBLE AND embedding[2]::DOUBLE BETWEEN -0.1::DOUBLE AND 0.2::DOUBLE + 0.1::DOUBLE AS ok FROM embeddings")
+def q7(t):
+    from caliper.functions.arrays import in_bounds
+
+    xy = F.slice(F.col("embedding").cast("array<double>"), 1, 2)
+    return t.embeddings.select("vec_id", in_bounds(xy, F.lit(0.3), F.lit(0.2), 0.1).alias("ok"))
+
+
 @query("Q5_child_not_smaller", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_extendedprice >= o_totalprice")
 def q5(t):
     parent = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")

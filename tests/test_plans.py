@@ -9,7 +9,7 @@ from caliper.plans import catalog
 
 ROOT = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test data")
-FILES = re.compile(r"(S\d|K\d|ST|J13|V\d)")
+FILES = re.compile(r"(S\d|K\d|ST|J13|Q4|V\d)")
 
 
 def plan(df) -> str:
