@@ -127,7 +127,7 @@ def test_unmarked_page_by_line_blocks():
     assert text.count("Paragraph") == 5 and "tiny" not in text and "A" not in text.split("\n")[0][:1]
 
 
-@pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("plain < text", "plain < text"), ("<p>cut off &am", "cut off &am"), ("<p>a</p><p>b</", "a\n\nb</"), ("<div", ""), ("<script>x", "")])
+@pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("plain < text", "plain < text"), ("<p>cut off &am", "cut off &am"), ("<p>a</p><p>b</", "a\n\nb</"), ("<div", ""), ("<script>x", ""), ("<p title=don't>a</p><p x='>'>it's</p>", "a\n\nit's")])
 def test_broken_pages(page, text):
     assert html_text.main_text(page) == text
 
