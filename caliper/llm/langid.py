@@ -26,6 +26,8 @@ DOCS_PER_LANGUAGE = 1500
 #: A text is rejected if it lies this many standard deviations above the expected cross-entropy, and this many times as
 #: far above it as the farthest calibration text of its language.
 REJECT_Z, REJECT_MARGIN = 8.0, 1.25
+#: Rows of the table of languages that is broadcast at most.
+MANY_LANGUAGES = 10_000
 _PREFIX_BITS = 22
 _BLOCK = 1 << 17
 _letters: np.ndarray | None = None
@@ -192,7 +194,8 @@ def _bounded(rows: DataFrame, per_lang: int, salt: int) -> DataFrame:
     n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.lit(float(per_lang)) / F.col("n")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(salt), "text"), 11).cast("double") / F.lit(float(2**53))
-    return rows.join(F.broadcast(n.where("lang is not null").orderBy(F.desc("n"), "lang").limit(1000)), "lang").where(draw < share).select("text", "lang")
+    few = n.limit(MANY_LANGUAGES + 1).count() <= MANY_LANGUAGES
+    return rows.join(F.broadcast(n) if few else n, "lang").where(draw < share).select("text", "lang")
 
 
 def fit(train: DataFrame, calibrate: DataFrame, order: int = ORDER, per_lang: int = DOCS_PER_LANGUAGE) -> Model:
