@@ -45,3 +45,11 @@ links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b US
   GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) ON a = d.doc_id"""
+
+
+#: The pages of the tables follow one template, which regular expressions can take apart; other pages need a parser.
+LINE_BLOCK_HTML = r"""WITH body AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '<[^>]*$', '') AS b FROM pages),
+blocks AS (SELECT page_id, url, list_transform(regexp_split_to_array(replace(b, '<br>', ' '), '</?(?:p|h1)>'), lambda x:
+  trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS l FROM body),
+texts AS (SELECT page_id, url, array_to_string(list_filter(l, lambda x: x <> ''), chr(10) || chr(10)) AS t FROM blocks)
+SELECT page_id, url, t AS text, length(t) AS n_chars FROM texts"""

@@ -101,5 +101,6 @@ QUERIES = {
 #: The other operators train models, draw or pack: they are tested against brute force, round trips and held-out rows.
 ORACLES: dict[str, str] = {
     "op4_hash_tree_shards": oracles.hash_tree_shards(),
+    "op7_line_block_html": oracles.LINE_BLOCK_HTML,
     "op9_minhash_dedup": oracles.MINHASH_DEDUP,
 }
