@@ -143,7 +143,8 @@ def mix(docs: DataFrame, size: Column, weights=(3, 1, 2), share: float = 1.5, ca
     Rows with equal (doc_id, source) are one unit and get equal copies; null ids and null sources are values like others.
     Size 0 gets copies 0. Extra columns of docs are ignored. Empty docs give no rows. Reruns agree: every draw is a hash.
     """
-    sizes = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", size.cast("long").alias("size")), "mix-sizes")
+    sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", size.cast("long").alias("size"))
+    sizes = written(sizes.hint("rebalance"), "mix-sizes")  # few files: a row is a hundredth of its text
     targets = source_targets(sizes, list(weights), share, cap)
     targets = written(targets, "mix-targets")
     units = sizes.where("size > 0").groupBy("source", F.col("doc_id").alias("id")).agg(F.sum("size").alias("size"))
