@@ -20,7 +20,8 @@ def counts_before(df: DataFrame, keys: Sequence[str], x: str, ranges: int = RANG
     keys = list(keys)
     counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n"))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(x, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("__cuts"))
-    cut = counts.join(cuts, keys).withColumn("__range", F.aggregate("__cuts", F.lit(0), lambda a, c: a + F.when(c < F.col(x), 1).otherwise(0))).drop("__cuts")
+    place = F.array_position(F.sort_array(F.array_append("__cuts", F.col(x))), F.col(x))  # 1 + the number of smaller cuts
+    cut = counts.join(cuts, keys).withColumn("__range", place).drop("__cuts")
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy(*keys, "__range").agg(F.sum("n").alias("__n")).select(*keys, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
     within = Window.partitionBy(*keys, "__range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
