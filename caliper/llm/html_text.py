@@ -29,6 +29,26 @@ DROPPED_ROLES = set("navigation banner contentinfo complementary search alert al
 DROPPED_CLASSES = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay comment comments discussion disqus respond share sharing social related recommended newsletter subscribe subscription signup login toolbar pagination pager masthead skip".split())
 DROPPED_WHOLE = set("header footer site-header site-footer page-header page-footer global-header global-footer aside form".split())
 
+# Where HTML ends an element without its end tag, and the elements that keep an end from reaching further out.
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+IN_HEAD = set("head base basefont bgsound link meta noframes noscript script style template title html".split())
+ENDS_P = HEADINGS | set("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+SCOPE = set("table td th caption object template".split())
+P_SCOPE = SCOPE | {"button"}
+TABLE_SCOPE = {"table", "template"}
+LIST_SCOPE = SCOPE | {"ul", "ol", "menu", "dir"}
+IN_TABLE = set("table caption colgroup tbody td tfoot th thead tr".split())
+_ITEM_SCOPE = LIST_SCOPE | set("article aside blockquote body center details dl fieldset figure footer form header main nav section".split())
+_ROWS = {"tbody", "thead", "tfoot", "caption", "colgroup"}
+#: For a start tag, the elements that it ends and those within which it looks for them.
+SIBLINGS = (
+    {"li": ({"li"}, _ITEM_SCOPE | {"dd", "dt"}), "tr": ({"tr", "caption", "colgroup"}, TABLE_SCOPE), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"})}
+    | dict.fromkeys(("dd", "dt"), ({"dd", "dt"}, _ITEM_SCOPE | {"li"}))
+    | dict.fromkeys(("td", "th"), ({"td", "th"}, TABLE_SCOPE | {"tr"}))
+    | dict.fromkeys(("tbody", "thead", "tfoot"), (_ROWS | {"tr"}, TABLE_SCOPE))
+)
+FOREIGN = {"svg", "math"}
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)(>|\Z)""", re.S
 )
@@ -48,12 +68,70 @@ def _boilerplate(name: str, attributes: str) -> bool:
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
-    """(text, characters that are not link text) for each block in page order; empty lines part the containers."""
+    """(text, characters that are not link text) for each block in page order; empty lines part the containers.
+
+    Open elements are on a stack, as HTML parsers keep them: an element ends at its end tag, at that of an ancestor and
+    where HTML lets its end tag be left out."""
     lines: list[tuple[str, int]] = []
     marked: list[tuple[str, int]] = []  # lines within <article> or <main>
     text: list[str] = []
-    linked, depth_a, inside = 0, 0, 0
-    skip, depth = "", 0
+    linked = 0
+    stack: list[str] = []
+    where: dict[str, list[int]] = {}  # places on the stack of each name
+    blocks: list[int] = []  # places on the stack of BLOCK elements
+    skip = -1  # place on the stack of the boilerplate element that is being left out
+
+    def last(names) -> int:
+        return max((where[x][-1] for x in names if where.get(x)), default=-1)
+
+    def push(name: str) -> None:
+        where.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            blocks.append(len(stack))
+        stack.append(name)
+
+    def close(to: int) -> None:
+        """Ends the element at this place and all in it; none for -1."""
+        nonlocal skip
+        while 0 <= to < len(stack):
+            name = stack.pop()
+            if name:
+                where[name].pop()
+            if name in BLOCK:
+                blocks.pop()
+        if skip >= len(stack):
+            skip = -1
+
+    def forget(at: int) -> None:
+        """Ends an inline element but not the blocks in it."""
+        where[stack[at]].pop()
+        stack[at] = ""
+
+    def imply(name: str) -> None:
+        """Ends the open elements that the start of one of this name ends."""
+        if where.get("head") and name not in IN_HEAD:
+            close(where["head"][-1])
+        if name in ENDS_P and last(("p",)) > last(P_SCOPE):
+            close(last(("p",)))
+        if name in SIBLINGS:
+            same, scope = SIBLINGS[name]
+            while (found := last(same)) > last(scope):
+                close(found)
+        if name in HEADINGS and stack and stack[-1] in HEADINGS:
+            close(len(stack) - 1)
+        if name == "main" and skip >= 0 and stack[skip] in ("nav", "header", "footer", "aside"):  # none may hold a main
+            close(skip)
+        if name == "a" and where.get("a"):
+            close(where["a"][-1]) if where["a"][-1] == skip else forget(where["a"][-1])
+
+    def end(name: str) -> None:
+        found = last((name,))
+        if found < 0 or found < last(TABLE_SCOPE if name in IN_TABLE else LIST_SCOPE if name == "li" else P_SCOPE if name == "p" else SCOPE - {name}):
+            return
+        if name not in BLOCK and found != skip and blocks and blocks[-1] > found:
+            forget(found)
+        else:
+            close(found)
 
     def end_block() -> None:
         nonlocal linked
@@ -61,17 +139,19 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         if line:
             item = (line, max(0, len(line) - linked))
             lines.append(item)
-            if inside:
+            if where.get("article") or where.get("main"):
                 marked.append(item)
         text.clear()
         linked = 0
 
     def put(raw: str) -> None:
         nonlocal linked
-        if raw and not skip:
+        if skip >= 0 and stack[-1] == "head" and not raw.isspace() and raw:  # text opens the body
+            close(len(stack) - 1)
+        if raw and skip < 0:
             plain = html.unescape(raw)
             text.append(plain)
-            if depth_a:
+            if where.get("a"):
                 linked += len(" ".join(plain.split()))
 
     at, n = 0, len(page)
@@ -86,42 +166,33 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             continue
         name, closing = m[2].lower(), bool(m[1])
         if name in RAW and not closing:
-            end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
-            stop = page.find(">", end.start()) + 1 if end else n
-            if not skip and name not in DROPPED:
-                put(page[at : end.start() if end else n])
-            at = stop or n
+            stop = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
+            if skip < 0 and name not in DROPPED:
+                put(page[at : stop.start() if stop else n])
+            at = (page.find(">", stop.start()) + 1 if stop else n) or n
             continue
-        if skip:
-            if name == skip:
-                depth += -1 if closing else 1
-                if not depth:
-                    skip = ""
-            elif skip == "head" and name == "body":
-                skip = ""
-            if skip:
-                continue
-            if closing:
-                continue
+        shown = skip < 0
         if closing:
-            if name in BLOCK:
+            if shown and name in BLOCK:
                 end_block()
-            if name in ("article", "main"):
-                inside = max(0, inside - 1)
-            if name == "a":
-                depth_a = max(0, depth_a - 1)
-        elif name == "br":
-            put(" ")
-        elif name not in VOID and _boilerplate(name, m[3]):
-            end_block()
-            skip, depth = name, 1
+            end(name)
+            if not shown:
+                continue
         else:
-            if name in BLOCK:
+            if shown and name in BLOCK:
                 end_block()
-            if name in ("article", "main"):
-                inside += 1
-            if name == "a":
-                depth_a += 1
+            imply(name)
+            if name in VOID or (m[3].endswith("/") and (name in FOREIGN or not FOREIGN.isdisjoint(x for x in where if where[x]))):
+                if name == "br":
+                    put(" ")
+                continue
+            drop = skip < 0 and _boilerplate(name, m[3])
+            if drop:
+                end_block()
+                skip = len(stack)
+            push(name)
+            if skip >= 0 and not drop:
+                continue
         if name in CONTAINER and lines and lines[-1][0]:
             lines.extend([("", 0)] * WINDOW)
     end_block()

@@ -132,6 +132,23 @@ def test_broken_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+UNCLOSED = [
+    ('<article><p class="ad">Buy<p>Text</p><p>Text</p></article>', "Text\n\nText"),
+    ("<div><aside>Side</div><p>Text</p>", "Text"),
+    ("<ul><li class=ad>Buy<li>One<li>Two</ul>", "One\n\nTwo"),
+    ("<dl><dt class=promo>x<dd>One</dl><p>after", "One\n\nafter"),
+    ("<table><tr><td class=ad>x<td>One<tr class=ad><td>y<tr><td>Two</table>", "One\n\nTwo"),
+    ("<head><meta x><p>Text", "Text"),
+    ("<p>a <svg/> b", "a b"),
+    ("<div><div class=ad><div>x</div>y</div>z</div>", "z"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), UNCLOSED)
+def test_boilerplate_ends_where_html_ends_it(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "<p>" + "w " * 200_000, "z")], "page_id long, url string, html string, text string")
     rows = html_text.extract(df).collect()
