@@ -1,9 +1,10 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped to one line of text for each block element; elements that are boilerplate by name, role or class leave
-nothing, and a change of container leaves empty lines. Over windows of lines the text lengths, without link text, are
-summed. A line where the window sum surges above the threshold opens a region, the line where it dives to nothing closes
-it, and the text between is kept. Where a page marks its article, the lines outside it are empty.
+nothing, and a change between containers of other density leaves empty lines. Over windows of lines the text lengths,
+without link text, are summed. A region ends where the window sum dives to nothing; it is kept if the sum surges above the
+threshold in it, if it lies between two such regions and is no longer than one of them, or if it heads one and is not mostly
+links. Where a page marks its article, the lines outside it are left out.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,13 +69,17 @@ def _boilerplate(name: str, attributes: str) -> bool:
     return any(x in DROPPED_WHOLE or not DROPPED_CLASSES.isdisjoint(re.split(r"[-_]", x)) for x in names)
 
 
-def page_lines(page: str) -> list[tuple[str, int]]:
-    """(text, characters that are not link text) for each block in page order; empty lines part the containers.
+def page_lines(page: str) -> list[tuple[str, int, bool]]:
+    """(text, characters that are not link text, whether a heading) for each block in page order. WINDOW empty lines part two
+    containers, neither within the other, if one is dense in text and the other is not.
 
     Open elements are on a stack, as HTML parsers keep them: an element ends at its end tag, at that of an ancestor and
     where HTML lets its end tag be left out."""
-    lines: list[tuple[str, int]] = []
-    marked: list[tuple[str, int]] = []  # lines within <article> or <main>
+    lines: list[tuple[str, int, bool]] = []
+    box_of: list[int] = []  # the container of each line
+    marked: list[int] = []  # places of the lines within <article> or <main>
+    parents = [-1]  # of each container; a container comes after its parent
+    boxes: list[tuple[int, int]] = []  # open containers: place on the stack, number
     text: list[str] = []
     linked = 0
     stack: list[str] = []
@@ -88,6 +94,9 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         where.setdefault(name, []).append(len(stack))
         if name in BLOCK:
             blocks.append(len(stack))
+        if name in CONTAINER and skip < 0:
+            parents.append(boxes[-1][1] if boxes else 0)
+            boxes.append((len(stack), len(parents) - 1))
         stack.append(name)
 
     def close(to: int) -> None:
@@ -99,6 +108,8 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                 where[name].pop()
             if name in BLOCK:
                 blocks.pop()
+        while boxes and boxes[-1][0] >= len(stack):
+            boxes.pop()
         if skip >= len(stack):
             skip = -1
 
@@ -137,10 +148,10 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         nonlocal linked
         line = " ".join("".join(text).split())
         if line:
-            item = (line, max(0, len(line) - linked))
-            lines.append(item)
             if where.get("article") or where.get("main"):
-                marked.append(item)
+                marked.append(len(lines))
+            lines.append((line, max(0, len(line) - linked), any(where.get(x) for x in HEADINGS)))
+            box_of.append(boxes[-1][1] if boxes else 0)
         text.clear()
         linked = 0
 
@@ -171,54 +182,94 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                 put(page[at : stop.start() if stop else n])
             at = (page.find(">", stop.start()) + 1 if stop else n) or n
             continue
-        shown = skip < 0
+        if skip < 0 and name in BLOCK:
+            end_block()
         if closing:
-            if shown and name in BLOCK:
-                end_block()
             end(name)
-            if not shown:
-                continue
-        else:
-            if shown and name in BLOCK:
-                end_block()
-            imply(name)
-            if name in VOID or (m[3].endswith("/") and (name in FOREIGN or not FOREIGN.isdisjoint(x for x in where if where[x]))):
-                if name == "br":
-                    put(" ")
-                continue
-            drop = skip < 0 and _boilerplate(name, m[3])
-            if drop:
-                end_block()
-                skip = len(stack)
-            push(name)
-            if skip >= 0 and not drop:
-                continue
-        if name in CONTAINER and lines and lines[-1][0]:
-            lines.extend([("", 0)] * WINDOW)
+            continue
+        imply(name)
+        if name in VOID or (m[3].endswith("/") and (name in FOREIGN or any(where.get(x) for x in FOREIGN))):
+            if name == "br":
+                put(" ")
+            continue
+        if skip < 0 and _boilerplate(name, m[3]):
+            end_block()
+            skip = len(stack)
+        push(name)
     end_block()
-    return marked or lines
+    shown = marked or range(len(lines))
+    return _parted([lines[i] for i in shown], [box_of[i] for i in shown], parents)
+
+
+def _parted(lines: list[tuple[str, int, bool]], box_of: list[int], parents: list[int]) -> list[tuple[str, int, bool]]:
+    """lines with WINDOW empty ones between branches of other density."""
+    size, count, depth = [0] * len(parents), [0] * len(parents), [0] * len(parents)
+    for (_, k, _), box in zip(lines, box_of, strict=True):
+        size[box] += k
+        count[box] += 1
+    for box in range(len(parents) - 1, 0, -1):
+        size[parents[box]] += size[box]
+        count[parents[box]] += count[box]
+    for box in range(1, len(parents)):
+        depth[box] = depth[parents[box]] + 1
+    out = lines[:1]
+    for line, x, y in zip(lines[1:], box_of, box_of[1:], strict=False):
+        if x != y:
+            a, b = -1, -1  # the branches below the nearest common container
+            while x != y:
+                if depth[x] >= depth[y]:
+                    a, x = x, parents[x]
+                else:
+                    b, y = y, parents[y]
+            if a >= 0 and b >= 0 and (size[a] * WINDOW >= SURGE * count[a]) != (size[b] * WINDOW >= SURGE * count[b]):
+                out += [("", 0, False)] * WINDOW
+        out.append(line)
+    return out
+
+
+def _regions(lines: list[tuple[str, int, bool]]) -> list[list[tuple[str, int, bool]]]:
+    """Runs of lines, parted by WINDOW empty lines; WINDOW or more lines of nothing but link text are runs of their own."""
+    runs: list[tuple[str, list[tuple[str, int, bool]]]] = []
+    for empty, section in groupby(lines, lambda x: not x[0]):
+        runs.append(("" if empty else "text", list(section)))
+    sections: list[list[tuple[str, int, bool]]] = [[]]
+    for kind, run in runs:
+        if not kind and len(run) >= WINDOW:
+            sections.append([])
+        else:
+            sections[-1] += run
+    regions = []
+    for section in sections:
+        region: list[tuple[str, int, bool]] = []
+        for none, group in groupby(section, lambda x: not x[1]):
+            run = list(group)
+            if none and len(run) >= WINDOW:
+                regions += [region, run]
+                region = []
+            else:
+                region += run
+        regions.append(region)
+    return [r for r in regions if any(x[0] for x in r)]
 
 
 def main_text(page: str | None) -> str:
     """The page's main text: blocks joined by an empty line, white space in a block one space; null, empty: ''."""
     if not page:
         return ""
-    lines = page_lines(page)
-    size = [k for _, k in lines] + [0] * WINDOW
-    sums = [sum(size[i : i + WINDOW]) for i in range(len(lines))]
-    most = max(sums, default=0)
+    regions = _regions(page_lines(page))
+    length = [sum(len(x[0]) for x in r) for r in regions]
+    own = [sum(len(x[0]) if x[2] else x[1] for x in r) for r in regions]  # a heading may be a link
+    peaks = [max(sum(x[1] for x in r[i : i + WINDOW]) for i in range(len(r))) for r in regions]
+    most = max(peaks, default=0)
     surge = min(SURGE, max(1, most / 2))
-    kept: list[str] = []
-    region: list[str] = []
-    peak = 0
-    for (line, _), total in zip([*lines, ("", 0)], [*sums, 0], strict=True):
-        if line:
-            region.append(line)
-            peak = max(peak, total)
-        elif not total or total < surge:  # the dive: nothing, or nothing much, follows within a window
-            kept += region if peak >= surge or not most else []
-            region, peak = [], 0
-    return "\n\n".join(kept)
+    strong = [i for i, peak in enumerate(peaks) if peak >= surge or not most]
+    kept = set(strong)
+    for before, after in zip([-1, *strong], strong, strict=False):
+        for i in range(before + 1, after):
+            between = before >= 0 and length[i] <= max(length[before], length[after])
+            if between or (i == after - 1 and 2 * own[i] >= length[i]):  # what heads a region, unless mostly links
+                kept.add(i)
+    return "\n\n".join(x[0] for i in sorted(kept) for x in regions[i] if x[0])
 
 
 def extract(pages: DataFrame) -> DataFrame:

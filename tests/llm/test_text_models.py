@@ -149,6 +149,25 @@ def test_boilerplate_ends_where_html_ends_it(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "long text goes on and on " * 6
+SHORT = [
+    (f"<div><div><h1>Title</h1></div><div><p>{LONG}</p><p>{LONG}</p></div></div>", 3),
+    (f"<div><p>{LONG}</p><ul><li>a<li>b</ul><p>{LONG}</p></div>", 4),
+    (f"<div><p>{LONG}</p><table><tr><td>1<td>2</table><p>{LONG}</p></div>", 4),
+    (f"<div><div><p>{LONG}</p></div><div><p>Short.</p></div><div><p>{LONG}</p></div></div>", 3),
+    (f"<div><p>{LONG}</p><ul>{'<li><a href=x>A link</a>' * 4}</ul><p>{LONG}</p></div>", 6),
+    (f"<div>{'<div><p>A paragraph of about forty characters.</p></div>' * 4}</div>", 4),
+    (f"<ul>{'<li><a href=x>Menu</a>' * 5}</ul><div><p>{LONG}</p></div><ul>{'<li><a href=x>Menu</a>' * 5}</ul>", 1),
+    (f"<div><p>{LONG}</p></div><div><p>{LONG}</p></div><div><p>tiny</p></div>", 2),
+]
+
+
+@pytest.mark.parametrize(("page", "blocks"), SHORT)
+def test_short_blocks_of_the_text_stay(page, blocks):
+    text = html_text.main_text(page)
+    assert len(text.split("\n\n")) == blocks and "Menu" not in text and "tiny" not in text
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "<p>" + "w " * 200_000, "z")], "page_id long, url string, html string, text string")
     rows = html_text.extract(df).collect()
