@@ -4,7 +4,8 @@ Markup is stripped to one line of text for each block element; elements that are
 nothing, and a change between containers of other density leaves empty lines. Over windows of lines the text lengths,
 without link text, are summed. A region ends where the window sum dives to nothing; it is kept if the sum surges above the
 threshold in it, if it lies between two such regions and is no longer than one of them, or if it heads one and is not mostly
-links. Where a page marks its article, the lines outside it are left out.
+links. Where article and main elements hold most of the text, the lines outside are empty and short regions inside are kept
+unless mostly links.
 """
 
 from __future__ import annotations
@@ -69,9 +70,10 @@ def _boilerplate(name: str, attributes: str) -> bool:
     return any(x in DROPPED_WHOLE or not DROPPED_CLASSES.isdisjoint(re.split(r"[-_]", x)) for x in names)
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
+def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """(text, characters that are not link text, whether a heading) for each block in page order. WINDOW empty lines part two
-    containers, neither within the other, if one is dense in text and the other is not.
+    containers, neither within the other, if one is dense in text and the other is not. Second, whether the lines within
+    <article> or <main> hold most of the page's text without links; the lines outside are empty then.
 
     Open elements are on a stack, as HTML parsers keep them: an element ends at its end tag, at that of an ancestor and
     where HTML lets its end tag be left out."""
@@ -197,12 +199,17 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             skip = len(stack)
         push(name)
     end_block()
-    shown = marked or range(len(lines))
-    return _parted([lines[i] for i in shown], [box_of[i] for i in shown], parents)
+    inside = [False] * len(lines)
+    for i in marked:
+        inside[i] = True
+    all_links = not any(x[1] for x in lines)
+    weight = [len(x[0]) if all_links else x[1] for x in lines]
+    trusted = 2 * sum(w for w, x in zip(weight, inside, strict=True) if x) > sum(weight)
+    return _parted(lines, box_of, parents, inside if trusted else None), trusted
 
 
-def _parted(lines: list[tuple[str, int, bool]], box_of: list[int], parents: list[int]) -> list[tuple[str, int, bool]]:
-    """lines with WINDOW empty ones between branches of other density."""
+def _parted(lines: list[tuple[str, int, bool]], box_of: list[int], parents: list[int], inside: list[bool] | None) -> list[tuple[str, int, bool]]:
+    """lines with WINDOW empty ones between branches of other density; those not inside, if given, are emptied."""
     size, count, depth = [0] * len(parents), [0] * len(parents), [0] * len(parents)
     for (_, k, _), box in zip(lines, box_of, strict=True):
         size[box] += k
@@ -212,8 +219,9 @@ def _parted(lines: list[tuple[str, int, bool]], box_of: list[int], parents: list
         count[parents[box]] += count[box]
     for box in range(1, len(parents)):
         depth[box] = depth[parents[box]] + 1
-    out = lines[:1]
-    for line, x, y in zip(lines[1:], box_of, box_of[1:], strict=False):
+    shown = lines if inside is None else [x if keep else ("", 0, False) for x, keep in zip(lines, inside, strict=True)]
+    out = shown[:1]
+    for line, x, y in zip(shown[1:], box_of, box_of[1:], strict=False):
         if x != y:
             a, b = -1, -1  # the branches below the nearest common container
             while x != y:
@@ -256,7 +264,8 @@ def main_text(page: str | None) -> str:
     """The page's main text: blocks joined by an empty line, white space in a block one space; null, empty: ''."""
     if not page:
         return ""
-    regions = _regions(page_lines(page))
+    lines, trusted = page_lines(page)
+    regions = _regions(lines)
     length = [sum(len(x[0]) for x in r) for r in regions]
     own = [sum(len(x[0]) if x[2] else x[1] for x in r) for r in regions]  # a heading may be a link
     peaks = [max(sum(x[1] for x in r[i : i + WINDOW]) for i in range(len(r))) for r in regions]
@@ -269,6 +278,8 @@ def main_text(page: str | None) -> str:
             between = before >= 0 and length[i] <= max(length[before], length[after])
             if between or (i == after - 1 and 2 * own[i] >= length[i]):  # what heads a region, unless mostly links
                 kept.add(i)
+    if trusted:  # the mark outweighs the lengths, except for links
+        kept.update(i for i in range(len(regions)) if 2 * own[i] >= length[i])
     return "\n\n".join(x[0] for i in sorted(kept) for x in regions[i] if x[0])
 
 

@@ -168,6 +168,16 @@ def test_short_blocks_of_the_text_stay(page, blocks):
     assert len(text.split("\n\n")) == blocks and "Menu" not in text and "tiny" not in text
 
 
+def test_article_counts_by_its_text():
+    links = "<ul>" + "<li><a href=x>Related</a>" * 5 + "</ul>"
+    page = f"<div class=post><p>{LONG}</p><p>{LONG}</p></div><article class=card>teaser</article>"
+    assert html_text.main_text(page).count("long text") == 12
+    page = f"<div><p>outside {LONG}</p></div><article><div><p>{LONG}</p><p>{LONG}</p></div><div><p>The end.</p></div>{links}</article>"
+    text = html_text.main_text(page)
+    assert text.count("long text") == 12 and text.endswith("The end.") and "outside" not in text
+    assert html_text.main_text(f"<article>{links}</article>").count("Related") == 5
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "<p>" + "w " * 200_000, "z")], "page_id long, url string, html string, text string")
     rows = html_text.extract(df).collect()
