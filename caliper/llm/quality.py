@@ -3,12 +3,17 @@
 P(grade <= g) = sigmoid(threshold[g] - w . x) with one weight vector w for all grades and increasing thresholds. x holds
 hashed words, hashed word shapes and the repeated words of the whole text, the square root of their share each, so that x has the same length
 for texts of any length. The fit uses a bounded sample of rated rows; every document is scored.
+
+What parts the grades above the first (toxic words) says nothing of the first (junk), so that one w for both finds few toxic
+texts. fit() adds, for each grade g from 2, a link with weights of its own on the rows of grade g - 1 or more, and
+P(grade >= g) = P(grade >= g - 1) P(grade >= g | grade >= g - 1). The limits of these tails come from rows left out of the fit.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +27,9 @@ BITS = 18
 MAX_RATED = 4000
 #: A document stays if P(grade >= 1), grade 0 being low quality, is this or more.
 KEEP_AT = 0.5
+#: Share of the rows of grade g or more, left out of the fit, that may lie below the limit of P(grade >= g), g from 2; with
+#: fewer such rows, or fewer below, than LEAST_RATED there is no limit.
+LOST, LEAST_RATED = 0.001, 30
 _BLOCK = 1 << 20
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32 if b <= 32 else b for b in range(256))
@@ -65,11 +73,21 @@ def _sigmoid(x):
 class Ordinal:
     weights: np.ndarray
     thresholds: np.ndarray  #: one fewer than grades
+    upper: list[Ordinal] = field(default_factory=list)  #: two grades each: P(grade >= g | grade >= g - 1) for g from 2
+    limits: list[float] = field(default_factory=list)  #: least P(grade >= g) that a kept text may have, g from 2
 
     def tails(self, text: str | None) -> np.ndarray:
         """P(grade >= 1), P(grade >= 2), ..."""
-        at, value = features(text)
-        return _sigmoid(float(self.weights[at] @ value) - self.thresholds)
+        return self.tails_of(*features(text))
+
+    def tails_of(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        out = _sigmoid(float(self.weights[at] @ value) - self.thresholds)
+        for g, link in enumerate(self.upper, 1):
+            out[g] = out[g - 1] * link.tails_of(at, value)[0]
+        return out
+
+    def keeps(self, tails: np.ndarray, grade: int = 1, keep_at: float = KEEP_AT) -> bool:
+        return bool(tails[grade - 1] >= keep_at and all(t >= x for t, x in zip(tails[1:], self.limits, strict=False)))
 
 
 def fit_arrays(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, l2: float = 3e-5, steps: int = 250) -> Ordinal:
@@ -104,6 +122,37 @@ def fit_arrays(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_
     return Ordinal(w.astype(np.float32), cut)
 
 
+def _with_upper(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int) -> Ordinal:
+    model = fit_arrays(rows, grades, n_grades)
+    for g in range(2, n_grades):
+        at = np.flatnonzero(grades >= g - 1)
+        if (grades >= g).sum() < LEAST_RATED or (grades == g - 1).sum() < LEAST_RATED:
+            break
+        model.upper.append(fit_arrays([rows[i] for i in at], (grades[at] >= g).astype(int), 2))
+    return model
+
+
+def fit_calibrated(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int) -> Ordinal:
+    """A model of all rows. The rows are halved twice and each half is scored by the model of the other; equal texts share
+    a half. The lower of the two limits counts."""
+    model = _with_upper(rows, grades, n_grades)
+    digest = np.array([zlib.crc32(x.tobytes() + v.tobytes()) for x, v in rows], np.int64)
+    limits = []
+    for bit in (0, 1) if model.upper else ():
+        half = digest >> bit & 1
+        tails = np.zeros((len(rows), n_grades - 1))
+        for h in (0, 1):
+            other = np.flatnonzero(half != h)
+            part = _with_upper([rows[i] for i in other], grades[other], n_grades)
+            if len(part.upper) < len(model.upper):
+                return model
+            for i in np.flatnonzero(half == h):
+                tails[i] = part.tails_of(*rows[i])
+        limits.append([float(np.quantile(tails[grades >= g, g - 1], LOST)) for g in range(2, 2 + len(model.upper))])
+    model.limits = [min(x) for x in zip(*limits, strict=True)]
+    return model
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [features(t.as_py()) for t in b.column(0)]
@@ -119,30 +168,31 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rated: int = MAX
     got = rated.mapInArrow(_extract, "at binary, value binary, grade int").toPandas()
     rows = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(got["at"], got["value"], strict=True)]
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0].tobytes(), rows[i][1].tobytes(), got["grade"][i]))  # reruns agree
-    return fit_arrays([rows[i] for i in order], got["grade"].to_numpy()[order].astype(int), n_grades)
+    return fit_calibrated([rows[i] for i in order], got["grade"].to_numpy()[order].astype(int), n_grades)
 
 
 def scored(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """(doc_id, expected_grade, tails) for each row of docs (doc_id, text); null and empty texts have the score of an
-    empty text. No shuffle."""
+    """(doc_id, expected_grade, tails, kept) for each row of docs (doc_id, text); null and empty texts have the score of an
+    empty text, kept is what selected() decides. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tails = [shared.value.tails(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array([t.tolist() for t in tails], pa.list_(pa.float64()))], names=["doc_id", "expected_grade", "tails"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([float(t.sum()) for t in tails], pa.float64()), pa.array([t.tolist() for t in tails], pa.list_(pa.float64())), pa.array([shared.value.keeps(t) for t in tails], pa.bool_())], names=["doc_id", "expected_grade", "tails", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, expected_grade double, tails array<double>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, expected_grade double, tails array<double>, kept boolean")
 
 
 def selected(docs: DataFrame, model: Ordinal, grade: int = 1, keep_at: float = KEEP_AT) -> DataFrame:
-    """The rows of docs with P(grade or better) >= keep_at, all columns as they were. No shuffle."""
+    """The rows of docs with P(grade or better) >= keep_at and the model's limits of the other tails, all columns as they
+    were. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([bool(shared.value.tails(t.as_py())[grade - 1] >= keep_at) for t in b.column(at)], pa.bool_()))
+            yield b.filter(pa.array([shared.value.keeps(shared.value.tails(t.as_py()), grade, keep_at) for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

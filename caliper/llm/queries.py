@@ -62,7 +62,7 @@ def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratings = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scores = quality.scored(docs, quality.fit(docs, ratings, n_grades=3))
     good, clean = F.col("tails")[0], F.col("tails")[1]
-    return scores.select("doc_id", "expected_grade", good.alias("p_good"), clean.alias("p_clean"), (good >= quality.KEEP_AT).alias("kept"))
+    return scores.select("doc_id", "expected_grade", good.alias("p_good"), clean.alias("p_clean"), "kept")
 
 
 def op7_line_block_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from caliper.llm.words import word_count
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of low quality go."""
+    """Documents of low quality and toxic ones go."""
     ratings = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.selected(docs, quality.fit(docs, ratings, n_grades=3))
 

@@ -61,6 +61,17 @@ def test_quality_on_held_out_labels(spark):
     assert all(r["p"] >= 0.5 for r in rows if r["quality"] == 1)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_toxic_held_out_documents_go(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, quality.graded(labels.where("doc_id % 3 > 0")), 3)
+    held = quality.graded(labels.where("doc_id % 3 = 0"))
+    kept = quality.selected(docs, model).select("doc_id", F.lit(1).alias("kept"))
+    rows = held.join(kept, "doc_id", "left").groupBy("grade").agg(F.count("*").alias("n"), F.count("kept").alias("kept")).collect()
+    share = {r["grade"]: r["kept"] / r["n"] for r in rows}
+    assert share[0] < 0.05 and share[1] < 0.7 and share[2] > 0.99
+
+
 def test_letter_codes():
     assert langid.letter_codes("12 !").tolist() == []
     assert langid.letter_codes("Ab,, c").tolist() == [0, 97, 98, 0, 99, 0]
