@@ -24,8 +24,11 @@ ORDER = 4
 #: Training documents of a language, and as many again for calibration: the bound of the model's sample.
 DOCS_PER_LANGUAGE = 1500
 #: A text is rejected if it lies this many standard deviations above the expected cross-entropy, and this many times as
-#: far above it as the farthest calibration text of its language.
-REJECT_Z, REJECT_MARGIN = 8.0, 1.25
+#: far above it as nearly all calibration texts of its language: the quantile of those whose own label wins, less rows
+#: beyond the outer fence (quartiles of their logarithms), which junk under any label would be.
+REJECT_Z, REJECT_MARGIN, REJECT_QUANTILE, FENCE = 8.0, 1.25, 0.999, 5.5
+#: Calibration texts from which a language has figures of its own; with fewer it takes those of all languages together.
+LEAST_TEXTS = 8
 #: Rows of the table of languages that is broadcast at most.
 MANY_LANGUAGES = 10_000
 _PREFIX_BITS = 22
@@ -224,6 +227,21 @@ def _entropies(model: Model):
     return run
 
 
+def _figures(own: np.ndarray, length: np.ndarray) -> tuple[float, float, float, float]:
+    """Mean, its variance between documents and per character, and the limit, from cross-entropies and lengths."""
+    long = length >= np.median(length)
+    mean = np.median(own[long])
+    off = own - mean
+    spread = (1.4826 * np.median(np.abs(off[long]))) ** 2
+    short = ~long if (~long).any() else long
+    per_char = max(1.0, np.median(off[short] ** 2 * length[short]) / 0.455)
+    z = off / np.sqrt(spread + per_char / length)
+    size = np.log1p(np.abs(z))
+    low, high = np.quantile(size, [0.25, 0.75])
+    inner = z[size <= high + FENCE * max(high - low, 0.1)]
+    return mean, spread, per_char, max(REJECT_Z, REJECT_MARGIN * np.quantile(inner, REJECT_QUANTILE))
+
+
 def _calibrate(model: Model, seen) -> None:
     """Mean and spread of each language's own cross-entropy, robust to mislabelled rows, and the score's temperature."""
     k = len(model.langs)
@@ -233,18 +251,19 @@ def _calibrate(model: Model, seen) -> None:
         return
     h, n = np.array(seen["h"].tolist()), seen["n"].to_numpy().astype(float)
     truth = seen["lang"].map({x: i for i, x in enumerate(model.langs)}).fillna(-1).to_numpy().astype(int)
+    best = h.argmin(axis=1)
+    won = truth == best  # a row that another language fits better is mislabelled, or junk
+    figures = []
     for i in range(k):
-        own, length = h[truth == i, i], n[truth == i]
-        if len(own) < 8:
-            continue
-        long = length >= np.median(length)
-        model.mean[i] = np.median(own[long])
-        off = own - model.mean[i]
-        model.spread[i] = (1.4826 * np.median(np.abs(off[long]))) ** 2
-        short = ~long if (~long).any() else long
-        model.per_char[i] = max(1.0, np.median(off[short] ** 2 * length[short]) / 0.455)
-        z = off / np.sqrt(model.spread[i] + model.per_char[i] / length)
-        model.limit_z[i] = max(REJECT_Z, REJECT_MARGIN * z.max())
+        if (won & (truth == i)).sum() >= LEAST_TEXTS:
+            model.mean[i], model.spread[i], model.per_char[i], model.limit_z[i] = _figures(h[won & (truth == i), i], n[won & (truth == i)])
+            figures.append(i)
+    few = [i for i in range(k) if i not in figures]
+    pool = won if won.sum() >= LEAST_TEXTS else truth >= 0
+    if few and pool.any():
+        pooled = _figures(h[pool, truth[pool]], n[pool])
+        for i in few:
+            model.mean[i], model.spread[i], model.per_char[i], model.limit_z[i] = pooled
     known = truth >= 0
     if known.any() and k > 1:
         gap = (h[known].min(axis=1, keepdims=True) - h[known]) * np.sqrt(n[known])[:, None]

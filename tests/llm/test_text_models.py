@@ -2,6 +2,7 @@
 
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -121,6 +122,20 @@ def test_langid_on_held_out_fold(spark):
     assert all(r["rejected"] for r in langid.predicted(noise, model).collect())
 
 
+@data
+def test_few_wrong_calibration_rows_do_not_open_the_limit(spark):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet").select("doc_id", "text", "lang")
+    spanish = docs.where("lang = 'es' and length(text) > 200")
+    ids = [i for i in range(10**6, 10**6 + 60) if zlib.crc32(str(i).encode()) % 3 == 2][:8]  # of the calibration fold
+    noise = ["".join(random.Random(i).choice("qxzjkwvyh ") for _ in range(400)) for i in range(40)]
+    wrong = [r["text"] for r in spanish.orderBy("doc_id").limit(4).collect()] + noise[:4]
+    rows = docs.where("lang <> 'es'").union(spark.createDataFrame([(i, t, "en") for i, t in zip(ids, wrong, strict=True)], docs.schema))
+    model = langid.fit_on_folds(rows)
+    rejected = lambda d: [r["rejected"] for r in langid.predicted(d, model).collect()]
+    assert np.mean(rejected(spanish)) > 0.8 and np.mean(rejected(documents(spark, noise[4:]))) > 0.95
+    assert np.mean(rejected(docs.where("lang <> 'es'"))) < 0.01
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>The  title</h1><p>One &amp; two <b>bo</b>ld<br>next&nbsp;line.</p><div class="ad">Buy</div><p>Short.</p><!-- <p>no</p> -->
