@@ -1,11 +1,11 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped to one line of text for each block element; elements that are boilerplate by name, role or class leave
-nothing, and a change between containers of other density leaves empty lines. Over windows of lines the text lengths,
-without link text, are summed. A region ends where the window sum dives to nothing; it is kept if the sum surges above the
-threshold in it, if it lies between two such regions and is no longer than one of them, or if it heads one and is not mostly
-links. Where article and main elements hold most of the text, the lines outside are empty and short regions inside are kept
-unless mostly links.
+Markup is stripped to one line of text for each block element. A line weighs its characters without link text; a line of
+page furniture (by element name, role or whole class name) weighs nothing, and a change between containers of other density
+leaves empty lines. Over windows of lines the weights are summed. A region ends where the window sum dives to nothing; it is
+kept if the sum surges above the threshold in it, if it lies between two such regions and is no longer than one of them, or
+if it heads one and is not mostly links. Marks of the main text shift the threshold: where article and main elements hold
+most of the weight, any text surges inside that is not mostly links, and outside only what outweighs all of the inside.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import html
 import re
 from collections.abc import Iterator
 from itertools import groupby
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,10 +28,13 @@ BLOCK = set("address article aside blockquote body center dd details dir div dl
 CONTAINER = set("article aside body div footer form header main nav section table ul ol dl html".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes".split())
-DROPPED = set("nav header footer aside form script style noscript template iframe svg canvas object button select textarea dialog menu audio video head title datalist".split())
-DROPPED_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-DROPPED_CLASSES = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay comment comments discussion disqus respond share sharing social related recommended newsletter subscribe subscription signup login toolbar pagination pager masthead skip".split())
-DROPPED_WHOLE = set("header footer site-header site-footer page-header page-footer global-header global-footer aside form".split())
+HIDDEN = set("script style noscript template iframe svg canvas object button select textarea dialog audio video head title datalist".split())
+FURNITURE = set("nav header footer aside form menu".split())
+FURNITURE_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
+FURNITURE_CLASSES = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay comment comments discussion disqus replies reply responses respond share sharing social related recommended newsletter subscribe subscription signup login toolbar pagination pager masthead skip".split())
+FURNITURE_WHOLE = set("header footer site-header site-footer page-header page-footer global-header global-footer aside form".split())
+#: Words that may stand beside one of FURNITURE_CLASSES in the name of a class.
+STRUCTURE = set("site page global main primary secondary top bottom left right upper lower inner outer box list item items area container wrapper wrap block section widget bar bars link links button buttons form text title content unit slot panel group row column col body thread count tools icons media posts stories articles to".split())
 
 # Where HTML ends an element without its end tag, and the elements that keep an end from reaching further out.
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
@@ -58,36 +62,56 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
-def _boilerplate(name: str, attributes: str) -> bool:
-    if name in DROPPED:
-        return True
-    if not attributes or name in ("html", "body", "main"):
-        return False
-    a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
-    if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in DROPPED_ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
+class Line(NamedTuple):
+    text: str
+    weight: int  #: characters that are not link text; 0 in furniture
+    heading: bool
+    kind: str  #: "furniture", "inside" or "outside" the trusted article or main, "text" if none is, or "gap"
+    box: int = -1  #: number of the container
+
+
+_GAP = [Line("", 0, False, "gap")] * WINDOW
+
+
+def _named_furniture(name: str) -> bool:
+    """Whether a class or id names furniture as a whole: "cookie-notice" and "share-buttons" do, "share-price" does not."""
+    if name in FURNITURE_WHOLE:
         return True
-    names = f"{a.get('class', '')} {a.get('id', '')}".split()
-    return any(x in DROPPED_WHOLE or not DROPPED_CLASSES.isdisjoint(re.split(r"[-_]", x)) for x in names)
+    parts = [x for x in re.split(r"[-_\d]+", name) if x]
+    return not FURNITURE_CLASSES.isdisjoint(parts) and all(x in FURNITURE_CLASSES or x in STRUCTURE for x in parts)
+
 
+def _kind_of(name: str, attributes: str) -> str:
+    """"hidden", "furniture" or "text" for an element by itself."""
+    if name in HIDDEN:
+        return "hidden"
+    a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)} if attributes and name not in ("html", "body", "main") else {}
+    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
+        return "hidden"
+    if name in FURNITURE or a.get("role") in FURNITURE_ROLES or any(map(_named_furniture, f"{a.get('class', '')} {a.get('id', '')}".split())):
+        return "furniture"
+    return "text"
 
-def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, characters that are not link text, whether a heading) for each block in page order. WINDOW empty lines part two
-    containers, neither within the other, if one is dense in text and the other is not. Second, whether the lines within
-    <article> or <main> hold most of the page's text without links; the lines outside are empty then.
 
-    Open elements are on a stack, as HTML parsers keep them: an element ends at its end tag, at that of an ancestor and
+def page_lines(page: str) -> list[Line]:
+    """A line for each block in page order. WINDOW empty lines part two containers, neither within the other, if one is dense
+    in text and the other is not. <article> and <main> are trusted if their lines hold most of the page's weight.
+
+    Within an article another one is a reader's comment, and of a header its headings belong to the text. Open elements are on a stack, as HTML parsers keep them: an element ends at its end tag, at that of an ancestor and
     where HTML lets its end tag be left out."""
-    lines: list[tuple[str, int, bool]] = []
-    box_of: list[int] = []  # the container of each line
+    lines: list[Line] = []
     marked: list[int] = []  # places of the lines within <article> or <main>
     parents = [-1]  # of each container; a container comes after its parent
     boxes: list[tuple[int, int]] = []  # open containers: place on the stack, number
+    body = {0}  # numbers of the containers html and body
     text: list[str] = []
     linked = 0
     stack: list[str] = []
     where: dict[str, list[int]] = {}  # places on the stack of each name
     blocks: list[int] = []  # places on the stack of BLOCK elements
-    skip = -1  # place on the stack of the boilerplate element that is being left out
+    skip = -1  # place on the stack of the hidden element that is being left out
+    shade = -1  # place on the stack of the furniture element that is being weighed as nothing
+    headed = False  # whether that is an article's own header
 
     def last(names) -> int:
         return max((where[x][-1] for x in names if where.get(x)), default=-1)
@@ -99,11 +123,13 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if name in CONTAINER and skip < 0:
             parents.append(boxes[-1][1] if boxes else 0)
             boxes.append((len(stack), len(parents) - 1))
+            if name in ("html", "body"):
+                body.add(len(parents) - 1)
         stack.append(name)
 
     def close(to: int) -> None:
         """Ends the element at this place and all in it; none for -1."""
-        nonlocal skip
+        nonlocal skip, shade
         while 0 <= to < len(stack):
             name = stack.pop()
             if name:
@@ -114,6 +140,8 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             boxes.pop()
         if skip >= len(stack):
             skip = -1
+        if shade >= len(stack):
+            shade = -1
 
     def forget(at: int) -> None:
         """Ends an inline element but not the blocks in it."""
@@ -132,16 +160,16 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 close(found)
         if name in HEADINGS and stack and stack[-1] in HEADINGS:
             close(len(stack) - 1)
-        if name == "main" and skip >= 0 and stack[skip] in ("nav", "header", "footer", "aside"):  # none may hold a main
-            close(skip)
+        if name == "main" and shade >= 0 and stack[shade] in ("nav", "header", "footer", "aside"):  # none may hold a main
+            close(shade)
         if name == "a" and where.get("a"):
-            close(where["a"][-1]) if where["a"][-1] == skip else forget(where["a"][-1])
+            close(where["a"][-1]) if where["a"][-1] in (skip, shade) else forget(where["a"][-1])
 
     def end(name: str) -> None:
         found = last((name,))
         if found < 0 or found < last(TABLE_SCOPE if name in IN_TABLE else LIST_SCOPE if name == "li" else P_SCOPE if name == "p" else SCOPE - {name}):
             return
-        if name not in BLOCK and found != skip and blocks and blocks[-1] > found:
+        if name not in BLOCK and found not in (skip, shade) and blocks and blocks[-1] > found:
             forget(found)
         else:
             close(found)
@@ -150,10 +178,11 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         nonlocal linked
         line = " ".join("".join(text).split())
         if line:
-            if where.get("article") or where.get("main"):
+            heading = any(where.get(x) for x in HEADINGS)
+            text_line = shade < 0 or (headed and heading)
+            if text_line and (where.get("article") or where.get("main")):
                 marked.append(len(lines))
-            lines.append((line, max(0, len(line) - linked), any(where.get(x) for x in HEADINGS)))
-            box_of.append(boxes[-1][1] if boxes else 0)
+            lines.append(Line(line, max(0, len(line) - linked) if text_line else 0, heading, "text" if text_line else "furniture", boxes[-1][1] if boxes else 0))
         text.clear()
         linked = 0
 
@@ -180,11 +209,11 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         name, closing = m[2].lower(), bool(m[1])
         if name in RAW and not closing:
             stop = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
-            if skip < 0 and name not in DROPPED:
+            if skip < 0 and name not in HIDDEN:
                 put(page[at : stop.start() if stop else n])
             at = (page.find(">", stop.start()) + 1 if stop else n) or n
             continue
-        if skip < 0 and name in BLOCK:
+        if skip < 0 and (name in BLOCK or (closing and shade >= 0 and stack[shade] == name)):
             end_block()
         if closing:
             end(name)
@@ -194,34 +223,45 @@ def page_lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             if name == "br":
                 put(" ")
             continue
-        if skip < 0 and _boilerplate(name, m[3]):
+        kind = _kind_of(name, m[3]) if skip < 0 else "text"
+        if kind == "hidden":
             end_block()
             skip = len(stack)
+        elif shade < 0 and (kind == "furniture" or (name == "article" and where.get("article"))):
+            end_block()
+            shade, headed = len(stack), name == "header" and bool(where.get("article"))
         push(name)
     end_block()
     inside = [False] * len(lines)
     for i in marked:
         inside[i] = True
-    all_links = not any(x[1] for x in lines)
-    weight = [len(x[0]) if all_links else x[1] for x in lines]
-    trusted = 2 * sum(w for w, x in zip(weight, inside, strict=True) if x) > sum(weight)
-    return _parted(lines, box_of, parents, inside if trusted else None), trusted
+    own = [x for x in lines if x.kind == "text"]
+    weight = [0 if x.kind == "furniture" else x.weight if any(y.weight for y in own) else len(x.text) for x in lines]
+    if 2 * sum(w for w, x in zip(weight, inside, strict=True) if x) > sum(weight):
+        lines = [x if x.kind == "furniture" else x._replace(kind="inside" if i else "outside") for x, i in zip(lines, inside, strict=True)]
+    return _parted(lines, parents, body)
 
 
-def _parted(lines: list[tuple[str, int, bool]], box_of: list[int], parents: list[int], inside: list[bool] | None) -> list[tuple[str, int, bool]]:
-    """lines with WINDOW empty ones between branches of other density; those not inside, if given, are emptied."""
+def _parted(lines: list[Line], parents: list[int], body: set[int]) -> list[Line]:
+    """lines with WINDOW empty ones between branches of other density. A branch of one line beside two or more dense ones of
+    the same container, if that is not the body, is a paragraph of theirs."""
     size, count, depth = [0] * len(parents), [0] * len(parents), [0] * len(parents)
-    for (_, k, _), box in zip(lines, box_of, strict=True):
-        size[box] += k
-        count[box] += 1
+    for line in lines:
+        if line.kind != "furniture":
+            size[line.box] += line.weight
+            count[line.box] += 1
     for box in range(len(parents) - 1, 0, -1):
         size[parents[box]] += size[box]
         count[parents[box]] += count[box]
     for box in range(1, len(parents)):
         depth[box] = depth[parents[box]] + 1
-    shown = lines if inside is None else [x if keep else ("", 0, False) for x, keep in zip(lines, inside, strict=True)]
-    out = shown[:1]
-    for line, x, y in zip(shown[1:], box_of, box_of[1:], strict=False):
+    dense = [k > 0 and n * WINDOW >= SURGE * k for n, k in zip(size, count, strict=True)]
+    dense_children = [0] * len(parents)
+    for box in range(1, len(parents)):
+        dense_children[parents[box]] += dense[box]
+    alike = lambda box: dense[box] or (count[box] == 1 and size[box] > 0 and parents[box] not in body and dense_children[parents[box]] > 1)
+    out = lines[:1]
+    for line, x, y in zip(lines[1:], (x.box for x in lines), (x.box for x in lines[1:]), strict=False):
         if x != y:
             a, b = -1, -1  # the branches below the nearest common container
             while x != y:
@@ -229,62 +269,74 @@ def _parted(lines: list[tuple[str, int, bool]], box_of: list[int], parents: list
                     a, x = x, parents[x]
                 else:
                     b, y = y, parents[y]
-            if a >= 0 and b >= 0 and (size[a] * WINDOW >= SURGE * count[a]) != (size[b] * WINDOW >= SURGE * count[b]):
-                out += [("", 0, False)] * WINDOW
+            if a >= 0 and b >= 0 and alike(a) != alike(b):
+                out += _GAP
         out.append(line)
     return out
 
 
-def _regions(lines: list[tuple[str, int, bool]]) -> list[list[tuple[str, int, bool]]]:
-    """Runs of lines, parted by WINDOW empty lines; WINDOW or more lines of nothing but link text are runs of their own."""
-    runs: list[tuple[str, list[tuple[str, int, bool]]]] = []
-    for empty, section in groupby(lines, lambda x: not x[0]):
-        runs.append(("" if empty else "text", list(section)))
-    sections: list[list[tuple[str, int, bool]]] = [[]]
-    for kind, run in runs:
-        if not kind and len(run) >= WINDOW:
-            sections.append([])
+def _regions(lines: list[Line]) -> list[list[Line]]:
+    """Runs of lines of one kind, parted by the gaps and by furniture that does not stand in the midst of one container;
+    WINDOW or more lines that weigh nothing are runs of their own."""
+    runs: list[list[Line]] = []
+    flow: list[Line] = []  # the run that is open
+    for kind, group in groupby(lines, lambda x: x.kind):
+        run = list(group)
+        if kind == "furniture":
+            runs.append(run)
+        elif kind != "gap":
+            if not (flow and flow[-1].kind == kind and flow[-1].box == run[0].box):
+                runs.append(flow := [])
+            flow += run
         else:
-            sections[-1] += run
-    regions = []
-    for section in sections:
-        region: list[tuple[str, int, bool]] = []
-        for none, group in groupby(section, lambda x: not x[1]):
-            run = list(group)
-            if none and len(run) >= WINDOW:
-                regions += [region, run]
+            flow = []
+    regions: list[list[Line]] = []
+    for run in runs:
+        region: list[Line] = []
+        for weighty, group in groupby(run, lambda x: x.weight > 0):
+            part = list(group)
+            if not weighty and len(part) >= WINDOW:
+                regions += [region, part]
                 region = []
             else:
-                region += run
+                region += part
         regions.append(region)
-    return [r for r in regions if any(x[0] for x in r)]
+    return [r for r in regions if r]
 
 
-def main_text(page: str | None) -> str:
-    """The page's main text: blocks joined by an empty line, white space in a block one space; null, empty: ''."""
-    if not page:
-        return ""
-    lines, trusted = page_lines(page)
-    regions = _regions(lines)
-    length = [sum(len(x[0]) for x in r) for r in regions]
-    own = [sum(len(x[0]) if x[2] else x[1] for x in r) for r in regions]  # a heading may be a link
-    peaks = [max(sum(x[1] for x in r[i : i + WINDOW]) for i in range(len(r))) for r in regions]
-    most = max(peaks, default=0)
+def _surging(regions: list[list[Line]]) -> list[int]:
+    """The regions, by place, that the window sums tell to be the main text."""
+    kind = [r[0].kind for r in regions]
+    length = [sum(len(x.text) for x in r) for r in regions]
+    own = [0 if k == "furniture" else sum(len(x.text) if x.heading else x.weight for x in r) for r, k in zip(regions, kind, strict=True)]  # a heading may be a link
+    peaks = [max(sum(x.weight for x in r[i : i + WINDOW]) for i in range(len(r))) for r in regions]
+    most = max((p for p, k in zip(peaks, kind, strict=True) if k in ("inside", "text")), default=0)
     surge = min(SURGE, max(1, most / 2))
-    strong = [i for i, peak in enumerate(peaks) if peak >= surge or not most]
+    least = {"inside": surge, "text": surge, "outside": most + 1, "furniture": 1}
+    strong = [i for i, peak in enumerate(peaks) if peak >= least[kind[i]] or (not most and kind[i] in ("inside", "text"))]
     kept = set(strong)
     for before, after in zip([-1, *strong], strong, strict=False):
-        for i in range(before + 1, after):
-            between = before >= 0 and length[i] <= max(length[before], length[after])
-            if between or (i == after - 1 and 2 * own[i] >= length[i]):  # what heads a region, unless mostly links
+        weak = [i for i in range(before + 1, after) if kind[i] in ("inside", "text")]
+        for i in weak:
+            mostly_links = 2 * own[i] < length[i]
+            between = before >= 0 and length[i] <= max(length[before], length[after]) and (not mostly_links or len(regions[i]) <= 2 * WINDOW)
+            if between or (i == weak[-1] and not mostly_links):  # what heads a region
                 kept.add(i)
-    if trusted:  # the mark outweighs the lengths, except for links
-        kept.update(i for i in range(len(regions)) if 2 * own[i] >= length[i])
-    return "\n\n".join(x[0] for i in sorted(kept) for x in regions[i] if x[0])
+    kept.update(i for i, k in enumerate(kind) if k == "inside" and 2 * own[i] >= length[i])  # there any text surges
+    return sorted(kept)
+
+
+def main_text(page: str | None) -> str:
+    """The page's main text: blocks joined by an empty line, white space in a block one space; null, empty: ''."""
+    regions = _regions(page_lines(page)) if page else []
+    return "\n\n".join(x.text for i in _surging(regions) for x in regions[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) for each row of pages (page_id, url, html): whole pages, no shuffle, other columns ignored."""
+    """(page_id, url, text) for each row of pages (page_id, url, html): whole pages, no shuffle, other columns ignored.
+
+    A null or empty page and one without text give the empty text. Repeated rows are extracted each, null ids and urls kept;
+    no pages give no rows. A page is held by one task, whatever its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -4,6 +4,7 @@ import os
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -204,6 +205,34 @@ def test_article_counts_by_its_text():
     assert html_text.main_text(f"<article>{links}</article>").count("Related") == 5
 
 
+NAMED = [
+    (f'<article><p class="notice-period">Notice.</p><p>{LONG}</p><p class="share-price">Price.</p><p class="skip-logic">x</p><p class="ad-hoc">y</p></article>', 5),
+    (f"<article><header><h1>Head</h1><a href=x>By me</a></header><p>{LONG}</p></article>", 2),
+    (f'<article><p>{LONG}</p></article><section class="replies"><article><p>Reader: {LONG}</p></article></section>', 1),
+    (f"<main><article><p>{LONG}</p><article><p>Reader: {LONG}</p></article></article></main>", 1),
+    (f"<article><p>{LONG}</p><ul>{'<li><a href=x>Related story</a>' * 12}</ul><p>{LONG}</p></article>", 2),
+    (f"<div><div><h1>Head</h1></div><div><p>{LONG}</p></div><div><p>Short.</p></div><div><p>{LONG}</p></div><div><p>End.</p></div></div><div>Copyright</div>", 5),
+    (f'<div><p>{LONG}</p><div class="ad">Buy {LONG}</div><p>End.</p></div><div>Copyright</div>', 2),
+]
+
+
+@pytest.mark.parametrize(("page", "blocks"), NAMED)
+def test_furniture_is_named_as_a_whole(page, blocks):
+    text = html_text.main_text(page)
+    assert len(text.split("\n\n")) == blocks and not any(x in text for x in ("Reader", "Related", "Copyright", "Buy", "By me"))
+
+
+@data
+def test_the_distribution_decides(monkeypatch):
+    """Without surge and dive the furniture of every page of the tables, marked or not, is in the text."""
+    pages = [r[0] for r in duckdb.sql(f"select html from '{ROOT}/pages.parquet'").fetchall()]
+    text = [html_text.main_text(x) for x in pages]
+    monkeypatch.setattr(html_text, "_surging", lambda regions: range(len(regions)))
+    assert all(html_text.main_text(x) != t for x, t in zip(pages, text, strict=True))
+    unmarked = f"<div><p>{LONG}</p></div><div>Copyright</div>"
+    assert "Copyright" in html_text.main_text(unmarked)
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "y"), (None, "v", "<p>" + "w " * 200_000, "z")], "page_id long, url string, html string, text string")
     rows = html_text.extract(df).collect()
