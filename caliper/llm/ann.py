@@ -1,13 +1,16 @@
 """Nearest neighbours by low-dimensional stable projections and a kd-tree.
 
-Unit vectors are projected by M Gaussian (2-stable) directions: the squared projected distance of a pair, over its squared
-distance, is chi-square with M degrees of freedom. A kd-tree over the projections of a bounded sample parts the space into
-cells, and every row goes to its cell. A query first verifies the cells around it, which gives a k-th distance d; it then
-goes on, in the order of projected distance, through cells and their rows until the chi-square test says that a row as near
-as d would have been met by now with probability CONFIDENCE. Every verified score is the exact cosine in double precision.
-
-Rows of one cell are dealt to blocks of bounded size, and the queries that visit a cell to chunks of bounded size; a task
-holds one block and one chunk.
+Unit vectors are projected by m Gaussian (2-stable) directions: the squared projected distance of a pair, over its squared
+distance, is chi-square with m degrees of freedom. A kd-tree over the projections of a bounded sample parts the space into
+cells, and every row goes to its cell. The search is incremental: in each round a query visits its next cells, GROWTH times
+as many as in the round before, by projected distance, and in a cell its rows by projected distance. After every few rows
+the k-th distance d found so far sets the reach: a row as near as d lies within it with probability `confidence`. Rows and
+cells beyond the reach are never verified, and a query whose next cell lies beyond has stopped. Every verified score is the
+exact cosine in double precision.
+
+The number m is the one of DIMENSIONS with the least work (projected and verified components) in the sample. Adjacent cells
+make up tiles of up to BLOCK rows; a larger cell is dealt to blocks, and the queries that visit a tile to chunks: a task
+holds one block and one chunk, whatever the number of equal vectors.
 """
 
 from __future__ import annotations
@@ -19,17 +22,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from caliper.llm.store import written
 
-M = 8
-CONFIDENCE = 0.99
-#: Rows that the tree is fitted on, its leaves at most, and the rows of a leaf that it aims at.
-SAMPLE, MAX_CELLS, CELL_ROWS = 20_000, 1024, 1500
-#: Rows in a block of a cell, and queries in a chunk.
-BLOCK, CHUNK = 4096, 4096
-#: Cells that each query visits before the test.
-FIRST_CELLS = 2
+DIMENSIONS = (8, 12, 16, 24)
+CONFIDENCE = 0.95
+#: Rows that the tree is fitted on, and the fewest of them in a cell on average. The cells of n rows are sqrt(n) else.
+SAMPLE, CELL_SAMPLE = 65_536, 16
+#: Rows in a block, queries in a chunk, and rows that are verified between two tests.
+BLOCK, CHUNK, STEP = 4096, 4096, 128
+#: Cells that each query visits in the first round, and the factor for each further one.
+FIRST_CELLS, GROWTH = 4, 4
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -96,117 +100,194 @@ class Tree:
         return (gap * gap).sum(axis=1)
 
 
-def _floats(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), -1)
+def chi_square_cdf(x: np.ndarray, m: int) -> np.ndarray:
+    """For an even m, in closed form."""
+    term, total = np.ones_like(x), np.ones_like(x)
+    for i in range(1, m // 2):
+        term = term * x / 2 / i
+        total = total + term
+    return 1 - np.exp(-x / 2) * total
+
+
+def best_dimension(unit: np.ndarray, k: int, confidence: float) -> int:
+    """The m of DIMENSIONS for which projecting a row and verifying the rows in reach takes the least components."""
+    asked = unit[:64]
+    gaps = np.maximum(2 - 2 * asked @ unit.T, 1e-12)
+    gaps[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    if len(unit) <= k + 1:
+        return DIMENSIONS[0]
+    kth = np.partition(gaps, k - 1, axis=1)[:, k - 1 : k]
+    work = {m: m + unit.shape[1] * chi_square_cdf(chi_square_quantile(confidence, m) * kth / gaps, m).mean() for m in DIMENSIONS}
+    return min(work, key=work.get)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    u = v / np.abs(v).max(axis=1, keepdims=True)  # scaled against overflow
+    return u / np.sqrt((u * u).sum(axis=1, keepdims=True))
 
 
 def valid(vectors: DataFrame, dims: int) -> DataFrame:
+    """(vec_id, embedding) of the rows that take part, each once; floats stay floats, other numbers become doubles."""
     x = F.col("embedding")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) == dims) & sound)
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast(f"array<{kind}>").alias("embedding"))
+    return rows.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) == dims) & sound)
+
 
+def _dtype(rows: DataFrame) -> type:
+    return np.float32 if isinstance(rows.schema["embedding"].dataType.elementType, FloatType) else np.float64
 
-def _indexed(vectors: DataFrame, tree: Tree, directions: np.ndarray) -> DataFrame:
-    """(cell, vec_id, vector, point): vectors as bytes of doubles, the projected unit vectors too."""
-    shared = vectors.sparkSession.sparkContext.broadcast((tree, directions))
+
+def _matrix(column: pd.Series, dtype: type = np.float64) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype).reshape(len(column), -1).astype(np.float64)
+
+
+def _indexed(rows: DataFrame, tree: Tree, directions: np.ndarray) -> DataFrame:
+    """(cell, vec_id, vector, point): vectors as bytes of their type, the projected unit vectors as doubles."""
+    shared = rows.sparkSession.sparkContext.broadcast((tree, directions))
+    dtype = _dtype(rows)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, d = shared.value
         for f in frames:
             if len(f):
-                v = np.array(f["embedding"].tolist(), dtype=np.float64)
-                big = np.abs(v).max(axis=1, keepdims=True)
-                u = v / big
-                y = (u / np.sqrt((u * u).sum(axis=1, keepdims=True))) @ d
+                v = np.array(f["embedding"].tolist(), dtype=dtype)
+                y = _unit(v.astype(np.float64)) @ d
                 yield pd.DataFrame({"cell": t.cell(y), "vec_id": f["vec_id"], "vector": [r.tobytes() for r in v], "point": [r.tobytes() for r in y]})
 
-    return vectors.mapInPandas(run, "cell long, vec_id long, vector binary, point binary")
+    return rows.mapInPandas(run, "cell int, vec_id long, vector binary, point binary")
+
+
+def _tiles(index: DataFrame, cells: int) -> tuple[np.ndarray, DataFrame]:
+    """The tile of each cell, and (cell, tile, blocks). Counts of cells, bounded by the sample, pass the driver."""
+    n = np.zeros(cells, np.int64)
+    for r in index.groupBy("cell").count().collect():
+        n[r["cell"]] = r["count"]
+    tile, size, now = np.zeros(cells, np.int64), [0], 0
+    for c in range(cells):
+        if size[now] and size[now] + n[c] > BLOCK:
+            now += 1
+            size.append(0)
+        tile[c] = now
+        size[now] += n[c]
+    rows = [(c, int(tile[c]), max(1, -(-size[tile[c]] // BLOCK))) for c in range(cells)]
+    return tile, index.sparkSession.createDataFrame([tuple(map(int, r)) for r in rows], "cell int, tile int, blocks int")
 
 
-def _visits(queries: DataFrame, tree: Tree, after: bool) -> DataFrame:
-    """(cell, query_id, vector, point, reach): the FIRST_CELLS nearest cells, or after them all within the query's reach."""
-    shared = queries.sparkSession.sparkContext.broadcast(tree)
+def _visits(queries: DataFrame, tree: Tree, tile: np.ndarray, at: int, to: int) -> DataFrame:
+    """(tile, query_id, vector, point, reach, cells): of each query the cells number at to `to` by projected distance, as far
+    as they lie within its reach."""
+    shared = queries.sparkSession.sparkContext.broadcast((tree, tile))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        t, tile_of = shared.value
         for f in frames:
             rows = []
             for q, v, y, reach in zip(f["query_id"], f["vector"], f["point"], f["reach"], strict=True):
-                gaps = shared.value.squared_gaps(np.frombuffer(y, np.float64))
-                near = np.argsort(gaps, kind="stable")
-                near = near[FIRST_CELLS:][gaps[near[FIRST_CELLS:]] <= reach] if after else near[:FIRST_CELLS]
-                rows += [(int(c), q, v, y, reach) for c in near]
-            yield pd.DataFrame(rows, columns=["cell", "query_id", "vector", "point", "reach"])
+                gaps = t.squared_gaps(np.frombuffer(y, np.float64))
+                near = np.argsort(gaps, kind="stable")[at:to]
+                near = np.sort(near[gaps[near] <= reach])
+                for x in np.unique(tile_of[near]):
+                    rows.append((int(x), q, v, y, reach, near[tile_of[near] == x].tolist()))
+            yield pd.DataFrame(rows, columns=["tile", "query_id", "vector", "point", "reach", "cells"])
 
-    return queries.mapInPandas(run, "cell long, query_id long, vector binary, point binary, reach double")
+    return queries.mapInPandas(run, "tile int, query_id long, vector binary, point binary, reach double, cells array<int>")
 
 
-def _cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Row by row, so that a score does not depend on the block that its row is in. Scaled against overflow."""
-    a, b = q / np.abs(q).max(), v / np.abs(v).max(axis=1, keepdims=True)
-    return (b * a).sum(axis=1) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(axis=1)))
+def _best_of(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best different ids, ties to the smaller one."""
+    order = np.lexsort((ids, -score))
+    ids, score = ids[order], score[order]
+    first = np.sort(np.unique(ids, return_index=True)[1])[:k]
+    return ids[first], score[first]
 
 
-def _verify(k: int):
+def _verify(k: int, factor: float, dtype: type):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
-            ids, v, y = rows["vec_id"].to_numpy(), _floats(rows["vector"]), _floats(rows["point"])
-            for q, x, p, reach in zip(queries["query_id"], queries["vector"], queries["point"], queries["reach"], strict=True):
-                gap = ((y - np.frombuffer(p, np.float64)) ** 2).sum(axis=1)
-                open_ = np.flatnonzero((gap <= reach) & (ids != q))
-                if len(open_):
-                    score = _cosines(np.frombuffer(x, np.float64), v[open_])
-                    best = np.lexsort((ids[open_], -score))[:k]
-                    out += [(q, int(i), float(s)) for i, s in zip(ids[open_][best], score[best], strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            rows = rows.sort_values(["cell", "vec_id"], kind="stable")
+            ids, cell, y = rows["vec_id"].to_numpy(), rows["cell"].to_numpy(), _matrix(rows["point"])
+            v = _matrix(rows["vector"], dtype)
+            v /= np.abs(v).max(axis=1, keepdims=True)
+            norm = np.sqrt((v * v).sum(axis=1))
+            for q, x, p, reach, cells in zip(queries["query_id"], _matrix(queries["vector"], dtype), _matrix(queries["point"]), queries["reach"], queries["cells"], strict=True):
+                own = np.concatenate([np.arange(*np.searchsorted(cell, (c, c + 1))) for c in cells])
+                gap = ((y[own] - p) ** 2).sum(axis=1)
+                near = np.flatnonzero((gap <= reach) & (ids[own] != q))
+                near = near[np.argsort(gap[near], kind="stable")]
+                own, gap = own[near], gap[near]
+                a = x / np.abs(x).max()
+                size = np.sqrt((a * a).sum())
+                best, score, at = np.empty(0, np.int64), np.empty(0), 0
+                while at < len(own):
+                    to = min(at + STEP, int(np.searchsorted(gap, reach, side="right")))
+                    if to <= at:
+                        break
+                    some = own[at:to]
+                    cosine = (v[some] * a).sum(axis=1) / (size * norm[some])  # row by row: the same in every block
+                    best, score = _best_of(np.r_[best, ids[some]], np.r_[score, cosine], k)
+                    if len(best) == k:
+                        reach = min(reach, (2 - 2 * score[-1]) * factor + 1e-12)
+                    at = to
+                out += [(q, int(i), float(s), at if j == 0 else 0) for j, (i, s) in enumerate(zip(best, score, strict=True))]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "verified"])
 
     return run
 
 
-def _met(index: DataFrame, blocks: DataFrame, visits: DataFrame, k: int) -> DataFrame:
+def _met(index: DataFrame, tiles: DataFrame, visits: DataFrame, run) -> DataFrame:
     """The k best rows of each block for each query that visits it."""
-    visits = written(visits, "ann-visits")
-    chunks = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CHUNK))).cast("int").alias("chunks")).join(blocks, "cell")
+    blocks = tiles.select("tile", "blocks").distinct()
+    chunks = visits.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CHUNK))).cast("int").alias("chunks")).join(blocks, "tile")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    rows = index.join(chunks, "cell").select("cell", dealt("vec_id", "blocks").alias("block"), every("chunks").alias("chunk"), "vec_id", "vector", "point")
-    asked = visits.join(chunks, "cell").select("cell", every("blocks").alias("block"), dealt("query_id", "chunks").alias("chunk"), "query_id", "vector", "point", "reach")
-    keys = ["cell", "block", "chunk"]
-    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_verify(k), "query_id long, vec_id long, score double")
+    dealt = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    places = F.broadcast(tiles.select("cell", "tile").join(chunks, "tile"))  # a row for each cell, bounded by the sample
+    rows = index.join(places, "cell").select("tile", dealt("blocks", "vec_id", "vector").alias("block"), every("chunks").alias("chunk"), "cell", "vec_id", "vector", "point")
+    asked = visits.join(F.broadcast(chunks), "tile").select("tile", every("blocks").alias("block"), dealt("chunks", "query_id").alias("chunk"), "query_id", "vector", "point", "reach", "cells")
+    keys = ["tile", "block", "chunk"]
+    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double, verified long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, confidence: float = CONFIDENCE, seed: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows by cosine found for each query row, ties to the smaller vec_id.
+    """(query_id, rank, vec_id, score, verified): the k nearest rows by cosine found for each query row, ties to the smaller
+    vec_id; verified is the number of rows whose cosine with the query was computed.
 
-    Vectors that are null, zero, hold null or non-finite components or have not the table's most common length take no part,
-    as rows or queries. vec_id is taken to be unique; a query never meets a row with its own id. With k or fewer other rows
-    all are returned. Other columns are ignored. No rows give no rows.
+    Vectors that are null, zero, hold null or non-finite components take no part, as rows or queries; nor do those that have
+    not the table's most common length, since a cosine needs equal lengths. Rows that repeat a vec_id are one row: its best
+    score counts, and a query asks with the least of its vectors. A query never meets a row with its own id. With k or fewer
+    other rows all are returned. Other columns are ignored. No rows give no rows.
     """
     lengths = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dims = lengths["n"] if lengths else 0
+    dims, total = (lengths["n"], lengths["count"]) if lengths else (0, 0)
     rows = valid(vectors, dims)
-    total = rows.count()
-    rng = np.random.default_rng(seed)
-    directions = rng.standard_normal((max(dims, 1), M))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    v = np.zeros((0, M))
-    if len(sample):
-        v = np.array(sample["embedding"].tolist(), dtype=np.float64)
-        v = v / np.abs(v).max(axis=1, keepdims=True)
-        v = (v / np.sqrt((v * v).sum(axis=1, keepdims=True))) @ directions
-    tree = Tree(v, max(1, min(MAX_CELLS, total // CELL_ROWS)))
-    index = written(_indexed(rows, tree, directions), "ann-index")
-    blocks = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    queries = index.join(rows.where(is_query).select("vec_id"), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "vector", "point")
-    queries = written(queries, "ann-queries")
-    first = written(_best(_met(index, blocks, _visits(queries.withColumn("reach", F.lit(float("inf"))), tree, False), k), k), "ann-first")
-    kth = first.where(F.col("rank") == k).select("query_id", ((2 - 2 * F.col("score")) * chi_square_quantile(confidence, M) + 1e-12).alias("r"))
-    tested = queries.join(kth, "query_id", "left").select("query_id", "vector", "point", F.coalesce("r", F.lit(float("inf"))).alias("reach"))
-    rest = _met(index, blocks, _visits(tested, tree, True), k)
-    found = first.select("query_id", "vec_id", "score").unionByName(rest)
-    return _best(found, k).select("query_id", "rank", "vec_id", "score")
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).distinct().toArrow()["embedding"].combine_chunks()
+    u = _unit(sample.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, max(dims, 1))) if len(sample) else np.zeros((0, max(dims, 1)))
+    u = u[np.lexsort(u.T)]  # a set has no order
+    u = np.random.default_rng(seed).permutation(u)
+    m = best_dimension(u, k, confidence) if len(u) else DIMENSIONS[0]
+    directions = np.random.default_rng(seed).standard_normal((max(dims, 1), m))
+    tree = Tree(u @ directions, max(1, min(math.ceil(math.sqrt(total)), len(u) // CELL_SAMPLE)))
+    index = written(_indexed(rows.distinct(), tree, directions), "ann-index")
+    tile, tiles = _tiles(index, len(tree.lo))
+    queries = index.join(vectors.where(is_query).select(F.col("vec_id").cast("long").alias("vec_id")), "vec_id", "left_semi")
+    queries = written(queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("vector", "point")).alias("v")).select("query_id", "v.*"), "ann-queries")
+    factor = chi_square_quantile(confidence, m)
+    asked, found, at, to = queries.withColumn("reach", F.lit(float("inf"))), None, 0, FIRST_CELLS
+    while at < len(tree.lo):
+        visits = written(_visits(asked, tree, tile, at, to), "ann-visits")
+        if found is not None and visits.isEmpty():
+            break
+        met = written(_met(index, tiles, visits, _verify(k, factor, _dtype(rows))), "ann-found")
+        found = met if found is None else found.unionByName(met)
+        kth = _best(found, k).where(F.col("rank") == k).select("query_id", ((2 - 2 * F.col("score")) * factor + 1e-12).alias("r"))
+        asked = queries.join(kth, "query_id", "left").select("query_id", "vector", "point", F.coalesce("r", F.lit(float("inf"))).alias("reach"))
+        at, to = to, to + (to - at) * GROWTH
+    seen = found.groupBy("query_id").agg(F.sum("verified").alias("verified"))
+    return _best(found, k).join(seen, "query_id").select("query_id", "rank", "vec_id", "score", "verified")

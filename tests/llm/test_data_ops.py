@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,10 +215,7 @@ def brute_nearest(vectors, k):
     return out
 
 
-def test_neighbours_by_brute_force(spark, monkeypatch):
-    import caliper.llm.ann as ann
-
-    monkeypatch.setattr(ann, "CELL_ROWS", 100)
+def test_neighbours_by_brute_force(spark):
     rng = np.random.default_rng(3)
     centers = rng.standard_normal((12, 16))
     rows = [(i, (centers[i % 12] + 0.4 * rng.standard_normal(16)).tolist()) for i in range(1500)]
@@ -243,6 +241,37 @@ def test_few_vectors(spark):
     assert nearest(df.limit(1), F.col("vec_id") == 0).count() == 0
 
 
+def test_repeated_vectors_and_ids(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(30)]
+    rows += rows[:10] * 3 + [(0, [-x for x in rows[0][1]])] + [(100 + i, rows[1][1]) for i in range(40)]
+    df = spark.createDataFrame([(i, v, 0, "s") for i, v in rows], "vec_id long, embedding array<double>, cell int, vector string")
+    got = nearest(df, F.col("vec_id").isin(0, 1, 2)).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"]) for r in got] == [(q, k) for q in (0, 1, 2) for k in range(1, 6)]
+    assert all(len({r["vec_id"] for r in got if r["query_id"] == q}) == 5 for q in (0, 1, 2))
+    assert [r["vec_id"] for r in got if r["query_id"] == 1] == [100, 101, 102, 103, 104]
+
+
+def test_search_stops_early(spark, tmp_path):
+    """100,000 vectors in clusters: many cells, recall against brute force, few rows verified."""
+    rng = np.random.default_rng(1)
+    v = (rng.standard_normal((200, 64))[rng.integers(0, 200, 100_000)] + 0.5 * rng.standard_normal((100_000, 64))).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(len(v)), "embedding": pa.FixedSizeListArray.from_arrays(v.ravel(), 64).cast(pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "v.parquet", row_group_size=20_000)
+    got = defaultdict(set)
+    seen = {}
+    for r in nearest(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 500 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+        seen[r["query_id"]] = r["verified"]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for q in got:
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(got[q] & set(np.argpartition(-s, 5)[:5].tolist()))
+    assert len(got) == 200 and hits / 1000 >= 0.9 and sum(seen.values()) / 200 < 0.3 * len(v)
+
+
 def test_chi_square_and_tree():
     assert abs(chi_square_quantile(0.95, 8) - 15.507) < 1e-2
     p = np.random.default_rng(1).standard_normal((800, 8))
