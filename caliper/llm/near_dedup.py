@@ -3,9 +3,12 @@ components by alternating large-star and small-star.
 
 Shape of the work. Documents with the same shingle set are one node, the smallest id (an aggregate with map-side
 combine, so a group of copies of any size costs one row a task). Nodes meet in band buckets. Round one links each member
-of a bucket with the bucket's smallest id, one row a member. Round two looks only at buckets that still hold several
-components: tasks compare their members' signatures block against block, confirm what may be a link on the full sets of
-both texts, and hand on no more links than join the components.
+of a bucket with the bucket's smallest id, one row a member; full sets are compared where a hub's set meets a chunk of its
+partners. Round two looks only at buckets that still hold several components. A document that may link with one of another
+component shares a rare shingle with it (prefix filter: of n shingles in any common order the first n - ceil(0.8 n) + 1 of
+two linked sets meet; rarest first); the others leave, so that texts of one template cost no pairs. Tasks compare the
+signatures of the rest block against block, confirm what may be a link on the full sets of both texts, and hand on no more
+links than join the components. Hot keys (buckets, hubs, groups of copies) are joined by broadcast, see join_hot.
 """
 
 from __future__ import annotations
@@ -25,8 +28,12 @@ from caliper.llm.store import written
 #: A pair of similarity 0.8 shares none of 32 bands of 4 minima with probability 5e-8.
 BANDS, ROWS = 32, 4
 N_HASH = BANDS * ROWS
-#: Members of a bucket that are compared with one another in one task.
-BLOCK = 1024
+#: Members of a bucket that are compared with one another in one task, and the bytes of their sets.
+BLOCK, BLOCK_BYTES = 1024, 1 << 25
+#: Keys that join_hot sends to all tasks at most, and the rows from which a key may be one.
+HOT_KEYS, HOT_ROWS = 10_000, 1_000
+#: Slots of the counts by which round two orders shingles: 4 MB that are broadcast.
+SLOT_BITS = 20
 #: Document ids (8 bytes each) that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20240607)
@@ -75,20 +82,76 @@ def _sets(k: int):
 
 
 def _confirm(percent: int):
-    """Keeps pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """From rows (a, chunk, partner, members), those of one (a, chunk) adjacent and a's own set (partner null) first: pairs
+    (a, b) whose full sets have 100 * intersection >= percent * union. A hub's set and one partner's are held. An id that
+    stands with several texts has a set for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = intersection(s, t)
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            left, right = [], []
+            for a, c, b, x in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                members = np.frombuffer(x.as_buffer(), np.uint64)
+                if b is None:
+                    hub, own = (a, c), [*(own if hub == (a, c) else ()), members.copy()]
+                elif hub == (a, c) and any(100 * (both := intersection(h, members)) >= percent * (len(h) + len(members) - both) for h in own):
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _slot_counts(k: int):
+    """(slot, c): how often the shingles of a slot stand in the texts of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for b in batches:
+            for t in b.column(1):
+                total += 0 if not len(s := shingle_set(t.as_py(), k)) else np.bincount((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "c"])
+
+    return run
+
+
+def prefix(s: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, ties by hash: two sets of which 100 * intersection >= percent * union share one."""
+    order = np.lexsort((s, counts[(s >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]))
+    least = -(-percent * len(s) // 100)  # shingles that a linked set has in common with this one
+    return s[order[: len(s) - least + 1]]
+
+
+def _prefixes(k: int, percent: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 500):
+                part = b.slice(at, 500)
+                rare = [prefix(shingle_set(t.as_py(), k), percent, shared.value) for t in part.column(1)]
+                size = np.array([len(x) for x in rare], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.repeat(part.column(c).to_numpy(), size)) for c in (0, 2)), pa.array(np.concatenate(rare).view(np.int64) if rare else np.empty(0, np.int64))],
+                    names=["id", "component", "shingle"],
+                )
+
+    return run
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right, which has one or a few small rows a key, without a task that gets all rows of a hot key. Keys
+    with more than one HOT_KEYS-th of the rows of left, of which there are less than HOT_KEYS, are joined by broadcast. left
+    is read three times: a written table."""
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__c"))
+    total = counts.agg(F.sum("__c")).first()[0] or 0
+    hot = counts.where(F.col("__c") > max(HOT_ROWS, total // HOT_KEYS)).select(key)
+    hot = written(hot, "dedup-hot")
+    if hot.isEmpty():
+        return left.join(right, key)
+    often = left.join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key)
+    return left.join(F.broadcast(hot), key, "left_anti").join(right, key).unionByName(often)
+
+
 def _agreeing(floor: int):
     """Keeps pairs (a, b) of which at least `floor` minima agree."""
 
@@ -166,33 +229,40 @@ class _Linker:
         #: Four standard deviations below the minima that a pair at the threshold shares on average.
         self.floor = int(N_HASH * t - 4 * (N_HASH * t * (1 - t)) ** 0.5)
         self.docs = docs
-        self.members = feats.where("n_shingles > 0 and doc_id is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("id"))
-        nodes = feats.join(self.members.withColumnRenamed("id", "doc_id"), ["key1", "key2", "doc_id"], "left_semi")
+        self.members = feats.where("n_shingles > 0 and doc_id is not null").groupBy(F.struct("key1", "key2").alias("key")).agg(F.min("doc_id").alias("id"))
+        self.members = written(self.members, "dedup-members")
+        first = self.members.select(F.col("key.key1").alias("key1"), F.col("key.key2").alias("key2"), F.col("id").alias("doc_id"))
+        nodes = feats.join(first, ["key1", "key2", "doc_id"], "left_semi")
         self.nodes = written(nodes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig"), "dedup-nodes")
         band = F.explode(F.array(*[F.xxhash64(F.lit(j), F.expr(f"substring(sig, {4 * ROWS * j + 1}, {4 * ROWS})")) for j in range(BANDS)]))
-        bands = self.nodes.select("id", "n", band.alias("bucket"))
+        bands = written(self.nodes.select("id", "n", band.alias("bucket")), "dedup-bands")
         hubs = bands.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1")
+        hubs = written(hubs.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "dedup-hubs")
         #: (bucket, id, n, hub, hub_n) of the buckets with several members.
-        self.met = written(bands.join(hubs.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "bucket"), "dedup-met")
-
-    def _pairs_with(self, pairs: DataFrame, side: DataFrame) -> DataFrame:
-        """pairs (a, b) with column x of side (id, x) for either end."""
-        a = side.select(F.col("id").alias("a"), F.col("x").alias("x_a"))
-        b = side.select(F.col("id").alias("b"), F.col("x").alias("x_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "x_a", "x_b")
+        self.met = written(join_hot(bands, hubs, "bucket"), "dedup-met")
 
     def _texts(self, ids: DataFrame) -> DataFrame:
-        """Texts of distinct doc_ids. Up to BROADCAST_IDS ids go to the texts, beyond that the texts are shuffled to the ids."""
+        """(doc_id, text, other columns of ids) of distinct doc_ids. Up to BROADCAST_IDS ids go to the texts, beyond that the
+        texts are shuffled to the ids."""
         ids = written(ids, "dedup-ids")
         few = ids.count() <= BROADCAST_IDS
-        return self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text")
+        rest = [c for c in ids.columns if c != "doc_id"]
+        return self.docs.join(F.broadcast(ids) if few else ids, "doc_id").select("doc_id", "text", *rest)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b) those that are links."""
-        near = written(self._pairs_with(pairs, self.nodes.select("id", F.col("sig").alias("x"))).mapInArrow(_agreeing(self.floor), "a long, b long"), "dedup-near")
-        ends = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
-        sets = self._texts(ends).mapInArrow(_sets(self.k), "id long, members binary").where("length(members) > 0")
-        return written(self._pairs_with(near, sets.select("id", F.col("members").alias("x"))).mapInArrow(_confirm(self.percent), "a long, b long").distinct(), "dedup-links")
+        """Of distinct pairs (a, b) those that are links; a may have any number of partners, b has few."""
+        sig = self.nodes.select("id", "sig")
+        left = join_hot(written(pairs, "dedup-pairs"), sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
+        both = left.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
+        near = written(both.mapInArrow(_agreeing(self.floor), "a long, b long").distinct(), "dedup-near")
+        hubs = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("chunks"))
+        ends = hubs.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
+        sets = written(self._texts(ends).select("doc_id", "text").mapInArrow(_sets(self.k), "id long, members binary").where("length(members) > 0").distinct(), "dedup-sets")
+        chunk = F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk")
+        partners = join_hot(near, hubs, "a").select("a", chunk, "b").join(sets.withColumnRenamed("id", "b"), "b").select("a", "chunk", "b", "members")
+        own = hubs.join(sets.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "members")
+        met = partners.unionByName(own).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+        return written(met.mapInArrow(_confirm(self.percent), "a long, b long").distinct(), "dedup-links")
 
     def star_pairs(self) -> DataFrame:
         """Each member of a bucket with the bucket's smallest id, where the set sizes allow a link."""
@@ -203,18 +273,34 @@ class _Linker:
         """Links between the components that share a bucket. Buckets with the same smallest id are one group, so that what
         meets in many buckets is compared once or a few times; a large group is compared chunk by chunk."""
         labels = components.withColumnRenamed("component", "known")
-        labelled = self.met.select("id", "bucket", "hub").join(labels, "id", "left").withColumn("component", F.coalesce("known", "id"))
-        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        rows = written(labelled.join(mixed.select("bucket"), "bucket", "left_semi").select("hub", "id", "component").distinct(), "dedup-mixed")
-        chunks = rows.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("chunks"))
-        rows_ = rows.join(chunks, "hub").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        labelled = self.met.select("id", "n", "bucket", "hub").join(labels, "id", "left").withColumn("component", F.coalesce("known", "id"))
+        labelled = written(labelled.select("id", "n", "bucket", "hub", "component"), "dedup-labelled")
+        mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        met = join_hot(labelled, written(mixed, "dedup-mixed-buckets"), "bucket")
+        rows = written(met.select("hub", "id", "n", "component").distinct(), "dedup-mixed")
+        texts = written(self._texts(rows.select(F.col("id").alias("doc_id"), "component").distinct()), "dedup-mixed-texts")
+        able = written(self._able(texts), "dedup-able")
+        rows = written(rows.join(able, "id", "left_semi"), "dedup-able-rows")
+        parts = F.greatest(F.count(F.lit(1)) / F.lit(float(BLOCK)), F.sum("n") * 8 / F.lit(float(BLOCK_BYTES)))
+        groups = rows.groupBy("hub").agg(F.ceil(parts).cast("int").alias("chunks"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("hub", "chunks")
+        rows_ = join_hot(rows, written(groups, "dedup-groups"), "hub").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
         met = rows_.select("hub", "chunk", other, "id", "component")
-        sets = self._texts(rows.select(F.col("id").alias("doc_id")).distinct()).mapInArrow(_signed_sets(self.k), "id long, members binary, sig binary").where("sig is not null")
+        sets = texts.join(able.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_signed_sets(self.k), "id long, members binary, sig binary").where("sig is not null")
         keyed = met.join(sets, "id").select("hub", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "id", "component", "members", "sig")
         near = keyed.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "id")
         return written(near.mapInArrow(_join_components(self.floor, self.percent), "a long, b long").distinct(), "dedup-joining")
 
+    def _able(self, texts: DataFrame) -> DataFrame:
+        """Of (doc_id, text, component) the ids whose prefix shares a shingle with that of another component."""
+        slots = texts.select("doc_id", "text").mapInArrow(_slot_counts(self.k), "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+        counts = np.zeros(1 << SLOT_BITS, np.uint32)
+        counts[slots["slot"].to_numpy()] = np.minimum(slots["c"].to_numpy(), np.iinfo(np.uint32).max)
+        shared = texts.sparkSession.sparkContext.broadcast(counts)
+        rare = written(texts.mapInArrow(_prefixes(self.k, self.percent, shared), "id long, component long, shingle long"), "dedup-rare")
+        several = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+        return join_hot(rare, written(several, "dedup-several"), "shingle").select("id").distinct()
+
 
 def _components_of(links: DataFrame) -> DataFrame:
     return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -237,15 +323,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     joining = link.joining_links(components)
     if not joining.isEmpty():
         components = written(_components_of(links.unionByName(joining)), "dedup-components")
-    rep = link.members.join(components, "id", "left").select("key1", "key2", F.coalesce("component", "id").alias("rep"))
-    own = F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))
-    out = feats.select("doc_id", "n_shingles", "key1", "key2").join(rep, ["key1", "key2"], "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    rep = link.members.join(components, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
+    rows = feats.select("doc_id", "n_shingles", F.struct("key1", "key2").alias("key"))
+    linked = join_hot(rows.where("n_shingles > 0 and doc_id is not null"), rep, "key").select("doc_id", "n_shingles", "component_id")
+    alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates keeps, one for each doc_id, all columns as they were."""
-    keep = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    keep = written(near_duplicates(docs, k, percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "dedup-keep")
+    once = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi")
+    repeated = docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).select(docs.columns).unionByName(docs.where("doc_id is null"))
