@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from caliper.llm.shingles import mix
 
 ORDER = 4
-#: Training documents of a language, and as many again for calibration: the bound of the model's sample.
+#: Different training texts of a language, and as many again for calibration: the bound of the model's sample.
 DOCS_PER_LANGUAGE = 1500
 #: A text is rejected if it lies this many standard deviations above the expected cross-entropy, and this many times as
 #: far above it as nearly all calibration texts of its language: the quantile of those whose own label wins, less rows
@@ -193,12 +193,13 @@ def _kneser_ney(counts, order: int) -> Model:
 
 
 def _bounded(rows: DataFrame, per_lang: int, salt: int) -> DataFrame:
-    """About per_lang rows of each language, chosen by a hash of the text: whole texts, all of a rare language."""
-    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """About per_lang different texts of each language, chosen by a hash of the text: whole texts, each once, all of a rare
+    language. Only chosen texts are shuffled, copies combined before."""
+    n = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("n"))
     share = F.lit(float(per_lang)) / F.col("n")
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(salt), "text"), 11).cast("double") / F.lit(float(2**53))
     few = n.limit(MANY_LANGUAGES + 1).count() <= MANY_LANGUAGES
-    return rows.join(F.broadcast(n) if few else n, "lang").where(draw < share).select("text", "lang")
+    return rows.join(F.broadcast(n) if few else n, "lang").where(draw < share).groupBy("text", "lang").agg(F.count(F.lit(1)).alias("copies")).select("text", "lang")
 
 
 def fit(train: DataFrame, calibrate: DataFrame, order: int = ORDER, per_lang: int = DOCS_PER_LANGUAGE) -> Model:
@@ -290,7 +291,9 @@ def _load(shared) -> Model:
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) for each row of docs (doc_id, text), whole texts, no shuffle."""
+    """(doc_id, lang_pred, score, rejected) for each row of docs (doc_id, text), whole texts, no shuffle. Null texts and those
+    without a letter are 'und', score 0, rejected; repeated rows are predicted alike; other columns are ignored; no rows give
+    no rows."""
     shared = _shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +307,8 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that the model does not reject, all columns as they were, no shuffle."""
+    """The rows of docs that the model does not reject, all columns as they were, no shuffle. Null texts and those without a
+    letter are rejected; repeated rows go or stay together; no rows give no rows."""
     shared = _shared(docs, model)
     at = docs.columns.index("text")
 
