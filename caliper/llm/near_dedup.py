@@ -32,8 +32,8 @@ N_HASH = BANDS * ROWS
 BLOCK, BLOCK_BYTES = 1024, 1 << 25
 #: Keys that join_hot sends to all tasks at most, and the rows from which a key may be one.
 HOT_KEYS, HOT_ROWS = 10_000, 1_000
-#: Slots of the counts by which round two orders shingles: 4 MB that are broadcast.
-SLOT_BITS = 20
+#: Slots of the counts by which round two orders shingles: 1 MB that is broadcast, 4 MB of counts to the driver.
+SLOT_BITS = 18
 #: Document ids (8 bytes each) that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 _rng = np.random.default_rng(20240607)
@@ -108,8 +108,9 @@ def _slot_counts(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for b in batches:
-            for t in b.column(1):
-                total += 0 if not len(s := shingle_set(t.as_py(), k)) else np.bincount((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
+            for at in range(0, len(b), 500):
+                s = np.concatenate([shingle_set(t.as_py(), k) for t in b.column(1).slice(at, 500)])
+                total += np.bincount((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "c"])
 
