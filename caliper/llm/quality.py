@@ -1,12 +1,13 @@
 """Quality classifier: ordinal cumulative-link regression on hashed text.
 
 P(grade <= g) = sigmoid(threshold[g] - w . x) with one weight vector w for all grades and increasing thresholds. x holds
-hashed words, hashed word shapes and the repeated words of the whole text, the square root of their share each, so that x has the same length
-for texts of any length. The fit uses a bounded sample of rated rows; every document is scored.
+hashed words, heads of words, word shapes and the repeated words of the whole text, the square root of their share each, so
+that x has the same length for texts of any length. The fit uses a bounded sample of rated rows; every document is scored.
 
 What parts the grades above the first (toxic words) says nothing of the first (junk), so that one w for both finds few toxic
 texts. fit() adds, for each grade g from 2, a link with weights of its own on the rows of grade g - 1 or more, and
-P(grade >= g) = P(grade >= g - 1) P(grade >= g | grade >= g - 1). The limits of these tails come from rows left out of the fit.
+P(grade >= g) = P(grade >= g - 1) P(grade >= g | grade >= g - 1). The limit of the last factor comes from rows left out of the
+fit. Only these links use the heads of words.
 """
 
 from __future__ import annotations
@@ -20,16 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caliper.llm.shingles import _hash_block, mix
+from caliper.llm.shingles import head_hashes, mix
 
 BITS = 18
-#: Rated rows that the fit may use.
+#: Bytes of a word's heads, which words of one stem share.
+HEADS = (5, 7)
+#: Ratings that the fit may use, and different rated texts; repeated ones are a weight.
 MAX_RATED = 4000
 #: A document stays if P(grade >= 1), grade 0 being low quality, is this or more.
 KEEP_AT = 0.5
-#: Share of the rows of grade g or more, left out of the fit, that may lie below the limit of P(grade >= g), g from 2; with
-#: fewer such rows, or fewer below, than LEAST_RATED there is no limit.
-LOST, LEAST_RATED = 0.001, 30
+#: Share of the rows of grade g or more, left out of the fit, that may lie below the limit of P(grade >= g | grade >= g - 1),
+#: g from 2; with fewer such rows, or fewer below, than LEAST_RATED there is no limit. Parts that are left out in turn.
+LOST, LEAST_RATED, FOLDS = 0.002, 30, 3
+#: Where the places of shapes and of heads begin; words come before.
+_SHAPES, _HEADS = 2 ** (BITS - 1), 3 * 2 ** (BITS - 2)
 _BLOCK = 1 << 20
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 _SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else 32 if b <= 32 else b for b in range(256))
@@ -44,24 +49,27 @@ def _blocks(data: bytes) -> Iterator[bytes]:
         at = to
 
 
-def _shares(hashes: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    at, count = np.unique((hashes >> np.uint64(64 - BITS + 1)).astype(np.int32), return_counts=True)
-    return at + half * 2 ** (BITS - 1), np.sqrt(count / max(1, len(hashes))).astype(np.float32)
+def _shares(hashes: np.ndarray, start: int, places: int) -> tuple[np.ndarray, np.ndarray]:
+    at, count = np.unique((hashes >> np.uint64(32)).astype(np.int64) * places >> 32, return_counts=True)
+    return (at + start).astype(np.int32), np.sqrt(count / max(1, len(hashes))).astype(np.float32)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values; the lower half of the space is words, the upper half shapes, its last place the words that
+    """Indices and values; words have half of the places, shapes and heads a quarter each; the last place is for the words that
     repeat the one before. Null is the empty text."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    words = [_hash_block(b) for b in _blocks(data.translate(_WORD))]
-    shapes = []
+    words, shapes = [], []
+    for b in _blocks(data.translate(_WORD)):
+        words.append(head_hashes(b, (0, *HEADS)))
     for b in _blocks(data.translate(_SHAPE)):
         a = np.frombuffer(b, np.uint8)
-        shapes.append(mix(_hash_block(a[np.r_[True, a[1:] != a[:-1]]].tobytes())))
-    none = [np.empty(0, np.uint64)]
-    word, shape = np.concatenate(words or none), np.concatenate(shapes or none)
+        shapes.append(mix(head_hashes(a[np.r_[True, a[1:] != a[:-1]]].tobytes(), (0,))[0]))
+    none = np.empty(0, np.uint64)
+    word, *heads = (np.concatenate([none, *(w[i] for w in words)]) for i in range(1 + len(HEADS)))
+    shape = np.concatenate([none, *shapes])
     repeats = np.sqrt((word[1:] == word[:-1]).sum() / max(1, len(word)))
-    parts = [_shares(word, 0), _shares(shape, 1), (np.array([2**BITS - 1], np.int32), np.array([repeats], np.float32))]
+    last = (np.array([2**BITS - 1], np.int32), np.array([repeats], np.float32))
+    parts = [_shares(word, 0, _SHAPES), _shares(shape, _SHAPES, _HEADS - _SHAPES), *(_shares(h, _HEADS, 2**BITS - 1 - _HEADS) for h in heads), last]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
@@ -74,7 +82,7 @@ class Ordinal:
     weights: np.ndarray
     thresholds: np.ndarray  #: one fewer than grades
     upper: list[Ordinal] = field(default_factory=list)  #: two grades each: P(grade >= g | grade >= g - 1) for g from 2
-    limits: list[float] = field(default_factory=list)  #: least P(grade >= g) that a kept text may have, g from 2
+    limits: list[float] = field(default_factory=list)  #: least P(grade >= g | grade >= g - 1) of a kept text, g from 2
 
     def tails(self, text: str | None) -> np.ndarray:
         """P(grade >= 1), P(grade >= 2), ..."""
@@ -87,88 +95,104 @@ class Ordinal:
         return out
 
     def keeps(self, tails: np.ndarray, grade: int = 1, keep_at: float = KEEP_AT) -> bool:
-        return bool(tails[grade - 1] >= keep_at and all(t >= x for t, x in zip(tails[1:], self.limits, strict=False)))
+        return bool(tails[grade - 1] >= keep_at and all(t >= x * before for t, before, x in zip(tails[1:], tails, self.limits, strict=False)))
 
 
-def fit_arrays(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, l2: float = 3e-5, steps: int = 250) -> Ordinal:
-    """Full-batch Adam on the mean negative log likelihood. A grade without rows keeps its threshold near its neighbour."""
+def cut_points(theta: np.ndarray) -> np.ndarray:
+    """Increasing thresholds from the lowest one and the logarithms of the gaps."""
+    return np.r_[theta[0], theta[0] + np.cumsum(np.exp(theta[1:]))]
+
+
+def loss_and_slopes(z: np.ndarray, theta: np.ndarray, grades: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted negative log likelihood of the grades at scores z, and its derivatives by z and by theta (cut_points)."""
+    cut = cut_points(theta)
+    below = _sigmoid(np.c_[np.full(len(z), -1e3), cut[None, :] - z[:, None], np.full(len(z), 1e3)])
+    i = np.arange(len(z))
+    hi, lo = below[i, grades + 1], below[i, grades]
+    p = np.maximum(hi - lo, 1e-12)
+    d_hi, d_lo = share * hi * (1 - hi) / p, share * lo * (1 - lo) / p
+    by_cut = np.array([(d_lo * (grades == g + 1) - d_hi * (grades == g)).sum() for g in range(len(cut))])
+    by_theta = np.r_[by_cut.sum(), [by_cut[j:].sum() * np.exp(theta[j]) for j in range(1, len(cut))]]
+    return float(-(share * np.log(p)).sum()), d_hi - d_lo, by_theta
+
+
+def fit_arrays(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, l2: float = 3e-5, steps: int = 250, weight: np.ndarray | None = None) -> Ordinal:
+    """Full-batch Adam on the mean negative log likelihood. A grade without rows keeps its threshold near its neighbour.
+    weight: how often each row stands, once by default."""
     k = n_grades - 1
-    w, low, gaps = np.zeros(2**BITS), np.zeros(1), np.zeros(max(0, k - 1))
+    w = np.zeros(2**BITS)
     if not rows:
         return Ordinal(w.astype(np.float32), np.arange(k, dtype=float))
+    share = np.full(len(rows), 1 / len(rows)) if weight is None else weight / weight.sum()
     at = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    value = np.concatenate([r[1] for r in rows]).astype(float)
+    value = np.concatenate([r[1] for r in rows]).astype(np.float32)
     size = np.array([len(r[0]) for r in rows])
-    row = np.repeat(np.arange(len(rows)), size)
+    first = np.cumsum(size) - size  # of each row; no row is empty
     used, at = np.unique(at, return_inverse=True)
-    theta = np.concatenate([np.zeros(len(used)), low, gaps])
+    by_feature = np.argsort(at, kind="stable")
+    row, turned = np.repeat(np.arange(len(rows)), size)[by_feature], value[by_feature]
+    first_of = np.searchsorted(at[by_feature], np.arange(len(used)))
+    theta = np.zeros(len(used) + k)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        u = theta[: len(used)]
-        cut = np.r_[theta[len(used)], theta[len(used)] + np.cumsum(np.exp(theta[len(used) + 1 :]))] if k > 1 else theta[len(used) :][:1]
-        z = np.bincount(row, weights=u[at] * value, minlength=len(rows))
-        below = _sigmoid(np.c_[np.full(len(rows), -1e3), cut[None, :] - z[:, None], np.full(len(rows), 1e3)])
-        i = np.arange(len(rows))
-        hi, lo = below[i, grades + 1], below[i, grades]
-        p = np.maximum(hi - lo, 1e-12)
-        d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        g_z = (d_hi - d_lo) / len(rows)  # of -log p by z
-        g_cut = np.array([(-(d_hi * (grades == g)) + d_lo * (grades == g + 1)).sum() / len(rows) for g in range(k)])
-        g = np.concatenate([np.bincount(at, weights=value * g_z[row], minlength=len(used)) + l2 * u, [g_cut.sum()], [g_cut[j + 1 :].sum() * np.exp(theta[len(used) + 1 + j]) for j in range(k - 1)]])
+        u = theta[: len(used)].astype(np.float32)
+        z = np.add.reduceat(u[at] * value, first).astype(float)
+        _, by_z, by_theta = loss_and_slopes(z, theta[len(used) :], grades, share)
+        g = np.r_[np.add.reduceat(turned * by_z.astype(np.float32)[row], first_of) + l2 * u, by_theta]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     w[used] = theta[: len(used)]
-    cut = np.r_[theta[len(used)], theta[len(used)] + np.cumsum(np.exp(theta[len(used) + 1 :]))] if k > 1 else theta[len(used) :][:1]
-    return Ordinal(w.astype(np.float32), cut)
+    return Ordinal(w.astype(np.float32), cut_points(theta[len(used) :]))
 
 
-def _with_upper(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int) -> Ordinal:
-    model = fit_arrays(rows, grades, n_grades)
+def fit_calibrated(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, weight: np.ndarray | None = None) -> Ordinal:
+    """A model of all rows. The limit of a link comes from what each of FOLDS parts of its rows gets under a link fitted on the
+    others; equal texts share a part."""
+    weight = np.ones(len(rows)) if weight is None else weight
+    plain = [(x[keep], v[keep]) for x, v in rows for keep in [(x < _HEADS) | (x == 2**BITS - 1)]]
+    model = fit_arrays(plain, grades, n_grades, weight=weight)
+    part = np.array([zlib.crc32(x.tobytes() + v.tobytes()) for x, v in rows], np.int64) % FOLDS
     for g in range(2, n_grades):
         at = np.flatnonzero(grades >= g - 1)
-        if (grades >= g).sum() < LEAST_RATED or (grades == g - 1).sum() < LEAST_RATED:
+        better = (grades[at] >= g).astype(int)
+        if min(better.sum(), len(at) - better.sum()) < LEAST_RATED:
             break
-        model.upper.append(fit_arrays([rows[i] for i in at], (grades[at] >= g).astype(int), 2))
-    return model
-
-
-def fit_calibrated(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int) -> Ordinal:
-    """A model of all rows. The rows are halved twice and each half is scored by the model of the other; equal texts share
-    a half. The lower of the two limits counts."""
-    model = _with_upper(rows, grades, n_grades)
-    digest = np.array([zlib.crc32(x.tobytes() + v.tobytes()) for x, v in rows], np.int64)
-    limits = []
-    for bit in (0, 1) if model.upper else ():
-        half = digest >> bit & 1
-        tails = np.zeros((len(rows), n_grades - 1))
-        for h in (0, 1):
-            other = np.flatnonzero(half != h)
-            part = _with_upper([rows[i] for i in other], grades[other], n_grades)
-            if len(part.upper) < len(model.upper):
-                return model
-            for i in np.flatnonzero(half == h):
-                tails[i] = part.tails_of(*rows[i])
-        limits.append([float(np.quantile(tails[grades >= g, g - 1], LOST)) for g in range(2, 2 + len(model.upper))])
-    model.limits = [min(x) for x in zip(*limits, strict=True)]
+        link = lambda i: fit_arrays([rows[x] for x in at[i]], better[i], 2, weight=weight[at[i]])  # noqa: E731, B023
+        model.upper.append(link(np.arange(len(at))))
+        left_out = np.zeros(len(at))
+        for h in range(FOLDS):
+            own = part[at] == h
+            rest = link(np.flatnonzero(~own))
+            left_out[own] = [rest.tails_of(*rows[x])[0] for x in at[own]]
+        model.limits.append(float(np.quantile(left_out[better == 1], LOST)))
     return model
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [features(t.as_py()) for t in b.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes() for x, _ in got], pa.binary()), pa.array([y.tobytes() for _, y in got], pa.binary()), b.column(1)], names=["at", "value", "grade"])
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes() for x, _ in got], pa.binary()), pa.array([y.tobytes() for _, y in got], pa.binary()), b.column(1), b.column(2)], names=["at", "value", "grade", "n"])
+
+
+def rated_features(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rated: int = MAX_RATED) -> DataFrame:
+    """(at, value, grade, n): at most max_rated rated texts as features, chosen by a hash, and how often each stands so."""
+    usable = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where(F.col("grade").between(0, n_grades - 1) & F.col("doc_id").isNotNull())
+    counted = usable.groupBy("doc_id", "grade").agg(F.count(F.lit(1)).alias("n"))
+    chosen = counted.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_rated)
+    rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("text", "grade").agg(F.sum("n").alias("n"))
+    found = rated.mapInArrow(_extract, "at binary, value binary, grade int, n long")
+    return found.orderBy(F.xxhash64("at", "value"), "grade", "n").limit(max_rated)
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rated: int = MAX_RATED) -> Ordinal:
-    """docs (doc_id, text), ratings (doc_id, grade int from 0). At most max_rated ratings, chosen by a hash of the id;
-    ratings with a null in either column or of another grade are left out, repeated ones count as often as they stand."""
-    usable = ratings.select("doc_id", "grade").where(F.col("grade").between(0, n_grades - 1) & F.col("doc_id").isNotNull())
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_rated)
-    rated = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("grade").cast("int").alias("grade"))
-    got = rated.mapInArrow(_extract, "at binary, value binary, grade int").toPandas()
+    """docs (doc_id, text), ratings (doc_id, grade int from 0). At most max_rated different ratings, chosen by a hash of the
+    id, and as many different texts come to the driver, as features; ratings with a null in either column or of another grade
+    are left out, repeated ratings and repeated texts count as often as they stand. A rated null text is the empty one. No
+    ratings: a model that gives every text the same tails."""
+    got = rated_features(docs, ratings, n_grades, max_rated).toPandas()
     rows = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(got["at"], got["value"], strict=True)]
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0].tobytes(), rows[i][1].tobytes(), got["grade"][i]))  # reruns agree
-    return fit_calibrated([rows[i] for i in order], got["grade"].to_numpy()[order].astype(int), n_grades)
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0].tobytes(), rows[i][1].tobytes(), got["grade"][i], got["n"][i]))  # reruns agree
+    return fit_calibrated([rows[i] for i in order], got["grade"].to_numpy()[order].astype(int), n_grades, got["n"].to_numpy()[order].astype(float))
 
 
 def scored(docs: DataFrame, model: Ordinal) -> DataFrame:
@@ -186,7 +210,7 @@ def scored(docs: DataFrame, model: Ordinal) -> DataFrame:
 
 def selected(docs: DataFrame, model: Ordinal, grade: int = 1, keep_at: float = KEEP_AT) -> DataFrame:
     """The rows of docs with P(grade or better) >= keep_at and the model's limits of the other tails, all columns as they
-    were. No shuffle."""
+    were. Null and empty texts are judged as the empty text, repeated rows alike; no rows give no rows. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -31,17 +31,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_block(data: bytes) -> np.ndarray:
+def head_hashes(data: bytes, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each length a hash of the first bytes of each word of data, parted by spaces; 0: of the whole word."""
     a = np.frombuffer(data, dtype=np.uint8)
     inside = np.zeros(len(a) + 2, dtype=np.int8)
     inside[1:-1] = a != 32
     edge = np.diff(inside)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
-        return np.empty(0, dtype=np.uint64)
+        return [np.empty(0, dtype=np.uint64)] * len(lengths)
     sums = np.zeros(len(a) + 1, dtype=np.uint64)
     np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(a)), out=sums[1:])
-    return mix((sums[end] - sums[start]) * _powers(_INVERSE, len(a))[start])
+    back = _powers(_INVERSE, len(a))[start]
+    return [mix((sums[np.minimum(end, start + n) if n else end] - sums[start]) * back + np.uint64(n)) for n in lengths]
+
+
+def _hash_block(data: bytes) -> np.ndarray:
+    return head_hashes(data, (0,))[0]
 
 
 def word_hashes(text: str) -> np.ndarray:

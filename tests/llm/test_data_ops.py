@@ -346,6 +346,43 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100} | {200 + i: 100 for i in range(300)}
 
 
+def test_prefixes_of_linked_sets_meet():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 50, 1 << near_dedup.SLOT_BITS).astype(np.uint32)
+    for n in (1, 2, 5, 40, 300):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for drop in range(n // 4 + 1):
+            b = np.unique(np.r_[a[drop:], rng.integers(0, 2**64, rng.integers(0, 3), dtype=np.uint64)])
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 80 * (len(a) + len(b) - both):
+                assert len(np.intersect1d(near_dedup.prefix(a, 80, counts), near_dedup.prefix(b, 80, counts)))
+
+
+def test_texts_of_one_template_cost_no_pairs(spark):
+    """Pairs at 0.66 share buckets but no rare shingle: none is handed to the comparison of round two."""
+    rng = random.Random(2)
+    frame = [f"t{i}" for i in range(300)]
+    rows = [(i, " ".join(frame[:240] + [f"w{rng.random()}" for _ in range(62)])) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, k=1).collect()}
+    assert got == {i: i - 1000 if i >= 1000 else i for i, _ in rows}
+    feats = docs.mapInArrow(near_dedup._features(1), "doc_id long, n_shingles long, key1 long, key2 long, sig binary")
+    link = near_dedup._Linker(docs, feats, 1, 80)
+    assert link.met.count() > 600
+    texts = docs.select("doc_id", "text", F.col("doc_id").alias("component")).where("doc_id < 1000")
+    assert link._able(texts).count() == 0
+
+
+def test_hot_keys_join_whole(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 5)
+    monkeypatch.setattr(near_dedup, "HOT_KEYS", 10)
+    left = spark.createDataFrame([(i, k) for i, k in enumerate([1] * 60 + [2] * 3 + [3] * 30 + [None, 4, 5])], "i int, k int")
+    right = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (5, "d"), (9, "e")], "k int, x string")
+    pairs = lambda df: sorted((r["i"], r["x"]) for r in df.collect())
+    assert pairs(near_dedup.join_hot(left, right, "k")) == pairs(left.join(right, "k"))
+
+
 @data
 def test_near_duplicates_of_the_table(spark):
     rows = [(r["doc_id"], r["text"], None) for r in spark.read.parquet(f"{ROOT}/documents.parquet").where("doc_id % 4 = 0").collect()]
