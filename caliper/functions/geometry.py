@@ -4,6 +4,7 @@ its width line and of its length line. An affine map is [a, b, c, d, e, f]: x' =
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from caliper.functions.arrays import let, total
 
 LEAST_SCALE = 1e-6
+LEAST_WEIGHT = 1e-8
 
 
 def _pairs(points: Column) -> Column:
@@ -104,6 +106,18 @@ def length_error_cm(pred: Column, truth: Column, line: int, scale: Column, mask:
     return F.when(mask > 0, F.try_divide(error, scale))
 
 
+def point_error_cm(pred: Column, truth: Column, line: int, scale: Column, masks: tuple[Column, Column]) -> Column:
+    """Mean distance in cm of a line's matched ends over those whose mask is above 0; NULL if none is or the scale is NULL."""
+
+    def mean(s: Column) -> Column:
+        at = (2 * line, 2 * line + 1)
+        errors = F.array(*[F.when(m > 0, distance(s["p"], i, s["g"], at[i])) for i, m in enumerate(masks)])
+        counted = F.filter(errors, lambda x: x.isNotNull())
+        return F.try_divide(total(counted), F.size(counted) * scale)
+
+    return let(F.struct(match_ends(pred, truth, line).alias("p"), truth.alias("g")), mean)
+
+
 def inside(x: Column, y: Column, width: float, height: float) -> Column:
     """Half-open bounds."""
     return (x >= 0) & (x < width) & (y >= 0) & (y < height)
@@ -180,6 +194,17 @@ def cross_entropy(logits: Column, target: Column) -> Column:
     return F.aggregate(F.zip_with(logp, let(target, _scaled), lambda a, t: -a * t), F.lit(0.0), lambda a, x: a + x)
 
 
+def squared_error(a: Column, b: Column) -> Column:
+    return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
+
+
+def masked_line_loss(pred: list[Column], truth: list[Column], masks: list[Column], loss: Callable[[Column, Column], Column], terms: float = 1.0) -> Column:
+    """Mean loss of lines whose ends are pairs of maps, over the lines' masks: of both ways to match the ends the cheaper one.
+    `terms` is the number of terms that a line's loss adds up."""
+    sums = [F.least(loss(pred[i], truth[i]) + loss(pred[i + 1], truth[i + 1]), loss(pred[i], truth[i + 1]) + loss(pred[i + 1], truth[i])) for i in range(0, len(pred), 2)]
+    return sum((s * m for s, m in zip(sums, masks, strict=True)), F.lit(0.0)) / F.greatest(sum(masks, F.lit(0.0)) * terms, F.lit(LEAST_WEIGHT))
+
+
 def crop_to_image(p: Column, crop: float, box0: Column, box_side: Column) -> Column:
     """A coordinate in a crop scaled to `crop` pixels, back in the image that the box was cut from."""
     return p * box_side / crop + box0

@@ -26,12 +26,6 @@ def rmse(a: Column, b: Column) -> Column:
     return F.sqrt(F.avg((a - b) * (a - b)))
 
 
-def ema(values: Column, beta: float) -> Column:
-    """Exponential moving average of a list, seeded by its first value; the list of all its steps."""
-    step = lambda acc, x: F.array_append(acc, F.when(F.size(acc) == 0, x).otherwise(F.element_at(acc, -1) * beta + x * (1 - beta)))
-    return F.aggregate(values, F.array().cast("array<double>"), step)
-
-
 def running(agg: Column, order: WindowSpec, including: bool = True) -> Column:
     """A running aggregate up to the current row, or up to the one before it."""
     return agg.over(order.rowsBetween(Window.unboundedPreceding, 0 if including else -1))

@@ -1,48 +1,128 @@
-"""Ranks and quantiles of groups that no task could hold.
+"""Ranks, places and quantiles of groups that no task could hold.
 
 Values are counted first, with map-side combine. Approximate percentiles, which have a bounded size, cut each group into
 ranges; a range's start is a running sum over the group's few ranges, and positions within a range are a window over that
-range alone. The results are exact: the percentiles only decide where the cuts are.
+range alone. The results are exact: the percentiles only decide where the cuts are. Groups are one struct column inside, in
+which NULL equals NULL, so that NULL keys are groups like others and no keys are one group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caliper.sources.scratch import written
+
 RANGES = 64
+KEY = "__key"
+
+
+def _key(keys: Sequence[str]) -> Column:
+    return F.struct(F.lit(0).alias("__"), *keys).alias(KEY)
+
+
+def _keys(keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"{KEY}.{k}").alias(k) for k in keys]
+
+
+def _before(counts: DataFrame, part: str) -> DataFrame:
+    """(KEY, part, __start) of counts (KEY, part, n): the group's rows in earlier parts."""
+    earlier = Window.partitionBy(KEY).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.groupBy(KEY, part).agg(F.sum("n").alias("__n")).select(KEY, part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+
+
+def _counts_before(df: DataFrame, keys: Sequence[str], x: str, ranges: int) -> DataFrame:
+    counts = df.where(F.col(x).isNotNull()).groupBy(_key(keys), x).agg(F.count(F.lit(1)).alias("n"))
+    cuts = counts.groupBy(KEY).agg(F.percentile_approx(x, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("__cuts"))
+    place = F.array_position(F.sort_array(F.array_append("__cuts", F.col(x))), F.col(x))  # 1 + the number of smaller cuts
+    cut = counts.join(cuts, KEY).withColumn("__range", place).drop("__cuts")
+    within = Window.partitionBy(KEY, "__range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.withColumn("__at", F.coalesce(F.sum("n").over(within), F.lit(0))).join(_before(cut, "__range"), [KEY, "__range"])
+    return placed.select(KEY, x, "n", (F.col("__start") + F.col("__at")).alias("before"))
 
 
 def counts_before(df: DataFrame, keys: Sequence[str], x: str, ranges: int = RANGES) -> DataFrame:
     """(keys, x, n, before): each distinct non-null value of a group, its rows, and the group's rows with smaller values."""
-    keys = list(keys)
-    counts = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n"))
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(x, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("__cuts"))
-    place = F.array_position(F.sort_array(F.array_append("__cuts", F.col(x))), F.col(x))  # 1 + the number of smaller cuts
-    cut = counts.join(cuts, keys).withColumn("__range", place).drop("__cuts")
-    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy(*keys, "__range").agg(F.sum("n").alias("__n")).select(*keys, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    within = Window.partitionBy(*keys, "__range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.withColumn("__at", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, [*keys, "__range"])
-    return placed.select(*keys, x, "n", (F.col("__start") + F.col("__at")).alias("before"))
+    return _counts_before(df, keys, x, ranges).select(*_keys(keys), x, "n", "before")
+
+
+def _at_positions(df: DataFrame, keys: Sequence[str], x: str, positions: dict[str, Column]) -> DataFrame:
+    """(KEY, __total, the value at each position from 0); positions are expressions of __total."""
+    placed = _counts_before(df, keys, x, RANGES)
+    totals = placed.groupBy(KEY).agg(F.sum("n").alias("__total"))
+    holds = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
+    return placed.join(totals, KEY).groupBy(KEY, "__total").agg(*[F.max(F.when(holds(at), F.col(x))).alias(name) for name, at in positions.items()])
 
 
 def nearest_quantiles(df: DataFrame, keys: Sequence[str], x: str, quantiles: dict[str, float]) -> DataFrame:
     """(keys, a column for each quantile): the value at position round(q * (n - 1)), half to even, of the sorted values."""
-    keys = list(keys)
-    placed = counts_before(df, keys, x)
-    totals = placed.groupBy(*keys).agg(F.sum("n").alias("__total"))
-    at = lambda q: F.rint(F.lit(q) * (F.col("__total") - 1)).cast("bigint")
-    holds = lambda q: (F.col("before") <= at(q)) & (at(q) < F.col("before") + F.col("n"))
-    return placed.join(totals, keys).groupBy(*keys).agg(*[F.max(F.when(holds(q), F.col(x))).alias(name) for name, q in quantiles.items()])
+    at = {name: F.rint(F.lit(q) * (F.col("__total") - 1)).cast("bigint") for name, q in quantiles.items()}
+    return _at_positions(df, keys, x, at).select(*_keys(keys), *quantiles)
+
+
+def interpolated_quantiles(df: DataFrame, keys: Sequence[str], x: str, quantiles: dict[str, float]) -> DataFrame:
+    """(keys, a column for each quantile): the value at position q * (n - 1) of the sorted values, in double, linear between
+    the two nearest. Groups without a value have no row."""
+    at, out = {}, []
+    for name, q in quantiles.items():
+        p = F.lit(q) * (F.col("__total") - 1)
+        low, high = F.col(f"__lo_{name}").cast("double"), F.col(f"__hi_{name}").cast("double")
+        at |= {f"__lo_{name}": F.floor(p), f"__hi_{name}": F.ceil(p)}
+        out.append((low + (high - low) * (p - F.floor(p))).alias(name))
+    return _at_positions(df, keys, x, at).select(*_keys(keys), *out)
+
+
+def with_quantiles(df: DataFrame, keys: Sequence[str], x: str, quantiles: dict[str, float], aggs: Sequence[Column]) -> DataFrame:
+    """(keys, aggs, a column for each interpolated quantile of x, NULL in groups without a value)."""
+    keyed = df.groupBy(_key(keys)).agg(*aggs)
+    found = interpolated_quantiles(df, keys, x, quantiles).select(_key(keys), *quantiles)
+    return keyed.join(found, KEY, "left").select(*_keys(keys), *[c for c in keyed.columns if c != KEY], *quantiles)
 
 
 def with_percentile_rank(df: DataFrame, keys: Sequence[str], x: str, name: str) -> DataFrame:
     """df with the average-method rank of x over the group's size, in (0, 1]; NULL values have none and do not count."""
-    keys = list(keys)
-    placed = counts_before(df, keys, x)
-    totals = placed.groupBy(*keys).agg(F.sum("n").alias("__total"))
-    ranks = placed.join(totals, keys).select(*keys, x, ((F.col("before") + (F.col("n") + 1) / 2.0) / F.col("__total")).alias(name))
-    return df.join(ranks, [*keys, x], "left").select(*df.columns, name)
+    placed = _counts_before(df, keys, x, RANGES)
+    totals = placed.groupBy(KEY).agg(F.sum("n").alias("__total"))
+    ranks = placed.join(totals, KEY).select(KEY, x, ((F.col("before") + (F.col("n") + 1) / 2.0) / F.col("__total")).alias(name))
+    return df.select("*", _key(keys)).join(ranks, [KEY, x], "left").select(*df.columns, name)
+
+
+def placed_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, total: str | None = None) -> DataFrame:
+    """df with `name`, the row's place from 1 within its group, and `total`, the group's rows. The order must leave no ties.
+
+    Rows are parted by ranges of (group, order) and written, so that the parts stay what they are; each part numbers its own
+    rows from the group's rows in the parts before it. For groups of any size; rows of a small group are numbered by a window.
+    """
+    ranged = df.select("*", _key(group)).repartitionByRange(KEY, *order)
+    parts = written(ranged.withColumn("__part", F.spark_partition_id()), "places")
+    counts = parts.groupBy(KEY, "__part").agg(F.count(F.lit(1)).alias("n"))
+    within = F.row_number().over(Window.partitionBy(KEY, "__part").orderBy(*order))
+    out = parts.withColumn("__at", within).join(_before(counts, "__part"), [KEY, "__part"]).withColumn(name, (F.col("__start") + F.col("__at")).cast("bigint"))
+    if total:
+        out = out.join(counts.groupBy(KEY).agg(F.sum("n").alias(total)), KEY)
+    return out.select(*df.columns, name, *([total] if total else []))
+
+
+def running_ema(df: DataFrame, run: str, order: str, x: str, beta: float) -> DataFrame:
+    """(run, step from 1, ema): the exponential moving average of each run, seeded by its first value; a NULL value keeps it.
+
+    A run is a recurrence, so one task takes it, batch by batch: it holds the last average, not the run."""
+
+    def steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last, step = None, float("nan"), 0
+        for f in frames:
+            out = []
+            for key, rows in f.groupby(run, sort=False, dropna=False):
+                if step == 0 or not (key == now or (pd.isna(key) and pd.isna(now))):
+                    now, last, step = key, float("nan"), 0
+                values = pd.concat([pd.Series([last]), rows[x].astype(float)], ignore_index=True)
+                mean = values.ewm(alpha=1 - beta, adjust=False, ignore_na=True).mean().iloc[1:]
+                out.append(pd.DataFrame({run: key, "step": range(step + 1, step + len(rows) + 1), "ema": mean.to_numpy()}))
+                last, step = mean.iloc[-1], step + len(rows)
+            yield pd.concat(out) if out else pd.DataFrame({run: [], "step": [], "ema": []})
+
+    rows = df.select(run, order, x).repartition(run).sortWithinPartitions(run, order)
+    return rows.mapInPandas(steps, f"`{run}` {dict(df.dtypes)[run]}, step bigint, ema double")

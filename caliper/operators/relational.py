@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
+from caliper.operators.components import connected_components
+from caliper.operators.ordered import placed_within, with_quantiles
 from caliper.sources.readers import is_finite
 
 
@@ -80,7 +81,8 @@ def pairs_within(df: DataFrame, group: str, order: str, near: Callable[[DataFram
 
 def error_summary(df: DataFrame, group: str, error: str) -> DataFrame:
     """(group, n, median, mean) of the finite errors."""
-    return df.where(is_finite(F.col(error))).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.median(error).alias("median"), F.avg(error).alias("mean"))
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(error).alias("mean")]
+    return with_quantiles(df.where(is_finite(F.col(error))), [group], error, {"median": 0.5}, aggs).select(group, "n", "median", "mean")
 
 
 def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -92,6 +94,8 @@ def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[str | C
 
 
 def number_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """df with the row's number within its group, by a window: for the first rows of each group and for groups that fit into a
+    task; ordered.placed_within is for groups of any size."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
 
 
@@ -113,30 +117,27 @@ def last_source_wins(sources: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def proportional_mix(sources: Sequence[DataFrame], order: str) -> DataFrame:
-    """Union with a sort key that spreads each source evenly over (0, 1). Positions come from a window over a source, which
-    is for samples of a known size; a corpus is mixed by weight elsewhere."""
-    w = Window.partitionBy("source").orderBy(order)
+    """Union with a sort key that spreads each source evenly over (0, 1), by unique values of `order`."""
     all_ = reduce(DataFrame.unionByName, [df.withColumn("source", F.lit(i)) for i, df in enumerate(sources)])
-    n = F.count(F.lit(1)).over(Window.partitionBy("source"))
-    return all_.withColumn("at", (F.row_number().over(w) - 0.5) / n)
+    placed = placed_within(all_, ["source"], [F.col(order)], "__at", "__n")
+    return placed.withColumn("at", (F.col("__at") - 0.5) / F.col("__n")).drop("__at", "__n")
 
 
-def merge_boxes(boxes: DataFrame, image: str, overlap: str = "x0 x1 y0 y1") -> DataFrame:
-    """boxes with `component`: the smallest id of the boxes that overlap it, directly or through others, in its image.
-    An image's boxes are few; each image is one group of applyInPandas."""
-    x0, x1, y0, y1 = overlap.split()
+def merge_boxes(boxes: DataFrame, image: str, cell: float, overlap: str = "x0 x1 y0 y1") -> DataFrame:
+    """boxes (image, id, ..) with `component`: the smallest id of the boxes that overlap it, directly or through others, in
+    its image; borders count. (image, id) is unique.
 
-    def components(f):
-        f = f.sort_values("id").reset_index(drop=True)
-        label = f["id"].to_numpy().copy()
-        a = f[[x0, x1, y0, y1]].to_numpy()
-        touch = (a[:, None, 0] <= a[None, :, 1]) & (a[None, :, 0] <= a[:, None, 1]) & (a[:, None, 2] <= a[None, :, 3]) & (a[None, :, 2] <= a[:, None, 3])
-        while True:
-            least = [label[t].min() for t in touch]
-            if (least == label).all():
-                break
-            label[:] = least
-        return f.assign(component=label)
-
-    schema = StructType([*boxes.schema.fields, StructField("component", LongType())])
-    return boxes.groupBy(image).applyInPandas(components, schema)
+    Boxes meet in the cells of a grid, `cell` wide, which should be about a box's side; a pair is compared in the one cell that
+    holds the corner of its overlap. Boxes with a NULL bound overlap nothing."""
+    x0, x1, y0, y1 = overlap.split()
+    over = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+    placed = boxes.select(image, "id", x0, x1, y0, y1, over(x0, x1).alias("cx")).withColumn("cy", over(y0, y1))
+    a, b = placed.alias("a"), placed.alias("b")
+    col = lambda side, c: F.col(f"{side}.{c}")
+    touch = (col("a", x0) <= col("b", x1)) & (col("b", x0) <= col("a", x1)) & (col("a", y0) <= col("b", y1)) & (col("b", y0) <= col("a", y1))
+    corner = (F.floor(F.greatest(col("a", x0), col("b", x0)) / cell) == col("a", "cx")) & (F.floor(F.greatest(col("a", y0), col("b", y0)) / cell) == col("a", "cy"))
+    same = (col("a", image) == col("b", image)) & (col("a", "cx") == col("b", "cx")) & (col("a", "cy") == col("b", "cy"))
+    node = lambda side: F.struct(col(side, image).alias("image"), col(side, "id").alias("id"))
+    pairs = a.join(b, same).where((col("a", "id") < col("b", "id")) & touch & corner).select(node("a").alias("u"), node("b").alias("v"))
+    found = connected_components(pairs).select(F.col("id.image").alias(image), F.col("id.id").alias("id"), F.col("component.id").alias("component"))
+    return boxes.join(found, [image, "id"], "left").withColumn("component", F.coalesce("component", "id")).select(*boxes.columns, "component")

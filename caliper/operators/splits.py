@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caliper.functions.stats import running, seeded_order
+from caliper.operators.ordered import placed_within
 from caliper.operators.relational import absent
 
 
@@ -29,10 +30,9 @@ def one_group_per_taxon(rows: DataFrame, taxon: str, group: str, forced: DataFra
 
 def tail_split(df: DataFrame, part: list[str], key: str, fraction: float) -> DataFrame:
     """df with `split`: within each part the last max(1, round(n * fraction)) keys, half to even, are validation."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*part))
-    at = F.row_number().over(Window.partitionBy(*part).orderBy(key))
-    held = F.greatest(F.lit(1), F.rint(n * F.lit(fraction)).cast("long"))
-    return df.withColumn("split", F.when(at > n - held, "val").otherwise("train"))
+    placed = placed_within(df, part, [F.col(key)], "__at", "__n")
+    held = F.greatest(F.lit(1), F.rint(F.col("__n") * F.lit(fraction)).cast("long"))
+    return placed.withColumn("split", F.when(F.col("__at") > F.col("__n") - held, "val").otherwise("train")).drop("__at", "__n")
 
 
 def split_report(groups: DataFrame, taxon: str, n: str) -> DataFrame:

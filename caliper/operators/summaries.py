@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from caliper.functions.stats import seeded_order
-from caliper.operators.ordered import nearest_quantiles
+from caliper.operators.ordered import nearest_quantiles, with_quantiles
 from caliper.sources.readers import nan_to_null
 
 
@@ -46,7 +47,7 @@ def across_runs(runs: DataFrame, key: str, x: str) -> DataFrame:
 
 def nan_summary(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """(keys, mean, max, median) that leave NaN out."""
-    return nan_to_null(df, [x]).groupBy(*keys).agg(F.avg(x).alias("mean"), F.max(x).alias("max"), F.median(x).alias("median"))
+    return with_quantiles(nan_to_null(df, [x]), keys, x, {"median": 0.5}, [F.avg(x).alias("mean"), F.max(x).alias("max")])
 
 
 def validation_counters(df: DataFrame, nested: str, kind: str, valid: Callable, empty: Callable) -> DataFrame:
@@ -75,17 +76,19 @@ def cluster_coverage(df: DataFrame, cluster: str) -> DataFrame:
 
 
 def density(df: DataFrame, group: str, key: str, x: str, width: float) -> DataFrame:
-    """df with `density`, a Gaussian kernel estimate at each value within its group. For groups of plot size."""
-
-    def kernel(f):
-        import numpy as np
-
-        v = f[x].to_numpy()
-        d = np.array([np.exp(-((v - a) ** 2) / (2 * width * width)).mean() for a in v]) / (width * (2 * np.pi) ** 0.5)
-        return f[[group, key, x]].assign(density=d)
-
-    types = dict(df.dtypes)
-    return df.groupBy(group).applyInPandas(kernel, f"{group} {types[group]}, {key} {types[key]}, {x} {types[x]}, density double")
+    """(group, key, x, density): a Gaussian kernel estimate at each value within its group; NULL has none and does not count.
+
+    Equal values are counted first. Values meet those of the same and the two neighbouring bins, 8 widths wide: what lies
+    beyond adds less than 1e-14 of a kernel. Work is by bin, in the square of its different values: a group of plot size."""
+    reach = 8 * width
+    counts = df.where(F.col(x).isNotNull() & F.col(group).isNotNull()).groupBy(group, x).agg(F.count(F.lit(1)).alias("n"))
+    bins = counts.withColumn("bin", F.floor(F.col(x) / reach))
+    asked = bins.select(group, F.col(x).alias("__x"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    gap = F.col("__x") - F.col(x)
+    sums = asked.join(bins, [group, "bin"]).groupBy(group, F.col("__x").alias(x)).agg(F.sum(F.col("n") * F.exp(-gap * gap / (2 * width * width))).alias("__sum"))
+    totals = counts.groupBy(group).agg(F.sum("n").alias("__n"))
+    at = sums.join(totals, group).select(group, x, (F.col("__sum") / F.col("__n") / (width * math.sqrt(2 * math.pi))).alias("density"))
+    return df.select(group, key, x).join(at, [group, x], "left").select(group, key, x, "density")
 
 
 def seeded_per_group(df: DataFrame, group: Sequence[str], key: Column, seed: int, n: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caliper.functions.stats import masked_mean, rmse
 from caliper.operators import relational as rel
 from caliper.operators import summaries as sm
-from caliper.operators.ordered import nearest_quantiles
+from caliper.operators.ordered import interpolated_quantiles, nearest_quantiles, with_quantiles
 from caliper.plans.basics import r6
 from caliper.plans.catalog import query
 
@@ -30,7 +30,7 @@ def a2(t):
 
 @query("A3_median", "SELECT event_type, round(median(value), 6) AS median_value FROM events GROUP BY ALL")
 def a3(t):
-    return t.events.groupBy("event_type").agg(r6(F.median("value")).alias("median_value"))
+    return interpolated_quantiles(t.events, ["event_type"], "value", {"m": 0.5}).select("event_type", r6("m").alias("median_value"))
 
 
 @query("A4_mean", "SELECT event_type, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
@@ -52,8 +52,8 @@ def a6(t):
 
 @query("A7_global_percentiles", "SELECT round(quantile_cont(o_totalprice, 0.75), 6) AS p75, round(quantile_cont(o_totalprice, 0.9), 6) AS p90, round(quantile_cont(o_totalprice, 0.95), 6) AS p95 FROM orders")
 def a7(t):
-    p = F.percentile("o_totalprice", F.array(F.lit(0.75), F.lit(0.9), F.lit(0.95)))
-    return t.orders.agg(p.alias("p")).select(r6(F.col("p")[0]).alias("p75"), r6(F.col("p")[1]).alias("p90"), r6(F.col("p")[2]).alias("p95"))
+    p = interpolated_quantiles(t.orders, [], "o_totalprice", {"p75": 0.75, "p90": 0.9, "p95": 0.95})
+    return p.select(*[r6(c).alias(c) for c in p.columns])
 
 
 @query("A8_sample_std", "SELECT user_id, round(stddev_samp(value), 6) AS sd FROM events GROUP BY ALL")
@@ -135,10 +135,10 @@ def a21(t):
     return sm.across_runs(runs, "doc_id", "x").select("doc_id", r6("lo").alias("lo"), r6("hi").alias("hi"))
 
 
-@query("A22_label_coverage", "SELECT count(DISTINCT label) AS labels FROM (SELECT label FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT label + 100 FROM embeddings WHERE vec_id % 5 = 0)")
+@query("A22_label_coverage", "SELECT count(DISTINCT label) AS labels FROM (SELECT label FROM embeddings UNION ALL SELECT label + vec_id % 3 FROM embeddings)")
 def a22(t):
     e = t.embeddings
-    return e.where("vec_id % 2 = 0").select("label").union(e.where("vec_id % 5 = 0").select(F.col("label") + 100)).agg(F.count_distinct("label").alias("labels"))
+    return e.select("label").union(e.select(F.col("label") + F.col("vec_id") % 3)).agg(F.count_distinct("label").alias("labels"))
 
 
 @query("A23_nan_aware", f"SELECT event_type, round(avg(x), 6) AS mean_x, max(x) AS max_x, round(median(x), 6) AS median_x FROM (SELECT event_type, nullif({NAN_VALUES}, 'nan'::DOUBLE) AS x FROM events) GROUP BY ALL")
@@ -199,14 +199,16 @@ def a32(t):
     return sm.cluster_coverage(rows, "label").withColumn("selected_share", r6("selected_share"))
 
 
-@query("A33_point_density")
+@query("A33_point_density", "SELECT a.c_nationkey, a.c_custkey, a.c_acctbal, round(1e6 * avg(exp(-pow(b.c_acctbal::DOUBLE - a.c_acctbal, 2) / (2 * 500.0::DOUBLE * 500))) / (500.0::DOUBLE * sqrt(2 * pi())), 6) AS density_ppm FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey GROUP BY ALL")
 def a33(t):
-    return sm.density(t.customer.select("c_nationkey", "c_custkey", "c_acctbal"), "c_nationkey", "c_custkey", "c_acctbal", 500.0)
+    found = sm.density(t.customer.select("c_nationkey", "c_custkey", "c_acctbal"), "c_nationkey", "c_custkey", "c_acctbal", 500.0)
+    return found.select("c_nationkey", "c_custkey", "c_acctbal", r6(F.col("density") * 1e6).alias("density_ppm"))
 
 
 @query("A34_scale_summary", "SELECT round(avg(p_retailprice), 6) AS mean_scale, round(median(p_retailprice), 6) AS median_scale FROM part")
 def a34(t):
-    return t.part.agg(r6(F.avg("p_retailprice")).alias("mean_scale"), r6(F.median("p_retailprice")).alias("median_scale"))
+    both = with_quantiles(t.part, [], "p_retailprice", {"median": 0.5}, [F.avg("p_retailprice").alias("mean")])
+    return both.select(r6("mean").alias("mean_scale"), r6("median").alias("median_scale"))
 
 
 @query("A35_outside_fraction", "SELECT l_returnflag, round(avg(o), 6) AS outside FROM (SELECT l_returnflag, (l_quantity >= 45)::INT::DOUBLE AS o FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('7|' || l_orderkey || '-' || l_linenumber)) <= 500) GROUP BY ALL")
@@ -218,8 +220,9 @@ def a35(t):
 
 @query("A36_decode_comparison", "SELECT event_type, round(avg(value), 6) AS mean_px, round(median(value), 6) AS median_px, round(quantile_cont(value, 0.95), 6) AS p95_px, round(avg(value / 12.5), 6) AS mean_cm FROM events GROUP BY ALL")
 def a36(t):
-    x = F.col("value")
-    return t.events.groupBy("event_type").agg(r6(F.avg(x)).alias("mean_px"), r6(F.median(x)).alias("median_px"), r6(F.percentile(x, F.lit(0.95))).alias("p95_px"), r6(F.avg(x / 12.5)).alias("mean_cm"))
+    means = [F.avg("value").alias("mean_px"), F.avg(F.col("value") / 12.5).alias("mean_cm")]
+    both = with_quantiles(t.events, ["event_type"], "value", {"median_px": 0.5, "p95_px": 0.95}, means)
+    return both.select("event_type", *[r6(c).alias(c) for c in ("mean_px", "median_px", "p95_px", "mean_cm")])
 
 
 @query("R1_pivot", "SELECT l_returnflag, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 6) AS F, round(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 6) AS O FROM lineitem GROUP BY ALL")

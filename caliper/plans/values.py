@@ -237,11 +237,26 @@ def g6(t):
     return pts(t).select("vec_id", r6(geo.length_error_cm(F.col("p"), F.col("g"), 1, geo.px_per_cm(F.col("bar")), mask)).alias("err"))
 
 
-@query("G7_point_errors", f"WITH {P_SQL} SELECT vec_id, round(({d_sql('p', 0, 'g', 0)} + {d_sql('p', 1, 'g', 1)}) / 2 / {d_sql('bar', 0, 'bar', 1)}, 6) AS width_err FROM p")
+def ends_sql(line):
+    """Distances of the two matched ends of a line."""
+    i, j = 2 * line, 2 * line + 1
+    straight, crossed = f"({d_sql('p', i, 'g', i)} + {d_sql('p', j, 'g', j)})", f"({d_sql('p', j, 'g', i)} + {d_sql('p', i, 'g', j)})"
+    either = lambda a, b: f"CASE WHEN {crossed} < {straight} THEN {b} ELSE {a} END"
+    return either(d_sql("p", i, "g", i), d_sql("p", j, "g", i)), either(d_sql("p", j, "g", j), d_sql("p", i, "g", j))
+
+
+def masked_mean_sql(line, first, second):
+    a, b = ends_sql(line)
+    return f"round(list_avg(list_filter([CASE WHEN {first} THEN {a} END, CASE WHEN {second} THEN {b} END], lambda x: x IS NOT NULL)) / CASE WHEN s > 1e-6 AND vec_id % 4 > 0 THEN s END, 6)"
+
+
+@query("G7_point_errors", f"WITH {P_SQL}, m AS (SELECT *, {d_sql('bar', 0, 'bar', 1)} AS s FROM p) SELECT vec_id, {masked_mean_sql(0, 'vec_id % 3 > 0', 'vec_id % 5 > 0')} AS width_err, {masked_mean_sql(1, 'true', 'vec_id % 3 > 0')} AS length_err FROM m")
 def g7(t):
-    p, g = F.col("p"), F.col("g")
-    mean = (geo.distance(p, 0, g, 0) + geo.distance(p, 1, g, 1)) / 2
-    return pts(t).select("vec_id", r6(F.try_divide(mean, geo.px_per_cm(F.col("bar")))).alias("width_err"))
+    scale = geo.px_per_cm(F.col("bar"))
+    usable = F.when(geo.valid_scale(scale, F.col("vec_id") % 4 > 0), scale)
+    third, fifth = ((F.col("vec_id") % k > 0).cast("double") for k in (3, 5))
+    error = lambda line, *masks: r6(geo.point_error_cm(F.col("p"), F.col("g"), line, usable, masks))
+    return pts(t).select("vec_id", error(0, third, fifth).alias("width_err"), error(1, F.lit(1.0), third).alias("length_err"))
 
 
 OUT = " + ".join(f"(NOT (p[{2 * i + 1}] >= 0 AND p[{2 * i + 1}] < 20 AND p[{2 * i + 2}] >= 0 AND p[{2 * i + 2}] < 15))::INT" for i in range(4))
@@ -284,13 +299,40 @@ def g13(t):
     return pts(t).select("vec_id", "e", h.alias("h")).select("vec_id", r6("h").alias("entropy"), r6(F.array_max("e")).alias("max_logit"), geo.near_uniform(F.col("h"), 64).alias("near_uniform"))
 
 
-CE = "-list_sum([(ln(exp(e[i + 1]) / z)) * exp(-(pow(i % 8 - {x}, 2) + pow(i // 8 - {y}, 2)) / 2) FOR i IN range(64)]) / list_sum([exp(-(pow(i % 8 - {x}, 2) + pow(i // 8 - {y}, 2)) / 2) FOR i IN range(64)])"
+MAPS_SQL = f"""WITH {P_SQL}, maps AS (SELECT vec_id, (vec_id % 3 > 0)::INT::DOUBLE AS mw, (vec_id % 4 > 0)::INT::DOUBLE AS ml, [[e[16 * c + i + 1] FOR i IN range(16)] FOR c IN range(4)] AS pm,
+    [[exp(-(pow(i % 4 - (1.5 + g[2 * c + 1] / 10), 2) + pow(i // 4 - (1.5 + g[2 * c + 2] / 10), 2)) / 2) FOR i IN range(16)] FOR c IN range(4)] AS gm FROM p),
+    logs AS (SELECT vec_id, mw, ml, gm, pm, [[x - ln(list_sum([exp(y) FOR y IN m])) FOR x IN m] FOR m IN pm] AS lp FROM maps)"""
+
+
+def line_loss_sql(loss, line):
+    i, j = 2 * line + 1, 2 * line + 2
+    return f"least({loss(i, i)} + {loss(j, j)}, {loss(i, j)} + {loss(j, i)})"
+
 
+def loss_sql(loss, terms):
+    return f"{MAPS_SQL} SELECT vec_id, round(({line_loss_sql(loss, 0)} * mw + {line_loss_sql(loss, 1)} * ml) / greatest((mw + ml) * {terms}, 1e-8::DOUBLE), 6) AS loss FROM logs"
 
-@query("G14_matched_cross_entropy", f"WITH {P_SQL}, s AS (SELECT vec_id, e, list_sum([exp(x) FOR x IN e]) AS z FROM p) SELECT vec_id, round(least({CE.format(x=2, y=3)}, {CE.format(x=5, y=4)}), 6) AS loss FROM s")
+
+def channels(t):
+    """(vec_id, predicted map and target map of each of 4 line ends, masks of the 2 lines)."""
+    e, g = F.col("e"), F.col("g")
+    maps = [F.slice(e, 16 * c + 1, 16).alias(f"p{c}") for c in range(4)] + [geo.gaussian_map(1.5 + g[2 * c] / 10, 1.5 + g[2 * c + 1] / 10, 4, 1.0).alias(f"g{c}") for c in range(4)]
+    masks = [(F.col("vec_id") % k > 0).cast("double").alias(f"m{k}") for k in (3, 4)]
+    return pts(t).select("vec_id", *maps, *masks)
+
+
+def ends(letter):
+    return [F.col(f"{letter}{c}") for c in range(4)]
+
+
+@query("G14_matched_cross_entropy", loss_sql(lambda i, j: f"(-list_sum([lp[{i}][k + 1] * gm[{j}][k + 1] FOR k IN range(16)]) / list_sum(gm[{j}]))", "1"))
 def g14(t):
-    ce = lambda x, y: geo.cross_entropy(F.col("e"), geo.gaussian_map(F.lit(float(x)), F.lit(float(y)), 8, 1.0))
-    return pts(t).select("vec_id", r6(F.least(ce(2, 3), ce(5, 4))).alias("loss"))
+    return channels(t).select("vec_id", r6(geo.masked_line_loss(ends("p"), ends("g"), [F.col("m3"), F.col("m4")], geo.cross_entropy)).alias("loss"))
+
+
+@query("G14_matched_squared_error", loss_sql(lambda i, j: f"list_sum([pow(pm[{i}][k + 1] - gm[{j}][k + 1], 2) FOR k IN range(16)])", "2 * 16"))
+def g14_squared(t):
+    return channels(t).select("vec_id", r6(geo.masked_line_loss(ends("p"), ends("g"), [F.col("m3"), F.col("m4")], geo.squared_error, 2.0 * 16)).alias("loss"))
 
 
 @query("G14b_hard_argmax", f"WITH {P_SQL} SELECT vec_id, CAST((list_position(e, list_max(e)) - 1) % 8 AS BIGINT) AS x, CAST((list_position(e, list_max(e)) - 1) // 8 AS BIGINT) AS y FROM p")
@@ -320,7 +362,7 @@ def g17(t):
 
 @query("V1_kmeans_labels")
 def v1(t):
-    return ml.kmeans_labels(t.embeddings.select("vec_id", "embedding"), "embedding", 10, n_init=2).select("vec_id", "cluster")
+    return ml.kmeans_labels(t.embeddings.select("vec_id", "embedding"), "embedding", 73).select("vec_id", "cluster")
 
 
 @query("V2_pca")

@@ -11,7 +11,7 @@ from caliper.operators import ranking as rk
 from caliper.operators import relational as rel
 from caliper.operators import splits as sp
 from caliper.operators import summaries as sm
-from caliper.operators.ordered import with_percentile_rank
+from caliper.operators.ordered import placed_within, running_ema, with_percentile_rank
 from caliper.plans.basics import r6
 from caliper.plans.catalog import query
 
@@ -71,14 +71,13 @@ def w8(t):
 
 @query("W9_selection_rank", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS selection_rank FROM events")
 def w9(t):
-    return rel.number_within(t.events, ["event_type"], [F.desc("value"), F.col("event_id")], "selection_rank").select("event_id", "selection_rank")
+    return placed_within(t.events, ["event_type"], [F.desc("value"), F.col("event_id")], "selection_rank").select("event_id", "selection_rank")
 
 
 @query("W10_ema", """WITH RECURSIVE s AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), e AS (SELECT user_id, n, value AS ema FROM s WHERE n = 1 UNION ALL SELECT s.user_id, s.n, e.ema * 0.9::DOUBLE + s.value * (1 - 0.9::DOUBLE) FROM e JOIN s ON s.user_id = e.user_id AND s.n = e.n + 1)
     SELECT user_id, n AS step, round(ema, 6) AS ema FROM e""")
 def w10(t):
-    values = t.events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"]).alias("v"))
-    return values.select("user_id", F.posexplode(st.ema(F.col("v"), 0.9)).alias("at", "x")).select("user_id", (F.col("at") + 1).cast("bigint").alias("step"), r6("x").alias("ema"))
+    return running_ema(t.events, "user_id", "event_id", "value", 0.9).withColumn("ema", r6("ema"))
 
 
 @query("W11_positive_differences", "SELECT event_id, d FROM (SELECT event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS d FROM events) WHERE d > 0")
@@ -88,17 +87,17 @@ def w11(t):
 
 @query("W12_pair_at_quantile", "SELECT event_type, n - least(CAST(round_even(0.9 * (c - 1), 0) AS BIGINT), c - 2) - 1 AS side, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS n, count(*) OVER (PARTITION BY event_type) AS c FROM events) WHERE n - 1 - least(CAST(round_even(0.9 * (c - 1), 0) AS BIGINT), c - 2) IN (0, 1)")
 def w12(t):
-    n = F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id"))
-    c = F.count(F.lit(1)).over(Window.partitionBy("event_type"))
-    side = n - 1 - F.least(F.rint(0.9 * (c - 1)).cast("long"), c - 2)
-    return t.events.select("event_type", side.alias("side"), "value").where("side in (0, 1)")
+    placed = placed_within(t.events, ["event_type"], [F.col("value"), F.col("event_id")], "n", "c")
+    side = F.col("n") - 1 - F.least(F.rint(0.9 * (F.col("c") - 1)).cast("long"), F.col("c") - 2)
+    return placed.select("event_type", side.alias("side"), "value").where("side in (0, 1)")
 
 
 @query("W13_reading_order", "SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY row_center, x, vec_id) AS position FROM (SELECT vec_id, label, x, avg(floor(y * 2)) OVER (PARTITION BY label, floor(y * 2)) AS row_center FROM (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings))")
 def w13(t):
     rows = t.embeddings.select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"), F.floor(F.col("embedding")[1].cast("double") * 2).alias("band"))
-    centered = rows.withColumn("row_center", F.avg("band").over(Window.partitionBy("label", "band")))
-    return rel.number_within(centered, ["label"], [F.col("row_center"), F.col("x"), F.col("vec_id")], "position").select("vec_id", "position")
+    centers = rows.groupBy("label", "band").agg(F.avg("band").alias("row_center"))
+    centered = rows.join(centers, ["label", "band"])
+    return placed_within(centered, ["label"], [F.col("row_center"), F.col("x"), F.col("vec_id")], "position").select("vec_id", "position")
 
 
 @query("W14_marked_row_first", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY (event_type <> 'error'), value, event_id) AS position FROM events")
@@ -113,14 +112,13 @@ def w15(t):
 
 @query("W16_batch_id", "SELECT event_id, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 256 AS batch FROM events")
 def w16(t):
-    return rel.number_within(t.events, ["event_type"], [F.col("event_id")], "n").select("event_id", F.floor((F.col("n") - 1) / 256).alias("batch"))
+    return placed_within(t.events, ["event_type"], [F.col("event_id")], "n").select("event_id", F.floor((F.col("n") - 1) / 256).alias("batch"))
 
 
-@query("T1_multi_key_sort", "SELECT row_number() OVER (ORDER BY x ASC NULLS FIRST, o_totalprice DESC NULLS FIRST, o_orderkey) AS place, o_orderkey FROM (SELECT *, nullif(o_custkey % 5, 0) AS x FROM orders) ORDER BY place LIMIT 1000")
+@query("T1_multi_key_sort", "SELECT row_number() OVER (ORDER BY x ASC NULLS FIRST, o_totalprice DESC NULLS FIRST, o_orderkey) AS place, o_orderkey FROM (SELECT *, nullif(o_custkey % 5, 0) AS x FROM orders)")
 def t1(t):
     keys = [F.col("x").asc_nulls_first(), F.col("o_totalprice").desc_nulls_first(), F.col("o_orderkey")]
-    top = t.orders.withColumn("x", F.nullif(F.col("o_custkey") % 5, F.lit(0))).orderBy(*keys).limit(1000)
-    return top.select(F.row_number().over(Window.orderBy(*keys)).cast("bigint").alias("place"), "o_orderkey")
+    return placed_within(t.orders.withColumn("x", F.nullif(F.col("o_custkey") % 5, F.lit(0))), [], keys, "place").select("place", "o_orderkey")
 
 
 @query("T2_head", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -154,7 +152,7 @@ def t6(t):
 
 @query("T7_seeded_shuffle", "SELECT c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5('3|' || c_custkey)) AS place FROM customer")
 def t7(t):
-    return rel.number_within(t.customer, ["c_mktsegment"], [st.seeded_order(F.col("c_custkey"), 3)], "place").select("c_mktsegment", "c_custkey", "place")
+    return placed_within(t.customer, ["c_mktsegment"], [st.seeded_order(F.col("c_custkey"), 3)], "place").select("c_mktsegment", "c_custkey", "place")
 
 
 @query("T8_fixed_index_set", "SELECT doc_id FROM documents ORDER BY md5('8|' || doc_id) LIMIT 64")
@@ -212,11 +210,14 @@ def u7(t):
     return t.orders.where("o_orderstatus = 'F'").unionByName(rel.absent(new, t.orders.where("o_orderstatus = 'F'"), {"o_orderkey": "o_orderkey"})).select("o_orderkey")
 
 
-@query("U8_merged_boxes")
+@query("U8_merged_boxes", """WITH RECURSIVE b AS (SELECT vec_id % 40 AS image, vec_id AS id, embedding[1]::DOUBLE * 10 AS x, embedding[2]::DOUBLE * 10 AS y FROM embeddings),
+    p AS (SELECT a.image, a.id AS u, c.id AS v FROM b a JOIN b c ON a.image = c.image AND a.x <= c.x + 4 AND c.x <= a.x + 4 AND a.y <= c.y + 4 AND c.y <= a.y + 4),
+    reach AS (SELECT image, id AS u, id AS v FROM b UNION SELECT reach.image, reach.u, p.v FROM reach JOIN p ON p.image = reach.image AND p.u = reach.v)
+    SELECT image, u AS id, min(v) AS component FROM reach GROUP BY ALL""")
 def u8(t):
     e = lambda i: F.col("embedding")[i].cast("double")
     boxes = t.embeddings.select((F.col("vec_id") % 40).alias("image"), F.col("vec_id").alias("id"), (e(0) * 10).alias("x0"), (e(0) * 10 + 4).alias("x1"), (e(1) * 10).alias("y0"), (e(1) * 10 + 4).alias("y1"))
-    return rel.merge_boxes(boxes, "image").select("image", "id", "component")
+    return rel.merge_boxes(boxes, "image", 4.0).select("image", "id", "component")
 
 
 @query("U9_proportional_mix", "SELECT source, k, round((row_number() OVER (PARTITION BY source ORDER BY k) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source), 6) AS at FROM (SELECT 0 AS source, s_suppkey AS k FROM supplier UNION ALL SELECT 1, c_custkey FROM customer)")
@@ -306,10 +307,10 @@ def q11(t):
     return sp.split_report(split_groups(t), "o_custkey", "n").select("o_custkey", "kind", r6("val_pct").alias("val_pct"))
 
 
-@query("Q13_trusted_annotator", """WITH m AS (SELECT user_id AS entity, event_id, CASE WHEN event_id % 2 = 0 THEN 'length' ELSE 'width' END AS kind, event_type AS annotator FROM events), h AS (SELECT *, bool_or(annotator = 'error' AND kind = 'length') OVER (PARTITION BY entity) AS hl, bool_or(annotator = 'error' AND kind = 'width') OVER (PARTITION BY entity) AS hw FROM m WHERE event_id % 7 = 0)
+@query("Q13_trusted_annotator", """WITH m AS (SELECT user_id AS entity, event_id, CASE WHEN event_id % 2 = 0 THEN 'length' ELSE 'width' END AS kind, event_type AS annotator FROM events), h AS (SELECT *, bool_or(annotator = 'error' AND kind = 'length') OVER (PARTITION BY entity) AS hl, bool_or(annotator = 'error' AND kind = 'width') OVER (PARTITION BY entity) AS hw FROM m)
     SELECT entity, kind, annotator, event_id FROM h WHERE (NOT hl AND NOT hw) OR annotator = 'error' OR (NOT hl AND kind = 'length') OR (NOT hw AND kind = 'width') QUALIFY row_number() OVER (PARTITION BY entity, kind ORDER BY event_id) = 1""")
 def q13(t):
-    m = t.events.where("event_id % 7 = 0").select(F.col("user_id").alias("entity"), "event_id", F.when(F.col("event_id") % 2 == 0, "length").otherwise("width").alias("kind"), F.col("event_type").alias("annotator"))
+    m = t.events.select(F.col("user_id").alias("entity"), "event_id", F.when(F.col("event_id") % 2 == 0, "length").otherwise("width").alias("kind"), F.col("event_type").alias("annotator"))
     return qa.trusted_measurements(m, "entity", "kind", "annotator", "error", "event_id").select("entity", "kind", "annotator", "event_id")
 
 

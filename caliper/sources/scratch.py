@@ -3,23 +3,39 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
-
-_own: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; under a temporary folder only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            folder = tempfile.mkdtemp(prefix="caliper-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            _own[app] = f"file://{folder}"
-        base = _own[app]
+    """A new path under spark.checkpoint.dir or, where that is unset, under the session's warehouse; a cluster shares both."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet under the shared folder and read it back: the rest of the plan starts from the files,
+    so a lost executor costs a re-read, not a recomputation. The files go when the driver process ends."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"caliper-{name}")
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table made by written() that no later result reads."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _drop(df.sparkSession, path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    if jvm is None or jsc is None:  # the session has ended
+        return
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the gateway is down at exit; the folder's owner cleans it
+        return

@@ -150,7 +150,7 @@ def test_absent_keeps_null_keys(spark):
 def test_merged_boxes_are_transitive(spark):
     rows = [("i", 1, 0.0, 2.0, 0.0, 1.0), ("i", 2, 1.0, 4.0, 0.0, 1.0), ("i", 3, 3.5, 6.0, 0.0, 1.0), ("i", 4, 9.0, 9.5, 0.0, 1.0), ("j", 1, 0.0, 1.0, 0.0, 1.0)]
     df = spark.createDataFrame(rows, "image string, id long, x0 double, x1 double, y0 double, y1 double")
-    got = {(r["image"], r["id"]): r["component"] for r in rel.merge_boxes(df, "image").collect()}
+    got = {(r["image"], r["id"]): r["component"] for r in rel.merge_boxes(df, "image", 1.5).collect()}
     assert got == {("i", 1): 1, ("i", 2): 1, ("i", 3): 1, ("i", 4): 4, ("j", 1): 1}
 
 
