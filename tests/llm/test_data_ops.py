@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from caliper.llm import audio, near_dedup, packing, queries, shingles
 from caliper.llm.ann import Tree, chi_square_quantile, nearest
-from caliper.llm.components import connected_components
+from caliper.operators.components import connected_components
 from caliper.llm.mixing import mix, source_targets
 from caliper.llm.sharding import Leaf, assign_shards, uniform_tree, with_slots
 from caliper.llm.words import word_count
@@ -149,6 +149,45 @@ def test_packing_window():
             assert sum(lengths) / sum(final) > 0.95
 
 
+def cheapest(lengths):
+    """The least cost of any packing, by trying all partitions of the pieces."""
+    best = float("inf")
+
+    def place(i, bins):
+        nonlocal best
+        if i == len(lengths):
+            best = min(best, sum(packing.bin_cost(next(c for c in packing.CAPACITIES if c >= b)) for b in bins))
+            return
+        for j in range(len(bins)):
+            if bins[j] + lengths[i] <= packing.CAPACITIES[-1]:
+                place(i + 1, [*bins[:j], bins[j] + lengths[i], *bins[j + 1 :]])
+        place(i + 1, [*bins, lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_against_all_partitions():
+    rng = random.Random(8)
+    ratios = []
+    for _ in range(40):
+        lengths = [rng.choice([rng.randint(1, 600), rng.randint(1, 4096)]) for _ in range(rng.randint(1, 7))]
+        _, final = packing.pack_window(lengths)
+        ratios.append(sum(map(packing.bin_cost, final)) / cheapest(lengths))
+    assert min(ratios) > 1 - 1e-9 and max(ratios) < 1.35 and sum(ratios) / len(ratios) < 1.05
+
+
+def test_packing_does_not_depend_on_the_partitions(spark):
+    rng = random.Random(9)
+    docs = documents(spark, [(i, "w " * min(9000, int(rng.lognormvariate(5, 1.2))), "a") for i in range(3000)])
+    costs = []
+    for parts in (1, 40):
+        got = packing.pack(docs.repartition(parts, "doc_id"), word_count(F.col("text"))).where("bin_id is not null")
+        assert got.select("doc_id", "piece").distinct().count() == got.count()
+        costs.append(sum(packing.bin_cost(r["bin_capacity"]) for r in got.select("bin_id", "bin_capacity").distinct().collect()))
+    assert abs(costs[1] / costs[0] - 1) < 0.002
+
+
 def test_packing_table(spark):
     rows = [(0, None, "a"), (1, "", "a"), (2, "w " * 10_000, "a"), (2, "w " * 10_000, "a"), (None, "two words", "a")] + [(i, "w " * i, "b") for i in range(10, 300)]
     docs = documents(spark, rows).withColumn("bin_id", F.lit("clash"))
