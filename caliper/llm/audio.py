@@ -163,7 +163,8 @@ def to_clips(docs: DataFrame) -> DataFrame:
 
 def with_features(clips: DataFrame) -> DataFrame:
     """clips (.., media) with payload (the samples read back), features (Arrow stream of tensors) and segments. Rows with a
-    null media are left out; equal media give equal features. No shuffle."""
-    kept = clips.where(F.col("media").isNotNull())
+    null media are left out; equal media give equal features; repeated rows are kept each. Columns of clips that bear one of
+    these names are replaced. No clips give no rows. No shuffle."""
+    kept = clips.where(F.col("media").isNotNull()).drop("payload", "features", "segments")
     extra = "payload binary, features binary, segments array<struct<start_s:double,end_s:double>>"
     return kept.mapInArrow(_features, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kept.schema)}, {extra}")

@@ -6,7 +6,7 @@ from caliper.llm.sharding import Leaf, uniform_tree
 
 #: crc32 of bytes, by its table: entry i is i shifted right eight times, each carry folding the reversed polynomial.
 _CRC = """crc_table AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS tab FROM range(256) r(i)),
-crc AS (SELECT DISTINCT text, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, tab[xor(c, b) & 255 + 1])), 4294967295) AS value FROM documents, crc_table)""".replace("xor(c, b) & 255 + 1", "(xor(c, b) & 255) + 1")
+crc AS (SELECT DISTINCT text, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS value FROM documents, crc_table)"""
 
 
 def _race(keys: str, tree: list[tuple[str, int, int, float]]) -> str:
@@ -39,7 +39,7 @@ def hash_tree_shards() -> str:
 
 #: Exact links between all documents that share a shingle, and the smallest id that each reaches.
 MINHASH_DEDUP = """WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s FROM words, range(100000) r(i) WHERE i >= 1 AND i <= greatest(len(w) - 1, least(len(w), 1))),
+shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1)) + 1)) AS i FROM words)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
 links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b USING (s) JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id WHERE a.doc_id <> b.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
   GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caliper.sources.scratch import written
+
 
 @dataclass(frozen=True)
 class Leaf:
@@ -75,23 +77,33 @@ def assign_shards(df: DataFrame, key: str, tree: list[Leaf], region="region", ra
     )
 
 
+#: Copies of one row that are unfolded together.
+COPIES = 4096
+
+
 def with_slots(df: DataFrame, shard: str, key: str, slot: str = "slot") -> DataFrame:
     """df with gapless slots from 0 in each shard, in the order (bucket, all columns).
 
     A bucket is a hash of the key; a shard of n rows has about sqrt(n) buckets, each numbered by itself and shifted by the
     rows in the buckets before it, so no task gets a whole shard. Equal rows are counted before the shuffle and unfolded
-    after it: a row repeated any number of times is one row while it moves. Columns must be orderable.
+    after it, COPIES at a time, by other tasks if there are more: a row repeated any number of times is one row while it
+    moves. Columns must be orderable. An empty df gives an empty df.
     """
     cols = df.columns
-    n = df.count()
-    shards = max(1, df.select(shard).distinct().count())
-    buckets = max(1, int((n / shards) ** 0.5))
     digits = F.substring(F.md5(F.concat(F.lit("slot|"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 7)
-    folded = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__m")).withColumn("__b", F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(buckets)))
+    folded = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__m")).withColumn("__h", F.conv(digits, 16, 10).cast("long"))
+    folded = written(folded, "slots")  # texts are read once
+    n, shards, most = folded.agg(F.sum("__m"), F.count_distinct(shard), F.max("__m")).first()
+    buckets = max(1, int(((n or 0) / max(1, shards)) ** 0.5))
+    folded = folded.withColumn("__b", F.pmod("__h", F.lit(buckets)))
     per_bucket = folded.groupBy(shard, "__b").agg(F.sum("__m").alias("__n"))
     before = Window.partitionBy(shard).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.select(shard, "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     within = Window.partitionBy(shard, "__b").orderBy(*[F.col(c).asc_nulls_last() for c in cols if c != shard]).rowsBetween(Window.unboundedPreceding, -1)
     placed = folded.withColumn("__at", F.coalesce(F.sum("__m").over(within), F.lit(0))).join(starts, [shard, "__b"])
-    first = F.col("__start") + F.col("__at")
-    return placed.select(*cols, F.explode(F.sequence(first, first + F.col("__m") - 1)).alias(slot))
+    first, end = F.col("__start") + F.col("__at"), F.col("__start") + F.col("__at") + F.col("__m")
+    runs = placed.select(*cols, end.alias("__end"), F.explode(F.sequence(first, end - 1, F.lit(COPIES).cast("long"))).alias("__first"))
+    if (most or 0) > COPIES:
+        runs = runs.repartition("__first", *cols)
+    last = F.least(F.col("__first") + COPIES, "__end") - 1
+    return runs.select(*cols, F.explode(F.sequence("__first", last)).alias(slot))

@@ -5,8 +5,9 @@ import os
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from caliper.llm import audio, near_dedup, packing, queries, shingles
 from caliper.llm.ann import Tree, chi_square_quantile, nearest
 from caliper.operators.components import connected_components
-from caliper.llm.mixing import mix, source_targets
+from caliper.llm.mixing import copies, mix, source_targets
 from caliper.llm.sharding import Leaf, assign_shards, uniform_tree, with_slots
 from caliper.llm.words import word_count
 
@@ -60,6 +61,49 @@ def test_tensors_have_one_shape():
     assert np.array_equal(t["tensor"].chunk(0).to_numpy_ndarray()[1, :6], mels[64:])
 
 
+def test_log_mel_against_direct_sums():
+    """Frames, window, transform, bank and logarithm by their definitions, for every frame."""
+    rng = np.random.default_rng(6)
+    y = rng.standard_normal(520).astype(np.float32)
+    mels, energy = audio.log_mel(y)
+    n = 1 + -(-(len(y) - audio.WIN) // audio.HOP)
+    padded = np.r_[y, np.zeros(n * audio.HOP + audio.WIN)]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(audio.WIN) / (audio.WIN - 1))
+    f = np.arange(audio.N_FFT // 2 + 1) * audio.RATE / audio.N_FFT
+    mel = lambda x: 2595 * np.log10(1 + x / 700)
+    edges = 700 * (10 ** (np.linspace(mel(60), mel(audio.RATE / 2), audio.MELS + 2) / 2595) - 1)
+    assert mels.shape == (n, audio.MELS)
+    for i in range(n):
+        w = padded[i * audio.HOP : i * audio.HOP + audio.WIN] * window
+        power = [abs(sum(w * np.exp(-2j * np.pi * k * np.arange(audio.WIN) / audio.N_FFT))) ** 2 for k in range(len(f))]
+        for m in range(audio.MELS):
+            a, b, c = edges[m : m + 3]
+            total = sum(p * max(0.0, min((x - a) / (b - a), (c - x) / (c - b))) for p, x in zip(power, f, strict=True))
+            assert abs(mels[i, m] - np.log(total + 1e-6)) < 2e-3
+        assert abs(energy[i] - 10 * np.log10((w * w).mean() + 1e-9)) < 1e-3
+
+
+def test_feature_of_the_audio_query(spark, tmp_path):
+    texts = ["", "a few words " * 40, "é" * 1000]
+    documents(spark, [(i, t, "a") for i, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["feature"] for r in queries.op1_audio_features(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        x = (np.frombuffer(raw.ljust(max(1, -(-len(raw) // 192)) * 192), np.uint8).astype(np.float32) - 128) / 128
+        mels, energy = audio.log_mel(audio.resample(x, 2, 3))
+        spans = audio.segments(energy)
+        spoken = round(sum(((e - 1) * audio.HOP + audio.WIN) / audio.RATE - s * audio.HOP / audio.RATE for s, e in spans), 3)
+        digest, n, seconds = got[i].split(":")
+        assert (digest, int(n)) == (hashlib.sha256(audio.tensors(mels)).hexdigest(), len(spans)) and abs(float(seconds) - spoken) < 2e-3
+
+
+def test_clips_with_clashing_columns(spark):
+    clips = audio.to_clips(documents(spark, [(1, "text", "a"), (1, "text", "a"), (None, None, "b")])).withColumns({c: F.lit("clash") for c in ("payload", "features", "segments")})
+    got = audio.with_features(clips)
+    assert len(set(got.columns)) == len(got.columns) and [len(r["payload"]) for r in got.collect()] == [192] * 3
+    assert audio.with_features(clips.limit(0)).count() == 0
+
+
 def test_audio_query(spark, tmp_path):
     rows = [(0, "", "a"), (1, None, "a"), (2, "héllo", "a"), (3, "x" * 192, "a"), (4, "x" * 192, "a"), (5, "é" * 300_000, "b")]
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
@@ -119,6 +163,17 @@ def test_mixing_meets_targets(spark):
     assert mix(docs.limit(0), word_count(F.col("text"))).count() == 0
 
 
+def test_each_document_is_taken_at_its_rate(spark):
+    """Many sources alike but for their names and ids: the mean copies of each place are target / source size."""
+    sizes = [1, 2, 3, 5, 8, 40, 100]
+    n = 600
+    units = spark.createDataFrame([(f"s{s:03}", 10 * s + i, x) for s in range(n) for i, x in enumerate(sizes)], "source string, id long, size long")
+    targets = units.groupBy("source").agg(F.sum("size").alias("source_size"), (F.sum("size") * 1.3).alias("target"))
+    rates = copies(units, targets).groupBy((F.col("id") % 10).alias("at")).agg(F.avg("copies").alias("rate"), F.count("*").alias("n")).collect()
+    assert len(rates) == len(sizes) and all(r["n"] == n for r in rates)
+    assert all(abs(r["rate"] - 1.3) < 4 * (0.3 * 0.7 / n) ** 0.5 for r in rates)
+
+
 def test_rounding_is_unbiased(spark):
     rows = [(i, "w " * (1 + i % 7), "a") for i in range(60)] + [(100 + i, "w " * 40, "b") for i in range(9)]
     docs = documents(spark, rows)
@@ -227,6 +282,27 @@ def test_movement_stays_in_the_subtree(spark):
     assert 2 < count[5] / np.mean([v for k, v in count.items() if k != 5]) < 4
 
 
+def test_slots_of_a_row_that_is_most_of_the_table(spark):
+    df = spark.range(20_000).selectExpr("1L as doc_id", "7 as shard").union(spark.range(100).selectExpr("id as doc_id", "int(id % 2) as shard"))
+    slots = with_slots(df, "shard", "doc_id").groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert {(r["shard"], r["n"], r["d"], r["m"]) for r in slots} == {(7, 20_000, 20_000, 19_999), (0, 50, 50, 49), (1, 50, 50, 49)}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_against_its_sql(spark, name):
+    root = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{root}/{table}.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, root)
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    at = [want.columns.index(c) for c in columns]
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=repr)
+
+
 def test_slots_are_gapless(spark):
     rows = [(i % 500, i % 3, None if i % 5 else 4) for i in range(1000)] + [(None, 0, None)] * 700 + [(3, 1, 1)] * 700
     df = spark.createDataFrame(rows, "doc_id long, size long, c long")
@@ -429,6 +505,40 @@ def test_near_duplicates_of_the_table(spark):
     assert got == brute_components(rows, 2, 80)
 
 
+def odd_documents(spark):
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(50)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 30, 200]))), rng.choice(["en", "en", None]), rng.choice(["a", "b", None]), 1, "x", "y", "z") for i in range(60)]
+    rows += rows[:5] * 2 + [(None, "no id at all", "en", "a", None, "x", "y", "z"), (None, "no id at all", "en", "a", None, "x", "y", "z")]
+    rows += [(70, None, None, None, None, None, None, None), (71, "", "en", "a", 0, "x", "y", "z"), (72, " \n ", "en", None, 0, "x", "y", "z"), (73, "long text " * 60_000, "en", "b", 0, "x", "y", "z")]
+    return spark.createDataFrame(rows, f"{SCHEMA}, copies string, component_id string, bin_id string")
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    """Nulls, repeated rows, empty and very long texts, columns that bear the operators' names, and no rows at all."""
+    import corpus_pipeline as cp
+
+    docs = odd_documents(spark)
+    spark.createDataFrame([(i, i % 2, None if i % 3 else 0) for i in range(60)] + [(None, 1, 1), (71, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        rows = out.collect()
+        had = Counter(r["doc_id"] for r in docs.collect())
+        has = Counter(r["doc_id"] for r in rows)
+        assert set(has) <= set(had), name
+        if name == cp.STAGES[-1][0]:
+            assert sum(r["length"] for r in rows) == docs.agg(F.sum(word_count(F.col("text")))).first()[0]
+        else:
+            assert out.columns == docs.columns, name
+        if name == "language ID":
+            assert not {70, 71, 72} & set(has)
+        if name == "near-duplicates":
+            assert has[0] == has[70] == has[71] == has[72] == 1 and has[None] == 2
+        if name == "mixing to target weights":
+            assert not {70, 71, 72} & set(has) and all(has[i] <= 2 * had[i] for i in has)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 @data
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
