@@ -124,14 +124,19 @@ def fit_arrays(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_
     if not rows:
         return Ordinal(w.astype(np.float32), np.arange(k, dtype=float))
     share = np.full(len(rows), 1 / len(rows)) if weight is None else weight / weight.sum()
-    at = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    value = np.concatenate([r[1] for r in rows]).astype(np.float32)
+    at = np.concatenate([r[0] for r in rows])
+    value = np.concatenate([r[1] for r in rows])
     size = np.array([len(r[0]) for r in rows])
     first = np.cumsum(size) - size  # of each row; no row is empty
-    used, at = np.unique(at, return_inverse=True)
-    by_feature = np.argsort(at, kind="stable")
-    row, turned = np.repeat(np.arange(len(rows)), size)[by_feature], value[by_feature]
-    first_of = np.searchsorted(at[by_feature], np.arange(len(used)))
+    count = np.bincount(at, minlength=2**BITS)
+    used = np.flatnonzero(count)
+    number = np.zeros(2**BITS, np.int32)
+    number[used] = np.arange(len(used))
+    at = number[at]
+    by_feature = np.argsort(at, kind="stable").astype(np.int32)
+    row, turned = np.repeat(np.arange(len(rows), dtype=np.int32), size)[by_feature], value[by_feature]
+    first_of = np.cumsum(count[used]) - count[used]
+    del by_feature
     theta = np.zeros(len(used) + k)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
@@ -149,8 +154,7 @@ def fit_calibrated(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray
     """A model of all rows. The limit of a link comes from what each of FOLDS parts of its rows gets under a link fitted on the
     others; equal texts share a part."""
     weight = np.ones(len(rows)) if weight is None else weight
-    plain = [(x[keep], v[keep]) for x, v in rows for keep in [(x < _HEADS) | (x == 2**BITS - 1)]]
-    model = fit_arrays(plain, grades, n_grades, weight=weight)
+    model = fit_arrays([(x[keep], v[keep]) for x, v in rows for keep in [(x < _HEADS) | (x == 2**BITS - 1)]], grades, n_grades, weight=weight)
     part = np.array([zlib.crc32(x.tobytes() + v.tobytes()) for x, v in rows], np.int64) % FOLDS
     for g in range(2, n_grades):
         at = np.flatnonzero(grades >= g - 1)
@@ -189,10 +193,9 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rated: int = MAX
     id, and as many different texts come to the driver, as features; ratings with a null in either column or of another grade
     are left out, repeated ratings and repeated texts count as often as they stand. A rated null text is the empty one. No
     ratings: a model that gives every text the same tails."""
-    got = rated_features(docs, ratings, n_grades, max_rated).toPandas()
-    rows = [(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(got["at"], got["value"], strict=True)]
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0].tobytes(), rows[i][1].tobytes(), got["grade"][i], got["n"][i]))  # reruns agree
-    return fit_calibrated([rows[i] for i in order], got["grade"].to_numpy()[order].astype(int), n_grades, got["n"].to_numpy()[order].astype(float))
+    got = rated_features(docs, ratings, n_grades, max_rated).toArrow().sort_by([(c, "ascending") for c in ("at", "value", "grade", "n")])  # reruns agree
+    rows = [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for a, v in zip(got["at"], got["value"], strict=True)]
+    return fit_calibrated(rows, got["grade"].to_numpy().astype(int), n_grades, got["n"].to_numpy().astype(float))
 
 
 def scored(docs: DataFrame, model: Ordinal) -> DataFrame:
