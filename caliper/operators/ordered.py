@@ -20,8 +20,10 @@ RANGES = 64
 KEY = "__key"
 
 
-def _key(keys: Sequence[str]) -> Column:
-    return F.struct(F.lit(0).alias("__"), *keys).alias(KEY)
+def _key(keys: Sequence[str], x: str | None = None) -> Column:
+    """x: a column without NULLs, from which the one group of no keys gets a value that is no constant (joins on constants
+    become cross joins)."""
+    return F.struct((F.col(x).isNull() if x and not keys else F.lit(False)).alias("__"), *keys).alias(KEY)
 
 
 def _keys(keys: Sequence[str]) -> list[Column]:
@@ -29,19 +31,21 @@ def _keys(keys: Sequence[str]) -> list[Column]:
 
 
 def _before(counts: DataFrame, part: str) -> DataFrame:
-    """(KEY, part, __start) of counts (KEY, part, n): the group's rows in earlier parts."""
-    earlier = Window.partitionBy(KEY).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.groupBy(KEY, part).agg(F.sum("n").alias("__n")).select(KEY, part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    """(KEY, part, __start, __total) of counts (KEY, part, n): the group's rows in earlier parts, and all of them."""
+    group = Window.partitionBy(KEY)
+    earlier = group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(KEY, part).agg(F.sum("n").alias("__n"))
+    return sums.select(KEY, part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"), F.sum("__n").over(group).alias("__total"))
 
 
 def _counts_before(df: DataFrame, keys: Sequence[str], x: str, ranges: int) -> DataFrame:
-    counts = df.where(F.col(x).isNotNull()).groupBy(_key(keys), x).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(x).isNotNull()).groupBy(_key(keys, x), x).agg(F.count(F.lit(1)).alias("n"))
     cuts = counts.groupBy(KEY).agg(F.percentile_approx(x, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("__cuts"))
     place = F.array_position(F.sort_array(F.array_append("__cuts", F.col(x))), F.col(x))  # 1 + the number of smaller cuts
     cut = counts.join(cuts, KEY).withColumn("__range", place).drop("__cuts")
     within = Window.partitionBy(KEY, "__range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     placed = cut.withColumn("__at", F.coalesce(F.sum("n").over(within), F.lit(0))).join(_before(cut, "__range"), [KEY, "__range"])
-    return placed.select(KEY, x, "n", (F.col("__start") + F.col("__at")).alias("before"))
+    return placed.select(KEY, x, "n", (F.col("__start") + F.col("__at")).alias("before"), "__total")
 
 
 def counts_before(df: DataFrame, keys: Sequence[str], x: str, ranges: int = RANGES) -> DataFrame:
@@ -52,9 +56,8 @@ def counts_before(df: DataFrame, keys: Sequence[str], x: str, ranges: int = RANG
 def _at_positions(df: DataFrame, keys: Sequence[str], x: str, positions: dict[str, Column]) -> DataFrame:
     """(KEY, __total, the value at each position from 0); positions are expressions of __total."""
     placed = _counts_before(df, keys, x, RANGES)
-    totals = placed.groupBy(KEY).agg(F.sum("n").alias("__total"))
     holds = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
-    return placed.join(totals, KEY).groupBy(KEY, "__total").agg(*[F.max(F.when(holds(at), F.col(x))).alias(name) for name, at in positions.items()])
+    return placed.groupBy(KEY, "__total").agg(*[F.max(F.when(holds(at), F.col(x))).alias(name) for name, at in positions.items()])
 
 
 def nearest_quantiles(df: DataFrame, keys: Sequence[str], x: str, quantiles: dict[str, float]) -> DataFrame:
@@ -79,15 +82,16 @@ def with_quantiles(df: DataFrame, keys: Sequence[str], x: str, quantiles: dict[s
     """(keys, aggs, a column for each interpolated quantile of x, NULL in groups without a value)."""
     keyed = df.groupBy(_key(keys)).agg(*aggs)
     found = interpolated_quantiles(df, keys, x, quantiles).select(_key(keys), *quantiles)
-    return keyed.join(found, KEY, "left").select(*_keys(keys), *[c for c in keyed.columns if c != KEY], *quantiles)
+    names = [c for c in keyed.columns if c != KEY]
+    both = keyed.unionByName(found, allowMissingColumns=True).groupBy(KEY)
+    return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in (*names, *quantiles)]).select(*_keys(keys), *names, *quantiles)
 
 
 def with_percentile_rank(df: DataFrame, keys: Sequence[str], x: str, name: str) -> DataFrame:
     """df with the average-method rank of x over the group's size, in (0, 1]; NULL values have none and do not count."""
     placed = _counts_before(df, keys, x, RANGES)
-    totals = placed.groupBy(KEY).agg(F.sum("n").alias("__total"))
-    ranks = placed.join(totals, KEY).select(KEY, x, ((F.col("before") + (F.col("n") + 1) / 2.0) / F.col("__total")).alias(name))
-    return df.select("*", _key(keys)).join(ranks, [KEY, x], "left").select(*df.columns, name)
+    ranks = placed.select(KEY, x, ((F.col("before") + (F.col("n") + 1) / 2.0) / F.col("__total")).alias(name))
+    return df.select("*", _key(keys, x)).join(ranks, [KEY, x], "left").select(*df.columns, name)
 
 
 def placed_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str, total: str | None = None) -> DataFrame:
@@ -100,10 +104,9 @@ def placed_within(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     parts = written(ranged.withColumn("__part", F.spark_partition_id()), "places")
     counts = parts.groupBy(KEY, "__part").agg(F.count(F.lit(1)).alias("n"))
     within = F.row_number().over(Window.partitionBy(KEY, "__part").orderBy(*order))
-    out = parts.withColumn("__at", within).join(_before(counts, "__part"), [KEY, "__part"]).withColumn(name, (F.col("__start") + F.col("__at")).cast("bigint"))
-    if total:
-        out = out.join(counts.groupBy(KEY).agg(F.sum("n").alias(total)), KEY)
-    return out.select(*df.columns, name, *([total] if total else []))
+    out = parts.withColumn("__at", within).join(_before(counts, "__part"), [KEY, "__part"])
+    place = (F.col("__start") + F.col("__at")).cast("bigint").alias(name)
+    return out.select(*df.columns, place, *([F.col("__total").alias(total)] if total else []))
 
 
 def running_ema(df: DataFrame, run: str, order: str, x: str, beta: float) -> DataFrame:

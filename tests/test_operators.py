@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +13,7 @@ from caliper.functions import arrays as ar
 from caliper.functions import geometry as geo
 from caliper.functions import stats
 from caliper.functions import strings as sx
+from caliper.operators import ml
 from caliper.operators import quality as qa
 from caliper.operators import ranking as rk
 from caliper.operators import relational as rel
@@ -231,3 +233,121 @@ def test_stream_leaves_out_late_rows_and_equals_batch(spark, tmp_path):
     got = {(r["kind"], r["n"], r["mean"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r["kind"], r["n"], r["mean"]) for r in windowed_history(df, "ts", "kind", "x", "1 minute", "1 minute").collect()} == {("a", 2, 2.0), ("b", 1, 5.0)}
     assert {(r["kind"], r["n"]) for r in sessions(df, "ts", "kind", "30 seconds", "1 minute").collect()} == {("a", 1), ("b", 1)}
+
+
+def test_ingest_from_csv_to_documents(spark, tmp_path):
+    from caliper.operators import ingest
+    from caliper.sources.readers import read_csv
+    from caliper.sources.sinks import write_json_lines
+
+    (tmp_path / "traits.csv").write_text(
+        "groupImageFilePath,BeetlePosition,individualID,coords_scalebar,coords_elytra_max_length,coords_basal_pronotum_width,coords_elytra_max_width\n"
+        'group_images/IMG_01.png,1,a,"[[0, 0, 10, 0]]","[[15, 25, 35, 45], [1, 2, 3]]",[],not json\n'
+        'group_images/IMG_01.png,2,b,,"[[12, 22, 14, 26, 18, 30]]",,"[[11]]"\n'
+        'group_images/IMG_01.png,2,b,,"[[12, 22, 14, 26, 18, 30]]",,"[[11]]"\n'
+        'group_images/img_02.png,7,c,"[[1, 1, 2, 2]]",,,\n'
+    )
+    (tmp_path / "images.csv").write_text(
+        "individualImageFilePath,groupImageFilePath,individualID\n"
+        "Individual/IMG_01_specimen_1.png,group_images/IMG_01.png,a\nindividual/img_01_specimen_2.png,group_images/img_01.png,b\n"
+        "individual/img_01_specimen_3.png,group_images/img_01.png,x\nindividual/img_01_nothing.png,group_images/img_01.png,y\n"
+    )
+    texts = ", ".join(f"{c} string" for c in ingest.TRAITS)
+    read = lambda name, schema: spark.read.csv(str(tmp_path / name), header=True, schema=schema, escape='"')
+    traits = ingest.keyed_traits(read("traits.csv", f"groupImageFilePath string, BeetlePosition bigint, individualID string, {texts}"))
+    images = ingest.keyed_images(read_csv(spark, str(tmp_path / "images.csv"), "individualImageFilePath string, groupImageFilePath string, individualID string"))
+    problems = {tuple(r) for r in ingest.key_problems(traits, images).collect()}
+    assert problems == {
+        ("trait_duplicates", "img_01", 2, 2), ("images_without_traits", "img_01", 3, 1), ("images_without_traits", "img_01", None, 1), ("traits_without_images", "img_02", 7, 1),
+    }
+    origins = spark.createDataFrame([("img_01", 1, 10, 20), ("img_01", 2, 10, 20)], "group_img_basename string, beetle_position long, origin_x long, origin_y long")
+    docs = ingest.annotation_documents(traits, images, origins)
+    got = {r["individualID"]: [(m["measurement_type"], m["polyline_px"]) for m in r["measurements"]] for r in docs.collect()}
+    assert got == {"a": [("scalebar", [-10.0, -20.0, 0.0, -20.0]), ("elytra_max_length", [5.0, 5.0, 25.0, 25.0])], "b": [("elytra_max_length", [2.0, 2.0, 4.0, 6.0, 8.0, 10.0])]}
+    write_json_lines(docs, str(tmp_path / "annotations"))
+    assert spark.read.json(str(tmp_path / "annotations")).count() == 2
+    assert ingest.annotation_documents(traits.limit(0), images, origins).count() == 0
+
+
+def test_quantiles_and_places_of_null_groups(spark):
+    from caliper.operators.ordered import interpolated_quantiles, placed_within, running_ema
+
+    rows = [("a", 1.0), ("a", 2.0), ("a", 4.0), (None, 5.0), (None, 9.0), ("b", None)]
+    df = spark.createDataFrame(rows, "k string, x double").withColumn("id", F.monotonically_increasing_id())
+    assert {tuple(r) for r in interpolated_quantiles(df, ["k"], "x", {"m": 0.5, "q": 0.75}).collect()} == {("a", 2.0, 3.0), (None, 7.0, 8.0)}
+    assert [tuple(r) for r in interpolated_quantiles(df, [], "x", {"m": 0.5}).collect()] == [(4.0,)]
+    placed = placed_within(df, ["k"], [F.col("x").desc(), F.col("id")], "place", "of")
+    assert {(r["k"], r["x"], r["place"], r["of"]) for r in placed.collect()} == {("a", 4.0, 1, 3), ("a", 2.0, 2, 3), ("a", 1.0, 3, 3), (None, 9.0, 1, 2), (None, 5.0, 2, 2), ("b", None, 1, 1)}
+    assert placed_within(df.limit(0), ["k"], [F.col("id")], "place").count() == 0
+    ema = {(r["k"], r["step"]): r["ema"] for r in running_ema(df, "k", "id", "x", 0.5).collect()}
+    assert ema[("a", 3)] == 2.75 and ema[(None, 2)] == 7.0 and len(ema) == 6
+    assert interpolated_quantiles(df.limit(0), ["k"], "x", {"m": 0.5}).count() == 0
+
+
+def test_places_over_many_ranges(spark):
+    df = spark.range(20_000).selectExpr("id", "id % 3 = 0 as g", "(id * 7919) % 10007 as x")
+    from caliper.operators.ordered import placed_within
+
+    got = placed_within(df.repartition(9), ["g"], [F.col("x"), F.col("id").desc()], "n").orderBy("g", "n").collect()
+    for g in (False, True):
+        own = [r for r in got if r["g"] == g]
+        assert [r["n"] for r in own] == list(range(1, len(own) + 1)) and own == sorted(own, key=lambda r: (r["x"], -r["id"]))
+
+
+def test_point_errors_and_losses_against_numpy(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(40):
+        p, g, maps, targets = rng.normal(0, 10, 8), rng.normal(0, 10, 8), rng.normal(0, 1, (4, 9)), rng.random((4, 9))
+        rows.append((i, p.tolist(), g.tolist(), *maps.tolist(), *targets.tolist(), float(i % 3 > 0), float(i % 4 > 0), None if i % 5 == 0 else 2.0))
+    names = [f"p{c}" for c in range(4)] + [f"g{c}" for c in range(4)]
+    df = spark.createDataFrame(rows, "id int, p array<double>, g array<double>, " + ", ".join(f"{c} array<double>" for c in names) + ", m0 double, m1 double, scale double")
+    col = lambda a: [F.col(f"{a}{c}") for c in range(4)]
+    masks = [F.col("m0"), F.col("m1")]
+    got = df.select(
+        "id",
+        geo.point_error_cm(F.col("p"), F.col("g"), 1, F.col("scale"), (F.col("m0"), F.col("m1"))).alias("err"),
+        geo.masked_line_loss(col("p"), col("g"), masks, geo.cross_entropy).alias("ce"),
+        geo.masked_line_loss(col("p"), col("g"), masks, geo.squared_error, 18.0).alias("mse"),
+    ).collect()
+    for r, row in zip(sorted(got, key=lambda r: r["id"]), rows, strict=True):
+        p, g = np.array(row[1]).reshape(4, 2)[2:], np.array(row[2]).reshape(4, 2)[2:]
+        maps, targets, mask, scale = np.array(row[3:7]), np.array(row[7:11]), np.array(row[11:13]), row[13]
+        straight, crossed = np.linalg.norm(p - g, axis=1), np.linalg.norm(p[::-1] - g, axis=1)
+        best = crossed if crossed.sum() < straight.sum() else straight
+        want = best[mask > 0].mean() / scale if scale and mask.any() else None
+        assert (r["err"] is None) == (want is None) and (want is None or abs(r["err"] - want) < 1e-9)
+        logp = maps - np.log(np.exp(maps).sum(axis=1, keepdims=True))
+        share = targets / targets.sum(axis=1, keepdims=True)
+        for name, loss, terms in (("ce", lambda a, b: -(share[b] * logp[a]).sum(), 1), ("mse", lambda a, b: ((maps[a] - targets[b]) ** 2).sum(), 18)):
+            lines = np.array([min(loss(i, i) + loss(i + 1, i + 1), loss(i, i + 1) + loss(i + 1, i)) for i in (0, 2)])
+            assert abs(r[name] - (lines * mask).sum() / max(mask.sum() * terms, 1e-8)) < 1e-9
+
+
+@pytest.mark.parametrize("k", [3])
+def test_kmeans_is_the_cheapest_fit(spark, k):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(3 * (i % 5), 1, 4).tolist()) for i in range(200)], "id int, v array<double>")
+    rows = ml.kmeans_labels(df, "v", k, n_init=5).collect()
+    cost = 0.0
+    for c in {r["cluster"] for r in rows}:
+        own = np.array([r["v"] for r in rows if r["cluster"] == c])
+        cost += ((own - own.mean(axis=0)) ** 2).sum()
+    ready = df.withColumn("f", array_to_vector("v"))
+    single = [KMeans(k=k, seed=42 + i, featuresCol="f").fit(ready).summary.trainingCost for i in range(5)]
+    assert len(rows) == 200 and len({r["cluster"] for r in rows}) == k and cost <= min(single) * (1 + 1e-6)
+
+
+def test_pca_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, [5, 3, 1, 0.5], (150, 4)) @ np.linalg.qr(rng.normal(size=(4, 4)))[0]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, v array<double>")
+    c = x - x.mean(axis=0)
+    want = c @ np.linalg.svd(c, full_matrices=False)[2][:2].T
+    got = np.array([[r["pc1"], r["pc2"]] for r in ml.pca_2d(df, "v").orderBy("id").collect()])
+    shared = ml.shared_pca(df.where("id < 50"), df.where("id >= 50"), "v").orderBy("id").collect()
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
+    assert np.allclose(np.abs([[r["pc1"], r["pc2"]] for r in shared]), np.abs(want), atol=1e-6) and sum(r["origin"] == "labeled" for r in shared) == 50

@@ -29,6 +29,15 @@ def test_columns_and_filters_reach_the_scan(spark):
     assert "GreaterThan(l_quantity,48.0)" in text
 
 
+@pytest.mark.parametrize("name", ["A3_median", "A7_global_percentiles", "A34_scale_summary", "A36_decode_comparison", "W9_selection_rank", "W13_reading_order", "W15_tail_split", "T1_multi_key_sort", "T7_seeded_shuffle", "U9_proportional_mix"])
+def test_no_task_gets_all_rows(name, spark):
+    """One partition takes only what an aggregate without keys hands on."""
+    text = plan(catalog.queries()[name](spark, ROOT)).split("== Initial Plan ==")[-1].splitlines()
+    for i, line in enumerate(text):
+        if "SinglePartition" in line:
+            assert "partial_" in text[i + 1], name
+
+
 def test_top_k_needs_no_full_sort(spark):
     assert "TakeOrderedAndProject" in plan(catalog.queries()["T2_head"](spark, ROOT))
 
