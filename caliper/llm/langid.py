@@ -31,7 +31,6 @@ REJECT_Z, REJECT_MARGIN, REJECT_QUANTILE, FENCE = 8.0, 1.25, 0.999, 5.5
 LEAST_TEXTS = 8
 #: Rows of the table of languages that is broadcast at most.
 MANY_LANGUAGES = 10_000
-_PREFIX_BITS = 22
 _BLOCK = 1 << 17
 _letters: np.ndarray | None = None
 
@@ -95,15 +94,16 @@ class Model:
     temper: float = 1.0
 
     def index(self) -> None:
-        shift = np.uint64(64 - _PREFIX_BITS)
-        self.first = np.searchsorted(self.keys >> shift, np.arange(2**_PREFIX_BITS + 1, dtype=np.uint64)).astype(np.int32)
+        bits = min(24, max(8, len(self.keys).bit_length() + 2))  # a quarter of the places hold a key
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange(2**bits + 1, dtype=np.uint64)).astype(np.int32)
         self.run = int(np.diff(self.first).max()) if len(self.keys) else 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Row of each hash; the last row if it is absent."""
         if not len(self.keys):
             return np.zeros(len(h), np.int64)
-        prefix = (h >> np.uint64(64 - _PREFIX_BITS)).astype(np.int64)
+        prefix = (h >> self.shift).astype(np.int64)
         at, end = self.first[prefix], self.first[prefix + 1]
         out = np.where((at < end) & (self.keys[np.minimum(at, len(self.keys) - 1)] == h), at, len(self.keys))
         rest = np.flatnonzero((out == len(self.keys)) & (end - at > 1))
