@@ -118,7 +118,7 @@ def copies(units: DataFrame, targets: DataFrame, seed: int = 17, fan: int = FAN,
         last = i == levels
         if last:  # one block a source
             level = level.withColumn("block", F.lit(0).cast("long"))
-        folded = _fold(level, seed + i)
+        folded = written(_fold(level, seed + i), "mix-folded")
         settled.append(folded.select("source", F.explode("r.out").alias("o")).select("source", F.col("o.id").alias("id"), F.col("o.extra").alias("extra")))
         rest = folded.where("r.id is not null").select("source", "block", "r.*")
         if last:
