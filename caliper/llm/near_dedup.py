@@ -333,7 +333,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates keeps, one for each doc_id, all columns as they were."""
-    keep = written(near_duplicates(docs, k, percent).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "dedup-keep")
+    ids = near_duplicates(docs, k, percent).where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept"))
+    keep = written(ids.where("kept").select("doc_id", "n"), "dedup-keep")
     once = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi")
     repeated = docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(repeated).select(docs.columns).unionByName(docs.where("doc_id is null"))

@@ -509,7 +509,7 @@ def odd_documents(spark):
     rng = random.Random(3)
     words = [f"word{i}" for i in range(50)]
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 30, 200]))), rng.choice(["en", "en", None]), rng.choice(["a", "b", None]), 1, "x", "y", "z") for i in range(60)]
-    rows += rows[:5] * 2 + [(None, "no id at all", "en", "a", None, "x", "y", "z"), (None, "no id at all", "en", "a", None, "x", "y", "z")]
+    rows += rows[:5] * 2 + [(6, "the id of another text", "en", "a", 1, "x", "y", "z"), (None, "no id at all", "en", "a", None, "x", "y", "z"), (None, "no id at all", "en", "a", None, "x", "y", "z")]
     rows += [(70, None, None, None, None, None, None, None), (71, "", "en", "a", 0, "x", "y", "z"), (72, " \n ", "en", None, 0, "x", "y", "z"), (73, "long text " * 60_000, "en", "b", 0, "x", "y", "z")]
     return spark.createDataFrame(rows, f"{SCHEMA}, copies string, component_id string, bin_id string")
 
@@ -533,7 +533,7 @@ def test_stages_on_odd_documents(spark, tmp_path):
         if name == "language ID":
             assert not {70, 71, 72} & set(has)
         if name == "near-duplicates":
-            assert has[0] == has[70] == has[71] == has[72] == 1 and has[None] == 2
+            assert has[0] == has[6] == has[70] == has[71] == has[72] == 1 and has[None] == 2
         if name == "mixing to target weights":
             assert not {70, 71, 72} & set(has) and all(has[i] <= 2 * had[i] for i in has)
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
