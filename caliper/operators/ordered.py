@@ -38,8 +38,14 @@ def _before(counts: DataFrame, part: str) -> DataFrame:
     return sums.select(KEY, part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"), F.sum("__n").over(group).alias("__total"))
 
 
-def _counts_before(df: DataFrame, keys: Sequence[str], x: str, ranges: int) -> DataFrame:
-    counts = df.where(F.col(x).isNotNull()).groupBy(_key(keys, x), x).agg(F.count(F.lit(1)).alias("n"))
+def _counts(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """(KEY, x, n): the different values of each group, NULL among them, and their rows."""
+    return df.groupBy(_key(keys, x), x).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _counts_before(counts: DataFrame, x: str, ranges: int = RANGES) -> DataFrame:
+    """(KEY, x, n, before, __total) of _counts, without NULL."""
+    counts = counts.where(F.col(x).isNotNull())
     cuts = counts.groupBy(KEY).agg(F.percentile_approx(x, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("__cuts"))
     place = F.array_position(F.sort_array(F.array_append("__cuts", F.col(x))), F.col(x))  # 1 + the number of smaller cuts
     cut = counts.join(cuts, KEY).withColumn("__range", place).drop("__cuts")
@@ -50,12 +56,12 @@ def _counts_before(df: DataFrame, keys: Sequence[str], x: str, ranges: int) -> D
 
 def counts_before(df: DataFrame, keys: Sequence[str], x: str, ranges: int = RANGES) -> DataFrame:
     """(keys, x, n, before): each distinct non-null value of a group, its rows, and the group's rows with smaller values."""
-    return _counts_before(df, keys, x, ranges).select(*_keys(keys), x, "n", "before")
+    return _counts_before(_counts(df, keys, x), x, ranges).select(*_keys(keys), x, "n", "before")
 
 
-def _at_positions(df: DataFrame, keys: Sequence[str], x: str, positions: dict[str, Column]) -> DataFrame:
+def _at_positions(counts: DataFrame, x: str, positions: dict[str, Column]) -> DataFrame:
     """(KEY, __total, the value at each position from 0); positions are expressions of __total."""
-    placed = _counts_before(df, keys, x, RANGES)
+    placed = _counts_before(counts, x)
     holds = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("n"))
     return placed.groupBy(KEY, "__total").agg(*[F.max(F.when(holds(at), F.col(x))).alias(name) for name, at in positions.items()])
 
@@ -63,33 +69,44 @@ def _at_positions(df: DataFrame, keys: Sequence[str], x: str, positions: dict[st
 def nearest_quantiles(df: DataFrame, keys: Sequence[str], x: str, quantiles: dict[str, float]) -> DataFrame:
     """(keys, a column for each quantile): the value at position round(q * (n - 1)), half to even, of the sorted values."""
     at = {name: F.rint(F.lit(q) * (F.col("__total") - 1)).cast("bigint") for name, q in quantiles.items()}
-    return _at_positions(df, keys, x, at).select(*_keys(keys), *quantiles)
+    return _at_positions(_counts(df, keys, x), x, at).select(*_keys(keys), *quantiles)
 
 
-def interpolated_quantiles(df: DataFrame, keys: Sequence[str], x: str, quantiles: dict[str, float]) -> DataFrame:
-    """(keys, a column for each quantile): the value at position q * (n - 1) of the sorted values, in double, linear between
-    the two nearest. Groups without a value have no row."""
+def _interpolated(counts: DataFrame, x: str, quantiles: dict[str, float]) -> DataFrame:
     at, out = {}, []
     for name, q in quantiles.items():
         p = F.lit(q) * (F.col("__total") - 1)
         low, high = F.col(f"__lo_{name}").cast("double"), F.col(f"__hi_{name}").cast("double")
         at |= {f"__lo_{name}": F.floor(p), f"__hi_{name}": F.ceil(p)}
         out.append((low + (high - low) * (p - F.floor(p))).alias(name))
-    return _at_positions(df, keys, x, at).select(*_keys(keys), *out)
+    return _at_positions(counts, x, at).select(KEY, *out)
+
+
+def interpolated_quantiles(df: DataFrame, keys: Sequence[str], x: str, quantiles: dict[str, float]) -> DataFrame:
+    """(keys, a column for each quantile): the value at position q * (n - 1) of the sorted values, in double, linear between
+    the two nearest. Groups without a value have no row."""
+    return _interpolated(_counts(df, keys, x), x, quantiles).select(*_keys(keys), *quantiles)
+
+
+def weighted_mean(x: str) -> Column:
+    """Aggregate of with_quantiles: the mean of x; NULL values do not count."""
+    return F.sum(F.col(x) * F.col("n")) / F.sum(F.when(F.col(x).isNotNull(), F.col("n")))
 
 
 def with_quantiles(df: DataFrame, keys: Sequence[str], x: str, quantiles: dict[str, float], aggs: Sequence[Column]) -> DataFrame:
-    """(keys, aggs, a column for each interpolated quantile of x, NULL in groups without a value)."""
-    keyed = df.groupBy(_key(keys)).agg(*aggs)
-    found = interpolated_quantiles(df, keys, x, quantiles).select(_key(keys), *quantiles)
-    names = [c for c in keyed.columns if c != KEY]
-    both = keyed.unionByName(found, allowMissingColumns=True).groupBy(KEY)
+    """(keys, aggs, a column for each interpolated quantile of x, NULL in groups without a value). aggs are aggregates over the
+    different values x of a group and their rows `n`: df is read once."""
+    counts = _counts(df, keys, x)
+    sums = counts.groupBy(KEY if keys else _key(keys)).agg(*aggs)
+    found = _interpolated(counts, x, quantiles).withColumn(KEY, F.col(KEY) if keys else _key(keys))
+    names = [c for c in sums.columns if c != KEY]
+    both = sums.unionByName(found, allowMissingColumns=True).groupBy(KEY)
     return both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in (*names, *quantiles)]).select(*_keys(keys), *names, *quantiles)
 
 
 def with_percentile_rank(df: DataFrame, keys: Sequence[str], x: str, name: str) -> DataFrame:
     """df with the average-method rank of x over the group's size, in (0, 1]; NULL values have none and do not count."""
-    placed = _counts_before(df, keys, x, RANGES)
+    placed = _counts_before(_counts(df, keys, x), x)
     ranks = placed.select(KEY, x, ((F.col("before") + (F.col("n") + 1) / 2.0) / F.col("__total")).alias(name))
     return df.select("*", _key(keys, x)).join(ranks, [KEY, x], "left").select(*df.columns, name)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caliper.operators.components import connected_components
-from caliper.operators.ordered import placed_within, with_quantiles
+from caliper.operators.ordered import placed_within, weighted_mean, with_quantiles
 from caliper.sources.readers import is_finite
 
 
@@ -81,7 +81,7 @@ def pairs_within(df: DataFrame, group: str, order: str, near: Callable[[DataFram
 
 def error_summary(df: DataFrame, group: str, error: str) -> DataFrame:
     """(group, n, median, mean) of the finite errors."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(error).alias("mean")]
+    aggs = [F.sum("n").alias("n"), weighted_mean(error).alias("mean")]
     return with_quantiles(df.where(is_finite(F.col(error))), [group], error, {"median": 0.5}, aggs).select(group, "n", "median", "mean")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from caliper.functions.stats import seeded_order
-from caliper.operators.ordered import nearest_quantiles, with_quantiles
+from caliper.operators.ordered import nearest_quantiles, weighted_mean, with_quantiles
 from caliper.sources.readers import nan_to_null
 
 
@@ -47,7 +47,7 @@ def across_runs(runs: DataFrame, key: str, x: str) -> DataFrame:
 
 def nan_summary(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """(keys, mean, max, median) that leave NaN out."""
-    return with_quantiles(nan_to_null(df, [x]), keys, x, {"median": 0.5}, [F.avg(x).alias("mean"), F.max(x).alias("max")])
+    return with_quantiles(nan_to_null(df, [x]), keys, x, {"median": 0.5}, [weighted_mean(x).alias("mean"), F.max(x).alias("max")])
 
 
 def validation_counters(df: DataFrame, nested: str, kind: str, valid: Callable, empty: Callable) -> DataFrame:

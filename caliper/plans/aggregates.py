@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caliper.functions.stats import masked_mean, rmse
 from caliper.operators import relational as rel
 from caliper.operators import summaries as sm
-from caliper.operators.ordered import interpolated_quantiles, nearest_quantiles, with_quantiles
+from caliper.operators.ordered import interpolated_quantiles, nearest_quantiles, weighted_mean, with_quantiles
 from caliper.plans.basics import r6
 from caliper.plans.catalog import query
 
@@ -207,7 +207,7 @@ def a33(t):
 
 @query("A34_scale_summary", "SELECT round(avg(p_retailprice), 6) AS mean_scale, round(median(p_retailprice), 6) AS median_scale FROM part")
 def a34(t):
-    both = with_quantiles(t.part, [], "p_retailprice", {"median": 0.5}, [F.avg("p_retailprice").alias("mean")])
+    both = with_quantiles(t.part, [], "p_retailprice", {"median": 0.5}, [weighted_mean("p_retailprice").alias("mean")])
     return both.select(r6("mean").alias("mean_scale"), r6("median").alias("median_scale"))
 
 
@@ -220,7 +220,7 @@ def a35(t):
 
 @query("A36_decode_comparison", "SELECT event_type, round(avg(value), 6) AS mean_px, round(median(value), 6) AS median_px, round(quantile_cont(value, 0.95), 6) AS p95_px, round(avg(value / 12.5), 6) AS mean_cm FROM events GROUP BY ALL")
 def a36(t):
-    means = [F.avg("value").alias("mean_px"), F.avg(F.col("value") / 12.5).alias("mean_cm")]
+    means = [weighted_mean("value").alias("mean_px"), (weighted_mean("value") / 12.5).alias("mean_cm")]
     both = with_quantiles(t.events, ["event_type"], "value", {"median_px": 0.5, "p95_px": 0.95}, means)
     return both.select("event_type", *[r6(c).alias(c) for c in ("mean_px", "median_px", "p95_px", "mean_cm")])
 
