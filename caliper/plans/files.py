@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caliper.operators import quality as qa
 from caliper.plans.basics import r6
 from caliper.plans.catalog import query
 from caliper.sources import readers as rd
@@ -155,3 +156,18 @@ def st1(t):
     last = t.spark.read.parquet(out)
     last = last.join(last.agg(F.max("epoch").alias("epoch")), "epoch", "left_semi")
     return last.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", r6("mean").alias("mean"), "most")
+
+
+@query("S10_first_existing_path", "SELECT r_regionkey, r_name FROM region")
+def s10(t):
+    return t.spark.read.parquet(rd.first_existing(t.spark, [f"{t.root}/no_such.parquet", f"{t.root}/region.parquet", f"{t.root}/nation.parquet"]))
+
+
+@query("Q1_required_columns", "SELECT s_suppkey, s_acctbal FROM supplier")
+def q1(t):
+    return rd.require_columns(t.supplier, ["s_suppkey", "s_acctbal"]).select("s_suppkey", "s_acctbal")
+
+
+@query("Q12_required_rows", "SELECT count(*) AS n FROM customer")
+def q12(t):
+    return qa.require_rows(t.customer, "customer").agg(F.count(F.lit(1)).alias("n"))

@@ -69,6 +69,16 @@ def read_indexed_annotations(spark: SparkSession, path: str, schema: str) -> Dat
     return annotations.join(images, "image_id")
 
 
+def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
+    """The first of the candidate paths that there is, in any file system that Spark reads; ValueError if there is none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(conf).exists(at):
+            return path
+    raise ValueError(f"none of these exists: {', '.join(paths)}")
+
+
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Paths, names and lengths of the files under a folder, without their contents."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)

@@ -144,6 +144,15 @@ def test_runs_with_other_keys_do_not_align(spark):
         rel.align_runs([a, b.where("k = 1")], "k")
 
 
+def test_first_existing_path(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "c").mkdir()
+    paths = [str(tmp_path / x) for x in "abc"]
+    assert rd.first_existing(spark, paths) == paths[1] and rd.first_existing(spark, [f"file://{paths[2]}"]) == f"file://{paths[2]}"
+    with pytest.raises(ValueError, match="none of these"):
+        rd.first_existing(spark, paths[:1])
+
+
 def test_absent_keeps_null_keys(spark):
     a = spark.createDataFrame([(1,), (2,), (None,)], "k long")
     assert sorted((r[0] for r in rel.absent(a, a.where("k = 1"), {"k": "k"}).collect()), key=str) == [2, None]
