@@ -8,9 +8,10 @@ the k-th distance d found so far sets the reach: a row as near as d lies within
 cells beyond the reach are never verified, and a query whose next cell lies beyond has stopped. Every verified score is the
 exact cosine in double precision.
 
-The number m is the one of DIMENSIONS with the least work (projected and verified components) in the sample. Adjacent cells
-make up tiles of up to BLOCK rows; a larger cell is dealt to blocks, and the queries that visit a tile to chunks: a task
-holds one block and one chunk, whatever the number of equal vectors.
+The number m is the one of DIMENSIONS with the least work (projected and verified components) in the sample. Equal vectors
+are one node with its k + 1 smallest ids, and queries with equal vectors ask once, so that a vector that a third of all rows
+share costs no more than another. Adjacent cells make up tiles of up to BLOCK nodes; a larger cell is dealt to blocks, and
+the queries that visit a tile to chunks: a task holds one block and one chunk.
 """
 
 from __future__ import annotations
@@ -143,10 +144,21 @@ def _matrix(column: pd.Series, dtype: type = np.float64) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype).reshape(len(column), -1).astype(np.float64)
 
 
-def _indexed(rows: DataFrame, tree: Tree, directions: np.ndarray) -> DataFrame:
-    """(cell, vec_id, vector, point): vectors as bytes of their type, the projected unit vectors as doubles."""
-    shared = rows.sparkSession.sparkContext.broadcast((tree, directions))
-    dtype = _dtype(rows)
+def _bytes(v: np.ndarray) -> list[bytes]:
+    return [r.tobytes() for r in v + 0.0]  # no negative zeros: equal vectors have equal bytes
+
+
+def _nodes(rows: DataFrame, ids: int) -> DataFrame:
+    """(embedding, ids): each different vector with the smallest ids of its rows; a task hands on no more than these."""
+    order = Window.partitionBy("embedding").orderBy("vec_id")
+    first = rows.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= ids)
+    return first.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+
+
+def _indexed(nodes: DataFrame, tree: Tree, directions: np.ndarray) -> DataFrame:
+    """(cell, ids, vector, point): vectors as bytes of their type, the projected unit vectors as doubles."""
+    shared = nodes.sparkSession.sparkContext.broadcast((tree, directions))
+    dtype = _dtype(nodes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, d = shared.value
@@ -154,9 +166,21 @@ def _indexed(rows: DataFrame, tree: Tree, directions: np.ndarray) -> DataFrame:
             if len(f):
                 v = np.array(f["embedding"].tolist(), dtype=dtype)
                 y = _unit(v.astype(np.float64)) @ d
-                yield pd.DataFrame({"cell": t.cell(y), "vec_id": f["vec_id"], "vector": [r.tobytes() for r in v], "point": [r.tobytes() for r in y]})
+                yield pd.DataFrame({"cell": t.cell(y), "ids": f["ids"], "vector": _bytes(v), "point": [r.tobytes() for r in y]})
+
+    return nodes.mapInPandas(run, "cell int, ids array<long>, vector binary, point binary")
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    """(query_id, vector) of query rows: the least vector of each id."""
+    dtype = _dtype(rows)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                yield pd.DataFrame({"query_id": f["vec_id"], "vector": _bytes(np.array(f["embedding"].tolist(), dtype=dtype))})
 
-    return rows.mapInPandas(run, "cell int, vec_id long, vector binary, point binary")
+    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).mapInPandas(run, "query_id long, vector binary")
 
 
 def _tiles(index: DataFrame, cells: int) -> tuple[np.ndarray, DataFrame]:
@@ -176,7 +200,7 @@ def _tiles(index: DataFrame, cells: int) -> tuple[np.ndarray, DataFrame]:
 
 
 def _visits(queries: DataFrame, tree: Tree, tile: np.ndarray, at: int, to: int) -> DataFrame:
-    """(tile, query_id, vector, point, reach, cells): of each query the cells number at to `to` by projected distance, as far
+    """(tile, node, vector, point, reach, cells): of each query the cells number at to `to` by projected distance, as far
     as they lie within its reach."""
     shared = queries.sparkSession.sparkContext.broadcast((tree, tile))
 
@@ -184,15 +208,15 @@ def _visits(queries: DataFrame, tree: Tree, tile: np.ndarray, at: int, to: int)
         t, tile_of = shared.value
         for f in frames:
             rows = []
-            for q, v, y, reach in zip(f["query_id"], f["vector"], f["point"], f["reach"], strict=True):
+            for q, v, y, reach in zip(f["node"], f["vector"], f["point"], f["reach"], strict=True):
                 gaps = t.squared_gaps(np.frombuffer(y, np.float64))
                 near = np.argsort(gaps, kind="stable")[at:to]
                 near = np.sort(near[gaps[near] <= reach])
                 for x in np.unique(tile_of[near]):
                     rows.append((int(x), q, v, y, reach, near[tile_of[near] == x].tolist()))
-            yield pd.DataFrame(rows, columns=["tile", "query_id", "vector", "point", "reach", "cells"])
+            yield pd.DataFrame(rows, columns=["tile", "node", "vector", "point", "reach", "cells"])
 
-    return queries.mapInPandas(run, "tile int, query_id long, vector binary, point binary, reach double, cells array<int>")
+    return queries.mapInPandas(run, "tile int, node long, vector binary, point binary, reach double, cells array<int>")
 
 
 def _best_of(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -207,15 +231,15 @@ def _verify(k: int, factor: float, dtype: type):
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(queries):
-            rows = rows.sort_values(["cell", "vec_id"], kind="stable")
-            ids, cell, y = rows["vec_id"].to_numpy(), rows["cell"].to_numpy(), _matrix(rows["point"])
+            rows = rows.sort_values(["cell", "vector"], kind="stable")
+            several, cell, y = rows["ids"].to_numpy(), rows["cell"].to_numpy(), _matrix(rows["point"])
             v = _matrix(rows["vector"], dtype)
             v /= np.abs(v).max(axis=1, keepdims=True)
             norm = np.sqrt((v * v).sum(axis=1))
-            for q, x, p, reach, cells in zip(queries["query_id"], _matrix(queries["vector"], dtype), _matrix(queries["point"]), queries["reach"], queries["cells"], strict=True):
+            for q, x, p, reach, cells in zip(queries["node"], _matrix(queries["vector"], dtype), _matrix(queries["point"]), queries["reach"], queries["cells"], strict=True):
                 own = np.concatenate([np.arange(*np.searchsorted(cell, (c, c + 1))) for c in cells])
                 gap = ((y[own] - p) ** 2).sum(axis=1)
-                near = np.flatnonzero((gap <= reach) & (ids[own] != q))
+                near = np.flatnonzero(gap <= reach)
                 near = near[np.argsort(gap[near], kind="stable")]
                 own, gap = own[near], gap[near]
                 a = x / np.abs(x).max()
@@ -227,12 +251,13 @@ def _verify(k: int, factor: float, dtype: type):
                         break
                     some = own[at:to]
                     cosine = (v[some] * a).sum(axis=1) / (size * norm[some])  # row by row: the same in every block
-                    best, score = _best_of(np.r_[best, ids[some]], np.r_[score, cosine], k)
+                    ids = several[some]
+                    best, score = _best_of(np.concatenate([best, *ids]), np.r_[score, np.repeat(cosine, [len(i) for i in ids])], k)
                     if len(best) == k:
                         reach = min(reach, (2 - 2 * score[-1]) * factor + 1e-12)
                     at = to
                 out += [(q, int(i), float(s), at if j == 0 else 0) for j, (i, s) in enumerate(zip(best, score, strict=True))]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "verified"])
+        return pd.DataFrame(out, columns=["node", "vec_id", "score", "verified"])
 
     return run
 
@@ -244,20 +269,20 @@ def _met(index: DataFrame, tiles: DataFrame, visits: DataFrame, run) -> DataFram
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
     places = F.broadcast(tiles.select("cell", "tile").join(chunks, "tile"))  # a row for each cell, bounded by the sample
-    rows = index.join(places, "cell").select("tile", dealt("blocks", "vec_id", "vector").alias("block"), every("chunks").alias("chunk"), "cell", "vec_id", "vector", "point")
-    asked = visits.join(F.broadcast(chunks), "tile").select("tile", every("blocks").alias("block"), dealt("chunks", "query_id").alias("chunk"), "query_id", "vector", "point", "reach", "cells")
+    rows = index.join(places, "cell").select("tile", dealt("blocks", "vector").alias("block"), every("chunks").alias("chunk"), "cell", "ids", "vector", "point")
+    asked = visits.join(F.broadcast(chunks), "tile").select("tile", every("blocks").alias("block"), dealt("chunks", "node").alias("chunk"), "node", "vector", "point", "reach", "cells")
     keys = ["tile", "block", "chunk"]
-    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double, verified long")
+    return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, "node long, vec_id long, score double, verified long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("node").orderBy(F.desc("score"), "vec_id")
+    return found.groupBy("node", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, confidence: float = CONFIDENCE, seed: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score, verified): the k nearest rows by cosine found for each query row, ties to the smaller
-    vec_id; verified is the number of rows whose cosine with the query was computed.
+    vec_id; verified is the number of different vectors whose cosine with the query was computed.
 
     Vectors that are null, zero, hold null or non-finite components take no part, as rows or queries; nor do those that have
     not the table's most common length, since a cosine needs equal lengths. Rows that repeat a vec_id are one row: its best
@@ -274,20 +299,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, confidence: float
     m = best_dimension(u, k, confidence) if len(u) else DIMENSIONS[0]
     directions = np.random.default_rng(seed).standard_normal((max(dims, 1), m))
     tree = Tree(u @ directions, max(1, min(math.ceil(math.sqrt(total)), len(u) // CELL_SAMPLE)))
-    index = written(_indexed(rows.distinct(), tree, directions), "ann-index")
+    index = written(_indexed(_nodes(rows, k + 1), tree, directions), "ann-index")
     tile, tiles = _tiles(index, len(tree.lo))
-    queries = index.join(vectors.where(is_query).select(F.col("vec_id").cast("long").alias("vec_id")), "vec_id", "left_semi")
-    queries = written(queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("vector", "point")).alias("v")).select("query_id", "v.*"), "ann-queries")
+    asking = written(_asked(valid(vectors.where(is_query), dims)).join(index.select("vector", "point"), "vector"), "ann-asking")
+    queries = written(asking.groupBy("vector").agg(F.first("point").alias("point"), F.min("query_id").alias("node")), "ann-queries")
     factor = chi_square_quantile(confidence, m)
     asked, found, at, to = queries.withColumn("reach", F.lit(float("inf"))), None, 0, FIRST_CELLS
     while at < len(tree.lo):
         visits = written(_visits(asked, tree, tile, at, to), "ann-visits")
         if found is not None and visits.isEmpty():
             break
-        met = written(_met(index, tiles, visits, _verify(k, factor, _dtype(rows))), "ann-found")
+        met = written(_met(index, tiles, visits, _verify(k + 1, factor, _dtype(rows))), "ann-found")
         found = met if found is None else found.unionByName(met)
-        kth = _best(found, k).where(F.col("rank") == k).select("query_id", ((2 - 2 * F.col("score")) * factor + 1e-12).alias("r"))
-        asked = queries.join(kth, "query_id", "left").select("query_id", "vector", "point", F.coalesce("r", F.lit(float("inf"))).alias("reach"))
+        kth = _best(found, k + 1).where(F.col("rank") == k + 1).select("node", ((2 - 2 * F.col("score")) * factor + 1e-12).alias("r"))
+        asked = queries.join(kth, "node", "left").select("node", "vector", "point", F.coalesce("r", F.lit(float("inf"))).alias("reach"))
         at, to = to, to + (to - at) * GROWTH
-    seen = found.groupBy("query_id").agg(F.sum("verified").alias("verified"))
-    return _best(found, k).join(seen, "query_id").select("query_id", "rank", "vec_id", "score", "verified")
+    seen = found.groupBy("node").agg(F.sum("verified").alias("verified"))
+    best = _best(found, k + 1).join(seen, "node").join(queries.select("node", "vector"), "node")
+    each = asking.select("query_id", "vector").join(best, "vector").where(F.col("vec_id") != F.col("query_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "verified")
