@@ -31,7 +31,7 @@ DIMENSIONS = (8, 12, 16, 24)
 CONFIDENCE = 0.95
 #: Rows that the tree is fitted on, and the fewest of them in a cell on average. The cells of n rows are sqrt(n) else.
 SAMPLE, CELL_SAMPLE = 65_536, 16
-#: Rows in a block, queries in a chunk, and rows that are verified between two tests.
+#: Rows in a block, queries in a chunk, and rows that are verified before the first test in a block; twice as many each time.
 BLOCK, CHUNK, STEP = 4096, 4096, 128
 #: Cells that each query visits in the first round, and the factor for each further one.
 FIRST_CELLS, GROWTH = 4, 4
@@ -244,9 +244,9 @@ def _verify(k: int, factor: float, dtype: type):
                 own, gap = own[near], gap[near]
                 a = x / np.abs(x).max()
                 size = np.sqrt((a * a).sum())
-                best, score, at = np.empty(0, np.int64), np.empty(0), 0
+                best, score, at, step = np.empty(0, np.int64), np.empty(0), 0, STEP
                 while at < len(own):
-                    to = min(at + STEP, int(np.searchsorted(gap, reach, side="right")))
+                    to = min(at + step, int(np.searchsorted(gap, reach, side="right")))
                     if to <= at:
                         break
                     some = own[at:to]
@@ -255,7 +255,7 @@ def _verify(k: int, factor: float, dtype: type):
                     best, score = _best_of(np.concatenate([best, *ids]), np.r_[score, np.repeat(cosine, [len(i) for i in ids])], k)
                     if len(best) == k:
                         reach = min(reach, (2 - 2 * score[-1]) * factor + 1e-12)
-                    at = to
+                    at, step = to, 2 * step
                 out += [(q, int(i), float(s), at if j == 0 else 0) for j, (i, s) in enumerate(zip(best, score, strict=True))]
         return pd.DataFrame(out, columns=["node", "vec_id", "score", "verified"])
 
