@@ -53,3 +53,39 @@ blocks AS (SELECT page_id, url, list_transform(regexp_split_to_array(replace(b,
   trim(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS l FROM body),
 texts AS (SELECT page_id, url, array_to_string(list_filter(l, lambda x: x <> ''), chr(10) || chr(10)) AS t FROM blocks)
 SELECT page_id, url, t AS text, length(t) AS n_chars FROM texts"""
+
+
+#: Nodes are lists of turns; each is joined with what stands above it.
+CONVERSATION_TRIE = f"""WITH {_CRC[: _CRC.index("crc AS")].rstrip().rstrip(",")},
+own AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT conv_id, own, conv_id - conv_id % 100 AS first, CAST(xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 6 AS BIGINT) AS h FROM own, crc_table),
+rebuilt AS (SELECT c.conv_id, list_concat(list_slice(coalesce(f.own, []), 1, h), list_slice(c.own, h + 1, len(c.own))) AS r FROM heads c LEFT JOIN own f ON f.conv_id = c.first),
+members AS (SELECT conv_id, d, len(r) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE length(r[d].t) END AS n, md5(to_json(list_slice(r, 1, d))::VARCHAR) AS node FROM (SELECT conv_id, r, unnest(range(0, len(r) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS c, min(n) AS n, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends FROM members GROUP BY node, d),
+up AS (SELECT x.node, x.d, p.node AS parent, p.conv_id AS parent_id FROM nodes x JOIN members m ON m.conv_id = x.conv_id AND m.d = x.d - 1 JOIN nodes p ON p.node = m.node AND p.d = m.d),
+kids AS (SELECT parent AS node, d - 1 AS d, count(*) AS k FROM up GROUP BY 1, 2),
+sums AS (SELECT a.node, a.d, count(*) FILTER (kids.k IS NULL) AS leaves, sum((x.c - 1) * x.n) AS saved FROM nodes x JOIN members a ON a.conv_id = x.conv_id AND a.d <= x.d LEFT JOIN kids ON kids.node = x.node AND kids.d = x.d GROUP BY a.node, a.d)
+SELECT x.conv_id, x.d AS depth, up.parent_id AS parent_conv_id, x.c AS n_convs, coalesce(kids.k, 0) AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256
+FROM nodes x JOIN sums ON sums.node = x.node AND sums.d = x.d LEFT JOIN up ON up.node = x.node AND up.d = x.d LEFT JOIN kids ON kids.node = x.node AND kids.d = x.d"""
+
+
+def heap_lloyd_codes(width: int = 4, parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Every part against every entry, in integers; for vectors of parts * width components."""
+    at = lambda i: f"CAST(floor(embedding[p * {width} + {i + 1}]::DOUBLE * 256) AS BIGINT) AS x{i}"
+    steps = [
+        f"""kept AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT rn, p, {", ".join(at(i) for i in range(width))} FROM kept, range({parts}) t(p)),
+b0 AS MATERIALIZED (SELECT p, rn - 1 AS e, {", ".join(f"x{i} AS c{i}" for i in range(width))} FROM parts WHERE rn <= {entries})"""
+    ]
+    gap = " + ".join(f"(x{i} - c{i}) * (x{i} - c{i})" for i in range(width))
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rn, p, min(({gap}) * {entries} + e) AS best FROM parts JOIN b{r} USING (p) GROUP BY rn, p)")
+        if r < rounds:
+            means = ", ".join(f"coalesce(m{i}, c{i}) AS c{i}" for i in range(width))
+            sums = ", ".join(f"CAST(floor(sum(x{i})::DOUBLE / count(*)) AS BIGINT) AS m{i}" for i in range(width))
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, {means} FROM b{r} b LEFT JOIN (SELECT p, best % {entries} AS e, {sums} FROM parts JOIN a{r} USING (rn, p) GROUP BY 1, 2) m ON m.p = b.p AND m.e = b.e)")
+    flat = " || ',' || ".join(f"c{i}::VARCHAR" for i in range(width))
+    return f"""WITH {", ".join(steps)},
+coded AS (SELECT rn, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY rn),
+rows AS (SELECT vec_id, label, code, error FROM kept JOIN coded USING (rn))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg({flat}, ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM rows"""

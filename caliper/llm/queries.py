@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caliper.llm import audio, html_text, langid, oracles, quality, token_spans
+from caliper.llm import audio, codes, html_text, langid, oracles, privacy, quality, token_spans, trie
 from caliper.llm.ann import nearest
 from caliper.llm.mixing import mix
 from caliper.llm.near_dedup import near_duplicates
@@ -85,6 +85,27 @@ def op10_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_spans.section_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), rule="most")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return trie.prefix_trie(trie.with_shared_heads(trie.conversations_of(turns)))
+
+
+def op12_heap_lloyd_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    rows = codes.with_label_error(coded.rows)
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(coded.books.digest()).alias("codebooks_sha256"))
+
+
+def op13_information_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = privacy.protected(docs, privacy.revealing_terms(docs), with_text=False)
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(k).alias(f"n_{k}") for k in privacy.KINDS]
+    base = F.filter("spans", lambda s: s["kind"].isin(*privacy.KINDS))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_audio_features": op1_audio_features,
     "op2_pivotal_mixing": op2_pivotal_mixing,
@@ -96,6 +117,9 @@ QUERIES = {
     "op8_kneser_ney_langid": op8_kneser_ney_langid,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_section_tokens": op10_section_tokens,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_heap_lloyd_codes": op12_heap_lloyd_codes,
+    "op13_information_sanitiser": op13_information_sanitiser,
 }
 
 #: The other operators train models, draw or pack: they are tested against brute force, round trips and held-out rows.
@@ -103,4 +127,6 @@ ORACLES: dict[str, str] = {
     "op4_hash_tree_shards": oracles.hash_tree_shards(),
     "op7_line_block_html": oracles.LINE_BLOCK_HTML,
     "op9_minhash_dedup": oracles.MINHASH_DEDUP,
+    "op11_conversation_trie": oracles.CONVERSATION_TRIE,
+    "op12_heap_lloyd_codes": oracles.heap_lloyd_codes(),
 }
