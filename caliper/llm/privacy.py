@@ -77,7 +77,10 @@ def luhn(digits: str) -> bool:
 
 def base_spans(text: str) -> list[Span]:
     """(kind, start, end) by kind, then start: the patterns' leftmost matches that stand their tests."""
-    spans = [("email", *s) for s in _emails(text)] + [("ip", *s) for s in _ips(text)]
+    spans = [("email", *s) for s in _emails(text)]
+    if not _DIGITS.search(text):
+        return spans
+    spans += [("ip", *s) for s in _ips(text)]
     for kind, pattern in (("card", _CARD), ("phone", _PHONE)):
         for m in pattern.finditer(text):
             digits = _NO_DIGIT.sub("", m.group()) if m.end() - m.start() < 1 << 12 else "0" * sum(map(str.isdecimal, m.group()))
@@ -92,9 +95,20 @@ def entities(text: str, spans: list[Span]) -> set[str]:
     return {f"{k}:{value(k, text[a:b])}" for k, a, b in spans}
 
 
-def term_spans(text: str, spans: list[Span]) -> list[tuple[str, int, int]]:
-    """(term, start, end) of the words of 3 characters and more outside the spans."""
-    return [(name(m.group()), *m.span()) for m in _TERM.finditer(_blanked(text, spans)) if m.end() - m.start() > 2]
+def term_spans(text: str, spans: list[Span], wanted=None) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words of 3 characters and more outside the spans; of the wanted terms, if they are given."""
+    words = _TERM.finditer(_blanked(text, spans))
+    if wanted is None:
+        return [(name(m.group()), *m.span()) for m in words if m.end() - m.start() > 2]
+    if wanted.keys().isdisjoint(_words(text, spans)):
+        return []
+    return [(t, *m.span()) for m in words if m.end() - m.start() > 2 and (t := name(m.group())) in wanted]
+
+
+def _words(text: str, spans: list[Span]) -> list[str]:
+    """The names of all words outside the spans, in order."""
+    words = list(map(str.lower, _TERM.findall(_blanked(text, spans))))
+    return words if max(map(len, words), default=0) <= LONG else list(map(name, words))
 
 
 def name(word: str) -> str:
@@ -102,16 +116,13 @@ def name(word: str) -> str:
     return word if len(word) <= LONG else f"{word[:8]}#{xxhash.xxh3_128_hexdigest(word.encode())}"
 
 
-def first_contexts(text: str, spans: list[Span], wanted=None) -> dict[str, int]:
+def first_contexts(words: list[str], wanted=None) -> dict[str, int]:
     """term -> a hash of the words before and after its first use; of the wanted terms, if they are given."""
-    words = [w.lower() for w in _TERM.findall(_blanked(text, spans))]
-    words = [w if len(w) <= LONG else name(w) for w in words]
-    out: dict[str, int] = {}
-    for i, w in enumerate(words):
-        if len(w) > 2 and (wanted is None or w in wanted) and w not in out:
-            around = f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}"
-            out[w] = xxhash.xxh3_64_intdigest(around.encode()) - (1 << 63)
-    return out
+    if wanted is not None:
+        first = {w: words.index(w) for w in wanted.keys() & set(words)}
+    else:
+        first = {w: i for i, w in reversed(list(enumerate(words))) if len(w) > 2}
+    return {w: xxhash.xxh3_64_intdigest(f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}".encode()) - (1 << 63) for w, i in first.items()}
 
 
 def _blanked(text: str, spans: list[Span]) -> str:
@@ -172,56 +183,52 @@ def _company_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def rows():
         for b in batches:
             for known, text in zip(b.column(0).to_pylist(), _text(b, 1), strict=True):
-                for term, context in first_contexts(text, base_spans(text)).items():
+                for term, context in first_contexts(_words(text, base_spans(text))).items():
                     yield known, term, context
 
     yield from _table(rows(), pa.schema([("entities", pa.list_(pa.string())), ("term", pa.string()), ("context", pa.int64())]), 1 << 14)
 
 
-def _context_rows(limits: dict[str, int] | None):
-    """(term, context) of the terms of limits, or of all terms; a term that exceeds its limit in one task has a null context."""
+def _context_rows(limits: dict[str, int] | None, shapes: dict[str, int]):
+    """(term, context, shape, n) of the terms of limits, or of all terms; a term that exceeds its limit in one task has a null
+    context. With them, in how many of the task's texts each of the shapes stands, counted as far as its limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, set[int] | None] = {}
+        found, wanted = dict.fromkeys(shapes, 0), set(shapes)
+
         def rows():
-            seen: dict[str, set[int] | None] = {}
             for b in batches:
                 for text in _text(b, 0):
-                    for term, context in first_contexts(text, base_spans(text) if "@" in text or any(c in text for c in "0123456789") else [], limits).items():
+                    words = _words(text, base_spans(text))
+                    for s in wanted & _shapes(words, wanted) if wanted else ():
+                        found[s] += 1
+                        if found[s] >= shapes[s]:
+                            wanted.discard(s)
+                    for term, context in first_contexts(words, limits).items():
                         if limits is None:
-                            yield term, context
+                            yield term, context, None, None
                         elif (have := seen.setdefault(term, set())) is not None:
                             have.add(context)
                             if len(have) > limits[term]:
                                 seen[term] = None
             for term, have in seen.items():
                 for context in have if have is not None else (None,):
-                    yield term, context
+                    yield term, context, None, None
+            for s, n in found.items():
+                yield None, None, s, n
 
-        yield from _table(rows(), pa.schema([("term", pa.string()), ("context", pa.int64())]))
+        yield from _table(rows(), pa.schema([("term", pa.string()), ("context", pa.int64()), ("shape", pa.string()), ("n", pa.int64())]))
 
     return run
 
 
-def _shape_rows(wanted: frozenset[str]):
-    """(shape, n): in how many of a task's texts each wanted shape stands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, known = dict.fromkeys(wanted, 0), {}
-        for b in batches:
-            for text in _text(b, 0):
-                here = set()
-                for w in set(_TERM.findall(_blanked(text, base_spans(text)))):
-                    if len(w) > 2:
-                        s = known.get(w)
-                        if s is None:
-                            known = known if len(known) < 1 << 19 else {}
-                            s = known[w] = shape(name(w))
-                        here.add(s)
-                for s in here & wanted:
-                    found[s] += 1
-        yield _rows(list(found.items()), pa.schema([("shape", pa.string()), ("n", pa.int64())]))
-
-    return run
+def _shapes(words: list[str], wanted: set[str]) -> set[str]:
+    """The shapes of words of 3 characters and more. Those of letters alone need no look at each character."""
+    out = {shape(w) for w in set(words) if len(w) > 2 and not w.isalpha()} if wanted - {"a"} else set()
+    if "a" in wanted and any(len(w) > 2 and w.isalpha() for w in words):
+        out.add("a")
+    return out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -255,39 +262,38 @@ def revealing_terms(docs: DataFrame, bits: float = BITS, gain: float = GAIN, con
     n, n_docs = candidates.count(), docs.count()
     if n == 0:
         return none
-    if n <= few:
-        limits = {r["term"]: r["limit"] for r in candidates.collect()}
-        found = keyed.select("text").mapInArrow(_context_rows(limits), "term string, context bigint")
-    else:
-        every = written(keyed.select("text").mapInArrow(_context_rows(None), "term string, context bigint").distinct(), "privacy-terms")
-        found = join_hot(every, candidates, "term").select("term", "context")
-    totals = found.groupBy("term").agg(F.count_distinct("context").alias("total"), F.bool_or(F.col("context").isNull()).alias("over")).where("not over").drop("over")
+    enough = F.floor(F.max("rows") * F.lit(2.0**bits)).cast("bigint") + 1  # texts with a shape that hide an entity
+    likely = joint.join(often, "entity").groupBy("term").agg(enough.alias("enough")).join(candidates, "term")
+    shaped = written(likely.mapInArrow(_with_shape, "term string, enough bigint, limit bigint, shape string"), "privacy-shaped")
+    shapes = {r["shape"]: r["enough"] for r in shaped.groupBy("shape").agg(F.max("enough").alias("enough")).collect()}
+    limits = {r["term"]: r["limit"] for r in candidates.collect()} if n <= few else None
+    found = written(keyed.select("text").mapInArrow(_context_rows(limits, shapes), "term string, context bigint, shape string, n bigint").distinct(), "privacy-contexts")
+    terms = found.where("term is not null").select("term", "context")
+    if limits is None:
+        terms = join_hot(written(terms, "privacy-terms"), candidates, "term").select("term", "context")
+    totals = terms.groupBy("term").agg(F.count_distinct("context").alias("total"), F.bool_or(F.col("context").isNull()).alias("over")).where("not over").drop("over")
     left = F.log2(F.col("total") / F.col("joint"))
     says = F.log2(F.lit(float(n_docs)) / F.col("rows")) - left
-    known = joint.join(totals, "term").join(often, "entity").where((left <= bits) & (says >= gain))
-    known = known.groupBy("term").agg(F.max("rows").alias("rows"))
-    shaped = written(known.mapInArrow(_with_shape, "term string, rows bigint, shape string"), "privacy-shaped")
-    for t in (held, lists, company, joint, candidates):
+    known = joint.join(totals, "term").join(often, "entity").where((left <= bits) & (says >= gain)).select("term").distinct()
+    counts = found.where("shape is not null").groupBy("shape").agg(F.sum("n").alias("n"))
+    action = F.when(F.col("n") >= F.col("enough"), "generalise").otherwise("remove").alias("action")
+    out = written(shaped.join(known, "term", "left_semi").join(F.broadcast(counts), "shape").select("term", action), "privacy-revealing")
+    for t in (held, often, lists, company, joint, candidates, shaped, found):
         drop(t)
-    shapes = frozenset(r[0] for r in shaped.select("shape").distinct().collect())
-    if not shapes:
-        return none
-    counts = keyed.select("text").mapInArrow(_shape_rows(shapes), "shape string, n bigint").groupBy("shape").agg(F.sum("n").alias("n"))
-    safe = F.col("n") > F.col("rows") * 2.0**bits
-    return written(shaped.join(F.broadcast(counts), "shape").select("term", F.when(safe, "generalise").otherwise("remove").alias("action")), "privacy-revealing")
+    return out
 
 
 def _with_shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shape(t) for t in b.column(0).to_pylist()], pa.string())], names=["term", "rows", "shape"])
+        shapes = pa.array([shape(t) for t in b.column(0).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*b.columns, shapes], names=["term", "enough", "limit", "shape"])
 
 
 def _spans_of(text: str, actions) -> list[Span]:
     base = base_spans(text)
     if not actions:
         return base
-    more = [(actions[t], a, b) for t, a, b in term_spans(text, base) if t in actions]
-    return base + sorted(more)
+    return base + sorted((actions[t], a, b) for t, a, b in term_spans(text, base, actions))
 
 
 def _protected(actions: dict[str, str] | None, with_text: bool):
