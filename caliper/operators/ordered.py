@@ -8,9 +8,9 @@ which NULL equals NULL, so that NULL keys are groups like others and no keys are
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,23 +126,47 @@ def placed_within(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return out.select(*df.columns, place, *([F.col("__total").alias(total)] if total else []))
 
 
+#: Values at the head of a run that are folded one by one: as long as their averages have few digits, they round like the
+#: recurrence itself.
+HEAD = 32
+#: The factor by which a block of a run damps what comes before it, and the blocks after which nothing of a double is left.
+DAMPING, BLOCKS_BACK = 1e-100, 7
+
+
 def running_ema(df: DataFrame, run: str, order: str, x: str, beta: float) -> DataFrame:
-    """(run, step from 1, ema): the exponential moving average of each run, seeded by its first value; a NULL value keeps it.
-
-    A run is a recurrence, so one task takes it, batch by batch: it holds the last average, not the run."""
-
-    def steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last, step = None, float("nan"), 0
-        for f in frames:
-            out = []
-            for key, rows in f.groupby(run, sort=False, dropna=False):
-                if step == 0 or not (key == now or (pd.isna(key) and pd.isna(now))):
-                    now, last, step = key, float("nan"), 0
-                values = pd.concat([pd.Series([last]), rows[x].astype(float)], ignore_index=True)
-                mean = values.ewm(alpha=1 - beta, adjust=False, ignore_na=True).mean().iloc[1:]
-                out.append(pd.DataFrame({run: key, "step": range(step + 1, step + len(rows) + 1), "ema": mean.to_numpy()}))
-                last, step = mean.iloc[-1], step + len(rows)
-            yield pd.concat(out) if out else pd.DataFrame({run: [], "step": [], "ema": []})
-
-    rows = df.select(run, order, x).repartition(run).sortWithinPartitions(run, order)
-    return rows.mapInPandas(steps, f"`{run}` {dict(df.dtypes)[run]}, step bigint, ema double")
+    """(run, step from 1, ema): the exponential moving average of each run, seeded by its first value; a NULL or NaN value keeps
+    it, and before the first value it is NULL. (run, order) is unique; 0 < beta < 1. NULL runs are a run.
+
+    A step is the affine map e -> beta * e + (1 - beta) * x, and so is a block of steps. Runs are cut into blocks of as many
+    values as damp their past by DAMPING; a window gives each row the average of its block alone, and what a block starts with
+    comes from the averages of the BLOCKS_BACK blocks before it, as all older ones are damped below the smallest double. So
+    neither a run nor its blocks pass one task. Rows are numbered by ranges, like placed_within."""
+    if not 0 < beta < 1:
+        raise ValueError("beta must lie between 0 and 1")
+    length = max(1, math.floor(math.log(DAMPING) / math.log(beta)))
+    value = F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double"))
+    rows = df.select(_key([run]), F.col(order).alias("__order"), value.alias("__x"))
+    parts = written(rows.repartitionByRange(KEY, "__order").withColumn("__part", F.spark_partition_id()), "ema-parts")
+    sums = parts.groupBy(KEY, "__part").agg(F.count(F.lit(1)).alias("__rows"), F.count("__x").alias("__values"))
+    earlier = Window.partitionBy(KEY).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(KEY, "__part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("__rows", "__values")])
+    within = Window.partitionBy(KEY, "__part").orderBy("__order")
+    so_far = within.rowsBetween(Window.unboundedPreceding, 0)
+    numbered = parts.withColumns({"__row": F.row_number().over(within), "__nth": F.count("__x").over(so_far)}).join(starts, [KEY, "__part"])
+    nth = F.col("__values") + F.col("__nth")
+    step, block = (F.col("__rows") + F.col("__row")).cast("bigint"), F.floor((nth - 1) / length).cast("bigint")
+    blocked = numbered.select(KEY, step.alias("step"), "__x", block.alias("__block"), (nth - block * length).alias("__k"))
+    weight = F.when((F.col("__block") == 0) & (F.col("__k") == 1), 1.0).otherwise(1 - beta) * F.pow(F.lit(beta), -F.col("__k"))
+    in_block = Window.partitionBy(KEY, "__block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.pow(F.lit(beta), F.col("__k")) * F.sum(F.col("__x") * weight).over(in_block)
+    alone = written(blocked.withColumn("__own", F.when(F.col("__block") >= 0, own)), "ema-alone")
+    first = alone.where((F.col("__block") == 0) & (F.col("__k") <= HEAD) & F.col("__x").isNotNull()).groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("__k", "__x"))).alias("__v"))
+    fold = F.aggregate(F.slice("__v", 2, HEAD), F.array(F.col("__v")[0]["__x"]), lambda acc, v: F.array_append(acc, F.element_at(acc, -1) * beta + v["__x"] * (1 - beta)))
+    head = first.select(KEY, F.lit(0).cast("bigint").alias("__block"), F.posexplode(fold).alias("__at", "__folded")).withColumn("__k", (F.col("__at") + 1).cast("bigint")).drop("__at")
+    ends = alone.where((F.col("__k") == length) & (F.col("__block") >= 0)).groupBy(KEY, "__block").agg(F.first("__own").alias("__end"))
+    later = F.explode(F.sequence(F.lit(1), F.lit(BLOCKS_BACK))).alias("__later")
+    reach = ends.select(KEY, "__block", "__end", later).select(KEY, (F.col("__block") + F.col("__later")).alias("__block"), (F.col("__end") * F.pow(F.lit(beta**length), F.col("__later") - 1)).alias("__part_of"))
+    begin = reach.groupBy(KEY, "__block").agg(F.sum("__part_of").alias("__begin"))
+    ema = F.col("__own") + F.coalesce(F.pow(F.lit(beta), F.col("__k")) * F.col("__begin"), F.lit(0.0))
+    both = alone.join(begin, [KEY, "__block"], "left").join(head, [KEY, "__block", "__k"], "left")
+    return both.select(*_keys([run]), "step", F.coalesce("__folded", ema).alias("ema"))

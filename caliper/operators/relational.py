@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,13 +70,28 @@ def tag_seen(df: DataFrame, train: DataFrame, key: str, name: str) -> DataFrame:
     return df.join(known, key, "left").withColumn(name, F.when(F.col("__seen"), "seen").otherwise("unseen")).drop("__seen")
 
 
-def pairs_within(df: DataFrame, group: str, order: str, near: Callable[[DataFrame, DataFrame], Column]) -> DataFrame:
-    """(group, a, b): pairs of rows of a group with a before b for which near(a, b) holds. Groups are small by nature (the
-    boxes of one image); the join is by group."""
-    a = df.select(group, F.struct(*df.columns).alias("a"))
-    b = df.select(group, F.struct(*df.columns).alias("b"))
-    cond = near({c: F.col(f"a.{c}") for c in df.columns}, {c: F.col(f"b.{c}") for c in df.columns})
-    return a.join(b, group).where((F.col(f"a.{order}") < F.col(f"b.{order}")) & cond)
+def pairs_within(df: DataFrame, group: str, order: str, near: dict[str, float]) -> DataFrame:
+    """(group, a, b): pairs of rows of a group with a before b in `order` (unique in the group) of which at least one of the
+    columns of `near` differs by its tolerance at most. NULL and NaN are near nothing; a NULL group has no pairs.
+
+    A band join: each column cuts the group into bands twice as wide as its tolerance, and rows meet those of their own and of
+    the two next bands only. A good part of the rows of a band are near one another, so that the work is in proportion to the
+    rows and the pairs, not to the square of the group. A pair that is near by several columns comes from the first of them."""
+
+    def bands(by: int, c: str, steps: Sequence[int]) -> Column:
+        v, width = F.col(c).cast("double"), 2.0 * near[c]
+        at = F.array_distinct(F.array(*[F.floor(v / width).cast("double") + k for k in steps])) if width else F.array(v)
+        keys = F.transform(at, lambda x: F.struct(F.lit(by).alias("by"), x.alias("at")))
+        return F.when(v.isNotNull() & ~F.isnan(v), keys).otherwise(F.slice(keys, 1, 0))
+
+    def banded(side: str, steps: Sequence[int]) -> DataFrame:
+        all_ = F.concat(*[bands(i, c, steps) for i, c in enumerate(near)])
+        return df.select(group, F.struct(*df.columns).alias(side), F.explode(all_).alias("__band"))
+
+    close = lambda c: F.coalesce(F.nanvl(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")).cast("double"), F.lit(None)) <= near[c], F.lit(False))
+    first = reduce(lambda rest, c: F.when(close(c[1]), c[0]).otherwise(rest), reversed(list(enumerate(near))), F.lit(-1))
+    pairs = banded("a", (-1, 0, 1)).join(banded("b", (0,)), [group, "__band"])
+    return pairs.where((F.col(f"a.{order}") < F.col(f"b.{order}")) & (first == F.col("__band.by"))).select(group, "a", "b")
 
 
 def error_summary(df: DataFrame, group: str, error: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from caliper.functions.stats import running, seeded_order
 from caliper.operators.ordered import placed_within
 from caliper.operators.relational import absent
+from caliper.operators.skew import join_hot
+from caliper.sources.scratch import drop, written
 
 
 def prefix_split(groups: DataFrame, taxon: str, group: str, n: str, least_groups: int, least_items: int, seed: int) -> DataFrame:
@@ -28,6 +30,104 @@ def one_group_per_taxon(rows: DataFrame, taxon: str, group: str, forced: DataFra
     return open_.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+def _first_of(cond: Column) -> Column:
+    """Aggregate: the earliest taxon of the loop for which cond holds."""
+    return F.min(F.when(cond, F.col("__turn")))
+
+
+def _known(pairs: DataFrame, least_groups: int, least_items: int) -> DataFrame:
+    """pairs with `__sure` and `__maybe`: whether the taxon brings the group to validation at the latest when its turn is over,
+    and whether it may. `__in` says that the group is in validation before the taxon's turn, NULL that this is not known."""
+    order = Window.partitionBy("__t").orderBy("__place", "__g")
+    free, open_ = F.coalesce(~F.col("__in"), F.lit(False)), F.coalesce(~F.col("__in"), F.lit(True))
+
+    def reached(counts: Column) -> Column:
+        before = lambda x: F.coalesce(running(F.sum(F.when(counts, x).otherwise(0)), order, including=False), F.lit(0))
+        return open_ & ~((before(F.lit(1)) >= least_groups) & (before(F.col("__n")) >= least_items))
+
+    return pairs.withColumns({"__sure": reached(open_), "__maybe": reached(free)})
+
+
+def _settle(pairs: DataFrame, least_groups: int, least_items: int) -> tuple[DataFrame, int]:
+    """The pairs (__t, __g, __n, __turn, __place, __in) that bring a group to validation, and the rounds this took."""
+    rounds = 0
+    while True:
+        rounds += 1
+        known = written(_known(pairs, least_groups, least_items), "split-round")
+        if known.where("__in is null and __maybe").isEmpty():
+            return known.where("__sure"), rounds
+        firsts = known.groupBy("__g").agg(_first_of(F.col("__sure")).alias("__first_sure"), _first_of(F.col("__maybe")).alias("__first_maybe"))
+        met = join_hot(known.drop("__sure", "__maybe"), firsts, "__g")
+        in_ = F.when(F.col("__first_sure") < F.col("__turn"), True).when(F.coalesce(F.col("__first_maybe") >= F.col("__turn"), F.lit(True)), False)
+        after = written(met.withColumn("__in", in_).drop("__first_sure", "__first_maybe"), "split-round")
+        drop(known)
+        pairs = after
+
+
+def _turns(pairs: DataFrame, taxon: str, group: str, n: Column, seed: int) -> DataFrame:
+    """(__t, __g, __n, __turn, __place): the loop takes taxa in the order of __turn, a taxon its groups in that of __place."""
+    turn = F.struct(seeded_order(F.col(taxon), seed).alias("order"), F.col(taxon).alias("taxon"))
+    return pairs.select(F.col(taxon).alias("__t"), F.col(group).alias("__g"), n.alias("__n"), turn.alias("__turn"), seeded_order(F.col(group), seed).alias("__place"))
+
+
+def sequential_split(pairs: DataFrame, taxon: str, group: str, n: str, least_groups: int, least_items: int, seed: int) -> DataFrame:
+    """(group, split) of pairs (taxon, group, n >= 1), unique by taxon and group, where taxa share groups.
+
+    Groups of taxa with least_groups groups at most are validation. The other taxa, in a seeded order, each take their shuffled
+    groups that are not yet validation, until they have taken both least_groups groups and least_items items.
+
+    The loop is settled in rounds. A pair is `sure` if the taxon's turn leaves the group in validation whatever its unsettled
+    neighbours do, `maybe` if it could: the prefix that the taxon takes is shortest if it gets all unsettled groups, longest
+    if it gets none. What earlier taxa surely bring is out of reach of later ones, what none of them may bring is free. Each
+    round is a window by taxon and an aggregate by group; the earliest unsettled taxon is settled in every round, and in a
+    random order most are. NULL taxa and groups are values like others."""
+    placed = _turns(pairs, taxon, group, F.col(n), seed)
+    many = placed.groupBy("__t").agg(F.count(F.lit(1)).alias("__groups"))
+    tagged = written(join_hot(written(placed.withColumn("__k", F.struct("__t")), "split-pairs"), many.select(F.struct("__t").alias("__k"), "__groups"), "__k").drop("__k"), "split-pairs")
+    forced = tagged.where(F.col("__groups") <= least_groups).select("__g").distinct()
+    open_ = tagged.where(F.col("__groups") > least_groups).drop("__groups")
+    groups = open_.groupBy("__g").agg(F.count(F.lit(1)).alias("__taxa")).join(forced.select(F.col("__g").alias("__f")), F.col("__g").eqNullSafe(F.col("__f")), "left_anti")
+    keyed = written(open_.withColumn("__k", F.struct("__g")), "split-open")
+    both = join_hot(keyed, groups.select(F.struct("__g").alias("__k"), "__taxa"), "__k").drop("__k")
+    own = Window.partitionBy("__t").orderBy("__place", "__g")
+    reach = max(least_groups, least_items)  # more groups of its own no taxon takes
+    alone = both.where("__taxa = 1").withColumn("__at", F.row_number().over(own)).where(F.col("__at") <= reach).drop("__at")
+    start = alone.withColumn("__in", F.lit(False)).unionByName(both.where("__taxa > 1").withColumn("__in", F.lit(None).cast("boolean"))).drop("__taxa")
+    taken, _ = _settle(written(start, "split-start"), least_groups, least_items)
+    val = forced.union(taken.select("__g")).distinct().select(F.struct("__g").alias("__v"))
+    all_ = placed.select("__g").distinct().withColumn("__k", F.struct("__g"))
+    split = F.when(F.col("__v").isNotNull(), "val").otherwise("train").alias("split")
+    return all_.join(val, F.col("__k") == F.col("__v"), "left").select(F.col("__g").alias(group), split)
+
+
+def sequential_one_group(pairs: DataFrame, taxon: str, group: str, seed: int) -> DataFrame:
+    """(taxon, group): the groups that a loop over the taxa brings to validation, each with the taxon that brings it.
+
+    Groups of taxa with one group are validation. Of the other taxa, in a seeded order, each that has no group in validation
+    brings its first shuffled group. pairs (taxon, group) are unique. Settled in rounds like sequential_split: only a taxon's
+    first group matters, and it waits for the earlier taxa whose first group it has."""
+    placed = written(_turns(pairs, taxon, group, F.lit(1), seed), "split-pairs")
+    taxa = placed.groupBy("__t").agg(F.count(F.lit(1)).alias("__groups"), F.first("__turn").alias("__turn"), F.min_by("__g", F.struct("__place", "__g")).alias("__first"))
+    single = taxa.where("__groups = 1").select(F.col("__t").alias(taxon), F.col("__first").alias(group))
+    forced = single.select(F.struct(F.col(group).alias("__g")).alias("__k")).distinct().withColumn("__forced", F.lit(True))
+    many = taxa.where("__groups > 1").withColumn("__takes", F.lit(None).cast("boolean")).drop("__groups")
+    firsts = many.select(F.struct(F.col("__first").alias("__g")).alias("__k")).distinct().join(forced, "__k", "full_outer")
+    met = join_hot(placed.withColumn("__k", F.struct("__g")), firsts, "__k")
+    rivals = written(met.join(many.select("__t"), "__t", "left_semi").select("__t", "__k", "__turn", "__forced"), "split-rivals")
+    state = written(many, "split-state")
+    while not state.where("__takes is null").isEmpty():
+        by_first = state.groupBy(F.struct(F.col("__first").alias("__g")).alias("__k")).agg(_first_of(F.col("__takes")).alias("__first_sure"), _first_of(F.coalesce("__takes", F.lit(True))).alias("__first_maybe"))
+        seen = rivals.join(by_first, "__k", "left")
+        before = lambda c: F.coalesce(F.col(c) < F.col("__turn"), F.lit(False))
+        in_ = F.coalesce("__forced", F.lit(False))
+        told = seen.groupBy("__t").agg(F.bool_or(in_ | before("__first_sure")).alias("__covered"), F.bool_or(in_ | before("__first_maybe")).alias("__perhaps"))
+        takes = F.when(F.col("__covered"), False).when(~F.col("__perhaps"), True)
+        after = written(state.drop("__takes").join(told, "__t").withColumn("__takes", takes).drop("__covered", "__perhaps"), "split-state")
+        drop(state)
+        state = after
+    return single.unionByName(state.where("__takes").select(F.col("__t").alias(taxon), F.col("__first").alias(group)))
+
+
 def tail_split(df: DataFrame, part: list[str], key: str, fraction: float) -> DataFrame:
     """df with `split`: within each part the last max(1, round(n * fraction)) keys, half to even, are validation."""
     placed = placed_within(df, part, [F.col(key)], "__at", "__n")

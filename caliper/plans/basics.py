@@ -206,6 +206,5 @@ def missing_files(t):
 @query("J14_tolerance_pairs", """SELECT a.l_orderkey, a.l_linenumber AS line_a, b.l_linenumber AS line_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber
     WHERE abs(a.l_quantity - b.l_quantity) <= 1 OR abs(a.l_extendedprice - b.l_extendedprice) <= 500""")
 def tolerance(t):
-    near = lambda a, b: (F.abs(a["l_quantity"] - b["l_quantity"]) <= 1) | (F.abs(a["l_extendedprice"] - b["l_extendedprice"]) <= 500)
-    pairs = rel.pairs_within(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), "l_orderkey", "l_linenumber", near)
+    pairs = rel.pairs_within(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), "l_orderkey", "l_linenumber", {"l_quantity": 1, "l_extendedprice": 500})
     return pairs.select("l_orderkey", F.col("a.l_linenumber").alias("line_a"), F.col("b.l_linenumber").alias("line_b"))
