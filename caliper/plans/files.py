@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from caliper.operators import ml
 from caliper.operators import quality as qa
+from caliper.operators import rasters as ra
 from caliper.plans.basics import r6
 from caliper.plans.catalog import query
+from caliper.sources import images as im
+from caliper.sources import models as mo
 from caliper.sources import readers as rd
 from caliper.sources import sinks as sk
 from caliper.sources.scratch import scratch_path
@@ -94,6 +99,40 @@ def s11(t):
     return rd.list_files(t.spark, path, "part-*").select(F.regexp_extract("name", r"part-(\d+)", 1).cast("bigint").alias("part"))
 
 
+def _grey(e):
+    """A pixel value from a component of a vector."""
+    return F.least(F.greatest(F.floor((e.cast("double") + 1) * 128), F.lit(0)), F.lit(255)).cast("int")
+
+
+def _stored_images(t) -> str:
+    """The given vectors as images of 8 rows, grey, stored as PNG in containers."""
+    path = scratch_path(t.spark, "images")
+    hex_ = F.array_join(F.transform("embedding", lambda e: F.lpad(F.hex(_grey(e)), 2, "0")), "")
+    rows = t.embeddings.select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), (F.size("embedding") / 8).cast("int").alias("width"), F.lit(1).alias("bands"), F.unhex(hex_).alias("pixels"))
+    im.write_images(rows, path)
+    return path
+
+
+GREY_SQL = "least(greatest(CAST(floor((e::DOUBLE + 1) * 128) AS INTEGER), 0), 255)"
+
+
+@query("S12_image_source", f"SELECT vec_id AS image_id, 8 AS width, upper(array_to_string(list_transform(embedding, lambda e: printf('%02x', {GREY_SQL})), '')) AS pixels FROM embeddings WHERE vec_id >= 40")
+def s12(t):
+    return im.read_images(t.spark, _stored_images(t), ("image_id", "width", "pixels")).where("image_id >= 40").select("image_id", "width", F.hex("pixels").alias("pixels"))
+
+
+@query("G18_largest_red_region", f"""WITH RECURSIVE px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x FROM (SELECT vec_id, embedding[i + 1] AS e, i FROM embeddings, range(64) t(i)) WHERE {GREY_SQL} > 134),
+    reach AS (SELECT vec_id, y, x, y * 8 + x AS root FROM px UNION SELECT p.vec_id, p.y, p.x, r.root FROM reach r JOIN px p ON p.vec_id = r.vec_id AND abs(p.y - r.y) <= 1 AND abs(p.x - r.x) <= 1),
+    comp AS (SELECT vec_id, y, x, min(root) AS c FROM reach GROUP BY ALL),
+    box AS (SELECT vec_id, c, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h, count(*) AS area FROM comp GROUP BY vec_id, c)
+    SELECT vec_id AS image_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h, area FROM box WHERE area >= 3 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY area DESC, c) = 1""")
+def g18(t):
+    images = im.read_images(t.spark, _stored_images(t), ("image_id", "pixels"))
+    values = F.transform(F.sequence(F.lit(1), F.octet_length("pixels")), lambda i: F.conv(F.hex(F.substring(F.col("pixels"), i, F.lit(1))), 16, 10).cast("int"))
+    rows = ra.pixel_rows(images.select("image_id", values.alias("p")), "image_id", "p", 8)
+    return ra.largest_region(ra.mask_runs(rows, "image_id", "p", lambda v: v > 134), "image_id", 3)
+
+
 @query("S13_in_memory_rows", "SELECT * FROM (VALUES ('cosine', 0.1::DOUBLE, 3::BIGINT), ('step', 0.3::DOUBLE, 7::BIGINT)) v(schedule, learning_rate, step)")
 def s13(t):
     return t.spark.createDataFrame([("cosine", 0.1, 3), ("step", 0.3, 7)], "schedule string, learning_rate double, step bigint")
@@ -146,6 +185,23 @@ def k5(t):
     return rd.read_csv(t.spark, second, "s_suppkey bigint, s_name string")
 
 
+@query("K6_model_store", """WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda e: floor(e::DOUBLE * 4096)) AS v FROM embeddings),
+    c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, floor(sum(e) / count(*)) AS m FROM (SELECT label, unnest(v) AS e, unnest(range(len(v))) AS i FROM x) GROUP BY ALL) GROUP BY label)
+    SELECT vec_id, arg_min(c.label, struct_pack(d := list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c), l := c.label)) AS nearest FROM x, c GROUP BY vec_id""")
+def k6(t):
+    """Each label's mean vector as a model that is stored, read back and applied."""
+    path = scratch_path(t.spark, "model")
+    units = t.embeddings.select("label", F.posexplode("embedding").alias("i", "e")).withColumn("e", F.floor(F.col("e").cast("double") * ml.UNITS))
+    means = units.groupBy("label", "i").agg(F.floor(F.sum("e") / F.count(F.lit(1))).cast("double").alias("m"))
+    rows = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("values"))
+    mo.save_model(rows.select(F.col("label").cast("string").alias("name"), F.array(F.size("values")).alias("shape"), "values"), {"kind": "means", "units": ml.UNITS}, path)
+    _, tensors = mo.load_model(t.spark, path)
+    labels = sorted(map(int, tensors))
+    centers = np.array([tensors[str(i)] for i in labels])
+    scored = ml.with_nearest_center(t.embeddings.select("vec_id", "embedding"), "embedding", centers)
+    return scored.select("vec_id", F.element_at(F.array(*map(F.lit, labels)), F.col("cluster") + 1).alias("nearest"))
+
+
 @query("ST1_streamed_history", "SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY ALL")
 def st1(t):
     source, out, state = (scratch_path(t.spark, x) for x in ("stream", "stream-out", "stream-state"))

@@ -360,9 +360,24 @@ def g17(t):
     return pts(t).select("vec_id", r6(x).alias("x"), r6(y).alias("y"), (~geo.inside(x, y, 12, 9)).alias("outside"))
 
 
-@query("V1_kmeans_labels")
+#: Five restarts of 73 centers, 20 steps, in integers; the labels of the cheapest.
+def _kmeans_sql(k: int, restarts: int, steps: int) -> str:
+    ctes = [
+        f"""x AS MATERIALIZED (SELECT vec_id, v, list_dot_product(v, v) AS vv FROM (SELECT vec_id, list_transform(embedding, lambda e: floor(e::DOUBLE * 4096)) AS v FROM embeddings))""",
+        f"""c0 AS MATERIALIZED (SELECT r, row_number() OVER (PARTITION BY r ORDER BY md5((42 + r) || '|' || vec_id), vec_id) - 1 AS j, v AS c FROM x, range({restarts}) t(r) QUALIFY j < {k})""",
+    ]
+    for s in range(steps + 1):
+        ctes.append(f"a{s} AS MATERIALIZED (SELECT r, vec_id, min(struct_pack(d := vv - 2 * list_dot_product(v, c) + list_dot_product(c, c), j := j)) AS b FROM x, c{s} GROUP BY r, vec_id)")
+        if s < steps:
+            ctes.append(f"""m{s} AS (SELECT r, j, list(m ORDER BY i) AS m FROM (SELECT r, b.j AS j, i, floor(sum(e) / count(*)) AS m FROM (SELECT a.r, a.b, unnest(x.v) AS e, unnest(range(len(x.v))) AS i FROM a{s} a JOIN x USING (vec_id)) GROUP BY ALL) GROUP BY r, j)""")
+            ctes.append(f"c{s + 1} AS MATERIALIZED (SELECT c.r, c.j, coalesce(m, c) AS c FROM c{s} c LEFT JOIN m{s} m ON m.r = c.r AND m.j = c.j)")
+    return f"""WITH {", ".join(ctes)}, best AS (SELECT min(struct_pack(cost := cost, r := r)) AS w FROM (SELECT r, sum(b.d) AS cost FROM a{steps} GROUP BY r))
+    SELECT vec_id, CAST(b.j AS INTEGER) AS cluster FROM a{steps}, best WHERE r = w.r"""
+
+
+@query("V1_kmeans_labels", _kmeans_sql(73, 5, 20))
 def v1(t):
-    return ml.kmeans_labels(t.embeddings.select("vec_id", "embedding"), "embedding", 73).select("vec_id", "cluster")
+    return ml.kmeans_labels(t.embeddings.select("vec_id", "embedding"), "embedding", 73, F.col("vec_id")).select("vec_id", "cluster")
 
 
 @query("V2_pca")

@@ -340,7 +340,7 @@ def test_kmeans_is_the_cheapest_fit(spark, k):
 
     rng = np.random.default_rng(4)
     df = spark.createDataFrame([(i, rng.normal(3 * (i % 5), 1, 4).tolist()) for i in range(200)], "id int, v array<double>")
-    rows = ml.kmeans_labels(df, "v", k, n_init=5).collect()
+    rows = ml.kmeans_labels(df, "v", k, F.col("id"), n_init=5).collect()
     cost = 0.0
     for c in {r["cluster"] for r in rows}:
         own = np.array([r["v"] for r in rows if r["cluster"] == c])
