@@ -1,8 +1,9 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped to one line of text for each block element. A line weighs its characters without link text; a line of
-page furniture (by element name, role or whole class name) weighs nothing, and a change between containers of other density
-leaves empty lines. Over windows of lines the weights are summed. A region ends where the window sum dives to nothing; it is
+page furniture (by element name or role) weighs nothing, and a change between containers of other density leaves empty lines.
+A class name only raises a doubt: what it stands on weighs nothing unless its own lines are as dense in text and as poor in links
+as an article's (see _lifted). Over windows of lines the weights are summed. A region ends where the window sum dives to nothing; it is
 kept if the sum surges above the threshold in it, if it lies between two such regions and is no longer than one of them, or
 if it heads one and is not mostly links. Marks of the main text shift the threshold: where article and main elements hold
 most of the weight, any text surges inside that is not mostly links, and outside only what outweighs all of the inside.
@@ -19,6 +20,8 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from caliper.llm.blocks import blocks
+
 WINDOW = 3
 #: Characters in a window from which text is taken for an article's; at most half of the page's largest window.
 SURGE = 86
@@ -32,9 +35,14 @@ HIDDEN = set("script style noscript template iframe svg canvas object button sel
 FURNITURE = set("nav header footer aside form menu".split())
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 FURNITURE_CLASSES = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay comment comments discussion disqus replies reply responses respond share sharing social related recommended newsletter subscribe subscription signup login toolbar pagination pager masthead skip".split())
-FURNITURE_WHOLE = set("header footer site-header site-footer page-header page-footer global-header global-footer aside form".split())
+FURNITURE_WHOLE = set("bottom header footer site-header site-footer page-header page-footer global-header global-footer aside form".split())
 #: Words that may stand beside one of FURNITURE_CLASSES in the name of a class.
-STRUCTURE = set("site page global main primary secondary top bottom left right upper lower inner outer box list item items area container wrapper wrap block section widget bar bars link links button buttons form text title content unit slot panel group row column col body thread count tools icons media posts stories articles to".split())
+STRUCTURE = set("site page global main primary secondary top bottom left right upper lower inner outer box list item items area container wrapper wrap block section widget bar bars link links button buttons form text title content unit slot panel group row column col body thread count tools icons media posts stories articles to user users reader readers visitor visitors".split())
+#: Of FURNITURE_CLASSES those that also name parts of an article, and those that also name what a whole one is about.
+PART_CLASSES = set("discussion response responses menu".split())
+TOPIC_CLASSES = PART_CLASSES | set("cookie cookies related social share".split())
+#: Names of the parts of a reader's comment.
+IN_COMMENTS = set("comment comments commenter reply replies author avatar username vcard vote votes karma".split())
 
 # Where HTML ends an element without its end tag, and the elements that keep an end from reaching further out.
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
@@ -73,24 +81,75 @@ class Line(NamedTuple):
 _GAP = [Line("", 0, False, "gap")] * WINDOW
 
 
-def _named_furniture(name: str) -> bool:
-    """Whether a class or id names furniture as a whole: "cookie-notice" and "share-buttons" do, "share-price" does not."""
-    if name in FURNITURE_WHOLE:
-        return True
-    parts = [x for x in re.split(r"[-_\d]+", name) if x]
-    return not FURNITURE_CLASSES.isdisjoint(parts) and all(x in FURNITURE_CLASSES or x in STRUCTURE for x in parts)
+_SENTENCE = re.compile(r"\S+\s+\S+\s+.*[.!?\u2026][\"'\u201d\u00bb)]*$")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _kind_of(name: str, attributes: str) -> str:
-    """"hidden", "furniture" or "text" for an element by itself."""
-    if name in HIDDEN:
-        return "hidden"
-    a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)} if attributes and name not in ("html", "body", "main") else {}
-    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return "hidden"
-    if name in FURNITURE or a.get("role") in FURNITURE_ROLES or any(map(_named_furniture, f"{a.get('class', '')} {a.get('id', '')}".split())):
+def _pattern() -> re.Pattern:
+    words = "|".join(sorted(FURNITURE_CLASSES | STRUCTURE, key=len, reverse=True))
+    return re.compile(rf"(?:{words})+")
+
+
+_COMPOUND = _pattern()
+_FURNITURE_WORD = re.compile("|".join(sorted(FURNITURE_CLASSES - {"ad", "ads", "nav"}, key=len, reverse=True)))
+
+
+def _parts(name: str) -> list[str]:
+    """The words of a class or id: "cookieBanner" and "cookie-banner" have two."""
+    return [x for x in re.split(r"[-_\d]+", _CAMEL.sub("-", name).lower()) if x]
+
+
+def _doubt(name: str) -> str:
+    """What a class or id says of its element: "furniture" if it names furniture as a whole ("cookie-notice", "commentlist" and
+    "share-buttons" do, "share-price" does not), one of TOPIC_CLASSES if it is no more than that, or ""."""
+    parts = _parts(name)
+    if "-".join(parts) in FURNITURE_WHOLE:
         return "furniture"
-    return "text"
+    named = [x for x in parts if x in FURNITURE_CLASSES or (x not in STRUCTURE and _COMPOUND.fullmatch(x) and _FURNITURE_WORD.search(x))]
+    if not named or not all(x in named or x in STRUCTURE for x in parts):
+        return ""
+    return parts[0] if parts[0] in TOPIC_CLASSES and all(x in ("section", "text", "content") for x in parts[1:]) else "furniture"
+
+
+def _kind_of(name: str, attributes: str) -> tuple[str, bool]:
+    """"hidden", "furniture", what its classes say of it (see _doubt) or "text" for an element by itself; and whether its
+    class is that of a part of a comment."""
+    if name in HIDDEN:
+        return "hidden", name in ("textarea", "button")
+    a = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)} if attributes and name not in ("html", "body", "main") else {}
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "").lower()):
+        return "hidden", False
+    names = f"{a.get('class', '')} {a.get('id', '')}".split()
+    comment = name == "form" or any(not IN_COMMENTS.isdisjoint(_parts(x)) for x in names)
+    if name in FURNITURE or a.get("role", "").lower() in FURNITURE_ROLES:
+        return "furniture", comment
+    doubts = set(map(_doubt, names))
+    doubts.discard("")
+    return ("named" if "furniture" in doubts else min(doubts, default="text")), comment
+
+
+class Doubt:
+    """A part of the page whose class names furniture, and what its lines turn out to be."""
+
+    def __init__(self, name: str, within: bool):
+        self.name, self.within, self.comments = name, within, False
+        self.lines: list[int] = []
+
+
+def _lifted(doubts: list[Doubt], lines: list[Line], full: list[int]) -> list[Doubt]:
+    """The parts that are text after all: their class is one of TOPIC_CLASSES, nothing in them belongs to comments, and they hold
+    several lines that are long and no links. For PART_CLASSES within an article or main that is enough;
+    elsewhere they must be longer, and the page without them must hold no such text in any window."""
+    out, rest = [], []
+    for d in doubts:
+        size, chars = sum(full[i] for i in d.lines), sum(len(lines[i].text) for i in d.lines)
+        if d.name in TOPIC_CLASSES and not d.comments and len(d.lines) >= 2 and 5 * (chars - size) <= chars and size >= 2 * SURGE:
+            if d.within and d.name in PART_CLASSES:
+                out.append(d)
+            elif len(d.lines) >= 3 and size >= 4 * SURGE:
+                rest.append(d)
+    peak = max((sum(x.weight for x in lines[i : i + WINDOW]) for i in range(len(lines))), default=0)
+    return out + [d for d in rest if peak < SURGE]
 
 
 def page_lines(page: str) -> list[Line]:
@@ -102,6 +161,7 @@ def page_lines(page: str) -> list[Line]:
     lines: list[Line] = []
     marked: list[int] = []  # places of the lines within <article> or <main>
     parents = [-1]  # of each container; a container comes after its parent
+    looks = [""]  # name and attributes of each container
     boxes: list[tuple[int, int]] = []  # open containers: place on the stack, number
     body = {0}  # numbers of the containers html and body
     text: list[str] = []
@@ -112,16 +172,20 @@ def page_lines(page: str) -> list[Line]:
     skip = -1  # place on the stack of the hidden element that is being left out
     shade = -1  # place on the stack of the furniture element that is being weighed as nothing
     headed = False  # whether that is an article's own header
+    soft = -1  # place on the stack of the element that a class names furniture
+    doubts: list[Doubt] = []
+    full: list[int] = []  # the weight of each line, were it not for that class
 
     def last(names) -> int:
         return max((where[x][-1] for x in names if where.get(x)), default=-1)
 
-    def push(name: str) -> None:
+    def push(name: str, attributes: str) -> None:
         where.setdefault(name, []).append(len(stack))
         if name in BLOCK:
             blocks.append(len(stack))
         if name in CONTAINER and skip < 0:
             parents.append(boxes[-1][1] if boxes else 0)
+            looks.append(f"{name} {attributes.strip()}")
             boxes.append((len(stack), len(parents) - 1))
             if name in ("html", "body"):
                 body.add(len(parents) - 1)
@@ -129,7 +193,7 @@ def page_lines(page: str) -> list[Line]:
 
     def close(to: int) -> None:
         """Ends the element at this place and all in it; none for -1."""
-        nonlocal skip, shade
+        nonlocal skip, shade, soft
         while 0 <= to < len(stack):
             name = stack.pop()
             if name:
@@ -142,6 +206,8 @@ def page_lines(page: str) -> list[Line]:
             skip = -1
         if shade >= len(stack):
             shade = -1
+        if soft >= len(stack):
+            soft = -1
 
     def forget(at: int) -> None:
         """Ends an inline element but not the blocks in it."""
@@ -163,13 +229,13 @@ def page_lines(page: str) -> list[Line]:
         if name == "main" and shade >= 0 and stack[shade] in ("nav", "header", "footer", "aside"):  # none may hold a main
             close(shade)
         if name == "a" and where.get("a"):
-            close(where["a"][-1]) if where["a"][-1] in (skip, shade) else forget(where["a"][-1])
+            close(where["a"][-1]) if where["a"][-1] in (skip, shade, soft) else forget(where["a"][-1])
 
     def end(name: str) -> None:
         found = last((name,))
         if found < 0 or found < last(TABLE_SCOPE if name in IN_TABLE else LIST_SCOPE if name == "li" else P_SCOPE if name == "p" else SCOPE - {name}):
             return
-        if name not in BLOCK and found not in (skip, shade) and blocks and blocks[-1] > found:
+        if name not in BLOCK and found not in (skip, shade, soft) and blocks and blocks[-1] > found:
             forget(found)
         else:
             close(found)
@@ -182,7 +248,11 @@ def page_lines(page: str) -> list[Line]:
             text_line = shade < 0 or (headed and heading)
             if text_line and (where.get("article") or where.get("main")):
                 marked.append(len(lines))
-            lines.append(Line(line, max(0, len(line) - linked) if text_line else 0, heading, "text" if text_line else "furniture", boxes[-1][1] if boxes else 0))
+            full.append(max(0, len(line) - linked) if text_line else 0)
+            if text_line and soft >= 0:
+                doubts[-1].lines.append(len(lines))
+                text_line = False
+            lines.append(Line(line, full[-1] if text_line else 0, heading, "text" if text_line else "furniture", boxes[-1][1] if boxes else 0))
         text.clear()
         linked = 0
 
@@ -213,7 +283,7 @@ def page_lines(page: str) -> list[Line]:
                 put(page[at : stop.start() if stop else n])
             at = (page.find(">", stop.start()) + 1 if stop else n) or n
             continue
-        if skip < 0 and (name in BLOCK or (closing and shade >= 0 and stack[shade] == name)):
+        if skip < 0 and (name in BLOCK or (closing and any(x >= 0 and stack[x] == name for x in (shade, soft)))):
             end_block()
         if closing:
             end(name)
@@ -223,31 +293,42 @@ def page_lines(page: str) -> list[Line]:
             if name == "br":
                 put(" ")
             continue
-        kind = _kind_of(name, m[3]) if skip < 0 else "text"
+        kind, of_comments = _kind_of(name, m[3]) if skip < 0 else ("text", False)
+        if soft >= 0 and (of_comments or name == "article"):
+            doubts[-1].comments = True
         if kind == "hidden":
             end_block()
             skip = len(stack)
         elif shade < 0 and (kind == "furniture" or (name == "article" and where.get("article"))):
             end_block()
             shade, headed = len(stack), name == "header" and bool(where.get("article"))
-        push(name)
+        elif shade < 0 and soft < 0 and kind not in ("text", "furniture"):
+            end_block()
+            soft = len(stack)
+            doubts.append(Doubt(kind, bool(where.get("article") or where.get("main"))))
+        push(name, m[3])
     end_block()
+    for d in _lifted(doubts, lines, full):
+        for i in d.lines:
+            lines[i] = lines[i]._replace(weight=full[i], kind="text")
     inside = [False] * len(lines)
     for i in marked:
-        inside[i] = True
+        inside[i] = lines[i].kind != "furniture"
     own = [x for x in lines if x.kind == "text"]
     weight = [0 if x.kind == "furniture" else x.weight if any(y.weight for y in own) else len(x.text) for x in lines]
     if 2 * sum(w for w, x in zip(weight, inside, strict=True) if x) > sum(weight):
         lines = [x if x.kind == "furniture" else x._replace(kind="inside" if i else "outside") for x, i in zip(lines, inside, strict=True)]
-    return _parted(lines, parents, body)
+    return _parted(lines, parents, body, looks)
 
 
-def _parted(lines: list[Line], parents: list[int], body: set[int]) -> list[Line]:
+def _parted(lines: list[Line], parents: list[int], body: set[int], looks: list[str]) -> list[Line]:
     """lines with WINDOW empty ones between branches of other density. A branch of one line beside two or more dense ones of
-    the same container, if that is not the body, is a paragraph of theirs."""
+    the same container is a paragraph of theirs; in the body, where footers stand too, only a sentence whose tag looks like theirs."""
     size, count, depth = [0] * len(parents), [0] * len(parents), [0] * len(parents)
+    sentence = [True] * len(parents)
     for line in lines:
         if line.kind != "furniture":
+            sentence[line.box] = bool(_SENTENCE.search(line.text))
             size[line.box] += line.weight
             count[line.box] += 1
     for box in range(len(parents) - 1, 0, -1):
@@ -257,9 +338,16 @@ def _parted(lines: list[Line], parents: list[int], body: set[int]) -> list[Line]
         depth[box] = depth[parents[box]] + 1
     dense = [k > 0 and n * WINDOW >= SURGE * k for n, k in zip(size, count, strict=True)]
     dense_children = [0] * len(parents)
+    dense_looks: dict[tuple[int, str], int] = {}
     for box in range(1, len(parents)):
         dense_children[parents[box]] += dense[box]
-    alike = lambda box: dense[box] or (count[box] == 1 and size[box] > 0 and parents[box] not in body and dense_children[parents[box]] > 1)
+        dense_looks[parents[box], looks[box]] = dense_looks.get((parents[box], looks[box]), 0) + dense[box]
+
+    def alike(box: int) -> bool:
+        paragraph = count[box] == 1 and size[box] > 0 and (parents[box] not in body or sentence[box])
+        near = dense_looks.get((parents[box], looks[box]), 0) if parents[box] in body else dense_children[parents[box]]
+        return dense[box] or (paragraph and near > 1)
+
     out = lines[:1]
     for line, x, y in zip(lines[1:], (x.box for x in lines), (x.box for x in lines[1:]), strict=False):
         if x != y:
@@ -340,8 +428,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.slice(at, 500)
+            for part in blocks(b, 2):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([main_text(x.as_py()) for x in part.column(2)], pa.string())], names=["page_id", "url", "text"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string")
