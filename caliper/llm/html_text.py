@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 from typing import NamedTuple
 
@@ -81,17 +82,24 @@ class Line(NamedTuple):
 _GAP = [Line("", 0, False, "gap")] * WINDOW
 
 
-_SENTENCE = re.compile(r"\S+\s+\S+\s+.*[.!?\u2026][\"'\u201d\u00bb)]*$")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def _pattern() -> re.Pattern:
-    words = "|".join(sorted(FURNITURE_CLASSES | STRUCTURE, key=len, reverse=True))
-    return re.compile(rf"(?:{words})+")
+def _compound(word: str) -> bool:
+    """Whether a word of at most 40 letters is put together of FURNITURE_CLASSES and STRUCTURE, one of the former among them."""
+    ends = {0: False}  # place -> whether a word of FURNITURE_CLASSES leads there
+    for at in range(len(word) if len(word) <= 40 else 0):
+        if at in ends:
+            for to in range(at + 3, min(at + 16, len(word)) + 1):
+                part = word[at:to]
+                if part in FURNITURE_CLASSES or part in STRUCTURE:
+                    ends[to] = ends.get(to, False) or ends[at] or part in FURNITURE_CLASSES
+    return ends.get(len(word), False)
 
 
-_COMPOUND = _pattern()
-_FURNITURE_WORD = re.compile("|".join(sorted(FURNITURE_CLASSES - {"ad", "ads", "nav"}, key=len, reverse=True)))
+def _sentence(text: str) -> bool:
+    """Whether a line has three words and more and ends like a sentence."""
+    return len(text[:200].split(None, 3)) > 2 and text[-200:].rstrip("\"'\u201d\u00bb)")[-1:] in (".", "!", "?", "\u2026")
 
 
 def _parts(name: str) -> list[str]:
@@ -99,18 +107,24 @@ def _parts(name: str) -> list[str]:
     return [x for x in re.split(r"[-_\d]+", _CAMEL.sub("-", name).lower()) if x]
 
 
+@lru_cache(1 << 14)
 def _doubt(name: str) -> str:
     """What a class or id says of its element: "furniture" if it names furniture as a whole ("cookie-notice", "commentlist" and
     "share-buttons" do, "share-price" does not), one of TOPIC_CLASSES if it is no more than that, or ""."""
     parts = _parts(name)
     if "-".join(parts) in FURNITURE_WHOLE:
         return "furniture"
-    named = [x for x in parts if x in FURNITURE_CLASSES or (x not in STRUCTURE and _COMPOUND.fullmatch(x) and _FURNITURE_WORD.search(x))]
+    named = [x for x in parts if x in FURNITURE_CLASSES or (x not in STRUCTURE and _compound(x))]
     if not named or not all(x in named or x in STRUCTURE for x in parts):
         return ""
     return parts[0] if parts[0] in TOPIC_CLASSES and all(x in ("section", "text", "content") for x in parts[1:]) else "furniture"
 
 
+@lru_cache(1 << 14)
+def _of_comments(name: str) -> bool:
+    return not IN_COMMENTS.isdisjoint(_parts(name))
+
+
 def _kind_of(name: str, attributes: str) -> tuple[str, bool]:
     """"hidden", "furniture", what its classes say of it (see _doubt) or "text" for an element by itself; and whether its
     class is that of a part of a comment."""
@@ -120,7 +134,7 @@ def _kind_of(name: str, attributes: str) -> tuple[str, bool]:
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "").lower()):
         return "hidden", False
     names = f"{a.get('class', '')} {a.get('id', '')}".split()
-    comment = name == "form" or any(not IN_COMMENTS.isdisjoint(_parts(x)) for x in names)
+    comment = name == "form" or any(map(_of_comments, names))
     if name in FURNITURE or a.get("role", "").lower() in FURNITURE_ROLES:
         return "furniture", comment
     doubts = set(map(_doubt, names))
@@ -328,7 +342,7 @@ def _parted(lines: list[Line], parents: list[int], body: set[int], looks: list[s
     sentence = [True] * len(parents)
     for line in lines:
         if line.kind != "furniture":
-            sentence[line.box] = bool(_SENTENCE.search(line.text))
+            sentence[line.box] = _sentence(line.text)
             size[line.box] += line.weight
             count[line.box] += 1
     for box in range(len(parents) - 1, 0, -1):

@@ -302,17 +302,18 @@ def test_furniture_is_named_as_a_whole(page, blocks):
 
 DENSE = "This sentence of the article has words enough to be taken for a part of the text of a page, and then some more."
 SAID = "I do not agree with a word of what is said above, and I have been baking for more than forty years in this town."
+BODY = f"<p>{DENSE}</p>" * 4
 DOUBTS = [
-    (f'<article><h1>T</h1><p>{DENSE}</p></article><div class="user-comments"><p>{SAID}</p><p>{SAID}</p></div>', [DENSE], [SAID]),
-    (f'<article><h1>T</h1><p>{DENSE}</p><div class="commentlist"><p>{SAID}</p><p>{SAID}</p></div></article>', [DENSE], [SAID]),
-    (f'<div class="cookieBanner"><p>We use cookies to give you the best of all possible pages. {SAID}</p></div><article><p>{DENSE}</p></article>', [DENSE], ["cookies"]),
-    (f'<article><h1>T</h1><p>{DENSE}</p><section class="discussion"><h2>Discussion</h2><p>{DENSE} First.</p><p>{DENSE} Second.</p></section></article>', ["Discussion", "First.", "Second."], []),
+    (f'<article><h1>T</h1>{BODY}</article><div class="user-comments"><p>{SAID}</p><p>{SAID}</p></div>', [DENSE], [SAID]),
+    (f'<article><h1>T</h1>{BODY}<div class="commentlist"><p>{SAID}</p><p>{SAID}</p></div></article>', [DENSE], [SAID]),
+    (f'<div class="cookieBanner"><p>We use cookies to give you the best of all possible pages. {SAID}</p></div><article>{BODY}</article>', [DENSE], ["cookies"]),
+    (f'<article><h1>T</h1>{BODY}<section class="discussion"><h2>Discussion</h2><p>{DENSE} First.</p><p>{DENSE} Second.</p></section></article>', ["Discussion", "First.", "Second."], []),
     (f'<article><p>{DENSE}</p><section class="discussion"><h2>Discussion</h2><div class="comment"><b class="author">Jo</b><p>{SAID}</p></div><p>{SAID}</p></section></article>', [DENSE], [SAID]),
     (f'<nav><a href="/">Home</a></nav><article><div class="cookie"><h1>Oat cookies</h1><p>{DENSE}</p><p>{DENSE}</p><ul><li>200 g oats</li><li>an egg</li></ul><p>{DENSE}</p></div></article>', ["Oat cookies", "200 g oats", DENSE], ["Home"]),
     (f"<body><div><p>{DENSE}</p></div><div><p>{DENSE}</p></div><div><p>{DENSE}</p></div><div><p>That is all.</p></div></body>", ["That is all."], []),
     (f'<body><div><p>{DENSE}</p></div><div><p>{DENSE}</p></div><div class="bottom"><p>Printed on paper by the people of this house, who wish you a good day and hope that you come again.</p></div></body>', [DENSE], ["Printed"]),
-    (f'<article><h1>T</h1><p>{DENSE}</p><div class="notice"><p>{SAID}</p><p>{SAID}</p></div></article>', [DENSE], [SAID]),
-    (f'<article><h1>T</h1><p>{DENSE}</p><div class="shareButtons"><p>Share this with all your friends</p></div></article>', [DENSE], ["Share"]),
+    (f'<article><h1>T</h1>{BODY}<div class="notice"><p>{SAID}</p><p>{SAID}</p></div></article>', [DENSE], [SAID]),
+    (f'<article><h1>T</h1>{BODY}<div class="shareButtons"><p>Share this with all your friends</p></div></article>', [DENSE], ["Share"]),
 ]
 
 
@@ -326,6 +327,7 @@ def test_most_pages_do_without_class_names(monkeypatch):
     """With no class name known, articles are still found whole, and what is parted from them is still left out."""
     for name in ("FURNITURE_CLASSES", "FURNITURE_WHOLE"):
         monkeypatch.setattr(html_text, name, set())
+    monkeypatch.setattr(html_text, "_doubt", html_text._doubt.__wrapped__)
     right = [all(x in (text := html_text.main_text(page)) for x in there) and not any(x in text for x in gone) for page, there, gone in DOUBTS]
     assert sum(right) >= 5
     assert all(x in html_text.main_text(page) for page, there, _ in DOUBTS for x in there)
