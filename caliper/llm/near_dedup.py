@@ -5,8 +5,9 @@ Shape of the work. Documents with the same shingle set are one node, the smalles
 combine, so a group of copies of any size costs one row a task). Nodes meet in band buckets. Round one links each member
 of a bucket with the bucket's smallest id, one row a member; full sets are compared where a hub's set meets a chunk of its
 partners. Round two looks only at buckets that still hold several components. A document that may link with one of another
-component shares a rare shingle with it (prefix filter: of n shingles in any common order the first n - ceil(0.8 n) + 1 of
-two linked sets meet; rarest first); the others leave, so that texts of one template cost no pairs. Tasks compare the
+component shares a rare shingle with it (prefix filter: in any common order of shingles, rarest first, one of the first
+n - ceil(2 * 0.8 / 1.8 * n) + 1 of the smaller of two linked sets, of n, is among the first m - ceil(0.8 m) + 1 of the larger,
+of m); the others leave, so that texts of one template that are not linked cost no pairs up to the threshold. Tasks compare the
 signatures of the rest block against block, confirm what may be a link on the full sets of both texts, and hand on no more
 links than join the components. Hot keys (buckets, hubs, groups of copies) are joined by broadcast, see join_hot.
 """
@@ -21,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caliper.operators.components import connected_components
+from caliper.llm.blocks import blocks
 from caliper.llm.shingles import intersection, shingle_set
+from caliper.operators.components import connected_components
+from caliper.operators.skew import join_hot
 from caliper.sources.scratch import written
 
 #: A pair of similarity 0.8 shares none of 32 bands of 4 minima with probability 5e-8.
@@ -30,8 +33,6 @@ BANDS, ROWS = 32, 4
 N_HASH = BANDS * ROWS
 #: Members of a bucket that are compared with one another in one task, and the bytes of their sets.
 BLOCK, BLOCK_BYTES = 1024, 1 << 25
-#: Keys that join_hot sends to all tasks at most, and the rows from which a key may be one.
-HOT_KEYS, HOT_ROWS = 10_000, 1_000
 #: Slots of the counts by which round two orders shingles: 1 MB that is broadcast, 4 MB of counts to the driver.
 SLOT_BITS = 18
 #: Document ids (8 bytes each) that are broadcast at most.
@@ -53,10 +54,9 @@ def minima(s: np.ndarray) -> np.ndarray:
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b.column(0), b.column(1)
-            for at in range(0, len(ids), 1000):
+            for part in blocks(b, 1):
                 n, key1, key2, sigs = [], [], [], []
-                for t in texts.slice(at, 1000):
+                for t in part.column(1):
                     s = shingle_set(t.as_py(), k)
                     d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     n.append(len(s))
@@ -64,7 +64,7 @@ def _features(k: int):
                     key2.append(int.from_bytes(d[8:], "little", signed=True))
                     sigs.append(minima(s).tobytes() if len(s) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, 1000), pa.array(n, pa.int64()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), pa.array(sigs, pa.binary())],
+                    [part.column(0), pa.array(n, pa.int64()), pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), pa.array(sigs, pa.binary())],
                     names=["doc_id", "n_shingles", "key1", "key2", "sig"],
                 )
 
@@ -74,9 +74,9 @@ def _features(k: int):
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 500):
-                s = [shingle_set(t.as_py(), k).tobytes() for t in b.column(1).slice(at, 500)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), pa.array(s, pa.binary())], names=["id", "members"])
+            for part in blocks(b, 1):
+                s = [shingle_set(t.as_py(), k).tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.binary())], names=["id", "members"])
 
     return run
 
@@ -108,8 +108,8 @@ def _slot_counts(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for b in batches:
-            for at in range(0, len(b), 500):
-                s = np.concatenate([shingle_set(t.as_py(), k) for t in b.column(1).slice(at, 500)])
+            for part in blocks(b, 1):
+                s = np.concatenate([shingle_set(t.as_py(), k) for t in part.column(1)])
                 total += np.bincount((s >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "c"])
@@ -124,35 +124,33 @@ def prefix(s: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarray:
     return s[order[: len(s) - least + 1]]
 
 
+def short_size(n: int, percent: int) -> int:
+    """How many of the prefix of a set of n shingles are its short prefix. Of two linked sets, of n and m >= n shingles, at least
+    percent * (n + m) / (100 + percent) are common, which is least for m = n: one of the first of the smaller set, as many as
+    that leaves out and one more, is in the prefix of the larger."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1 if n else 0
+
+
 def _prefixes(k: int, percent: int, shared):
+    """(id, component, n, shingle, short) of the prefixes of the texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.slice(at, 500)
-                rare = [prefix(shingle_set(t.as_py(), k), percent, shared.value) for t in part.column(1)]
+            for part in blocks(b, 1):
+                sets = [shingle_set(t.as_py(), k) for t in part.column(1)]
+                rare = [prefix(s, percent, shared.value)[: len(s)] for s in sets]
                 size = np.array([len(x) for x in rare], np.int64)
+                short = [np.arange(len(x)) < short_size(len(s), percent) for x, s in zip(rare, sets, strict=True)]
+                columns = [np.repeat(part.column(c).to_numpy(), size) for c in (0, 2)] + [np.repeat([len(s) for s in sets], size)]
+                joined = lambda arrays, kind: np.concatenate(arrays) if arrays else np.empty(0, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.repeat(part.column(c).to_numpy(), size)) for c in (0, 2)), pa.array(np.concatenate(rare).view(np.int64) if rare else np.empty(0, np.int64))],
-                    names=["id", "component", "shingle"],
+                    [*(pa.array(c, pa.int64()) for c in columns), pa.array(joined(rare, np.uint64).view(np.int64)), pa.array(joined(short, bool), pa.bool_())],
+                    names=["id", "component", "n", "shingle", "short"],
                 )
 
     return run
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left joined with right, which has one or a few small rows a key, without a task that gets all rows of a hot key. Keys
-    with more than one HOT_KEYS-th of the rows of left, of which there are less than HOT_KEYS, are joined by broadcast. left
-    is read three times: a written table."""
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__c"))
-    total = counts.agg(F.sum("__c")).first()[0] or 0
-    hot = counts.where(F.col("__c") > max(HOT_ROWS, total // HOT_KEYS)).select(key)
-    hot = written(hot, "dedup-hot")
-    if hot.isEmpty():
-        return left.join(right, key)
-    often = left.join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key)
-    return left.join(F.broadcast(hot), key, "left_anti").join(right, key).unionByName(often)
-
-
 def _agreeing(floor: int):
     """Keeps pairs (a, b) of which at least `floor` minima agree."""
 
@@ -168,10 +166,10 @@ def _agreeing(floor: int):
 def _signed_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 500):
-                s = [shingle_set(t.as_py(), k) for t in b.column(1).slice(at, 500)]
+            for part in blocks(b, 1):
+                s = [shingle_set(t.as_py(), k) for t in part.column(1)]
                 sig = [minima(x).tobytes() if len(x) else None for x in s]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), pa.array([x.tobytes() for x in s], pa.binary()), pa.array(sig, pa.binary())], names=["id", "members", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in s], pa.binary()), pa.array(sig, pa.binary())], names=["id", "members", "sig"])
 
     return run
 
@@ -293,14 +291,23 @@ class _Linker:
         return written(near.mapInArrow(_join_components(self.floor, self.percent), "a long, b long").distinct(), "dedup-joining")
 
     def _able(self, texts: DataFrame) -> DataFrame:
-        """Of (doc_id, text, component) the ids whose prefix shares a shingle with that of another component."""
+        """Of (doc_id, text, component) the ids of which a pair with another component passes the prefix filter, as far as the
+        sizes and components of a shingle's rows tell: the smaller set has the shingle in its short prefix, the other in its own."""
         slots = texts.select("doc_id", "text").mapInArrow(_slot_counts(self.k), "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
         counts = np.zeros(1 << SLOT_BITS, np.uint32)
         counts[slots["slot"].to_numpy()] = np.minimum(slots["c"].to_numpy(), np.iinfo(np.uint32).max)
         shared = texts.sparkSession.sparkContext.broadcast(counts)
-        rare = written(texts.mapInArrow(_prefixes(self.k, self.percent, shared), "id long, component long, shingle long"), "dedup-rare")
-        several = rare.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-        return join_hot(rare, written(several, "dedup-several"), "shingle").select("id").distinct()
+        rare = written(texts.mapInArrow(_prefixes(self.k, self.percent, shared), "id long, component long, n long, shingle long, short boolean"), "dedup-rare")
+        some = lambda f, c, name: f(F.when(F.col("short"), F.col(c))).alias(name)
+        several = rare.groupBy("shingle").agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("n").alias("most"),
+            some(F.min, "component", "short_lo"), some(F.max, "component", "short_hi"), some(F.min, "n", "short_least"),
+        ).where("lo <> hi and short_lo is not null")
+        met = join_hot(rare, written(several, "dedup-several"), "shingle")
+        other = lambda lo, hi: (F.col(lo) != F.col("component")) | (F.col(hi) != F.col("component"))
+        smaller = F.col("short") & other("lo", "hi") & (F.col("most") >= F.col("n"))
+        larger = other("short_lo", "short_hi") & (F.col("short_least") <= F.col("n"))
+        return met.where(smaller | larger).select("id").distinct()
 
 
 def _components_of(links: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caliper.llm.near_dedup import join_hot
+from caliper.llm.blocks import blocks
+from caliper.operators.skew import join_hot
 from caliper.sources.scratch import drop, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -302,8 +303,7 @@ def _protected(actions: dict[str, str] | None, with_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.slice(at, 256)
+            for part in blocks(b, 1, rows=256):
                 own = (dict(x) if x else {} for x in part.column(2).to_pylist()) if actions is None else iter([actions] * len(part))
                 spans, texts = [], []
                 for text, known in zip(_text(part, 1), own, strict=True):

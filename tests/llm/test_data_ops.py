@@ -15,7 +15,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from caliper.llm import audio, near_dedup, packing, queries, shingles
+from caliper.llm.blocks import blocks
 from caliper.llm.ann import Tree, chi_square_quantile, nearest
+from caliper.operators import skew
 from caliper.operators.components import connected_components
 from caliper.llm.mixing import copies, mix, source_targets
 from caliper.llm.sharding import Leaf, assign_shards, uniform_tree, with_slots
@@ -104,6 +106,23 @@ def test_clips_with_clashing_columns(spark):
     assert audio.with_features(clips.limit(0)).count() == 0
 
 
+def test_blocks_are_bounded_by_bytes_and_rows():
+    texts = [None, "a" * 10, "b" * 30, "", "c" * 5, "d" * 5, *["e"] * 9, "f" * 100]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    for part in (batch, batch.slice(2, 7)):
+        cut = list(blocks(part, 1, rows=4, size=20))
+        assert pa.Table.from_batches(cut).equals(pa.Table.from_batches([part]))
+        assert all(len(x) == 1 or (len(x) <= 4 and sum(len(t or "") for t in x.column(1).to_pylist()) <= 20) for x in cut)
+    assert len(list(blocks(batch, 1, rows=4, size=20))) == 6 and list(blocks(batch.slice(0, 0), 1)) == []
+
+
+def test_many_long_clips_pass_in_small_blocks(spark):
+    """60 texts of 2 MB, whole: what a worker holds is a block of bytes, not of rows."""
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("words of a long text. "), 95_000).alias("text")).repartition(2)
+    rows = audio.with_features(audio.to_clips(docs)).select("doc_id", F.octet_length("payload").alias("n"), F.sha2("features", 256).alias("f")).collect()
+    assert len(rows) == 60 and {r["n"] for r in rows} == {-(-22 * 95_000 // 192) * 192} and len({r["f"] for r in rows}) == 1
+
+
 def test_audio_query(spark, tmp_path):
     rows = [(0, "", "a"), (1, None, "a"), (2, "héllo", "a"), (3, "x" * 192, "a"), (4, "x" * 192, "a"), (5, "é" * 300_000, "b")]
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
@@ -489,9 +508,46 @@ def test_texts_of_one_template_cost_no_pairs(spark):
     assert link._able(texts).count() == 0
 
 
+@pytest.mark.parametrize("own", [38, 32, 25])
+def test_templates_up_to_the_threshold_cost_no_pairs(spark, own):
+    """Texts of one template at similarities of 0.68, 0.72 and 0.78, and some that are linked: 2,000 of them hand on the linked
+    ones only, and the components are right."""
+    rng = random.Random(own)
+    frame = [f"t{i}" for i in range(162)]
+    texts = []
+    for _ in range(2000):
+        words = frame + [f"w{rng.random()}" for _ in range(own)]
+        texts.append(words)
+    similarity = 162 / (162 + 2 * own)
+    assert 0.66 < similarity < 0.8
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(5000 + i, " ".join(texts[i][:-2])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, k=1).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    link = near_dedup._Linker(docs, docs.mapInArrow(near_dedup._features(1), "doc_id long, n_shingles long, key1 long, key2 long, sig binary"), 1, 80)
+    able = link._able(docs.select("doc_id", "text", F.col("doc_id").alias("component")))
+    assert {r["id"] for r in able.collect()} <= set(range(20)) | set(range(5000, 5020))
+
+
+def test_short_prefixes_meet():
+    """Whatever the counts: the short prefix of the smaller of two linked sets meets the prefix of the larger."""
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        percent = int(rng.choice([50, 80, 95]))
+        counts = rng.integers(0, 4, 1 << near_dedup.SLOT_BITS)
+        n, m = np.sort(rng.integers(1, 60, 2))
+        both = int(rng.integers(0, n + 1))
+        pool = np.unique(rng.integers(0, 2**64, 2 * (n + m), dtype=np.uint64))
+        pool = rng.permutation(pool)[: n + m - both]
+        a, b = pool[:n], np.r_[pool[:both], pool[n:]]
+        if 100 * both >= percent * (n + m - both):
+            x, y = near_dedup.prefix(a, percent, counts), near_dedup.prefix(b, percent, counts)
+            assert len(np.intersect1d(x[: near_dedup.short_size(n, percent)], y))
+
+
 def test_hot_keys_join_whole(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "HOT_ROWS", 5)
-    monkeypatch.setattr(near_dedup, "HOT_KEYS", 10)
+    monkeypatch.setattr(skew, "HOT_ROWS", 5)
+    monkeypatch.setattr(skew, "HOT_KEYS", 10)
     left = spark.createDataFrame([(i, k) for i, k in enumerate([1] * 60 + [2] * 3 + [3] * 30 + [None, 4, 5])], "i int, k int")
     right = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (5, "d"), (9, "e")], "k int, x string")
     pairs = lambda df: sorted((r["i"], r["x"]) for r in df.collect())
