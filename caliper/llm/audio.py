@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caliper.llm.blocks import blocks
+
 SOURCE_RATE, RATE = 12_000, 8_000
 WIN, HOP, N_FFT, MELS, FRAMES = 200, 80, 256, 32, 64
 #: Energies, in dB above the clip's quietest tenth, at which a segment begins and below which it ends.
@@ -129,19 +131,18 @@ def tensors(mels: np.ndarray) -> bytes:
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, len(b), 256):
+        for part in blocks(b, 1, rows=256):
             n, media = [], []
-            for t in b.column(1).slice(at, 256):
+            for t in part.column(1):
                 raw = (t.as_py() or "").encode("utf-8")
                 n.append(len(raw))
                 media.append(wav(raw.ljust(max(1, -(-len(raw) // UNIT)) * UNIT)))
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, len(b), 128):
-            part = b.slice(at, 128)
+        for part in blocks(b, b.schema.get_field_index("media"), rows=128, size=1 << 21):
             payloads, streams, spans = [], [], []
             for m in part.column(part.schema.get_field_index("media")):
                 rate, payload = samples(m.as_py())

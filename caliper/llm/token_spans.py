@@ -85,10 +85,10 @@ def section_tokens(docs: DataFrame, rule: str = "most", sections: Callable[[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(shared.value)
         for b in batches:
-            for at in range(0, len(b), 500):
+            for part in blocks(b, 1):
                 rows: list[list[np.ndarray]] = [[] for _ in range(5)]
                 ids = []
-                for doc, t in zip(b.column(0).slice(at, 500), b.column(1).slice(at, 500), strict=True):
+                for doc, t in zip(part.column(0), part.column(1), strict=True):
                     text = t.as_py() or ""
                     begin = sections(text)
                     s, e = enc.spans(text) if text else (np.empty(0, np.int64), np.empty(0, np.int64))
