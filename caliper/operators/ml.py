@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -132,10 +132,12 @@ class Projection:
 
 
 def fit_pca_2d(df: DataFrame, features: str) -> Projection:
+    """Each component's sign is such that its entry of largest size, the first of several, is positive."""
     ready = _vectors(df, features)
     scaler = StandardScaler(withMean=True, withStd=False, inputCol="__v", outputCol="__c").fit(ready)
     model: PCAModel = PCA(k=2, inputCol="__c", outputCol="__p").fit(scaler.transform(ready))
-    return Projection(model.pc.toArray(), scaler.mean.toArray())
+    pc = model.pc.toArray()
+    return Projection(pc * np.sign(pc[np.abs(pc).round(9).argmax(axis=0), range(2)]), scaler.mean.toArray())
 
 
 def projected(df: DataFrame, features: str, onto: Projection, names: tuple[str, str] = ("pc1", "pc2")) -> DataFrame:
@@ -146,11 +148,8 @@ def projected(df: DataFrame, features: str, onto: Projection, names: tuple[str,
 
 
 def pca_2d(df: DataFrame, features: str, names: tuple[str, str] = ("pc1", "pc2")) -> DataFrame:
-    """df with the first two principal components of the centered features; their signs are arbitrary."""
-    ready = _vectors(df, features)
-    centered = StandardScaler(withMean=True, withStd=False, inputCol="__v", outputCol="__c").fit(ready).transform(ready)
-    out = PCA(k=2, inputCol="__c", outputCol="__p").fit(centered).transform(centered).withColumn("__p", vector_to_array("__p"))
-    return out.withColumns({n: F.col("__p")[i] for i, n in enumerate(names)}).drop("__v", "__c", "__p")
+    """df with the first two principal components of the centered features, with the signs of fit_pca_2d."""
+    return projected(df, features, fit_pca_2d(df, features), names)
 
 
 def shared_pca(labeled: DataFrame, unlabeled: DataFrame, features: str) -> DataFrame:

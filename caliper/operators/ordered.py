@@ -4,6 +4,9 @@ Values are counted first, with map-side combine. Approximate percentiles, which
 ranges; a range's start is a running sum over the group's few ranges, and positions within a range are a window over that
 range alone. The results are exact: the percentiles only decide where the cuts are. Groups are one struct column inside, in
 which NULL equals NULL, so that NULL keys are groups like others and no keys are one group.
+
+Where a count says that no group has more than GROUP_ROWS rows, quantiles are aggregates that hold a group's values instead: one
+shuffle of what the tasks have combined.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 from caliper.sources.scratch import written
 
 RANGES = 64
+#: Rows of a group whose values an aggregate may hold.
+GROUP_ROWS = 200_000
 KEY = "__key"
 
 
@@ -66,8 +71,21 @@ def _at_positions(counts: DataFrame, x: str, positions: dict[str, Column]) -> Da
     return placed.groupBy(KEY, "__total").agg(*[F.max(F.when(holds(at), F.col(x))).alias(name) for name, at in positions.items()])
 
 
+def _groups_fit(df: DataFrame, keys: Sequence[str]) -> bool:
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return (sizes.agg(F.max("__n")).first()[0] or 0) <= GROUP_ROWS
+
+
+def _percentile(x: str, q: float) -> Column:
+    return F.percentile(F.col(x).cast("double"), F.lit(q))
+
+
 def nearest_quantiles(df: DataFrame, keys: Sequence[str], x: str, quantiles: dict[str, float]) -> DataFrame:
     """(keys, a column for each quantile): the value at position round(q * (n - 1)), half to even, of the sorted values."""
+    if _groups_fit(df, keys):
+        lists = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(x)).alias("__v")).where(F.size("__v") > 0)
+        place = lambda q: F.rint(F.lit(q) * (F.size("__v") - 1)).cast("int")
+        return lists.select(*keys, *[F.get("__v", place(q)).alias(name) for name, q in quantiles.items()])
     at = {name: F.rint(F.lit(q) * (F.col("__total") - 1)).cast("bigint") for name, q in quantiles.items()}
     return _at_positions(_counts(df, keys, x), x, at).select(*_keys(keys), *quantiles)
 
@@ -85,6 +103,9 @@ def _interpolated(counts: DataFrame, x: str, quantiles: dict[str, float]) -> Dat
 def interpolated_quantiles(df: DataFrame, keys: Sequence[str], x: str, quantiles: dict[str, float]) -> DataFrame:
     """(keys, a column for each quantile): the value at position q * (n - 1) of the sorted values, in double, linear between
     the two nearest. Groups without a value have no row."""
+    if _groups_fit(df, keys):
+        held = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(*[_percentile(x, q).alias(name) for name, q in quantiles.items()], F.count(F.lit(1)).alias("__n"))
+        return held.where(F.col("__n") > 0).select(*keys, *quantiles)
     return _interpolated(_counts(df, keys, x), x, quantiles).select(*_keys(keys), *quantiles)
 
 
@@ -96,6 +117,9 @@ def weighted_mean(x: str) -> Column:
 def with_quantiles(df: DataFrame, keys: Sequence[str], x: str, quantiles: dict[str, float], aggs: Sequence[Column]) -> DataFrame:
     """(keys, aggs, a column for each interpolated quantile of x, NULL in groups without a value). aggs are aggregates over the
     different values x of a group and their rows `n`: df is read once."""
+    if _groups_fit(df, keys):
+        rows = df.select(*keys, x, F.lit(1).cast("bigint").alias("n"))
+        return rows.groupBy(*keys).agg(*aggs, *[_percentile(x, q).alias(name) for name, q in quantiles.items()])
     counts = _counts(df, keys, x)
     sums = counts.groupBy(KEY if keys else _key(keys)).agg(*aggs)
     found = _interpolated(counts, x, quantiles).withColumn(KEY, F.col(KEY) if keys else _key(keys))

@@ -16,6 +16,11 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def keys_without_rows(expected: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(key): the expected keys for which there is no row."""
+    return expected.select(key).distinct().join(rows.select(key), key, "left_anti")
+
+
 def complete_rows(df: DataFrame, required: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(required))
 

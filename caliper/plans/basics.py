@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from caliper.functions.stats import percent_error
 from caliper.operators import relational as rel
 from caliper.plans.catalog import query
+from caliper.sources.readers import list_files
+from caliper.sources.scratch import scratch_path
 from caliper.sources.readers import is_finite
 
 
@@ -192,15 +194,13 @@ def seen(t):
     return rel.tag_seen(t.supplier.select("s_suppkey"), train, "s_suppkey", "tag")
 
 
-@query("J13_missing_files")
+@query("J13_missing_files", "SELECT n_nationkey AS n FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
 def missing_files(t):
-    from caliper.sources.readers import list_files
-    from caliper.sources.scratch import scratch_path
-
+    """Nations without a file, where each nation with rich suppliers has its folder."""
     path = scratch_path(t.spark, "listing")
-    t.region.repartition(2).write.csv(path)
-    there = list_files(t.spark, path, "part-*").select(F.regexp_extract("name", r"part-(\d+)", 1).cast("int").alias("n")).distinct()
-    return rel.absent(t.spark.range(4).select(F.col("id").cast("int").alias("n")), there, {"n": "n"})
+    t.supplier.where("s_acctbal > 9000").select("s_nationkey", "s_name").write.partitionBy("s_nationkey").parquet(path)
+    there = list_files(t.spark, path, "part-*").select(F.regexp_extract("path", r"s_nationkey=(\d+)/", 1).cast("int").alias("n"))
+    return rel.absent(t.nation.select(F.col("n_nationkey").alias("n")), there, {"n": "n"})
 
 
 @query("J14_tolerance_pairs", """SELECT a.l_orderkey, a.l_linenumber AS line_a, b.l_linenumber AS line_b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from caliper.operators import ml
 from caliper.operators import quality as qa
 from caliper.operators import rasters as ra
+from caliper.operators import relational as rel
 from caliper.plans.basics import r6
 from caliper.plans.catalog import query
 from caliper.sources import images as im
@@ -15,6 +16,7 @@ from caliper.sources import models as mo
 from caliper.sources import readers as rd
 from caliper.sources import sinks as sk
 from caliper.sources.scratch import scratch_path
+from caliper.sources.versions import VersionedTables, rewrite_keys
 from caliper.streaming.history import latest_into, windowed_history
 
 
@@ -214,16 +216,57 @@ def st1(t):
     return last.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", r6("mean").alias("mean"), "most")
 
 
-@query("S10_first_existing_path", "SELECT r_regionkey, r_name FROM region")
+@query("K5_versioned_rewrite", "SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey + 1000000 ELSE s_suppkey END AS s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey END AS was FROM supplier")
+def k5_versioned(t):
+    """Keys rewritten in place; the log of changes, of the same commit, tells what they were."""
+    store = VersionedTables(t.spark, scratch_path(t.spark, "versions"))
+    store.commit({"suppliers": t.supplier.select("s_suppkey", "s_name")}, "first")
+    renames = t.supplier.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("old"), (F.col("s_suppkey") + 1000000).alias("new"))
+    rewrite_keys(store, "suppliers", renames, "s_suppkey", "even keys")
+    changes = store.read("suppliers_changes").select(F.col("new").alias("s_suppkey"), F.col("old").alias("was"))
+    return store.read("suppliers").join(changes, "s_suppkey", "left").select("s_suppkey", "s_name", "was")
+
+
+@query("U7_versioned_append", "SELECT o_orderkey, 2 AS version FROM orders WHERE o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_totalprice > 1000) UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderstatus = 'F'")
+def u7_versioned(t):
+    """Validated new rows appended as a new version, and the version before it."""
+    store = VersionedTables(t.spark, scratch_path(t.spark, "versions"))
+    store.commit({"orders": t.orders.where("o_orderstatus = 'F'").select("o_orderkey")}, "first")
+    there = store.read("orders")
+    new = t.orders.where("o_orderstatus = 'O' and o_totalprice > 1000").select("o_orderkey")
+    store.commit({"orders": there.unionByName(rel.absent(new, there, {"o_orderkey": "o_orderkey"}))}, "more")
+    both = [store.read("orders", n).select("o_orderkey", F.lit(n).alias("version")) for n in (1, 2)]
+    return both[0].unionByName(both[1])
+
+
+@query("Q15_rolled_back_table", "SELECT s_suppkey, s_name, 3 AS version, 1 AS restored FROM supplier")
+def q15_versioned(t):
+    """A rewrite undone: the rows of the first version are the last one's."""
+    store = VersionedTables(t.spark, scratch_path(t.spark, "versions"))
+    store.commit({"suppliers": t.supplier.select("s_suppkey", "s_name")}, "first")
+    rewrite_keys(store, "suppliers", t.supplier.select(F.col("s_suppkey").alias("old"), (-F.col("s_suppkey")).alias("new")), "s_suppkey", "wrong")
+    done = store.rollback(1)
+    return store.read("suppliers").select("s_suppkey", "s_name", F.lit(done.number).alias("version"), F.lit(done.restored).alias("restored"))
+
+
+@query("S10_first_existing_path", "SELECT place, candidate, place > 1 AS there, place = 2 AS chosen, CASE WHEN place = 2 THEN (SELECT count(*) FROM region) END AS n FROM (VALUES (1, 'no_such.parquet'), (2, 'region.parquet'), (3, 'nation.parquet')) v(place, candidate)")
 def s10(t):
-    return t.spark.read.parquet(rd.first_existing(t.spark, [f"{t.root}/no_such.parquet", f"{t.root}/region.parquet", f"{t.root}/nation.parquet"]))
+    """Which of three candidates is there, which is chosen, and how many rows it has."""
+    names = ["no_such.parquet", "region.parquet", "nation.parquet"]
+    found = rd.candidate_paths(t.spark, [f"{t.root}/{n}" for n in names])
+    n = t.spark.read.parquet(rd.first_existing(t.spark, [f"{t.root}/{x}" for x in names])).agg(F.count(F.lit(1)).alias("n"))
+    rows = found.select("place", F.element_at(F.split("candidate", "/"), -1).alias("candidate"), "there", "chosen")
+    return rows.withColumn("n", F.when(F.col("chosen"), n.scalar()))
 
 
-@query("Q1_required_columns", "SELECT s_suppkey, s_acctbal FROM supplier")
+@query("Q1_required_columns", "SELECT * FROM (VALUES ('supplier', 's_score'), ('nation', 'n_area')) v(table_name, missing)")
 def q1(t):
-    return rd.require_columns(t.supplier, ["s_suppkey", "s_acctbal"]).select("s_suppkey", "s_acctbal")
+    need = {"supplier": ["s_suppkey", "s_score", "s_acctbal"], "nation": ["n_name", "n_area"]}
+    parts = [rd.missing_columns(getattr(t, name), columns).select(F.lit(name).alias("table_name"), "missing") for name, columns in need.items()]
+    return parts[0].unionByName(parts[1])
 
 
-@query("Q12_required_rows", "SELECT count(*) AS n FROM customer")
+@query("Q12_required_rows", "SELECT n_nationkey AS nation FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
 def q12(t):
-    return qa.require_rows(t.customer, "customer").agg(F.count(F.lit(1)).alias("n"))
+    """The nations for which a filter leaves no supplier."""
+    return qa.keys_without_rows(t.nation.select(F.col("n_nationkey").alias("nation")), qa.require_rows(t.supplier, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("nation")), "nation")

@@ -380,15 +380,43 @@ def v1(t):
     return ml.kmeans_labels(t.embeddings.select("vec_id", "embedding"), "embedding", 73, F.col("vec_id")).select("vec_id", "cluster")
 
 
-@query("V2_pca")
+def _pca_sql(columns: str, squarings: int = 14) -> str:
+    """Two leading eigenvectors of the covariances by squaring the matrix, the second after the first has been taken out."""
+    square = lambda name, of: f"{name} AS MATERIALIZED (SELECT i, j, v / max(abs(v)) OVER () AS v FROM (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {of} a JOIN {of} b ON a.j = b.i GROUP BY a.i, b.j))"
+
+    def leading(tag: str, matrix: str) -> list[str]:
+        powers = [square(f"{tag}{s}", matrix if s == 0 else f"{tag}{s - 1}") for s in range(squarings)]
+        last = f"{tag}{squarings - 1}"
+        column = f"SELECT j FROM {last} WHERE i = j ORDER BY v DESC, j LIMIT 1"
+        unit = f"{tag}u AS MATERIALIZED (SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM {last} WHERE j = ({column}))"
+        sign = f"{tag} AS MATERIALIZED (SELECT i, v * (SELECT sign(v) FROM {tag}u ORDER BY round(abs(v), 9) DESC, i LIMIT 1) AS v FROM {tag}u)"
+        return [*powers, unit, sign]
+
+    ctes = [
+        "x AS MATERIALIZED (SELECT vec_id, unnest(embedding)::DOUBLE AS e, unnest(range(len(embedding))) AS i FROM embeddings)",
+        "z AS MATERIALIZED (SELECT vec_id, i, e - avg(e) OVER (PARTITION BY i) AS e FROM x)",
+        "cov AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.e * b.e) AS v FROM z a JOIN z b USING (vec_id) GROUP BY a.i, b.i)",
+        *leading("p", "cov"),
+        "l AS (SELECT sum(p.v * cov.v * q.v) AS v FROM p JOIN cov ON cov.i = p.i JOIN p q ON q.i = cov.j)",
+        "cut AS MATERIALIZED (SELECT cov.i, cov.j, cov.v - l.v * p.v * q.v AS v FROM cov JOIN p ON p.i = cov.i JOIN p q ON q.i = cov.j, l)",
+        *leading("q", "cut"),
+    ]
+    return f"""WITH {", ".join(ctes)} SELECT {columns}, round(sum(z.e * p.v), 4) AS pc1, round(sum(z.e * q.v), 4) AS pc2 FROM z JOIN p USING (i) JOIN q USING (i) GROUP BY ALL"""
+
+
+def _r4(*names):
+    return [F.round(n, 4).alias(n) for n in names]
+
+
+@query("V2_pca", _pca_sql("vec_id"))
 def v2(t):
-    return ml.pca_2d(t.embeddings.select("vec_id", "embedding"), "embedding").select("vec_id", "pc1", "pc2")
+    return ml.pca_2d(t.embeddings.select("vec_id", "embedding"), "embedding").select("vec_id", *_r4("pc1", "pc2"))
 
 
-@query("V3_shared_pca")
+@query("V3_shared_pca", _pca_sql("CASE WHEN vec_id % 3 = 0 THEN 'labeled' ELSE 'unlabeled' END AS origin, vec_id"))
 def v3(t):
     e = t.embeddings.select("vec_id", "embedding")
-    return ml.shared_pca(e.where("vec_id % 3 = 0"), e.where("vec_id % 3 > 0"), "embedding").select("origin", "vec_id", "pc1", "pc2")
+    return ml.shared_pca(e.where("vec_id % 3 = 0"), e.where("vec_id % 3 > 0"), "embedding").select("origin", "vec_id", *_r4("pc1", "pc2"))
 
 
 @query("V8_batch_inference", "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS at, list_max(embedding)::DOUBLE AS most FROM embeddings")

@@ -20,6 +20,11 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df
 
 
+def missing_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(missing): the names that df has no column for."""
+    return df.sparkSession.createDataFrame([(n,) for n in names if n not in df.columns], "missing string")
+
+
 def nan_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """NaN measurements as NULL, so that aggregates leave them out."""
     floats = [c for c, t in df.dtypes if t in ("float", "double")]
@@ -69,12 +74,23 @@ def read_indexed_annotations(spark: SparkSession, path: str, schema: str) -> Dat
     return annotations.join(images, "image_id")
 
 
+def candidate_paths(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(place from 1, candidate, there, chosen) of candidate paths, in any file system that Spark reads; chosen is the first that
+    is there."""
+    there = [_exists(spark, p) for p in paths]
+    chosen = there.index(True) if True in there else -1
+    return spark.createDataFrame([(i + 1, p, x, i == chosen) for i, (p, x) in enumerate(zip(paths, there, strict=True))], "place int, candidate string, there boolean, chosen boolean")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def first_existing(spark: SparkSession, paths: Sequence[str]) -> str:
-    """The first of the candidate paths that there is, in any file system that Spark reads; ValueError if there is none."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    """The first of the candidate paths that there is; ValueError if there is none."""
     for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(conf).exists(at):
+        if _exists(spark, path):
             return path
     raise ValueError(f"none of these exists: {', '.join(paths)}")
 

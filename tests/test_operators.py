@@ -278,9 +278,13 @@ def test_ingest_from_csv_to_documents(spark, tmp_path):
     assert ingest.annotation_documents(traits.limit(0), images, origins).count() == 0
 
 
-def test_quantiles_and_places_of_null_groups(spark):
+@pytest.mark.parametrize("held", [0, 1000])
+def test_quantiles_and_places_of_null_groups(spark, monkeypatch, held):
+    """held: rows of a group that an aggregate may hold; ranges beyond."""
+    from caliper.operators import ordered
     from caliper.operators.ordered import interpolated_quantiles, placed_within, running_ema
 
+    monkeypatch.setattr(ordered, "GROUP_ROWS", held)
     rows = [("a", 1.0), ("a", 2.0), ("a", 4.0), (None, 5.0), (None, 9.0), ("b", None)]
     df = spark.createDataFrame(rows, "k string, x double").withColumn("id", F.monotonically_increasing_id())
     assert {tuple(r) for r in interpolated_quantiles(df, ["k"], "x", {"m": 0.5, "q": 0.75}).collect()} == {("a", 2.0, 3.0), (None, 7.0, 8.0)}

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from caliper.operators import ordered
 from caliper.operators import splits as sp
 from caliper.operators.ordered import running_ema
 from caliper.operators.relational import pairs_within
@@ -167,3 +168,27 @@ def test_pairs_of_a_large_group_are_cheap(spark):
     """300,000 boxes of one image, of which only neighbours are near: a join by the group would meet 9e10 pairs."""
     df = spark.range(300_000).selectExpr("'image' as g", "id", "id * 10.0D as top")
     assert pairs_within(df, "g", "id", {"top": 10.0}).count() == 299_999
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_quantiles_held_and_by_ranges_agree(spark, monkeypatch, keys):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randint(0, 40)), rng.gauss(0, 9)])) for _ in range(3000)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    cuts = {"lo": 0.0, "q": 0.3, "m": 0.5, "hi": 1.0}
+
+    def found():
+        a = ordered.interpolated_quantiles(df, keys, "x", cuts)
+        b = ordered.nearest_quantiles(df, keys, "x", cuts)
+        c = ordered.with_quantiles(df, keys, "x", {"m": 0.5}, [F.sum("n").alias("n"), ordered.weighted_mean("x").alias("mean")])
+        round_ = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+        empty = [f(df.limit(0), keys, "x", cuts).count() for f in (ordered.interpolated_quantiles, ordered.nearest_quantiles)]
+        return [sorted(map(round_, x.collect()), key=str) for x in (a, b, c)], empty
+
+    held = found()
+    monkeypatch.setattr(ordered, "GROUP_ROWS", 10)
+    ranged = found()
+    assert held == ranged and held[1] == [0, 0]
+    values = sorted(x for g, x in rows if x is not None and (not keys or g == "a"))
+    first = next(r for r in held[0][1] if not keys or r[0] == "a")
+    assert first[-2] == pytest.approx(values[round(0.5 * (len(values) - 1))], abs=1e-9)
