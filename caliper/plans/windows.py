@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from caliper.functions import stats as st
+from caliper.operators import ingest
 from caliper.operators import quality as qa
 from caliper.operators import ranking as rk
 from caliper.operators import relational as rel
@@ -383,3 +384,43 @@ def v7(t):
 def v7b(t):
     _, _, all_ = rk.rank_for_annotation(ranking_runs(t), "vec_id", "grp", 60, 15)
     return all_.select("vec_id", "grp", r6("score").alias("score"), "is_priority", "clusters")
+
+
+#: Orders as group images, their lines as specimens: raw trait and image tables with texts that do not parse, lines of odd
+#: length, keys that repeat and keys that only one of the tables has.
+def _raw_tables(t):
+    line = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_quantity").cast("bigint").alias("q"))
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    group = text("group_images/O", F.col("l_orderkey").cast("string"), ".png")
+    q, p = F.col("q").cast("string"), F.col("l_partkey").cast("string")
+    traits = line.where("l_linenumber <> 2").select(
+        group.alias("groupImageFilePath"),
+        F.col("l_linenumber").cast("string").alias("BeetlePosition"),
+        F.when(F.col("l_orderkey") % 2 == 0, text("[[", q, ",0,", q, ",", p, "]]")).otherwise(text("[[", q, ",0,", q, "]]")).alias("coords_scalebar"),
+        text("[[", p, ",", q, ",0,1],[", q, "]]").alias("coords_elytra_max_length"),
+        F.lit("oops").alias("coords_basal_pronotum_width"),
+        F.lit("[]").alias("coords_elytra_max_width"),
+    )
+    repeated = traits.where("BeetlePosition = '3'")
+    images = line.where("l_linenumber <> 4").select(group.alias("groupImageFilePath"), text("individual/O", F.col("l_orderkey").cast("string"), "_specimen_", F.col("l_linenumber").cast("string"), ".png").alias("individualImageFilePath"))
+    origins = line.select(ingest.group_basename(group).alias(ingest.KEYS[0]), F.col("l_linenumber").cast("bigint").alias(ingest.KEYS[1]), F.lit(10).alias("origin_x"), F.col("l_linenumber").alias("origin_y"))
+    return ingest.keyed_traits(traits.unionByName(repeated)), ingest.keyed_images(images), origins
+
+
+@query("E1_ingest_documents", """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, CAST(min(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_linenumber NOT IN (2, 4) GROUP BY ALL)
+    SELECT 'o' || o AS group_img_basename, CAST(n AS BIGINT) AS beetle_position, 'scalebar' AS measurement_type, concat_ws(',', q - 10, 0 - n, q - 10, p - n) AS polyline FROM l WHERE o % 2 = 0
+    UNION ALL SELECT 'o' || o, CAST(n AS BIGINT), 'elytra_max_length', concat_ws(',', p - 10, q - n, -10, 1 - n) FROM l""")
+def e1(t):
+    """Raw tables to annotation documents, one measurement a row."""
+    docs = ingest.annotation_documents(*_raw_tables(t))
+    m = docs.select(*ingest.KEYS, F.explode("measurements").alias("m")).select(*ingest.KEYS, "m.*")
+    return m.select(*ingest.KEYS, "measurement_type", F.array_join(F.transform("polyline_px", lambda x: x.cast("bigint").cast("string")), ",").alias("polyline"))
+
+
+@query("E2_ingest_problems", """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+    SELECT 'trait_duplicates' AS problem, 'o' || l_orderkey AS group_img_basename, CAST(l_linenumber AS BIGINT) AS beetle_position, 2 AS n FROM l WHERE l_linenumber = 3
+    UNION ALL SELECT 'images_without_traits', 'o' || l_orderkey, CAST(l_linenumber AS BIGINT), 1 FROM l WHERE l_linenumber = 2
+    UNION ALL SELECT 'traits_without_images', 'o' || l_orderkey, CAST(l_linenumber AS BIGINT), 1 FROM l WHERE l_linenumber = 4""")
+def e2(t):
+    traits, images, _ = _raw_tables(t)
+    return ingest.key_problems(traits, images)

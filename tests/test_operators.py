@@ -364,3 +364,22 @@ def test_pca_against_numpy(spark):
     shared = ml.shared_pca(df.where("id < 50"), df.where("id >= 50"), "v").orderBy("id").collect()
     assert np.allclose(np.abs(got), np.abs(want), atol=1e-6)
     assert np.allclose(np.abs([[r["pc1"], r["pc2"]] for r in shared]), np.abs(want), atol=1e-6) and sum(r["origin"] == "labeled" for r in shared) == 50
+
+
+def test_scopes_drop_what_is_not_kept(spark):
+    from caliper.sources.scratch import scope, written
+
+    with scope():
+        with scope() as kept:
+            a, b = written(spark.range(5), "kept"), written(spark.range(6), "dropped")
+            kept.append(a.where("id > 1").join(a, "id"))
+        assert a.count() == 5
+        with pytest.raises(Exception, match="(?i)not.*exist|no such"):
+            b.count()
+        with pytest.raises(ZeroDivisionError), scope():
+            c = written(spark.range(7), "failed")
+            1 / 0  # noqa: B018
+        with pytest.raises(Exception, match="(?i)not.*exist|no such"):
+            c.count()
+    with pytest.raises(Exception, match="(?i)not.*exist|no such"):
+        a.count()
