@@ -12,16 +12,17 @@ fit. Only these links use the heads of words.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caliper.llm.shingles import head_hashes, mix
+from caliper.sources.scratch import drop, written
 
 BITS = 18
 #: Bytes of a word's heads, which words of one stem share.
@@ -150,26 +151,58 @@ def fit_arrays(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_
     return Ordinal(w.astype(np.float32), cut_points(theta[len(used) :]))
 
 
-def fit_calibrated(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, weight: np.ndarray | None = None) -> Ordinal:
-    """A model of all rows. The limit of a link comes from what each of FOLDS parts of its rows gets under a link fitted on the
-    others; equal texts share a part."""
-    weight = np.ones(len(rows)) if weight is None else weight
-    model = fit_arrays([(x[keep], v[keep]) for x, v in rows for keep in [(x < _HEADS) | (x == 2**BITS - 1)]], grades, n_grades, weight=weight)
-    part = np.array([zlib.crc32(x.tobytes() + v.tobytes()) for x, v in rows], np.int64) % FOLDS
-    for g in range(2, n_grades):
-        at = np.flatnonzero(grades >= g - 1)
-        better = (grades[at] >= g).astype(int)
-        if min(better.sum(), len(at) - better.sum()) < LEAST_RATED:
-            break
-        link = lambda i: fit_arrays([rows[x] for x in at[i]], better[i], 2, weight=weight[at[i]])  # noqa: E731, B023
-        model.upper.append(link(np.arange(len(at))))
-        left_out = np.zeros(len(at))
-        for h in range(FOLDS):
-            own = part[at] == h
-            rest = link(np.flatnonzero(~own))
-            left_out[own] = [rest.tails_of(*rows[x])[0] for x in at[own]]
-        model.limits.append(float(np.quantile(left_out[better == 1], LOST)))
-    return model
+#: A row's models, by number: 0 is that of all grades, the others are the links' and, for each, those without one of the FOLDS parts.
+def _models(n_grades: int) -> list[tuple[int, int]]:
+    """(grade g of the link, or 0; part left out, or -1) of each model."""
+    return [(0, -1)] + [(g, h) for g in range(2, n_grades) for h in range(-1, FOLDS)]
+
+
+def _fit_model(n_grades: int):
+    """From the rows (model, at, value, grade, n, part) of one model: its weights and thresholds, and of the rows of the part that
+    was left out, with the better grade, the probability of that grade."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        number = int(f["model"].iloc[0])
+        g, h = _models(n_grades)[number]
+        f = f.sort_values(["at", "value", "grade", "n"], kind="stable")  # reruns agree
+        rows = [(np.frombuffer(x, np.int32), np.frombuffer(v, np.float32)) for x, v in zip(f["at"], f["value"], strict=True)]
+        grades, weight, out = f["grade"].to_numpy().astype(int), f["n"].to_numpy().astype(float), (f["part"] == h).to_numpy()
+        if g:
+            grades, k = (grades >= g).astype(int), 2
+        else:
+            rows, k = [(x[keep], v[keep]) for x, v in rows for keep in [(x < _HEADS) | (x == 2**BITS - 1)]], n_grades
+        own = np.flatnonzero(~out)
+        model = fit_arrays([rows[i] for i in own], grades[own], k, weight=weight[own])
+        left = [float(model.tails_of(*rows[i])[0]) for i in np.flatnonzero(out & (grades == 1))]
+        return pd.DataFrame({"model": [number], "weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tolist()], "left": [left]})
+
+    return run
+
+
+def fit_calibrated(rated: DataFrame, n_grades: int) -> Ordinal:
+    """A model of the rows (at, value, grade, n) of rated_features. The limit of a link comes from what each of FOLDS parts of its
+    rows gets under a link fitted on the others; equal texts share a part. Each model is one task's work on the bounded
+    sample; weights and thresholds come to the driver."""
+    rated = written(rated, "rated-features")
+    count = {r["grade"]: r["count"] for r in rated.groupBy("grade").count().collect()}
+    if not count:
+        return fit_arrays([], np.empty(0, int), n_grades)
+    last = 1
+    while last < n_grades - 1 and min(sum(count.get(x, 0) for x in range(last + 1, n_grades)), count.get(last, 0)) >= LEAST_RATED:
+        last += 1
+    models = [(i, g) for i, (g, _) in enumerate(_models(n_grades)) if g <= last]
+    taken = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("model"), F.lit(g).alias("g")) for i, g in models]), lambda m: (m["g"] == 0) | (F.col("grade") >= m["g"] - 1)))
+    part = (F.crc32(F.concat("at", "value")) % FOLDS).cast("int").alias("part")
+    rows = rated.select(taken.alias("m"), "at", "value", "grade", "n", part).select("m.model", "at", "value", "grade", "n", "part")
+    fits = rows.repartitionByRange(len(models), "model").groupBy("model").applyInPandas(_fit_model(n_grades), "model int, weights binary, thresholds array<double>, left array<double>").toArrow()
+    drop(rated)
+    by = {number: (Ordinal(np.frombuffer(w, np.float32), np.array(t)), left) for number, w, t, left in zip(*(fits[c].to_pylist() for c in ("model", "weights", "thresholds", "left")), strict=True)}
+    out = by[0][0]
+    for i, (g, h) in enumerate(_models(n_grades)):
+        if 2 <= g <= last and h < 0:
+            out.upper.append(by[i][0])
+            out.limits.append(float(np.quantile(np.concatenate([by[i + 1 + x][1] for x in range(FOLDS)]), LOST)))
+    return out
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,17 +223,15 @@ def rated_features(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rated
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, max_rated: int = MAX_RATED) -> Ordinal:
     """docs (doc_id, text), ratings (doc_id, grade int from 0). At most max_rated different ratings, chosen by a hash of the
-    id, and as many different texts come to the driver, as features; ratings with a null in either column or of another grade
+    id, and as many different texts are used, as features; ratings with a null in either column or of another grade
     are left out, repeated ratings and repeated texts count as often as they stand. A rated null text is the empty one. No
     ratings: a model that gives every text the same tails."""
-    got = rated_features(docs, ratings, n_grades, max_rated).toArrow().sort_by([(c, "ascending") for c in ("at", "value", "grade", "n")])  # reruns agree
-    rows = [(np.frombuffer(a.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for a, v in zip(got["at"], got["value"], strict=True)]
-    return fit_calibrated(rows, got["grade"].to_numpy().astype(int), n_grades, got["n"].to_numpy().astype(float))
+    return fit_calibrated(rated_features(docs, ratings, n_grades, max_rated), n_grades)
 
 
 def scored(docs: DataFrame, model: Ordinal) -> DataFrame:
     """(doc_id, expected_grade, tails, kept) for each row of docs (doc_id, text); null and empty texts have the score of an
-    empty text, kept is what selected() decides. No shuffle."""
+    empty text, repeated rows are scored each and alike, no rows give no rows; kept is what selected() decides. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
