@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from caliper.sources.scratch import written
+from caliper.sources.scratch import drop, written
 
 DIMENSIONS = (8, 12, 16, 24)
 CONFIDENCE = 0.95
@@ -310,10 +310,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, confidence: float
         if found is not None and visits.isEmpty():
             break
         met = written(_met(index, tiles, visits, _verify(k + 1, factor, _dtype(rows))), "ann-found")
+        drop(visits)
         found = met if found is None else found.unionByName(met)
         kth = _best(found, k + 1).where(F.col("rank") == k + 1).select("node", ((2 - 2 * F.col("score")) * factor + 1e-12).alias("r"))
         asked = queries.join(kth, "node", "left").select("node", "vector", "point", F.coalesce("r", F.lit(float("inf"))).alias("reach"))
         at, to = to, to + (to - at) * GROWTH
+    drop(index)
     seen = found.groupBy("node").agg(F.sum("verified").alias("verified"))
     best = _best(found, k + 1).join(seen, "node").join(queries.select("node", "vector"), "node")
     each = asking.select("query_id", "vector").join(best, "vector").where(F.col("vec_id") != F.col("query_id"))

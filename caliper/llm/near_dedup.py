@@ -26,7 +26,7 @@ from caliper.llm.blocks import blocks
 from caliper.llm.shingles import intersection, shingle_set
 from caliper.operators.components import connected_components
 from caliper.operators.skew import join_hot
-from caliper.sources.scratch import written
+from caliper.sources.scratch import scope, written
 
 #: A pair of similarity 0.8 shares none of 32 bands of 4 minima with probability 5e-8.
 BANDS, ROWS = 32, 4
@@ -324,15 +324,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     docs give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = written(docs.mapInArrow(_features(k), "doc_id long, n_shingles long, key1 long, key2 long, sig binary"), "dedup-feats")
-    link = _Linker(docs, feats, k, percent)
-    links = link.confirmed(link.star_pairs())
-    components = written(_components_of(links), "dedup-components")
-    joining = link.joining_links(components)
-    if not joining.isEmpty():
-        components = written(_components_of(links.unionByName(joining)), "dedup-components")
+    with scope() as kept:
+        feats = written(docs.mapInArrow(_features(k), "doc_id long, n_shingles long, key1 long, key2 long, sig binary"), "dedup-feats")
+        link = _Linker(docs, feats, k, percent)
+        links = link.confirmed(link.star_pairs())
+        components = written(_components_of(links), "dedup-components")
+        joining = link.joining_links(components)
+        if not joining.isEmpty():
+            components = written(_components_of(links.unionByName(joining)), "dedup-components")
+        rows = written(feats.select("doc_id", "n_shingles", F.struct("key1", "key2").alias("key")), "dedup-rows")
+        kept += [rows, link.members, components]
     rep = link.members.join(components, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
-    rows = feats.select("doc_id", "n_shingles", F.struct("key1", "key2").alias("key"))
     linked = join_hot(rows.where("n_shingles > 0 and doc_id is not null"), rep, "key").select("doc_id", "n_shingles", "component_id")
     alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -340,8 +342,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates keeps, one for each doc_id, all columns as they were."""
-    ids = near_duplicates(docs, k, percent).where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept"))
-    keep = written(ids.where("kept").select("doc_id", "n"), "dedup-keep")
+    with scope() as kept:
+        ids = near_duplicates(docs, k, percent).where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept"))
+        keep = written(ids.where("kept").select("doc_id", "n"), "dedup-keep")
+        kept.append(keep)
     once = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi")
     repeated = docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(repeated).select(docs.columns).unionByName(docs.where("doc_id is null"))

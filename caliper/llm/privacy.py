@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from caliper.llm.blocks import blocks
 from caliper.operators.skew import join_hot
-from caliper.sources.scratch import drop, written
+from caliper.sources.scratch import scope, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: What is left to guess of an entity, what a term must add, and the contexts that a statement needs.
@@ -242,6 +242,12 @@ def revealing_terms(docs: DataFrame, bits: float = BITS, gain: float = GAIN, con
 
     A statement needs `contexts` different contexts of the term in different texts with the value. Null and empty texts hold
     nothing; repeated texts add nothing; no texts reveal nothing."""
+    with scope() as kept:
+        kept.append(_revealing(docs, bits, gain, contexts, few))
+        return kept[0]
+
+
+def _revealing(docs: DataFrame, bits: float, gain: float, contexts: int, few: int) -> DataFrame:
     spark, keyed = docs.sparkSession, _keyed(docs)
     none = spark.createDataFrame([], "term string, action string")
     held = written(keyed.mapInArrow(_entity_rows, "key string, entity string").groupBy("key", "entity").agg(F.count(F.lit(1)).alias("rows")), "privacy-entities")
@@ -278,10 +284,7 @@ def revealing_terms(docs: DataFrame, bits: float = BITS, gain: float = GAIN, con
     known = joint.join(totals, "term").join(often, "entity").where((left <= bits) & (says >= gain)).select("term").distinct()
     counts = found.where("shape is not null").groupBy("shape").agg(F.sum("n").alias("n"))
     action = F.when(F.col("n") >= F.col("enough"), "generalise").otherwise("remove").alias("action")
-    out = written(shaped.join(known, "term", "left_semi").join(F.broadcast(counts), "shape").select("term", action), "privacy-revealing")
-    for t in (held, often, lists, company, joint, candidates, shaped, found):
-        drop(t)
-    return out
+    return written(shaped.join(known, "term", "left_semi").join(F.broadcast(counts), "shape").select("term", action), "privacy-revealing")
 
 
 def _with_shape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

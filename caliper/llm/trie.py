@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caliper.operators.skew import join_hot
-from caliper.sources.scratch import drop, written
+from caliper.sources.scratch import scope, written
 
 #: Turns of a first-turn subtrie that is built in one call at most, and turns that a call gets on average.
 LIMIT, PART = 8_000, 4_000
@@ -88,10 +88,7 @@ def _classes(convs: DataFrame) -> DataFrame:
     ends = pieces.select("key", "piece", "ids").repartition("key").sortWithinPartitions("key", "piece").mapInArrow(_hash_lists, "key binary, ends string")
     counts = pieces.groupBy("key").agg(F.sum("c").alias("c"), F.min("lo").alias("lo"))
     named = counts.join(ends, "key").select("c", "lo", "ends")
-    out = written(keyed.join(named, keyed["conv_id"] == named["lo"]).select("d", "n", "c", "lo", "ends"), "trie-classes")
-    drop(keyed)
-    drop(pieces)
-    return out
+    return written(keyed.join(named, keyed["conv_id"] == named["lo"]).select("d", "n", "c", "lo", "ends"), "trie-classes")
 
 
 def subtries(classes: pd.DataFrame) -> pd.DataFrame:
@@ -173,6 +170,12 @@ def prefix_trie(convs: DataFrame, limit: int = LIMIT) -> DataFrame:
     the parent's smallest member (null for the root), members, children, childless nodes at or below, the lengths of last turns
     that members after the first repeat, summed over the subtree, and SHA-256 of the ascending ids that end there. Conversations
     without turns belong to the root alone; no conversations have no trie. A conversation's digests are one row."""
+    with scope() as kept:
+        return _trie(convs, limit, kept)
+
+
+def _trie(convs: DataFrame, limit: int, kept: list[DataFrame]) -> DataFrame:
+    """prefix_trie; `kept` gets the tables that the result reads."""
     spark = convs.sparkSession
     classes = _classes(convs)
     total, first, turns = classes.agg(F.sum("c"), F.min("lo"), F.sum(F.size("d"))).first()
@@ -195,6 +198,7 @@ def prefix_trie(convs: DataFrame, limit: int = LIMIT) -> DataFrame:
         rounds.append(chains)
         rest = written(rest, "trie-rest")
         turns = rest.agg(F.sum(F.size("d"))).first()[0] or 0
+    kept += nodes
     built = nodes[0]
     for more in nodes[1:]:
         built = built.unionByName(more)
@@ -205,6 +209,7 @@ def prefix_trie(convs: DataFrame, limit: int = LIMIT) -> DataFrame:
         sums = sums.select(F.col("p").alias("glo"), F.col("k").alias("bottom"), "leaves", "below", "children")
         keyed = chains.withColumn("bottom", (F.col("k") + F.col("shared")).cast("bigint"))
         folded = written(keyed.join(sums, ["glo", "bottom"]), "trie-folded")
+        kept.append(folded)
         repeats = (F.col("gc") - 1) * F.aggregate("lens", F.lit(0).cast("bigint"), lambda a, x: a + x)
         tops = tops.unionByName(folded.select("p", F.col("k").cast("bigint").alias("k"), "leaves", (F.col("below") + repeats).alias("saved")))
         out = out.unionByName(_chain_nodes(folded))
