@@ -312,7 +312,7 @@ def test_slots_of_a_row_that_is_most_of_the_table(spark):
 def test_query_against_its_sql(spark, name):
     root = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{root}/{table}.parquet'")
     want = con.sql(queries.ORACLES[name])
     got = queries.QUERIES[name](spark, root)
