@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,18 +51,56 @@ def _known(pairs: DataFrame, least_groups: int, least_items: int) -> DataFrame:
     return pairs.withColumns({"__sure": reached(open_), "__maybe": reached(free)})
 
 
-def _settle(pairs: DataFrame, least_groups: int, least_items: int) -> tuple[DataFrame, int]:
-    """The pairs (__t, __g, __n, __turn, __place, __in) that bring a group to validation, and the rounds this took."""
-    rounds = 0
+#: Pairs of unsettled taxa that one task may settle by the loop itself.
+RESIDUE = 100_000
+
+
+def _loop(least_groups: int, least_items: int):
+    """From rows (__t, __g, __n, __in) in the order of the loop, those that bring their group to validation."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        val, taxon, groups, items = set(), object(), 0, 0
+        for f in frames:
+            out = []
+            for t, g, n, known in zip(f["__t"], f["__g"], f["__n"], f["__in"], strict=True):
+                t, g = (None if pd.isna(x) else x for x in (t, g))
+                if t != taxon:
+                    taxon, groups, items = t, 0, 0
+                if (groups < least_groups or items < least_items) and (known is False or known == 0 or g not in val):
+                    val.add(g)
+                    groups, items = groups + 1, items + n
+                    out.append(g)
+            yield pd.DataFrame({"__g": pd.Series(out, dtype=f["__g"].dtype if len(out) and not any(x is None for x in out) else object)})
+
+    return run
+
+
+def _settle(pairs: DataFrame, least_groups: int, least_items: int, residue: int | None = None) -> tuple[DataFrame, int]:
+    """(__g) of the pairs (__t, __g, __n, __turn, __place, __in) that bring a group to validation, and the rounds this took. Once
+    the taxa that are not settled have at most `residue` pairs left, one task settles them in turn."""
+    rounds, residue = 0, RESIDUE if residue is None else residue
+    pairs = pairs.withColumn("__g", F.struct(F.col("__g").alias("g")))  # in which NULL equals NULL
+    plain = F.col("__g.g").alias("__g")
+
+    def settled(left: DataFrame) -> DataFrame:
+        turns = left.repartition(1).sortWithinPartitions("__turn", "__place", "__g").select("__t", plain, "__n", "__in")
+        return turns.mapInPandas(_loop(least_groups, least_items), turns.select("__g").schema)
+
+    if pairs.count() <= residue:
+        return settled(pairs), rounds
     while True:
         rounds += 1
         known = written(_known(pairs, least_groups, least_items), "split-round")
-        if known.where("__in is null and __maybe").isEmpty():
-            return known.where("__sure"), rounds
+        open_ = known.where("__in is null and __maybe").select(F.struct("__t").alias("__k")).distinct()
+        if open_.isEmpty():
+            return known.where("__sure").select(plain), rounds
         firsts = known.groupBy("__g").agg(_first_of(F.col("__sure")).alias("__first_sure"), _first_of(F.col("__maybe")).alias("__first_maybe"))
         met = join_hot(known.drop("__sure", "__maybe"), firsts, "__g")
         in_ = F.when(F.col("__first_sure") < F.col("__turn"), True).when(F.coalesce(F.col("__first_maybe") >= F.col("__turn"), F.lit(True)), False)
         after = written(met.withColumn("__in", in_).drop("__first_sure", "__first_maybe"), "split-round")
+        left = after.where("not coalesce(__in, false)").withColumn("__k", F.struct("__t")).join(open_, "__k", "left_semi").drop("__k")
+        if left.count() <= residue:  # what is open in it depends on taxa in it alone
+            return known.where("__sure").select(plain).union(settled(left)), rounds
         drop(known)
         pairs = after
 
@@ -80,7 +121,7 @@ def sequential_split(pairs: DataFrame, taxon: str, group: str, n: str, least_gro
     neighbours do, `maybe` if it could: the prefix that the taxon takes is shortest if it gets all unsettled groups, longest
     if it gets none. What earlier taxa surely bring is out of reach of later ones, what none of them may bring is free. Each
     round is a window by taxon and an aggregate by group; the earliest unsettled taxon is settled in every round, and in a
-    random order most are. NULL taxa and groups are values like others."""
+    random order most are; the last RESIDUE pairs are one task's. NULL taxa and groups are values like others."""
     placed = _turns(pairs, taxon, group, F.col(n), seed)
     many = placed.groupBy("__t").agg(F.count(F.lit(1)).alias("__groups"))
     tagged = written(join_hot(written(placed.withColumn("__k", F.struct("__t")), "split-pairs"), many.select(F.struct("__t").alias("__k"), "__groups"), "__k").drop("__k"), "split-pairs")
@@ -94,7 +135,7 @@ def sequential_split(pairs: DataFrame, taxon: str, group: str, n: str, least_gro
     alone = both.where("__taxa = 1").withColumn("__at", F.row_number().over(own)).where(F.col("__at") <= reach).drop("__at")
     start = alone.withColumn("__in", F.lit(False)).unionByName(both.where("__taxa > 1").withColumn("__in", F.lit(None).cast("boolean"))).drop("__taxa")
     taken, _ = _settle(written(start, "split-start"), least_groups, least_items)
-    val = forced.union(taken.select("__g")).distinct().select(F.struct("__g").alias("__v"))
+    val = forced.union(taken).distinct().select(F.struct("__g").alias("__v"))
     all_ = placed.select("__g").distinct().withColumn("__k", F.struct("__g"))
     split = F.when(F.col("__v").isNotNull(), "val").otherwise("train").alias("split")
     return all_.join(val, F.col("__k") == F.col("__v"), "left").select(F.col("__g").alias(group), split)
@@ -104,8 +145,9 @@ def sequential_one_group(pairs: DataFrame, taxon: str, group: str, seed: int) ->
     """(taxon, group): the groups that a loop over the taxa brings to validation, each with the taxon that brings it.
 
     Groups of taxa with one group are validation. Of the other taxa, in a seeded order, each that has no group in validation
-    brings its first shuffled group. pairs (taxon, group) are unique. Settled in rounds like sequential_split: only a taxon's
+    brings its first shuffled group. pairs (taxon, group) are unique; those with a NULL do not count. Settled in rounds like sequential_split: only a taxon's
     first group matters, and it waits for the earlier taxa whose first group it has."""
+    pairs = pairs.where(F.col(taxon).isNotNull() & F.col(group).isNotNull())
     placed = written(_turns(pairs, taxon, group, F.lit(1), seed), "split-pairs")
     taxa = placed.groupBy("__t").agg(F.count(F.lit(1)).alias("__groups"), F.first("__turn").alias("__turn"), F.min_by("__g", F.struct("__place", "__g")).alias("__first"))
     single = taxa.where("__groups = 1").select(F.col("__t").alias(taxon), F.col("__first").alias(group))

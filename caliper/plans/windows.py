@@ -65,8 +65,8 @@ def w7(t):
     return sp.one_group_per_taxon(t.orders, "o_custkey", "o_orderkey", t.orders.where("o_orderkey % 10 = 0"), 9).select("o_custkey", "o_orderkey")
 
 
-#: Suppliers as taxa, orders as the groups that they share; the loop one group a step.
-_LOOP = """WITH RECURSIVE pairs AS (SELECT l_suppkey AS t, l_orderkey AS g, count(*) AS n FROM lineitem GROUP BY ALL),
+#: The suppliers' nations as taxa, orders as the groups that they share; the loop one group a step.
+_LOOP = """WITH RECURSIVE pairs AS (SELECT s_nationkey AS t, l_orderkey AS g, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
     taxa AS (SELECT t, row_number() OVER (ORDER BY md5('3|' || t), t) AS i, list(g ORDER BY md5('3|' || g), g) AS gs, list(n ORDER BY md5('3|' || g), g) AS ns FROM pairs GROUP BY t)"""
 SEQUENTIAL_SQL = f"""{_LOOP}, s AS (SELECT 1::BIGINT AS i, 1::BIGINT AS j, 0::BIGINT AS tg, 0::BIGINT AS tn, []::BIGINT[] AS val UNION ALL
     SELECT CASE WHEN over THEN i + 1 ELSE i END, CASE WHEN over THEN 1 ELSE j + 1 END, CASE WHEN over THEN 0 WHEN held THEN tg ELSE tg + 1 END, CASE WHEN over THEN 0 WHEN held THEN tn ELSE tn + m END, CASE WHEN over OR held THEN val ELSE list_append(val, h) END
@@ -76,11 +76,11 @@ SEQUENTIAL_SQL = f"""{_LOOP}, s AS (SELECT 1::BIGINT AS i, 1::BIGINT AS j, 0::BI
 
 @query("W6_sequential_split", SEQUENTIAL_SQL)
 def w6_sequential(t):
-    pairs = t.lineitem.groupBy("l_suppkey", "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    return sp.sequential_split(pairs, "l_suppkey", "l_orderkey", "n", 2, 5, 3)
+    pairs = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_nationkey", "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    return sp.sequential_split(pairs, "s_nationkey", "l_orderkey", "n", 2, 5, 3)
 
 
-@query("W7_sequential_one_group", f"""{_LOOP}, s AS (SELECT 1::BIGINT AS i, []::BIGINT[] AS val, NULL::BIGINT AS t, NULL::BIGINT AS g UNION ALL
+@query("W7_sequential_one_group", f"""{_LOOP.replace("s_nationkey AS t", "l_suppkey AS t")}, s AS (SELECT 1::BIGINT AS i, []::BIGINT[] AS val, NULL::BIGINT AS t, NULL::BIGINT AS g UNION ALL
     SELECT s.i + 1, CASE WHEN list_has_any(val, gs) THEN val ELSE list_append(val, gs[1]) END, CASE WHEN list_has_any(val, gs) THEN NULL ELSE taxa.t END, CASE WHEN list_has_any(val, gs) THEN NULL ELSE gs[1] END FROM s JOIN taxa ON taxa.i = s.i)
     SELECT t AS l_suppkey, g AS l_orderkey FROM s WHERE t IS NOT NULL""")
 def w7_sequential(t):

@@ -61,7 +61,10 @@ def cases(n):
     return out
 
 
-def test_sequential_split_equals_the_loop_on_1000_inputs(spark):
+@pytest.mark.parametrize("residue", [0, 500, 100_000])
+def test_sequential_split_equals_the_loop_on_1000_inputs(spark, monkeypatch, residue):
+    """residue: pairs that one task may settle by the loop; 0: rounds alone."""
+    monkeypatch.setattr(sp, "RESIDUE", residue)
     rows = cases(1000)
     df = spark.createDataFrame(rows, "taxon string, grp string, n long")
     got = sp.sequential_split(df, "taxon", "grp", "n", 2, 8, 5).collect()
@@ -81,16 +84,21 @@ def test_rounds_stay_few(spark):
     rows = [(t, g, 1) for t in range(n) for g in (t, (t + 1) % n, t + n, t + 2 * n, 5 * n)]
     pairs = spark.createDataFrame(rows, "taxon long, grp long, n long")
     start = sp._turns(pairs, "taxon", "grp", F.col("n"), 5).withColumn("__in", F.lit(None).cast("boolean"))
-    taken, rounds = sp._settle(start, 2, 3)
+    taken, rounds = sp._settle(start, 2, 3, 0)
     assert {r["__g"] for r in taken.select("__g").distinct().collect()} == loop_split(rows, 2, 3, 5) and rounds <= 12
 
 
-def test_splits_of_nothing_and_of_nulls(spark):
+def test_splits_of_nothing_and_of_nulls(spark, monkeypatch):
     df = spark.createDataFrame([], "taxon string, grp string, n long")
     assert sp.sequential_split(df, "taxon", "grp", "n", 2, 8, 5).count() == 0 == sp.sequential_one_group(df, "taxon", "grp", 5).count()
-    rows = [(None, "a", 1), (None, "b", 1), (None, None, 1), ("x", None, 2)]
+    rows = [(None, "a", 1), (None, "b", 1), (None, None, 1), ("x", None, 2), ("x", "a", 1), ("y", None, 1), ("y", "a", 1), ("y", "c", 1), ("z", "c", 1), ("z", "d", 1), ("z", None, 1)]
     df = spark.createDataFrame(rows, "taxon string, grp string, n long")
-    assert sp.sequential_split(df, "taxon", "grp", "n", 1, 1, 5).where("split = 'val' and grp is null").count() == 1
+    for residue in (0, 100):
+        monkeypatch.setattr(sp, "RESIDUE", residue)
+        val = {r["grp"] for r in sp.sequential_split(df, "taxon", "grp", "n", 1, 2, 5).where("split = 'val'").collect()}
+        again = {r["grp"] for r in sp.sequential_split(df.repartition(7), "taxon", "grp", "n", 1, 2, 5).where("split = 'val'").collect()}
+        assert val == again and len(val) >= 2
+    assert {tuple(r) for r in sp.sequential_one_group(df, "taxon", "grp", 5).collect()} == loop_one_group([r[:2] for r in rows if None not in r], 5)
 
 
 def plain_ema(values, beta):
