@@ -44,3 +44,16 @@ def test_top_k_needs_no_full_sort(spark):
 
 def test_top_of_each_group_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(catalog.queries()["W4_top_quota"](spark, ROOT))
+
+
+def test_pairs_and_densities_join_by_bands_and_bins(spark):
+    """No join of a group with itself alone."""
+    text = plan(catalog.queries()["J14_tolerance_pairs"](spark, ROOT))
+    joins = [x for x in text.splitlines() if "Join" in x]
+    assert joins and all("__band" in x for x in joins)
+    text = plan(catalog.queries()["A33_point_density"](spark, ROOT))
+    assert "__bin" in text and "EXP(" not in text.upper()  # no kernel of a pair
+
+
+def test_averages_of_runs_are_native(spark):
+    assert not re.search("Python|Pandas|Arrow|SinglePartition", plan(catalog.queries()["W10_ema"](spark, ROOT)))
