@@ -78,20 +78,25 @@ def pairs_within(df: DataFrame, group: str, order: str, near: dict[str, float])
     the two next bands only. A good part of the rows of a band are near one another, so that the work is in proportion to the
     rows and the pairs, not to the square of the group. A pair that is near by several columns comes from the first of them."""
 
-    def bands(by: int, c: str, steps: Sequence[int]) -> Column:
-        v, width = F.col(c).cast("double"), 2.0 * near[c]
-        at = F.array_distinct(F.array(*[F.floor(v / width).cast("double") + k for k in steps])) if width else F.array(v)
-        keys = F.transform(at, lambda x: F.struct(F.lit(by).alias("by"), x.alias("at")))
-        return F.when(v.isNotNull() & ~F.isnan(v), keys).otherwise(F.slice(keys, 1, 0))
+    def bands(by: int, c: str, steps: Sequence[int]) -> list[Column]:
+        v, width = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), 2.0 * near[c]
+        at = F.floor(v / width).cast("double") if width else v
+        beside = lambda k: F.when(F.abs(at) < 2.0**51, at + float(k)) if width else F.lit(None).cast("double")  # noqa: E731  beyond, a double has no next band
+        return [F.struct(F.lit(by).alias("by"), (beside(k) if k else at).alias("at")) for k in steps]
 
     def banded(side: str, steps: Sequence[int]) -> DataFrame:
-        all_ = F.concat(*[bands(i, c, steps) for i, c in enumerate(near)])
-        return df.select(group, F.struct(*df.columns).alias(side), F.explode(all_).alias("__band"))
+        all_ = F.array(*[x for i, c in enumerate(near) for x in bands(i, c, steps)])
+        rows = df.where(F.col(group).isNotNull()).select(*df.columns, F.explode(all_).alias("__in")).where("__in.at is not null")
+        return rows.select(*[F.col(c).alias(f"__{side}_{c}") for c in df.columns], F.col("__in").alias(f"__{side}"), F.xxhash64(group, "__in").alias("__band"))
 
-    close = lambda c: F.coalesce(F.nanvl(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")).cast("double"), F.lit(None)) <= near[c], F.lit(False))
+    a, b = (lambda c: F.col(f"__a_{c}")), (lambda c: F.col(f"__b_{c}"))
+    close = lambda c: F.coalesce(F.nanvl(F.abs(a(c) - b(c)).cast("double"), F.lit(None)) <= near[c], F.lit(False))
     first = reduce(lambda rest, c: F.when(close(c[1]), c[0]).otherwise(rest), reversed(list(enumerate(near))), F.lit(-1))
-    pairs = banded("a", (-1, 0, 1)).join(banded("b", (0,)), [group, "__band"])
-    return pairs.where((F.col(f"a.{order}") < F.col(f"b.{order}")) & (first == F.col("__band.by"))).select(group, "a", "b")
+    pairs = banded("a", (-1, 0, 1)).join(banded("b", (0,)), "__band")
+    same = (a(group) == b(group)) & (F.col("__a") == F.col("__b"))  # a hash may stand for several bands
+    found = pairs.where(same & (a(order) < b(order)) & (first == F.col("__a.by")))
+    whole = lambda side: F.struct(*[F.col(f"__{side}_{c}").alias(c) for c in df.columns]).alias(side)
+    return found.select(a(group).alias(group), whole("a"), whole("b"))
 
 
 def error_summary(df: DataFrame, group: str, error: str) -> DataFrame:
