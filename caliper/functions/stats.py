@@ -16,6 +16,12 @@ def percent_error(error: Column, truth: Column) -> Column:
     return F.try_divide(error.cast("double"), truth.cast("double")) * 100
 
 
+def log10(x: Column) -> Column:
+    """The decimal logarithm in IEEE doubles: -inf at 0 and NaN below, where the built-in one gives NULL; NULL stays NULL."""
+    x = x.cast("double")
+    return F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(F.log10(x))
+
+
 def masked_mean(x: Column, weight: Column) -> Column:
     """Aggregate: weighted mean whose weights count as 1 at least."""
     return F.sum(x * weight) / F.greatest(F.sum(weight), F.lit(1.0))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caliper.functions import arrays as ar
 from caliper.functions import geometry as geo
+from caliper.functions import stats as st
 from caliper.functions import strings as sx
 from caliper.operators import ml
 from caliper.operators import quality as qa
@@ -169,7 +170,7 @@ def l_8(t):
 @query("M-1_arithmetic", "SELECT event_id, round(abs(value - 100), 6) AS a, round(log10(value), 6) AS l, round(pow(value, 0.5::DOUBLE), 6) AS p FROM events")
 def m_1(t):
     v = F.col("value")
-    return t.events.select("event_id", r6(F.abs(v - 100)).alias("a"), r6(F.log10(v)).alias("l"), r6(F.pow(v, F.lit(0.5))).alias("p"))
+    return t.events.select("event_id", r6(F.abs(v - 100)).alias("a"), r6(st.log10(v)).alias("l"), r6(F.pow(v, F.lit(0.5))).alias("p"))
 
 
 @query("M-2_half_even", "SELECT o_orderkey, round_even(o_totalprice / 3, 4) AS r FROM orders")

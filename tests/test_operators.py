@@ -44,6 +44,12 @@ def test_percent_error_by_zero_is_null(spark):
     assert [r[0] for r in df.select(stats.percent_error(F.col("e"), F.col("t"))).collect()] == [None, 25.0, None, None]
 
 
+def test_log10_at_and_below_zero(spark):
+    got = [r[0] for r in spark.sql("SELECT explode(array(100D, 0D, -0D, -1D, double('inf'), double('-inf'), double('nan'), NULL)) AS x").select(F.round(stats.log10(F.col("x")), 6)).collect()]
+    assert got[:3] == [2.0, -math.inf, -math.inf] and got[4] == math.inf and got[7] is None
+    assert all(math.isnan(got[i]) for i in (3, 5, 6))
+
+
 def test_is_finite(spark):
     df = spark.createDataFrame([(NAN,), (math.inf,), (-math.inf,), (1.0,), (None,)], "x double")
     assert [r[0] for r in df.select(rd.is_finite(F.col("x"))).collect()] == [False, False, False, True, None]
