@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from caliper.operators.components import connected_components
 from caliper.operators.ordered import placed_within, weighted_mean, with_quantiles
 from caliper.sources.readers import is_finite
+from caliper.sources.scratch import drop, written
 
 
 def _on(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> tuple[DataFrame, Column]:
@@ -143,21 +145,90 @@ def proportional_mix(sources: Sequence[DataFrame], order: str) -> DataFrame:
     return placed.withColumn("at", (F.col("__at") - 0.5) / F.col("__n")).drop("__at", "__n")
 
 
+#: Boxes of a cell that are compared with one another, and the rounds after which those of larger cells are.
+CELL_BOXES, CELL_ROUNDS = 64, 200
+_CELL = ("image", "lx", "ly")  # cells are disjoint, so that their lower corners tell them apart
+
+
+def _halved(known: DataFrame) -> DataFrame:
+    """The rows of known (with n, and the bounds bx0 .. by1 of the cell's contents) with `hub`, the smallest box of the cell
+    that overlaps all others of it, if one is known to; where none is, with `by_x` and `mid`, the cut that fewer boxes cross."""
+    x0, x1, y0, y1 = F.greatest("x0", "lx"), F.least("x1", "hx"), F.greatest("y0", "ly"), F.least("y1", "hy")
+    mid = lambda lo, hi: F.when(F.col(lo) + (F.col(hi) - F.col(lo)) / 2 > F.col(lo), F.col(lo) + (F.col(hi) - F.col(lo)) / 2).otherwise(F.col(hi))
+    cut = known.withColumns({"mx": mid("bx0", "bx1"), "my": mid("by0", "by1")})
+    whole = (x0 <= F.col("bx0")) & (x1 >= F.col("bx1")) & (y0 <= F.col("by0")) & (y1 >= F.col("by1"))
+    on_x, on_y = (F.col("x0") < F.col("mx")) & (F.col("x1") >= F.col("mx")), (F.col("y0") < F.col("my")) & (F.col("y1") >= F.col("my"))
+    counts = cut.groupBy(*_CELL).agg(
+        F.min(F.when(whole, F.col("id"))).alias("covers"), F.min("id").alias("least"), F.count_if(on_x).alias("across_x"), F.count_if(on_y).alias("across_y"), F.first("n").alias("all"),
+        *[F.first(c).alias(f"c_{c}") for c in ("mx", "my", "bx0", "bx1", "by0", "by1")],
+    )
+    wide, high = F.col("c_bx1") > F.col("c_bx0"), F.col("c_by1") > F.col("c_by0")
+    centre = (F.col("across_x") == F.col("all")) & (F.col("across_y") == F.col("all"))  # all boxes hold one point
+    by_x = F.when(~wide, False).when(~high, True).otherwise(F.col("across_x") <= F.col("across_y"))
+    told = counts.select(*_CELL, F.coalesce("covers", F.when(centre, F.col("least"))).alias("hub"), by_x.alias("by_x"), F.when(by_x, F.col("c_mx")).otherwise(F.col("c_my")).alias("mid"))
+    return known.select("image", "id", "x0", "x1", "y0", "y1", "lx", "hx", "ly", "hy").join(told, list(_CELL))
+
+
+def _box_links(boxes: DataFrame, cell: float) -> DataFrame:
+    """(image, id, hub): links of boxes (image, id, x0, x1, y0, y1) that overlap, enough to join all that hang together."""
+    side = 2.0 ** math.floor(math.log2(cell))  # by which a double is divided without rounding
+    over = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / side), F.floor(F.col(hi) / side)))
+    placed = boxes.withColumn("cx", over("x0", "x1")).withColumn("cy", over("y0", "y1"))
+    edge = lambda c, k: ((F.col(c) + k) * F.lit(side)).cast("double")
+    open_ = written(placed.withColumns({"lx": edge("cx", 0), "hx": edge("cx", 1), "ly": edge("cy", 0), "hy": edge("cy", 1)}).drop("cx", "cy"), "boxes")
+    links, step = [], 0
+    while True:
+        step += 1
+        x0, x1, y0, y1 = F.greatest("x0", "lx"), F.least("x1", "hx"), F.greatest("y0", "ly"), F.least("y1", "hy")
+        cells = open_.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n"), F.min(x0).alias("bx0"), F.max(x1).alias("bx1"), F.min(y0).alias("by0"), F.max(y1).alias("by1")).where("n > 1")
+        known = written(open_.join(cells, list(_CELL)), "boxes")
+        drop(open_)
+        few = F.lit(step > CELL_ROUNDS) | (F.col("n") <= CELL_BOXES)
+        a = known.where(few).alias("a")
+        b = known.where(few).select(*_CELL, *[F.col(c).alias(f"b_{c}") for c in ("id", "x0", "x1", "y0", "y1")]).alias("b")
+        meet = (F.col("x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("x1")) & (F.col("y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("y1"))
+        here = (F.greatest("x0", "b_x0") >= F.col("lx")) & (F.greatest("x0", "b_x0") < F.col("hx")) & (F.greatest("y0", "b_y0") >= F.col("ly")) & (F.greatest("y0", "b_y0") < F.col("hy"))
+        pairs = a.join(b, list(_CELL)).where((F.col("id") < F.col("b_id")) & meet & here)
+        links.append(written(pairs.select("image", F.col("b_id").alias("id"), F.col("id").alias("hub")), "box-links"))
+        many = known.where(~few)
+        if many.isEmpty():
+            drop(known)
+            return reduce(DataFrame.unionByName, links)
+        told = written(_halved(many), "boxes")
+        drop(known)
+        links.append(told.where("hub is not null and id <> hub").select("image", "id", "hub"))
+        lo, hi, m = F.when(F.col("by_x"), F.col("x0")).otherwise(F.col("y0")), F.when(F.col("by_x"), F.col("x1")).otherwise(F.col("y1")), F.col("mid")
+        halves = F.array(F.when(lo < m, F.lit(0)), F.when(hi >= m, F.lit(1)))
+        cut = told.where("hub is null").withColumn("half", F.explode(halves)).where("half is not null")
+        moved = {c: F.when(F.col("by_x").eqNullSafe(F.lit(x)) & (F.col("half") == half), m).otherwise(F.col(c)) for c, x, half in (("lx", True, 1), ("hx", True, 0), ("ly", False, 1), ("hy", False, 0))}
+        open_ = written(cut.withColumns(moved).drop("hub", "by_x", "mid", "half"), "boxes")
+
+
 def merge_boxes(boxes: DataFrame, image: str, cell: float, overlap: str = "x0 x1 y0 y1") -> DataFrame:
     """boxes (image, id, ..) with `component`: the smallest id of the boxes that overlap it, directly or through others, in
     its image; borders count. (image, id) is unique.
 
-    Boxes meet in the cells of a grid, `cell` wide, which should be about a box's side; a pair is compared in the one cell that
-    holds the corner of its overlap. Boxes with a NULL bound overlap nothing."""
+    Boxes lie in the cells of a grid, `cell` wide, which should be about a box's side. Of a cell with few boxes all pairs are
+    compared, each in the one cell that holds the corner of its overlap. In a fuller one, all boxes overlap any that covers the
+    extent of the cell's contents, so that one link a box does; where no box covers it, the cell is halved. Piles of boxes
+    thereby cost links in proportion to the boxes, not to their pairs. Equal boxes count once. Boxes with a NULL or NaN
+    bound, or with bounds that are the wrong way round, overlap nothing."""
     x0, x1, y0, y1 = overlap.split()
-    over = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    placed = boxes.select(image, "id", x0, x1, y0, y1, over(x0, x1).alias("cx")).withColumn("cy", over(y0, y1))
-    a, b = placed.alias("a"), placed.alias("b")
-    col = lambda side, c: F.col(f"{side}.{c}")
-    touch = (col("a", x0) <= col("b", x1)) & (col("b", x0) <= col("a", x1)) & (col("a", y0) <= col("b", y1)) & (col("b", y0) <= col("a", y1))
-    corner = (F.floor(F.greatest(col("a", x0), col("b", x0)) / cell) == col("a", "cx")) & (F.floor(F.greatest(col("a", y0), col("b", y0)) / cell) == col("a", "cy"))
-    same = (col("a", image) == col("b", image)) & (col("a", "cx") == col("b", "cx")) & (col("a", "cy") == col("b", "cy"))
-    node = lambda side: F.struct(col(side, image).alias("image"), col(side, "id").alias("id"))
-    pairs = a.join(b, same).where((col("a", "id") < col("b", "id")) & touch & corner).select(node("a").alias("u"), node("b").alias("v"))
-    found = connected_components(pairs).select(F.col("id.image").alias(image), F.col("id.id").alias("id"), F.col("component.id").alias("component"))
-    return boxes.join(found, [image, "id"], "left").withColumn("component", F.coalesce("component", "id")).select(*boxes.columns, "component")
+    sides = {f"__{k}": F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for k, c in (("x0", x0), ("x1", x1), ("y0", y0), ("y1", y1))}
+    same = [image, *sides]
+    real = boxes.withColumns(sides).where(reduce(lambda p, q: p & q, [F.col(c).isNotNull() for c in same]) & (F.col("__x0") <= F.col("__x1")) & (F.col("__y0") <= F.col("__y1"))).select(*same, "id")
+    first = written(real.groupBy(*same).agg(F.min("id").alias("__first")), "boxes")
+    links = _box_links(first.select(F.col(image).alias("image"), F.col("__first").alias("id"), *[F.col(c).alias(c[2:]) for c in sides]), cell)
+    # A box hangs on its smallest hub; its other links become links between hubs, of which there are few.
+    links = written(links.distinct(), "box-links")
+    homes = written(links.groupBy("image", "id").agg(F.min("hub").alias("home")), "boxes")
+    node = lambda c: F.struct("image", F.col(c).alias("id"))
+    hubs = links.select("image", F.col("hub").alias("id")).distinct().join(homes, ["image", "id"]).select(node("id").alias("u"), node("home").alias("v"))
+    moved = links.join(homes, ["image", "id"]).where("hub <> home").select(node("home").alias("u"), node("hub").alias("v")).distinct()
+    roots = connected_components(moved.unionByName(hubs)).select("id.*", F.col("component.id").alias("root"))
+    at = homes.select("image", "id", "home").unionByName(links.select("image", F.col("hub").alias("id"), F.col("hub").alias("home")).distinct()).groupBy("image", "id").agg(F.min("home").alias("home"))
+    rooted = at.join(roots.withColumnRenamed("id", "home"), ["image", "home"], "left").select("image", "id", F.coalesce("root", "home").alias("root"))
+    least = rooted.groupBy("image", "root").agg(F.min("id").alias("least"))
+    found = rooted.join(least, ["image", "root"]).select(F.col("image").alias(image), F.col("id").alias("__first"), "least")
+    known = first.join(found, [image, "__first"], "left").select(*same, F.coalesce("least", "__first").alias("__least"))
+    return boxes.withColumns(sides).join(known, same, "left").withColumn("component", F.coalesce("__least", "id")).select(*boxes.columns, "component")

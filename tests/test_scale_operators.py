@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caliper.operators import ordered
+from caliper.operators import relational
 from caliper.operators import splits as sp
 from caliper.operators.ordered import running_ema
 from caliper.operators.relational import pairs_within
@@ -200,3 +201,49 @@ def test_quantiles_held_and_by_ranges_agree(spark, monkeypatch, keys):
     values = sorted(x for g, x in rows if x is not None and (not keys or g == "a"))
     first = next(r for r in held[0][1] if not keys or r[0] == "a")
     assert first[-2] == pytest.approx(values[round(0.5 * (len(values) - 1))], abs=1e-9)
+
+
+def _plain_components(boxes):
+    parent = {(b[0], b[1]): (b[0], b[1]) for b in boxes}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for i, a in enumerate(boxes):
+        for b in boxes[:i]:
+            if a[0] == b[0] and a[2] <= b[3] and b[2] <= a[3] and a[4] <= b[5] and b[4] <= a[5]:
+                u, v = sorted((root((a[0], a[1])), root((b[0], b[1]))))
+                parent[v] = u
+    return {k: root(k)[1] for k in parent}
+
+
+def test_boxes_in_halved_cells_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(relational, "CELL_BOXES", 6)
+    rng = random.Random(5)
+    kinds = [
+        lambda: (rng.uniform(-9, 9), rng.uniform(0, 1.5), rng.uniform(-9, 9), rng.uniform(0, 1.5)),
+        lambda: (rng.randint(-6, 6), rng.randint(0, 1), rng.randint(-6, 6), rng.randint(0, 1)),  # on the borders of cells
+        lambda: (1.0, 0.0, rng.uniform(0, 40), rng.uniform(0, 0.9)),  # a line of segments
+        lambda: (rng.uniform(0, 4), 4.0, rng.uniform(0, 4), 4.0),  # a pile
+        lambda: (rng.uniform(0, 30), 0.01, 0.0, 20.0) if rng.random() < 0.5 else (0.0, 30.0, rng.uniform(0, 20), 0.01),  # a lattice
+        lambda: (rng.choice((0.0, 5.0)), 1.0, 0.0, 1.0),  # copies
+    ]
+    boxes = []
+    for image, kind in enumerate(kinds):
+        ids = rng.sample(range(1000), 50)
+        for i in ids:
+            x, w, y, h = kind()
+            boxes.append((image, i, float(x), float(x + w), float(y), float(y + h)))
+    df = spark.createDataFrame(boxes, "image int, id long, x0 double, x1 double, y0 double, y1 double")
+    got = {(r["image"], r["id"]): r["component"] for r in relational.merge_boxes(df, "image", 3.0).collect()}
+    assert got == _plain_components(boxes)
+
+
+def test_a_pile_of_boxes_costs_links_in_proportion(spark):
+    at = lambda seed: (F.rand(seed) * 4).alias("x")
+    n = 4000
+    pile = spark.range(n).select(F.lit(0).alias("image"), "id", at(1), at(2).alias("y")).selectExpr("image", "id", "x AS x0", "x + 4 AS x1", "y AS y0", "y + 4 AS y1").localCheckpoint()
+    assert relational._box_links(pile, 4.0).count() < 20 * n  # 8 million pairs
+    assert [tuple(r) for r in relational.merge_boxes(pile, "image", 4.0).groupBy("component").count().collect()] == [(0, n)]
