@@ -111,6 +111,25 @@ def _turns(pairs: DataFrame, taxon: str, group: str, n: Column, seed: int) -> Da
     return pairs.select(F.col(taxon).alias("__t"), F.col(group).alias("__g"), n.alias("__n"), turn.alias("__turn"), seeded_order(F.col(group), seed).alias("__place"))
 
 
+def _seeded_number(key: Column, seed: int) -> Column:
+    """The leading 60 bits of seeded_order, which order keys as it does but for a tie."""
+    return F.conv(F.substring(seeded_order(key, seed), 1, 15), 16, 10).cast("long")
+
+
+def _reachable(pairs: DataFrame, sizes: DataFrame, limit: int, seed: int) -> DataFrame:
+    """The pairs (__t, __g, ..) among which are each taxon's first `limit` shuffled groups, not many more than twice as many;
+    sizes (__t, __groups). Counts of the lengths of the groups' numbers say how long a number of the first ones may be."""
+    long_ = sizes.where(F.col("__groups") > limit)
+    if long_.isEmpty():
+        return pairs
+    bits = pairs.withColumn("__bits", F.coalesce(F.length(F.bin(_seeded_number(F.col("__g"), seed))), F.lit(0)))  # NULL comes first
+    counts = bits.groupBy("__t", "__bits").agg(F.count(F.lit(1)).alias("__c"))
+    upto = counts.withColumn("__upto", running(F.sum("__c"), Window.partitionBy("__t").orderBy("__bits")))
+    cuts = upto.groupBy(F.struct("__t").alias("__k")).agg(F.min(F.when(F.col("__upto") >= limit, F.col("__bits"))).alias("__most"))
+    met = bits.withColumn("__k", F.struct("__t")).join(F.broadcast(cuts.where("__most is not null")), "__k", "left")
+    return met.where("__most is null or __bits <= __most").select(*pairs.columns)
+
+
 def sequential_split(pairs: DataFrame, taxon: str, group: str, n: str, least_groups: int, least_items: int, seed: int) -> DataFrame:
     """(group, split) of pairs (taxon, group, n >= 1), unique by taxon and group, where taxa share groups.
 
@@ -121,9 +140,15 @@ def sequential_split(pairs: DataFrame, taxon: str, group: str, n: str, least_gro
     neighbours do, `maybe` if it could: the prefix that the taxon takes is shortest if it gets all unsettled groups, longest
     if it gets none. What earlier taxa surely bring is out of reach of later ones, what none of them may bring is free. Each
     round is a window by taxon and an aggregate by group; the earliest unsettled taxon is settled in every round, and in a
-    random order most are; the last RESIDUE pairs are one task's. NULL taxa and groups are values like others."""
-    placed = _turns(pairs, taxon, group, F.col(n), seed)
-    many = placed.groupBy("__t").agg(F.count(F.lit(1)).alias("__groups"))
+    random order most are; the last RESIDUE pairs are one task's. NULL taxa and groups are values like others.
+
+    All taxa together bring a bounded number of groups to validation. A taxon passes over no more than these, so that its
+    groups after as many take no part and leave before the rounds."""
+    narrow = written(pairs.select(F.col(taxon).alias("__t"), F.col(group).alias("__g"), F.col(n).alias("__n")), "split-pairs")
+    many = written(narrow.groupBy("__t").agg(F.count(F.lit(1)).alias("__groups")), "split-taxa")
+    reach = max(least_groups, least_items)  # more groups of its own no taxon takes
+    small, taxa = many.agg(F.count_if(F.col("__groups") <= least_groups), F.count(F.lit(1))).first()
+    placed = _turns(_reachable(narrow, many, least_groups * small + reach * (taxa - small), seed), "__t", "__g", F.col("__n"), seed)
     tagged = written(join_hot(written(placed.withColumn("__k", F.struct("__t")), "split-pairs"), many.select(F.struct("__t").alias("__k"), "__groups"), "__k").drop("__k"), "split-pairs")
     forced = tagged.where(F.col("__groups") <= least_groups).select("__g").distinct()
     open_ = tagged.where(F.col("__groups") > least_groups).drop("__groups")
@@ -131,12 +156,11 @@ def sequential_split(pairs: DataFrame, taxon: str, group: str, n: str, least_gro
     keyed = written(open_.withColumn("__k", F.struct("__g")), "split-open")
     both = join_hot(keyed, groups.select(F.struct("__g").alias("__k"), "__taxa"), "__k").drop("__k")
     own = Window.partitionBy("__t").orderBy("__place", "__g")
-    reach = max(least_groups, least_items)  # more groups of its own no taxon takes
     alone = both.where("__taxa = 1").withColumn("__at", F.row_number().over(own)).where(F.col("__at") <= reach).drop("__at")
     start = alone.withColumn("__in", F.lit(False)).unionByName(both.where("__taxa > 1").withColumn("__in", F.lit(None).cast("boolean"))).drop("__taxa")
     taken, _ = _settle(written(start, "split-start"), least_groups, least_items)
     val = forced.union(taken).distinct().select(F.struct("__g").alias("__v"))
-    all_ = placed.select("__g").distinct().withColumn("__k", F.struct("__g"))
+    all_ = narrow.select("__g").distinct().withColumn("__k", F.struct("__g"))
     split = F.when(F.col("__v").isNotNull(), "val").otherwise("train").alias("split")
     return all_.join(val, F.col("__k") == F.col("__v"), "left").select(F.col("__g").alias(group), split)
 

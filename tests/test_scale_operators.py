@@ -203,6 +203,18 @@ def test_quantiles_held_and_by_ranges_agree(spark, monkeypatch, keys):
     assert first[-2] == pytest.approx(values[round(0.5 * (len(values) - 1))], abs=1e-9)
 
 
+def test_a_taxon_brings_no_more_pairs_to_the_rounds_than_it_can_reach(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(t, g, rng.randint(1, 3)) for t in (1, 2, 3, None) for g in [None, *rng.sample(range(3000), 2000)]] + [(9, 5, 1)]
+    df = spark.createDataFrame(rows, "t long, g long, n long")
+    monkeypatch.setitem(globals(), "order", lambda seed, key, plain=order: ("", "") if key is None else plain(seed, key))  # NULL first
+    settled, settle = [], sp._settle
+    monkeypatch.setattr(sp, "_settle", lambda pairs, *a: (settled.append(pairs.count()), settle(pairs, *a))[1])
+    got = {r["g"] for r in sp.sequential_split(df, "t", "g", "n", 2, 5, 3).where("split = 'val'").collect()}
+    assert got == loop_split(rows, 2, 5, 3)
+    assert settled[0] <= 4 * 4 * 22  # 4 taxa, 22 groups that all can bring, of 8,000 pairs
+
+
 def _plain_components(boxes):
     parent = {(b[0], b[1]): (b[0], b[1]) for b in boxes}
 
