@@ -171,15 +171,17 @@ def sequential_one_group(pairs: DataFrame, taxon: str, group: str, seed: int) ->
     Groups of taxa with one group are validation. Of the other taxa, in a seeded order, each that has no group in validation
     brings its first shuffled group. pairs (taxon, group) are unique; those with a NULL do not count. Settled in rounds like sequential_split: only a taxon's
     first group matters, and it waits for the earlier taxa whose first group it has."""
-    pairs = pairs.where(F.col(taxon).isNotNull() & F.col(group).isNotNull())
-    placed = written(_turns(pairs, taxon, group, F.lit(1), seed), "split-pairs")
-    taxa = placed.groupBy("__t").agg(F.count(F.lit(1)).alias("__groups"), F.first("__turn").alias("__turn"), F.min_by("__g", F.struct("__place", "__g")).alias("__first"))
+    narrow = written(pairs.where(F.col(taxon).isNotNull() & F.col(group).isNotNull()).select(F.col(taxon).alias("__t"), F.col(group).alias("__g")), "split-pairs")
+    at = _seeded_number(F.col("__g"), seed)
+    sizes = written(narrow.groupBy("__t").agg(F.count(F.lit(1)).alias("__groups"), F.min(at).alias("__least")), "split-taxa")
+    near = _turns(join_hot(narrow, sizes, "__t").where(at == F.col("__least")), "__t", "__g", F.col("__groups"), seed)  # one pair a taxon, but for ties
+    taxa = written(near.groupBy("__t").agg(F.first("__n").alias("__groups"), F.first("__turn").alias("__turn"), F.min_by("__g", F.struct("__place", "__g")).alias("__first")), "split-taxa")
     single = taxa.where("__groups = 1").select(F.col("__t").alias(taxon), F.col("__first").alias(group))
     forced = single.select(F.struct(F.col(group).alias("__g")).alias("__k")).distinct().withColumn("__forced", F.lit(True))
     many = taxa.where("__groups > 1").withColumn("__takes", F.lit(None).cast("boolean")).drop("__groups")
     firsts = many.select(F.struct(F.col("__first").alias("__g")).alias("__k")).distinct().join(forced, "__k", "full_outer")
-    met = join_hot(placed.withColumn("__k", F.struct("__g")), firsts, "__k")
-    rivals = written(met.join(many.select("__t"), "__t", "left_semi").select("__t", "__k", "__turn", "__forced"), "split-rivals")
+    met = join_hot(narrow.withColumn("__k", F.struct("__g")), firsts, "__k")
+    rivals = written(met.join(many.select("__t", "__turn"), "__t").select("__t", "__k", "__turn", "__forced"), "split-rivals")
     state = written(many, "split-state")
     while not state.where("__takes is null").isEmpty():
         by_first = state.groupBy(F.struct(F.col("__first").alias("__g")).alias("__k")).agg(_first_of(F.col("__takes")).alias("__first_sure"), _first_of(F.coalesce("__takes", F.lit(True))).alias("__first_maybe"))

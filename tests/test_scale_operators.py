@@ -215,6 +215,16 @@ def test_a_taxon_brings_no_more_pairs_to_the_rounds_than_it_can_reach(spark, mon
     assert settled[0] <= 4 * 4 * 22  # 4 taxa, 22 groups that all can bring, of 8,000 pairs
 
 
+def test_first_groups_are_found_without_digests_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = sorted({(rng.randrange(40), rng.randrange(300)) for _ in range(1500)})
+    wide, written = [], sp.written
+    monkeypatch.setattr(sp, "written", lambda df, name: (wide.append(df.columns) if df.count() >= len(rows) else None, written(df, name))[1])
+    got = {tuple(r) for r in sp.sequential_one_group(spark.createDataFrame(rows, "t long, g long"), "t", "g", 3).collect()}
+    assert got == loop_one_group(rows, 3)
+    assert wide == [["__t", "__g"]]
+
+
 def _plain_components(boxes):
     parent = {(b[0], b[1]): (b[0], b[1]) for b in boxes}
 
