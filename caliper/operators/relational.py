@@ -72,13 +72,18 @@ def tag_seen(df: DataFrame, train: DataFrame, key: str, name: str) -> DataFrame:
     return df.join(known, key, "left").withColumn(name, F.when(F.col("__seen"), "seen").otherwise("unseen")).drop("__seen")
 
 
+#: Rows of a group that are compared with one another.
+GROUP_ROWS = 32
+
+
 def pairs_within(df: DataFrame, group: str, order: str, near: dict[str, float]) -> DataFrame:
     """(group, a, b): pairs of rows of a group with a before b in `order` (unique in the group) of which at least one of the
     columns of `near` differs by its tolerance at most. NULL and NaN are near nothing; a NULL group has no pairs.
 
-    A band join: each column cuts the group into bands twice as wide as its tolerance, and rows meet those of their own and of
-    the two next bands only. A good part of the rows of a band are near one another, so that the work is in proportion to the
-    rows and the pairs, not to the square of the group. A pair that is near by several columns comes from the first of them."""
+    Groups of GROUP_ROWS rows at most are gathered in one shuffle and compared row by row. The others take a band join: each
+    column cuts the group into bands twice as wide as its tolerance, and rows meet those of their own and of the two next bands
+    only. A good part of the rows of a band are near one another, so that the work is in proportion to the rows and the pairs,
+    not to the square of the group. A pair that is near by several columns comes from the first of them."""
 
     def bands(by: int, c: str, steps: Sequence[int]) -> list[Column]:
         v, width = F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), 2.0 * near[c]
@@ -86,19 +91,32 @@ def pairs_within(df: DataFrame, group: str, order: str, near: dict[str, float])
         beside = lambda k: F.when(F.abs(at) < 2.0**51, at + float(k)) if width else F.lit(None).cast("double")  # noqa: E731  beyond, a double has no next band
         return [F.struct(F.lit(by).alias("by"), (beside(k) if k else at).alias("at")) for k in steps]
 
+    rows = df.where(F.col(group).isNotNull())
+    sizes = rows.groupBy(F.col(group).alias("__banded")).agg(F.count(F.lit(1)).alias("__n"))
+    large = written(sizes.where(F.col("__n") > GROUP_ROWS).select("__banded"), "large-groups")
+    in_large = rows[group] == large["__banded"]
+    wide, few = rows.join(large, in_large, "left_semi"), rows.join(large, in_large, "left_anti")
+
     def banded(side: str, steps: Sequence[int]) -> DataFrame:
         all_ = F.array(*[x for i, c in enumerate(near) for x in bands(i, c, steps)])
-        rows = df.where(F.col(group).isNotNull()).select(*df.columns, F.explode(all_).alias("__in")).where("__in.at is not null")
-        return rows.select(*[F.col(c).alias(f"__{side}_{c}") for c in df.columns], F.col("__in").alias(f"__{side}"), F.xxhash64(group, "__in").alias("__band"))
+        placed = wide.select(*df.columns, F.explode(all_).alias("__in")).where("__in.at is not null")
+        return placed.select(*[F.col(c).alias(f"__{side}_{c}") for c in df.columns], F.col("__in").alias(f"__{side}"), F.xxhash64(group, "__in").alias("__band"))
 
     a, b = (lambda c: F.col(f"__a_{c}")), (lambda c: F.col(f"__b_{c}"))
-    close = lambda c: F.coalesce(F.nanvl(F.abs(a(c) - b(c)).cast("double"), F.lit(None)) <= near[c], F.lit(False))
-    first = reduce(lambda rest, c: F.when(close(c[1]), c[0]).otherwise(rest), reversed(list(enumerate(near))), F.lit(-1))
+    is_near = lambda x, y, c: F.coalesce(F.nanvl(F.abs(x(c) - y(c)).cast("double"), F.lit(None)) <= near[c], F.lit(False))
+    first = reduce(lambda rest, c: F.when(is_near(a, b, c[1]), c[0]).otherwise(rest), reversed(list(enumerate(near))), F.lit(-1))
     pairs = banded("a", (-1, 0, 1)).join(banded("b", (0,)), "__band")
     same = (a(group) == b(group)) & (F.col("__a") == F.col("__b"))  # a hash may stand for several bands
     found = pairs.where(same & (a(order) < b(order)) & (first == F.col("__a.by")))
     whole = lambda side: F.struct(*[F.col(f"__{side}_{c}").alias(c) for c in df.columns]).alias(side)
-    return found.select(a(group).alias(group), whole("a"), whole("b"))
+
+    rest = [c for c in df.columns if c != group]
+    gathered = few.groupBy(group).agg(F.collect_list(F.struct(*rest)).alias("__rows")).where(F.size("__rows") > 1)
+    each = gathered.select(group, "__rows", F.explode("__rows").alias("__x")).select(group, "__x", F.explode("__rows").alias("__y"))
+    x, y = (lambda c: F.col(f"__x.{c}")), (lambda c: F.col(f"__y.{c}"))
+    met = each.where((x(order) < y(order)) & reduce(lambda p, q: p | q, [is_near(x, y, c) for c in near]))
+    full = lambda side, to: F.struct(*[F.col(group) if c == group else F.col(f"{side}.{c}").alias(c) for c in df.columns]).alias(to)
+    return met.select(group, full("__x", "a"), full("__y", "b")).unionByName(found.select(a(group).alias(group), whole("a"), whole("b")))
 
 
 def error_summary(df: DataFrame, group: str, error: str) -> DataFrame:

@@ -179,6 +179,19 @@ def test_pairs_of_a_large_group_are_cheap(spark):
     assert pairs_within(df, "g", "id", {"top": 10.0}).count() == 299_999
 
 
+def test_rows_of_small_groups_are_shuffled_once_and_not_by_bands(spark, monkeypatch):
+    rows = [(g, i, float(i % 7), float(i)) for g in range(40) for i in range(1 + g % 12)]
+    df = spark.createDataFrame(rows, "g long, id long, top double, bottom double")
+    found = pairs_within(df, "g", "id", {"top": 1, "bottom": 1})
+    assert "collect_list" in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["g"], r["a"]["id"], r["b"]["id"]) for r in found.collect())
+    want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and (abs(a[2] - b[2]) <= 1 or abs(a[3] - b[3]) <= 1))
+    assert got == want
+    for bound in (0, 5):  # all groups by bands, and some
+        monkeypatch.setattr(relational, "GROUP_ROWS", bound)
+        assert sorted((r["g"], r["a"]["id"], r["b"]["id"]) for r in pairs_within(df, "g", "id", {"top": 1, "bottom": 1}).collect()) == want
+
+
 @pytest.mark.parametrize("keys", [["g"], []])
 def test_quantiles_held_and_by_ranges_agree(spark, monkeypatch, keys):
     rng = random.Random(9)
