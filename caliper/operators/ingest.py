@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from caliper.functions.arrays import rebased
 from caliper.functions.strings import extract_int, strip_prefix, strip_suffix
-from caliper.operators.relational import absent, first_per_group
-from caliper.operators.summaries import duplicate_keys
+from caliper.operators.relational import first_per_group
 
 KEYS = ("group_img_basename", "beetle_position")
 # The trait columns and the measurement types that they hold.
@@ -44,15 +43,18 @@ def keyed_images(images: DataFrame) -> DataFrame:
 def key_problems(traits: DataFrame, images: DataFrame) -> DataFrame:
     """(problem, group_img_basename, beetle_position, n) of keyed tables: keys that stand more than once in a table, and keys of
     one table that the other lacks; a NULL key counts as lacking."""
-    once = {"images": images.select(*KEYS).distinct(), "traits": traits.select(*KEYS).distinct()}
-    same = {k: k for k in KEYS}
-    found = [
-        duplicate_keys(traits, KEYS).withColumn("problem", F.lit("trait_duplicates")),
-        duplicate_keys(images, KEYS).withColumn("problem", F.lit("image_duplicates")),
-        absent(once["images"], once["traits"], same).withColumns({"n": F.lit(1).cast("bigint"), "problem": F.lit("images_without_traits")}),
-        absent(once["traits"], once["images"], same).withColumns({"n": F.lit(1).cast("bigint"), "problem": F.lit("traits_without_images")}),
-    ]
-    return reduce(DataFrame.unionByName, found).select("problem", *KEYS, "n")
+    side = lambda df, t, i: df.select(*KEYS, F.lit(t).alias("t"), F.lit(i).alias("i"))
+    rows = side(traits, 1, 0).unionByName(side(images, 0, 1)).groupBy(*KEYS).agg(F.sum("t").alias("t"), F.sum("i").alias("i"))
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in KEYS])
+    one = F.lit(1).cast("bigint")
+    found = {
+        "trait_duplicates": F.when(F.col("t") > 1, F.col("t")),
+        "image_duplicates": F.when(F.col("i") > 1, F.col("i")),
+        "images_without_traits": F.when((F.col("i") > 0) & (no_key | (F.col("t") == 0)), one),
+        "traits_without_images": F.when((F.col("t") > 0) & (no_key | (F.col("i") == 0)), one),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("problem"), n.alias("n")) for k, n in found.items()]))
+    return rows.select(*KEYS, each.alias("p")).where("p.n is not null").select("p.problem", *KEYS, "p.n")
 
 
 def measurements(origin_x: Column, origin_y: Column) -> Column:

@@ -401,10 +401,11 @@ def _raw_tables(t):
         F.lit("oops").alias("coords_basal_pronotum_width"),
         F.lit("[]").alias("coords_elytra_max_width"),
     )
-    repeated = traits.where("BeetlePosition = '3'")
+    copies = F.when(F.col("BeetlePosition") == "3", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    traits = traits.withColumn("copy", F.explode(copies)).drop("copy")
     images = line.where("l_linenumber <> 4").select(group.alias("groupImageFilePath"), text("individual/O", F.col("l_orderkey").cast("string"), "_specimen_", F.col("l_linenumber").cast("string"), ".png").alias("individualImageFilePath"))
     origins = line.select(ingest.group_basename(group).alias(ingest.KEYS[0]), F.col("l_linenumber").cast("bigint").alias(ingest.KEYS[1]), F.lit(10).alias("origin_x"), F.col("l_linenumber").alias("origin_y"))
-    return ingest.keyed_traits(traits.unionByName(repeated)), ingest.keyed_images(images), origins
+    return ingest.keyed_traits(traits), ingest.keyed_images(images), origins
 
 
 @query("E1_ingest_documents", """WITH l AS (SELECT l_orderkey AS o, l_linenumber AS n, min(l_partkey) AS p, CAST(min(l_quantity) AS BIGINT) AS q FROM lineitem WHERE l_linenumber NOT IN (2, 4) GROUP BY ALL)

@@ -250,6 +250,17 @@ def test_stream_leaves_out_late_rows_and_equals_batch(spark, tmp_path):
     assert {(r["kind"], r["n"]) for r in sessions(df, "ts", "kind", "30 seconds", "1 minute").collect()} == {("a", 1), ("b", 1)}
 
 
+def test_key_problems_of_null_keys_in_one_pass(spark):
+    from caliper.operators import ingest
+
+    keyed = lambda rows: spark.createDataFrame(rows, f"{ingest.KEYS[0]} string, {ingest.KEYS[1]} long")
+    found = ingest.key_problems(keyed([("a", 1), ("a", 1), ("b", 1), ("n", None)]), keyed([("a", 1), ("c", 1), ("c", 1), ("n", None), ("n", None)]))
+    want = [("trait_duplicates", "a", 1, 2), ("traits_without_images", "b", 1, 1), ("traits_without_images", "n", None, 1)]
+    want += [("image_duplicates", "c", 1, 2), ("images_without_traits", "c", 1, 1), ("image_duplicates", "n", None, 2), ("images_without_traits", "n", None, 1)]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ingest_from_csv_to_documents(spark, tmp_path):
     from caliper.operators import ingest
     from caliper.sources.readers import read_csv
