@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from caliper.functions.arrays import rebased
 from caliper.functions.strings import extract_int, strip_prefix, strip_suffix
-from caliper.operators.relational import first_per_group
 
 KEYS = ("group_img_basename", "beetle_position")
 # The trait columns and the measurement types that they hold.
@@ -73,7 +72,6 @@ def annotation_documents(traits: DataFrame, images: DataFrame, origins: DataFram
 
     origins (keys, origin_x, origin_y): where the specimen's crop lies in its group image. Of rows that repeat a key in traits
     or origins one counts; images are kept each."""
-    one_trait = first_per_group(traits.select(*KEYS, *TRAITS), KEYS, [F.struct(*TRAITS)])
-    one_origin = first_per_group(origins.select(*KEYS, "origin_x", "origin_y"), KEYS, ["origin_x", "origin_y"])
-    joined = images.join(one_origin, list(KEYS)).join(one_trait, list(KEYS))
+    least = lambda df, *cols: df.groupBy(*KEYS).agg(F.min(F.struct(*cols)).alias("__least")).select(*KEYS, "__least.*")
+    joined = images.join(least(origins, "origin_x", "origin_y"), list(KEYS)).join(least(traits, *TRAITS), list(KEYS))
     return joined.withColumn("measurements", measurements(F.col("origin_x"), F.col("origin_y"))).select(*images.columns, "origin_x", "origin_y", "measurements")

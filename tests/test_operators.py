@@ -261,6 +261,17 @@ def test_key_problems_of_null_keys_in_one_pass(spark):
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_annotation_documents_hold_a_trait_row_once_in_the_aggregate(spark):
+    from caliper.operators import ingest
+
+    keys = [f"'o1' AS {ingest.KEYS[0]}", f"1L AS {ingest.KEYS[1]}"]
+    one = spark.range(1)
+    traits = spark.range(2).selectExpr(*keys, *[f"array(array(double(id), 0, 2, 3)) AS {c}" for c in ingest.TRAITS])
+    docs = ingest.annotation_documents(traits, one.selectExpr(*keys), one.selectExpr(*keys, "1 AS origin_x", "0 AS origin_y"))
+    assert [m["polyline_px"][0] for m in docs.first()["measurements"]] == [-1.0] * 4
+    assert "min_by" not in docs._jdf.queryExecution().executedPlan().toString()  # which holds value and order
+
+
 def test_ingest_from_csv_to_documents(spark, tmp_path):
     from caliper.operators import ingest
     from caliper.sources.readers import read_csv
