@@ -73,5 +73,5 @@ def annotation_documents(traits: DataFrame, images: DataFrame, origins: DataFram
     origins (keys, origin_x, origin_y): where the specimen's crop lies in its group image. Of rows that repeat a key in traits
     or origins one counts; images are kept each."""
     least = lambda df, *cols: df.groupBy(*KEYS).agg(F.min(F.struct(*cols)).alias("__least")).select(*KEYS, "__least.*")
-    joined = images.join(least(origins, "origin_x", "origin_y"), list(KEYS)).join(least(traits, *TRAITS), list(KEYS))
+    joined = images.join(least(origins, "origin_x", "origin_y"), list(KEYS)).join(least(traits.select(*KEYS, *TRAITS).repartition(*KEYS), *TRAITS), list(KEYS))
     return joined.withColumn("measurements", measurements(F.col("origin_x"), F.col("origin_y"))).select(*images.columns, "origin_x", "origin_y", "measurements")
